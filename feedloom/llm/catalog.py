@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lz_fingerprint, packing, quality_rules
+from . import lz_fingerprint, packing, pii, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op2_power_of_two_packing": packing.op2_power_of_two_packing,
+        "op3_weak_supervision_pii": pii.op3_weak_supervision_pii,
         "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
+        "op6_guess_cost_secrets": secrets.op6_guess_cost_secrets,
         "op10_learned_rules": quality_rules.op10_learned_rules,
     }
 
