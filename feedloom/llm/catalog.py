@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lz_fingerprint, packing, pii, quality_rules, secrets
+from . import lz_fingerprint, near_dedup, packing, pii, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_weak_supervision_pii": pii.op3_weak_supervision_pii,
         "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
         "op6_guess_cost_secrets": secrets.op6_guess_cost_secrets,
+        "op7_setsketch_near_dedup": near_dedup.op7_setsketch_near_dedup,
         "op10_learned_rules": quality_rules.op10_learned_rules,
     }
 
