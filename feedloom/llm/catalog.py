@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import lz_fingerprint, near_dedup, packing, pii, quality_rules, secrets
+from . import hmm_scoring, lz_fingerprint, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_ordinal_quality": ordinal_quality.op1_ordinal_quality,
         "op2_power_of_two_packing": packing.op2_power_of_two_packing,
         "op3_weak_supervision_pii": pii.op3_weak_supervision_pii,
         "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
         "op6_guess_cost_secrets": secrets.op6_guess_cost_secrets,
         "op7_setsketch_near_dedup": near_dedup.op7_setsketch_near_dedup,
+        "op9_hmm_scores": hmm_scoring.op9_hmm_scores,
         "op10_learned_rules": quality_rules.op10_learned_rules,
     }
 
