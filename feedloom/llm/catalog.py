@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hmm_scoring, lz_fingerprint, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets
+from . import hmm_scoring, lz_fingerprint, nbest_pieces, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_power_of_two_packing": packing.op2_power_of_two_packing,
         "op3_weak_supervision_pii": pii.op3_weak_supervision_pii,
         "op4_lz_fingerprint": lz_fingerprint.op4_lz_fingerprint,
+        "op5_boosted_url_filter": url_filter.op5_boosted_url_filter,
         "op6_guess_cost_secrets": secrets.op6_guess_cost_secrets,
         "op7_setsketch_near_dedup": near_dedup.op7_setsketch_near_dedup,
+        "op8_nbest_pieces": nbest_pieces.op8_nbest_pieces,
         "op9_hmm_scores": hmm_scoring.op9_hmm_scores,
         "op10_learned_rules": quality_rules.op10_learned_rules,
     }
