@@ -1,11 +1,473 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL.
+
+Names start with the operator's number in the survey. Each query applies one
+operator of the library to the driver's tables by way of ``testviews``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import scoring, text
+from ..operators import aggregates, dedup, joins, upsert
+from ..sources import parse
+from ..streaming import jobs
+from . import composites as C
+from . import testviews as V
+from .testviews import SQL, as_of
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function):
+        _QUERIES[name] = function
+        if sql is not None:
+            _SQL[name] = sql
+        return function
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_MEAN = """, means AS (SELECT symbol_id, sum(score * w) / sum(w) AS m, max(published_at) AS newest, count(*) AS n FROM weighted WHERE abs(score) >= 0.25 GROUP BY 1),
+rated AS (SELECT s.id, coalesce(max(m.multiplier), 1.0) AS k FROM symbols s LEFT JOIN macro m ON s.industry <> '' AND contains(lower(m.industry_name), lower(s.industry)) GROUP BY 1),
+raised AS (SELECT symbol_id, n, k, newest, CASE WHEN abs(m) <= 0.85 THEN greatest(-1.0, least(1.0, m * k))
+  ELSE sign(m) * greatest(abs(m), least(1.0, 1 - (1 - abs(m)) * (2 - greatest(0.5, least(2.0, k))))) END AS r FROM means JOIN rated ON id = symbol_id),
+pulled AS (SELECT *, date_diff('microsecond', newest, TIMESTAMP '2024-03-15') / 1e6 / 3600 - 336 AS over FROM raised),
+final AS (SELECT *, CASE WHEN r = 0 OR over <= 0 THEN r ELSE round(r * exp(-0.0005 * over), 6) END AS g FROM pulled)
+"""
+
+
+@_query("q1_final_scores", SQL + _MEAN + "SELECT symbol_id, n AS n_material, k AS macro_multiplier, round(greatest(-1.0, least(1.0, g)), 6) AS final_score FROM final")
+def _(s, d):
+    return C.final_scores(V.symbols(s, d), V.articles(s, d), V.macro(s, d), as_of())
+
+
+@_query(
+    "q2_final_scores_with_signals",
+    SQL + ", means AS (SELECT symbol_id, sum(score * w * u) / sum(w * u) AS m, max(published_at) AS newest, count(*) AS n FROM (SELECT *, CASE form_type WHEN '10-K' THEN 1.5 WHEN '8-K' THEN 1.2 ELSE 1.0 END AS u FROM weighted) WHERE abs(score) >= 0.25 GROUP BY 1)" + _MEAN[_MEAN.index("),\nrated") + 1 :]
+    + """, signals AS (SELECT symbol_id, CASE WHEN form_type = 'NT 10-K' THEN -0.05 WHEN form_type = '8-K' AND score < 0 THEN -0.01 END AS modifier FROM articles WHERE published_at >= TIMESTAMP '2024-03-15' - INTERVAL 180 DAYS),
+    extra AS (SELECT symbol_id, round(greatest(-0.2, least(0.2, sum(modifier))), 4) AS sec_modifier FROM signals WHERE modifier IS NOT NULL GROUP BY 1),
+    guard AS (SELECT symbol_id, count(score) AS t FROM articles WHERE form_type IN ('10-K', '10-Q') GROUP BY 1)
+    SELECT symbol_id, sec_modifier, CASE WHEN coalesce(t, 1) > 0 THEN round(greatest(-1.0, least(1.0, g + coalesce(sec_modifier, 0))), 6) END AS final_score
+    FROM final LEFT JOIN extra USING (symbol_id) LEFT JOIN guard USING (symbol_id)""",
+)
+def _(s, d):
+    a = V.articles(s, d)
+    return C.final_scores_with_signals(V.symbols(s, d), a, V.macro(s, d), C.filing_signals(a), as_of())
+
+
+@_query("a1_leaderboard", SQL + "SELECT s.id, company_name, count(score) AS n_scored, count(a.id) AS n_total, round(avg(score), 6) AS avg_score, CASE WHEN avg(score) >= 0.75 THEN 'STRONG BUY' WHEN avg(score) >= 0.6 THEN 'BUY' WHEN avg(score) >= 0.4 THEN 'NEUTRAL' WHEN avg(score) >= 0.25 THEN 'WEAK SELL' WHEN avg(score) IS NOT NULL THEN 'SELL' END AS label FROM symbols s LEFT JOIN articles a ON a.symbol_id = s.id GROUP BY 1, 2")
+def _(s, d):
+    return C.leaderboard(V.symbols(s, d), V.articles(s, d))
+
+
+@_query("a2_leaderboard_stats", SQL + "SELECT count(*) AS n, round(avg(score), 6) AS mean, max(score) AS high, min(score) AS low, count(*) FILTER (score > 0.05) AS bullish, count(*) FILTER (score < -0.05) AS bearish FROM articles")
+def _(s, d):
+    score = F.col("score")
+    return V.articles(s, d).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.max(score).alias("high"), F.min(score).alias("low"), F.count_if(score > 0.05).alias("bullish"), F.count_if(score < -0.05).alias("bearish"))
+
+
+@_query("a4_decayed_mean", SQL + "SELECT symbol_id, round(sum(score * w) / sum(w), 6) AS mean_score, max(published_at) AS newest, count(*) AS n_material FROM weighted WHERE abs(score) >= 0.25 GROUP BY 1")
+def _(s, d):
+    return aggregates.decayed_mean(V.articles(s, d), "symbol_id", "score", "published_at", as_of()).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@_query("a7_signal_modifier", SQL + "SELECT symbol_id, round(greatest(-0.2, least(0.2, sum(CASE WHEN form_type = 'NT 10-K' THEN -0.05 ELSE -0.01 END))), 4) AS sec_modifier FROM articles WHERE (form_type = 'NT 10-K' OR (form_type = '8-K' AND score < 0)) AND published_at >= TIMESTAMP '2024-03-15' - INTERVAL 60 DAYS GROUP BY 1")
+def _(s, d):
+    return aggregates.signal_modifier(C.filing_signals(V.articles(s, d)), "symbol_id", "filed_at", "modifier", as_of(), days=60)
+
+
+@_query("a9_coverage_guard", SQL + "SELECT symbol_id, count(*) AS total, count(score) AS scored, count(score) = 0 AS blocked FROM articles WHERE form_type = '10-K' GROUP BY 1")
+def _(s, d):
+    return V.articles(s, d).filter("form_type = '10-K'").groupBy("symbol_id").agg(F.count("*").alias("total"), F.count("score").alias("scored"), (F.count("score") == 0).alias("blocked"))
+
+
+@_query("a10_duplicate_titles", SQL + "SELECT lower(trim(title)) AS title, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    return dedup.duplicate_groups(V.documents(s, d), [F.lower(F.trim("title")).alias("title")])
+
+
+@_query("a11_unscored_worklist", SQL + "SELECT symbol_id, count(*) AS unscored FROM articles WHERE score IS NULL GROUP BY 1")
+def _(s, d):
+    return V.articles(s, d).groupBy("symbol_id").agg(F.count_if(F.col("score").isNull()).alias("unscored")).filter("unscored > 0")
+
+
+@_query("a13_hosts", "SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 20")
+def _(s, d):
+    return V.table(s, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(20)
+
+
+@_query("a14_source_profile", SQL + "SELECT source, lang, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM docs GROUP BY 1, 2")
+def _(s, d):
+    return V.documents(s, d).groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@_query("a15_family_counts", SQL + "SELECT symbol_id, count(*) FILTER (form_type IS NULL) AS n_news, count(*) FILTER (form_type = '10-K') AS n_10k, 0::BIGINT AS n_10q, count(*) FILTER (form_type = '8-K') AS n_8k, count(*) FILTER (starts_with(form_type, 'NT')) AS n_nt, 0::BIGINT AS n_other FROM articles GROUP BY 1")
+def _(s, d):
+    return aggregates.family_counts(V.articles(s, d), "symbol_id", "form_type")
+
+
+@_query("a16_score_composition", SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY published_at DESC, id DESC) AS k FROM articles WHERE score IS NOT NULL) SELECT symbol_id, round(avg(score) FILTER (form_type = '10-K'), 6) AS annual, round(avg(score) FILTER (form_type = '8-K'), 6) AS events, round(avg(score) FILTER (form_type IS NULL), 6) AS news FROM r WHERE k <= 50 GROUP BY 1")
+def _(s, d):
+    newest = dedup.newest_n(V.articles(s, d).filter("score IS NOT NULL"), "symbol_id", 50, [F.desc("published_at"), F.desc("id")])
+    part = lambda c: F.round(F.avg(F.when(c, F.col("score"))), 6)
+    return newest.groupBy("symbol_id").agg(part(F.col("form_type") == "10-K").alias("annual"), part(F.col("form_type") == "8-K").alias("events"), part(F.col("form_type").isNull()).alias("news"))
+
+
+@_query("a17_coverage_heatmap", SQL + "SELECT form_type, floor(hours / 24 / 30)::BIGINT AS months, count(*) AS n FROM aged WHERE form_type IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    return V.articles(s, d).filter("form_type IS NOT NULL").groupBy("form_type", F.floor(scoring.age_hours("published_at", as_of()) / 24 / 30).alias("months")).agg(F.count("*").alias("n"))
+
+
+@_query("a19_top_hints", SQL + ", c AS (SELECT symbol_id, source_name, count(*) AS n FROM articles GROUP BY 1, 2) SELECT symbol_id, source_name, n FROM c QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY n DESC, source_name) <= 3")
+def _(s, d):
+    return aggregates.top_k(V.articles(s, d), "symbol_id", "source_name", 3)
+
+
+@_query("a21_throughput", SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC, id DESC) AS k FROM articles WHERE published_at > TIMESTAMP '2024-01-25' - INTERVAL 24 HOURS AND published_at <= TIMESTAMP '2024-01-25') SELECT source_name, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(count(*) / (greatest(30.0, date_diff('microsecond', min(published_at), max(published_at)) / 1e6) / 3600), 6) END AS per_hour, least(1.0, count(*) / 200) AS confidence FROM r WHERE k <= 200 GROUP BY 1")
+def _(s, d):
+    return aggregates.throughput(V.articles(s, d), "source_name", "published_at", "id", F.lit("2024-01-25").cast("timestamp"))
+
+
+@_query("w1_dedup_titles", SQL + "SELECT doc_id, source, title FROM docs QUALIFY row_number() OVER (PARTITION BY lang, lower(trim(coalesce(title, ''))) ORDER BY n_chars DESC, doc_id) = 1")
+def _(s, d):
+    return dedup.dedup_titles(V.documents(s, d), "lang", "title", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "source", "title")
+
+
+@_query("w2_dedup_text", SQL + "SELECT min(doc_id) AS doc_id, sha256(text) AS text_hash FROM docs GROUP BY text")
+def _(s, d):
+    return dedup.keep_first(V.documents(s, d).withColumn("text_hash", F.sha2("text", 256)), ["text_hash"], [F.col("doc_id")]).select("doc_id", "text_hash")
+
+
+@_query("w3_dedup_language_variants", SQL + "SELECT id, k AS symbol_id FROM (SELECT *, symbol_id % 10 AS k FROM articles) QUALIFY row_number() OVER (PARTITION BY k, time_bucket(INTERVAL 5 MINUTES, published_at), source_name ORDER BY score IS NULL, coalesce(score, -99) DESC, id) = 1")
+def _(s, d):
+    return dedup.dedup_language_variants(V.articles(s, d).withColumn("symbol_id", F.col("symbol_id") % 10), "symbol_id", "published_at", "source_name", "score").select("id", "symbol_id")
+
+
+@_query("w4_compact_ranks", "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS compact_rank FROM orders")
+def _(s, d):
+    return dedup.compact_ranks(V.table(s, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderpriority").select("o_orderkey", "o_orderpriority", F.col("compact_rank").cast("long").alias("compact_rank"))
+
+
+@_query("w5_newest_n", SQL + "SELECT id, symbol_id FROM articles QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY published_at DESC, id DESC) <= 12")
+def _(s, d):
+    return dedup.newest_n(V.articles(s, d), "symbol_id", 12, [F.desc("published_at"), F.desc("id")]).select("id", "symbol_id")
+
+
+@_query("w7_cap_per_form", SQL + "SELECT id, form_type FROM (SELECT * FROM articles WHERE form_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id, form_type ORDER BY published_at DESC, id) <= 5) WHERE id % 7 <> 0")
+def _(s, d):
+    a = V.articles(s, d).filter("form_type IS NOT NULL")
+    return dedup.cap_per_form(a, ["symbol_id", "form_type"], [F.desc("published_at"), F.col("id")], 5, a.filter("id % 7 = 0"), "id").select("id", "form_type")
+
+
+@_query("w8_carry_forward", "SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_said FROM conversations")
+def _(s, d):
+    c = V.table(s, d, "conversations").withColumn("said", F.when(F.col("role") == "user", F.col("text")))
+    return dedup.carry_forward(c, "conv_id", [F.col("turn"), F.col("role"), F.col("text")], ["said"]).select("conv_id", "turn", "role", "last_said")
+
+
+@_query("w9_previous_state", SQL + "SELECT id, lag(score) OVER (PARTITION BY symbol_id ORDER BY published_at, id) AS previous_score FROM articles")
+def _(s, d):
+    return dedup.previous_state(V.articles(s, d), "symbol_id", [F.col("published_at"), F.col("id")], ["score"]).select("id", "previous_score")
+
+
+@_query("w10_contribution_share", SQL + "SELECT id, round(CASE WHEN sum(abs(score)) OVER (PARTITION BY symbol_id) > 0 THEN abs(score) / sum(abs(score)) OVER (PARTITION BY symbol_id) * 100 ELSE 0 END, 6) AS share FROM articles WHERE score IS NOT NULL")
+def _(s, d):
+    return dedup.contribution_share(V.articles(s, d).filter("score IS NOT NULL"), "symbol_id", "score").select("id", F.round("share", 6).alias("share"))
+
+
+@_query("w11_latest_order", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def _(s, d):
+    return dedup.keep_first(V.table(s, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@_query("w12_quarter_series", "SELECT o_custkey, 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS label, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
+def _(s, d):
+    label = F.concat(F.lit("Q"), F.quarter("o_orderdate"), F.lit(" "), F.year("o_orderdate"))
+    return V.table(s, d, "orders").groupBy("o_custkey", label.alias("label")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query("j3_symbols_with_unscored", SQL + "SELECT id FROM symbols WHERE EXISTS (SELECT 1 FROM articles a WHERE a.symbol_id = symbols.id AND score IS NULL)")
+def _(s, d):
+    return V.symbols(s, d).select("id").join(V.articles(s, d).filter("score IS NULL").select(F.col("symbol_id").alias("id")), "id", "left_semi")
+
+
+@_query("j4_customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def _(s, d):
+    return V.table(s, d, "customer").select("c_custkey").join(V.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@_query("j5_has_feed_flag", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_order FROM customer")
+def _(s, d):
+    return joins.with_flag(V.table(s, d, "customer").select("c_custkey"), V.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "has_order")
+
+
+@_query("j6_macro_multiplier", SQL + "SELECT s.id, coalesce(max(m.multiplier), 1.0) AS macro_multiplier FROM symbols s LEFT JOIN macro m ON s.industry <> '' AND contains(lower(m.industry_name), lower(s.industry)) GROUP BY 1")
+def _(s, d):
+    return joins.multiplier_by_containment(V.symbols(s, d), V.macro(s, d)).select("id", "macro_multiplier")
+
+
+@_query("j7_asof_signup", SQL + "SELECT p.id, arg_max(g.published_at, g.published_at) AS matched_at, max(g.id) FILTER (g.published_at = m.at) AS signup_id FROM articles p LEFT JOIN (SELECT p.id, max(g.published_at) AS at FROM articles p JOIN articles g ON g.symbol_id = p.symbol_id AND g.source_name = 'signup' AND g.published_at <= p.published_at WHERE p.source_name = 'purchase' GROUP BY 1) m ON m.id = p.id LEFT JOIN articles g ON g.symbol_id = p.symbol_id AND g.source_name = 'signup' AND g.published_at = m.at WHERE p.source_name = 'purchase' GROUP BY 1")
+def _(s, d):
+    a = V.articles(s, d)
+    buys = a.filter("source_name = 'purchase'").select("id", "symbol_id", "published_at")
+    signups = a.filter("source_name = 'signup'").groupBy("symbol_id", "published_at").agg(F.max("id").alias("signup_id"))
+    return joins.asof_backward(buys, signups, "symbol_id", "published_at", "published_at", ["signup_id"]).select("id", "matched_at", "signup_id")
+
+
+@_query("j8_known_split", "SELECT event_id, event_id % 3 = 0 AS known FROM events WHERE event_id % 2 = 0")
+def _(s, d):
+    e = V.table(s, d, "events").select("event_id")
+    return upsert.split_known(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0"), "event_id")
+
+
+@_query("j9_symbol_overview", SQL + "SELECT s.id, (SELECT count(*) FROM articles a WHERE a.symbol_id = s.id) AS n_articles, (SELECT count(*) FROM orders WHERE o_custkey = s.id) AS n_orders FROM symbols s")
+def _(s, d):
+    a = V.articles(s, d).groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("n_articles"))
+    o = V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_orders"))
+    return V.symbols(s, d).select("id").join(a, "id", "left").join(o, "id", "left").na.fill(0)
+
+
+@_query("j11_reconcile_universe", SQL + "SELECT coalesce(l.id, t.id) AS id, coalesce(l.company_name, t.company_name) AS company_name, CASE WHEN t.id IS NULL THEN 'new' WHEN l.id IS NULL AND t.status THEN 'delisted' WHEN l.id IS NULL THEN 'unchanged' WHEN NOT t.status THEN 'restored' ELSE 'unchanged' END AS action FROM (SELECT * FROM symbols WHERE id % 5 <> 0) l FULL JOIN (SELECT * FROM symbols WHERE id % 7 <> 0) t ON l.id = t.id")
+def _(s, d):
+    v = V.symbols(s, d)
+    return joins.reconcile(v.filter("id % 5 <> 0"), v.filter("id % 7 <> 0"), "id", "company_name", "status")
+
+
+@_query("j12_min_id_per_url", "SELECT min(page_id) AS page_id, regexp_replace(url, '[?#].*$', '') AS address FROM pages GROUP BY 2")
+def _(s, d):
+    return dedup.keep_first(V.table(s, d, "pages").withColumn("address", F.regexp_replace("url", r"[?#].*$", "")), ["address"], [F.col("page_id")]).select("page_id", "address")
+
+
+@_query("j15_snap_to_catalog", "WITH e AS (SELECT DISTINCT p_type AS t, p_name AS n FROM part) SELECT p_partkey, t || ' | ' || n AS snapped FROM part JOIN e ON t = p_type AND n = p_name")
+def _(s, d):
+    p = V.table(s, d, "part")
+    picks = p.select("p_partkey", F.concat(F.lit("[1] "), F.upper("p_type"), F.lit(" / "), F.col("p_name")).alias("pick"))
+    return joins.snap_to_catalog(picks, p.select(F.col("p_type").alias("sector_name"), F.col("p_name").alias("industry_name")).distinct()).select("p_partkey", "snapped")
+
+
+@_query("j17_cascading_multiplier", SQL + "SELECT p_partkey, coalesce(e.multiplier, (SELECT max(multiplier) FROM macro m WHERE lower(m.sector_name) = lower(p_type)), 1.0) AS multiplier FROM part LEFT JOIN macro e ON lower(e.sector_name) = lower(p_type) AND lower(e.industry_name) = lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'unknown' END)")
+def _(s, d):
+    picks = V.table(s, d, "part").select("p_partkey", F.upper("p_type").alias("sector"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("unknown").alias("pick"))
+    return joins.cascading_multiplier(picks, V.macro(s, d)).select("p_partkey", "multiplier")
+
+
+@_query("k1_append_new", "SELECT event_id, event_type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+def _(s, d):
+    e = V.table(s, d, "events").select("event_id", "event_type")
+    half = e.filter("event_id % 2 = 0")
+    return upsert.append_new(e.filter("event_id % 3 = 0"), half.unionByName(half), "event_id", [F.col("event_type")])
+
+
+@_query("k2_upsert", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0")
+def _(s, d):
+    e = V.table(s, d, "events").select("event_id", "value")
+    return upsert.upsert(e.filter("event_id % 3 = 0"), e.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1), ["event_id"], [F.col("value")])
+
+
+@_query("k3_keep_longer_text", SQL + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n_chars > 500 THEN left(text, 500) ELSE text END AS text, CASE WHEN doc_id % 2 = 1 THEN 'new' ELSE 'old' END AS form FROM docs")
+def _(s, d):
+    v = V.documents(s, d).select("doc_id", "text")
+    return upsert.keep_longer(v.select("doc_id", F.left("text", F.lit(500)).alias("text"), F.lit("old").alias("form")), v.filter("doc_id % 2 = 1").withColumn("form", F.lit("new")), ["doc_id"], "text", ["form"])
+
+
+@_query("k4_raise_multiplier", SQL + ", g AS (SELECT p_type, p_name, max(1 + p_retailprice / 100000) AS m, arg_max(p_brand, 1e9 * p_retailprice + p_partkey) AS r FROM part GROUP BY 1, 2) SELECT sector_name, industry_name, round(greatest(multiplier, m), 6) AS multiplier, CASE WHEN m >= multiplier THEN r ELSE 'old' END AS rationale FROM macro LEFT JOIN g ON p_type = sector_name AND p_name = industry_name")
+def _(s, d):
+    signals = V.table(s, d, "part").select(F.col("p_type").alias("sector_name"), F.col("p_name").alias("industry_name"), (1 + F.col("p_retailprice") / 100000).alias("multiplier"), F.col("p_brand").alias("rationale"), F.col("p_partkey").alias("seq"))
+    return upsert.raise_multiplier(V.macro(s, d).withColumn("rationale", F.lit("old")), signals, ["sector_name", "industry_name"]).withColumn("multiplier", F.round("multiplier", 6))
+
+
+@_query("k5_patch_non_null", SQL + "SELECT id, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'patched' ELSE sector END AS sector FROM symbols")
+def _(s, d):
+    v = V.symbols(s, d).select("id", "sector")
+    return upsert.patch_non_null(v, v.filter("id % 2 = 0").select("id", F.when(F.col("id") % 3 != 0, "patched").alias("sector")), "id", ["sector"])
+
+
+@_query("k6_advance_date", "SELECT c_custkey, max(o_orderdate) AS filed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(s, d):
+    o = V.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("filed"))
+    old = V.table(s, d, "customer").select("c_custkey").join(o.groupBy("c_custkey").agg(F.min("filed").alias("filed")), "c_custkey", "left")
+    return upsert.advance_date(old, o, "c_custkey", "filed")
+
+
+@_query("k7_reset_scores", SQL + "SELECT id, CASE WHEN source_name = 'click' THEN NULL ELSE score END AS score FROM articles")
+def _(s, d):
+    return upsert.reset_where(V.articles(s, d), F.col("source_name") == "click", ["score"]).select("id", "score")
+
+
+@_query("k8_delete_where", SQL + "SELECT id FROM articles WHERE form_type IS NULL OR form_type <> '10-K'")
+def _(s, d):
+    return upsert.delete_where(V.articles(s, d), F.col("form_type") == "10-K").select("id")
+
+
+@_query("k10_run_audit", SQL + "SELECT 'score' AS step, TIMESTAMP '2024-03-15' AS finished_at, count(*) AS n_rows, count(*) FILTER (score IS NULL) AS n_failed, 'partial' AS status FROM articles")
+def _(s, d):
+    return upsert.run_audit(V.articles(s, d), "score", as_of(), F.col("score").isNull())
+
+
+@_query("p2_search_symbols", SQL + "SELECT id, company_name, industry, (SELECT count(*) FROM articles a WHERE a.symbol_id = symbols.id) AS n_articles FROM symbols WHERE contains(lower(company_name), 'bolt') OR contains(lower(industry), 'bolt') ORDER BY company_name, id LIMIT 500")
+def _(s, d):
+    return C.symbol_search(V.symbols(s, d), V.articles(s, d), "BOLT")
+
+
+@_query("p3_search_articles", SQL + "SELECT doc_id, title FROM docs WHERE contains(lower(title), 'token') OR contains(lower(text), 'token')")
+def _(s, d):
+    return V.documents(s, d).filter(text.contains_ci("title", "Token") | text.contains_ci("text", "Token")).select("doc_id", "title")
+
+
+@_query("p4_article_count_filter", SQL + "SELECT id, count(a.symbol_id) AS n FROM symbols s LEFT JOIN (SELECT symbol_id FROM articles) a ON a.symbol_id = s.id GROUP BY 1 HAVING count(a.symbol_id) >= 5")
+def _(s, d):
+    n = V.articles(s, d).groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("n"))
+    return V.symbols(s, d).select("id").join(n, "id", "left").na.fill(0).filter("n >= 5")
+
+
+@_query("p6_within_staleness", SQL + "SELECT id FROM aged WHERE hours / 24 <= CASE WHEN form_type = '10-K' THEN 547.92 ELSE 60 END")
+def _(s, d):
+    days = F.when(F.col("form_type") == "10-K", 18 * scoring.DAYS_PER_MONTH).otherwise(60.0)
+    return V.articles(s, d).filter(scoring.age_days("published_at", as_of()) <= days).select("id")
+
+
+@_query("p7_material", SQL + "SELECT id, score FROM articles WHERE abs(score) >= 0.25")
+def _(s, d):
+    return V.articles(s, d).filter(scoring.material("score")).select("id", "score")
+
+
+@_query("p9_exclude_sources", SQL + "SELECT id FROM articles WHERE form_type IS NULL OR form_type NOT IN ('8-K', '10-K')")
+def _(s, d):
+    return V.articles(s, d).filter(F.col("form_type").isNull() | ~F.col("form_type").isin("8-K", "10-K")).select("id")
+
+
+@_query("p10_keyword_match", SQL + "SELECT doc_id FROM docs WHERE regexp_matches(text, '(?i)\\b(idiot|password|that)\\b')")
+def _(s, d):
+    return V.documents(s, d).filter(text.any_word("text", ["idiot", "password", "that"])).select("doc_id")
+
+
+@_query("p17_validate", SQL + "SELECT doc_id, (n_chars < 100)::INT + (NOT regexp_matches(text, '[.]'))::INT AS n_violations FROM docs")
+def _(s, d):
+    bad = F.array_compact(F.array(F.when(F.col("n_chars") < 100, "short"), F.when(~F.col("text").contains("."), "no sentence")))
+    return V.documents(s, d).select("doc_id", F.size(bad).alias("n_violations"))
+
+
+@_query("f1_decay_weight", SQL + "SELECT id, round(w, 6) AS weight FROM weighted")
+def _(s, d):
+    return V.articles(s, d).select("id", F.round(scoring.decay_weight("published_at", as_of()), 6).alias("weight"))
+
+
+@_query("f3_asymptotic_multiply", SQL + "SELECT id, round(CASE WHEN abs(score) <= 0.85 THEN greatest(-1.0, least(1.0, score * 1.05)) ELSE sign(score) * greatest(abs(score), least(1.0, 1 - (1 - abs(score)) * 0.95)) END, 6) AS raised FROM articles WHERE score IS NOT NULL")
+def _(s, d):
+    return V.articles(s, d).filter("score IS NOT NULL").select("id", F.round(scoring.asymptotic_multiply("score", F.lit(1.05)), 6).alias("raised"))
+
+
+@_query("f4_gravity", SQL + "SELECT id, round(CASE WHEN score = 0 OR hours <= 336 THEN score ELSE score * exp(-0.0005 * (hours - 336)) END, 6) AS pulled FROM aged WHERE score IS NOT NULL")
+def _(s, d):
+    return V.articles(s, d).filter("score IS NOT NULL").select("id", F.round(scoring.gravity("score", "published_at", as_of()), 6).alias("pulled"))
+
+
+@_query("f8_score_label", SQL + "SELECT id, CASE WHEN score >= 0.75 THEN 'STRONG BUY' WHEN score >= 0.6 THEN 'BUY' WHEN score >= 0.4 THEN 'NEUTRAL' WHEN score >= 0.25 THEN 'WEAK SELL' WHEN score IS NOT NULL THEN 'SELL' END AS label FROM articles")
+def _(s, d):
+    return V.articles(s, d).select("id", scoring.score_label("score").alias("label"))
+
+
+@_query("f9_filing_signals", SQL + "SELECT id, CASE WHEN form_type = 'NT 10-K' THEN 'late_annual' ELSE 'negative_event' END AS signal_type, CASE WHEN form_type = 'NT 10-K' THEN -0.05 ELSE -0.01 END::DOUBLE AS modifier FROM articles WHERE form_type = 'NT 10-K' OR (form_type = '8-K' AND score < 0)")
+def _(s, d):
+    return C.filing_signals(V.articles(s, d)).select("id", "signal_type", "modifier")
+
+
+@_query("f10_article_hash", SQL + "SELECT doc_id, sha256(source || '|' || title) AS hash FROM docs")
+def _(s, d):
+    return V.documents(s, d).select("doc_id", text.article_hash("source", "title", F.lit(None).cast("timestamp"), "url|title").alias("hash"))
+
+
+@_query("f20_first_line", SQL + "SELECT doc_id, left(title, 200) AS title FROM docs WHERE length(title) BETWEEN 20 AND 250")
+def _(s, d):
+    v = V.documents(s, d)
+    return v.filter(F.length(text.first_line("text")).between(20, 250)).select("doc_id", F.left(text.first_line("text"), F.lit(200)).alias("title"))
+
+
+@_query("f17_first_number", SQL + "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '[+-]?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS number FROM docs")
+def _(s, d):
+    return V.documents(s, d).select("doc_id", text.first_number("text").alias("number"))
+
+
+@_query("t1_sort_leaderboard", SQL + "SELECT id, company_name, balance FROM symbols ORDER BY balance DESC NULLS LAST, id LIMIT 100")
+def _(s, d):
+    return V.symbols(s, d).orderBy(F.desc_nulls_last("balance"), "id").limit(100).select("id", "company_name", "balance")
+
+
+@_query("t2_page", SQL + "SELECT id FROM articles ORDER BY published_at DESC, id LIMIT 40 OFFSET 80")
+def _(s, d):
+    return V.articles(s, d).orderBy(F.desc("published_at"), "id").offset(80).limit(40).select("id")
+
+
+@_query("t5_first_n_symbols", SQL + "SELECT id, symbol_id FROM articles WHERE symbol_id IN (SELECT DISTINCT symbol_id FROM articles ORDER BY 1 LIMIT 10)")
+def _(s, d):
+    return dedup.first_n_keys(V.articles(s, d), "symbol_id", 10).select("id", "symbol_id")
+
+
+@_query("t6_score_swings", SQL + ", b AS (SELECT symbol_id, avg(score) AS old, avg(score) FILTER (form_type IS NOT NULL) AS new FROM articles GROUP BY 1) SELECT symbol_id, round(abs(new - old), 6) AS swing FROM b WHERE abs(new - old) > 0.01 ORDER BY abs(new - old) DESC, symbol_id LIMIT 20")
+def _(s, d):
+    b = V.articles(s, d).groupBy("symbol_id").agg(F.avg("score").alias("old"), F.avg(F.when(F.col("form_type").isNotNull(), F.col("score"))).alias("new"))
+    swing = F.abs(F.col("new") - F.col("old"))
+    return b.filter(swing > 0.01).orderBy(swing.desc(), "symbol_id").limit(20).select("symbol_id", F.round(swing, 6).alias("swing"))
+
+
+@_query("t7_macro_ranking", SQL + "SELECT sector_name, industry_name, multiplier, greatest(0, least(100, floor((multiplier - 1) / 0.05 * 100 + 1e-9)))::INT AS bar FROM macro ORDER BY multiplier DESC, sector_name, industry_name LIMIT 100")
+def _(s, d):
+    bar = scoring.clamp((F.col("multiplier") - 1) / 0.05 * 100 + 1e-9, 0.0, 100.0).cast("int")
+    return V.macro(s, d).orderBy(F.desc("multiplier"), "sector_name", "industry_name").limit(100).withColumn("bar", bar)
+
+
+@_query("u1_scoring_window", SQL + "SELECT id, symbol_id FROM aged WHERE form_type IS NOT NULL AND hours / 24 <= CASE WHEN form_type = '10-K' THEN 547.92 ELSE 90 END UNION ALL (SELECT id, symbol_id FROM articles WHERE form_type IS NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY published_at DESC, id DESC) <= 12)")
+def _(s, d):
+    return C.scoring_window(V.articles(s, d), as_of()).select("id", "symbol_id")
+
+
+@_query("u2_union_priority", "SELECT event_id, 1 AS side FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 2 FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+def _(s, d):
+    e = V.table(s, d, "events").select("event_id")
+    return joins.union_priority(e.filter("event_id % 3 = 0").withColumn("side", F.lit(1)), e.filter("event_id % 2 = 0").withColumn("side", F.lit(2)), "event_id")
+
+
+@_query("u3_removed", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def _(s, d):
+    return V.table(s, d, "customer").select("c_custkey").subtract(V.table(s, d, "orders").select("o_custkey"))
+
+
+@_query("s11_strip_html", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS body FROM pages")
+def _(s, d):
+    return V.table(s, d, "pages").select("page_id", text.strip_html("html").alias("body"))
+
+
+@_query("s12_feed_links")
+def _(s, d):
+    return parse.discover_feed_links(V.table(s, d, "pages"))
+
+
+@_query("s13_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
+def _(s, d):
+    return parse.links(V.table(s, d, "pages"))
+
+
+@_query("s10_html_to_text")
+def _(s, d):
+    return parse.html_to_text(V.table(s, d, "pages").select("page_id", "html"))
+
+
+@_query("s5_event_props", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(s, d):
+    return V.table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@_query("r3_bucket_dedup_stream", SQL + "SELECT symbol_id, source_name, time_bucket(INTERVAL 5 MINUTES, published_at) AS bucket, arg_max(id, coalesce(score, -99) * 1e12 - id) AS id FROM (SELECT * REPLACE (symbol_id % 10 AS symbol_id) FROM articles) GROUP BY 1, 2, 3")
+def _(s, d):
+    return jobs.run_bucket_dedup(s, d)
