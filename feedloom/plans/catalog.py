@@ -31,10 +31,13 @@ def _query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalog_more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

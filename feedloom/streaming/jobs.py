@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -81,3 +82,43 @@ def run_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker.write.mode("append").parquet(path)
     stream = spark.readStream.schema(articles.schema).parquet(path)
     return run_available(bucket_dedup(stream), "bucket-dedup").filter("id >= 0")
+
+
+def running_state(stream: DataFrame, *, rate: float = 0.0007, grace_hours: float = 30.44 * 24) -> DataFrame:
+    """An ordered fold per symbol: sums that decay at read time.
+
+    ``stream`` has ``symbol_id, published_at, score``. Each batch gives, for each
+    touched symbol, the sums of score and weight relative to ``REFERENCE`` and
+    the newest time. A weight after its grace is exp(rate * (t + grace - now)),
+    so the sums times exp(-rate * (now - reference)) are the decayed ones; rows
+    still in grace weigh one and are added by the reader from the last month.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    reference = pd.Timestamp("2024-01-01")
+
+    def fold(key, frames, state):
+        weighted, weight, newest = state.get if state.exists else (0.0, 0.0, None)
+        for frame in frames:
+            frame = frame.dropna(subset=["score", "published_at"])
+            hours = (frame["published_at"] - reference).dt.total_seconds() / 3600 + grace_hours
+            w = (rate * hours).map(math.exp)
+            weighted, weight = weighted + float((frame["score"] * w).sum()), weight + float(w.sum())
+            if len(frame):
+                last = frame["published_at"].max()
+                newest = last if newest is None else max(pd.Timestamp(newest), last)
+        state.update((weighted, weight, newest))
+        yield pd.DataFrame({"symbol_id": [key[0]], "weighted": [weighted], "weight": [weight], "newest": [newest]})
+
+    fields = "weighted double, weight double, newest timestamp"
+    return stream.groupBy("symbol_id").applyInPandasWithState(fold, f"symbol_id long, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
+
+
+def incremental_scores(recompute: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], None], key: str = "symbol_id") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that recomputes the keys a batch touches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store(recompute(batch.select(key).distinct()), number)
+
+    return write
