@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last")
     shared = materialize(banded.join(buckets.select("key", "pivot", "n"), "key"), "near-buckets")
     involved = shared.select("doc_id").distinct()
-    full = materialize(sketches(texts.join(involved, "doc_id", "left_semi"), full=True), "near-sets")
+    # a merge join at every size: the ids have no bound that would allow a broadcast
+    full = materialize(sketches(texts.join(involved.hint("merge"), "doc_id", "left_semi"), full=True), "near-sets")
 
     # an id that repeats with another text is one document: its sets link whatever links with any of them
     repeats = members.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
