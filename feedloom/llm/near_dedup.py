@@ -26,14 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, texts_of
 
 SHINGLE = 5
-REGISTERS, BANDS = 256, 32
-ROWS = REGISTERS // BANDS
+REGISTERS = 256
 #: Ratio of successive register cells, and the register of a hash of one.
 BASE, ZERO = 1.01, 400
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Pairs whose likelihood peaks below are dropped: four deviations under the link.
-LEAST_ESTIMATE = 0.76
+#: Links need 100 * intersection >= PERCENT * union; registers in a band. With
+#: more similarity asked for, bands may be longer: 8 registers at 85 per cent.
+PERCENT, ROWS = 80, 6
 #: Members of a block; larger buckets are compared block against block.
 BLOCK = 512
 
@@ -122,12 +120,18 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
     return (low + high) / 2
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def least_estimate(percent: int) -> float:
+    """Pairs whose likelihood peaks below are dropped: four deviations under a link."""
+    j = percent / 100
+    return j - 4 * (j * (1 - j) / REGISTERS) ** 0.5
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two full sets link; exact in integers."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     common = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def sketches(docs: DataFrame, *, full: bool = False) -> DataFrame:
@@ -157,59 +161,73 @@ def sketches(docs: DataFrame, *, full: bool = False) -> DataFrame:
     return docs.mapInArrow(each, schema)
 
 
-def band_keys(registers: Column) -> Column:
-    """One row per band: ``band`` and the hash of its registers, ``key``."""
-    return F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring(registers, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS))))
+def band_keys(registers: Column, rows: int) -> Column:
+    """One row per band: ``band`` and the hash of its ``rows`` registers, ``key``."""
+    return F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring(registers, 2 * rows * k + 1, 2 * rows)) for k in range(REGISTERS // rows))))
+
+
+def _likely_pairs(percent: int):
+    least = least_estimate(percent)
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "registers_a", 4 << 20):
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
+            sizes = [batch[c].to_numpy().astype(float) for c in ("n_a", "n_b")]
+            counts = [np.sum(x, axis=1).astype(float) for x in (a > b, a < b, a == b)]
+            likely = likelihood_slope(*counts, *sizes, least) >= 0
+            likely &= 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            yield batch.select(["a", "b"]).filter(pa.array(likely))
+
+    return each
 
-def _likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "registers_a", 4 << 20):
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
-        sizes = [batch[c].to_numpy().astype(float) for c in ("n_a", "n_b")]
-        counts = [np.sum(x, axis=1).astype(float) for x in (a > b, a < b, a == b)]
-        likely = likelihood_slope(*counts, *sizes, LEAST_ESTIMATE) >= 0
-        likely &= 100 * np.minimum(*sizes) >= PERCENT * np.maximum(*sizes)
-        yield batch.select(["a", "b"]).filter(pa.array(likely))
 
+def _confirmed_pairs(percent: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "hashes_a", 4 << 20):
+            sets = zip(*(map(lambda x: np.frombuffer(x, np.uint64), batch[c].to_pylist()) for c in ("hashes_a", "hashes_b")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in sets], pa.bool_()))
 
-def _confirmed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "hashes_a", 4 << 20):
-        sets = zip(*(map(lambda x: np.frombuffer(x, np.uint64), batch[c].to_pylist()) for c in ("hashes_a", "hashes_b")), strict=True)
-        yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in sets], pa.bool_()))
+    return each
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(percent: int, rows: int):
     """Links between components among the rows of one block pair, exact."""
-    ids, sides, labels = (table[c].to_pylist() for c in ("doc_id", "side", "label"))
-    band, crossing = table["band"][0].as_py(), len(set(sides)) > 1
-    registers = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-    sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    sizes, side = np.array([len(s) for s in sets], dtype=float), np.array(sides)
-    parent = {x: x for x in labels}
-
-    def top(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links = []
-    for i in range(len(ids) - 1):
-        r, rest = registers[i], registers[i + 1 :]
-        equal = rest == r
-        first = equal.reshape(len(rest), BANDS, ROWS).all(axis=2).argmax(axis=1)  # a pair counts in its first common band
-        above = (r > rest).sum(axis=1).astype(float)
-        same = equal.sum(axis=1).astype(float)
-        n, own = sizes[i + 1 :], sizes[i]
-        likely = (first == band) & (100 * np.minimum(n, own) >= PERCENT * np.maximum(n, own))
-        likely &= likelihood_slope(above, REGISTERS - above - same, same, own, n, LEAST_ESTIMATE) >= 0
-        if crossing:
-            likely &= side[i + 1 :] != side[i]
-        for j in np.flatnonzero(likely) + i + 1:
-            x, y = top(labels[i]), top(labels[j])
-            if x != y and linked(sets[i], sets[j]):
-                parent[max(x, y)] = min(x, y)
-                links.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    least, bands = least_estimate(percent), REGISTERS // rows
+
+    def each(table: pa.Table) -> pa.Table:
+        ids, sides, labels = (table[c].to_pylist() for c in ("doc_id", "side", "label"))
+        band, crossing = table["band"][0].as_py(), len(set(sides)) > 1
+        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        sizes, side = np.array([len(s) for s in sets], dtype=float), np.array(sides)
+        parent = {x: x for x in labels}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for i in range(len(ids) - 1):
+            r, rest = registers[i], registers[i + 1 :]
+            equal = rest == r
+            in_band = equal[:, : bands * rows].reshape(len(rest), bands, rows).all(axis=2)
+            first = in_band.argmax(axis=1)  # a pair counts in its first common band
+            above = (r > rest).sum(axis=1).astype(float)
+            same = equal.sum(axis=1).astype(float)
+            n, own = sizes[i + 1 :], sizes[i]
+            likely = (first == band) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own))
+            likely &= likelihood_slope(above, REGISTERS - above - same, same, own, n, least) >= 0
+            if crossing:
+                likely &= side[i + 1 :] != side[i]
+            for j in np.flatnonzero(likely) + i + 1:
+                x, y = top(labels[i]), top(labels[j])
+                if x != y and linked(sets[i], sets[j], percent):
+                    parent[max(x, y)] = min(x, y)
+                    links.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return each
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,9 +261,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
+    ``percent``: the Jaccard similarity of a link; ``rows``: registers in a band.
+
     Null, empty and blank texts have no set and link with nothing. Rows that
     repeat an id share its component, and both are kept or both not. A null id
     takes no part: its component is null and it is kept. Other columns are
@@ -257,7 +277,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies = named.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = base.select("doc_id", "n_shingles", "sig").join(copies, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     firsts = named.join(copies, ["sig"]).filter(F.col("doc_id") == F.col("rep")).select("doc_id", "registers")
-    banded = materialize(firsts.select("doc_id", band_keys(F.col("registers")).alias("band", "key")), "near-bands")
+    banded = materialize(firsts.select("doc_id", band_keys(F.col("registers"), rows).alias("band", "key")), "near-bands")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last")
     shared = materialize(banded.join(buckets.select("key", "pivot", "n"), "key"), "near-buckets")
     involved = shared.select("doc_id").distinct()
@@ -270,8 +290,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     pairs = shared.filter("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda c, name: full.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col(c).alias(f"{c}_{name}"))
-    likely = pairs.join(side("registers", "a"), "a").join(side("registers", "b"), "b").mapInArrow(_likely_pairs, "a long, b long")
-    links = likely.join(side("hashes", "a").drop("n_a"), "a").join(side("hashes", "b").drop("n_b"), "b").mapInArrow(_confirmed_pairs, "a long, b long")
+    likely = pairs.join(side("registers", "a"), "a").join(side("registers", "b"), "b").mapInArrow(_likely_pairs(percent), "a long, b long")
+    links = likely.join(side("hashes", "a").drop("n_a"), "a").join(side("hashes", "b").drop("n_b"), "b").mapInArrow(_confirmed_pairs(percent), "a long, b long")
     links = materialize(links.union(ids.select("a", "b")), "near-links")
     labels = components(links)
 
@@ -285,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .join(full.select("doc_id", "registers", "hashes"), "doc_id")
         .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "band", "doc_id", "label", "side", "registers", "hashes")
     )
-    more = placed.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
+    more = placed.groupBy("key", "i", "j").applyInArrow(_block_links(percent, rows), "a long, b long")
     more = materialize(more, "near-links")
     if more.head(1):
         labels = components(links.union(more))
@@ -304,5 +324,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op7_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Near-duplicate components of all documents at 85 per cent."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, rows=8)
