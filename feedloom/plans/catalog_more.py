@@ -269,8 +269,9 @@ def _(s, d):
     docs = V.documents(s, d)
     one = dedup.keep_first(docs.withColumn("h", F.sha2("text", 256)), ["h"], [F.col("doc_id")])
     two = dedup.dedup_titles(one, "lang", "title", [F.desc("n_chars"), F.col("doc_id")])
-    count = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
-    return count(docs, "n_before").join(count(one, "n_texts")).join(count(two, "n_titles"))
+    line = lambda df, name: df.select(F.lit(name).alias("step"))
+    steps = line(docs, "docs").unionByName(line(one, "texts")).unionByName(line(two, "titles"))
+    return steps.agg(*(F.count_if(F.col("step") == x).alias(y) for x, y in (("docs", "n_before"), ("texts", "n_texts"), ("titles", "n_titles"))))
 
 
 @_query("q11_data_health", "SELECT 'customers without orders' AS report, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'repeated texts', count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)")

@@ -37,11 +37,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols from ``customer``; the industry is a word of a part's name."""
     part = table(spark, sf_dir, "part")
-    n = part.select(F.count("*").alias("n_parts"))  # one row
+    n = max(part.count(), 1)
     industry = part.select("p_partkey", F.get(F.split("p_name", " "), F.lit(1)).alias("industry"))
     return (
-        table(spark, sf_dir, "customer").join(F.broadcast(n))
-        .join(industry, F.col("c_custkey") % F.col("n_parts") == F.col("p_partkey"), "left")
+        table(spark, sf_dir, "customer").join(industry, F.col("c_custkey") % n == F.col("p_partkey"), "left")
         .select(
             F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"), (F.col("c_acctbal") > 0).alias("status"),
             F.col("c_nationkey").alias("exchange"), "industry", F.col("c_mktsegment").alias("sector"), F.col("c_acctbal").alias("balance"),
