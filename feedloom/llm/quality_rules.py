@@ -98,10 +98,10 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         ),
     ).drop("sorted")
     reach = F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    df = df.withColumn(
-        "n_repeat_words",
-        F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(reach, F.lit(0).cast("long"), lambda s, x: s + x)),
-    ).drop("at")
+    repeats = F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(reach, F.lit(0).cast("long"), lambda s, x: s + x))
+    # the row number, always true, keeps later filters above this step: pushed
+    # below it, each of their conditions would compute the windows once more
+    df = df.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, repeats)).drop("at")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return df.withColumns(
         {
@@ -288,5 +288,6 @@ def quality_rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     rules = learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    kept = statistics(own, keep=("lang", "source", "n_chars", F.col("text").alias("whole_text")))
-    return kept.filter(~base_failed() & rules.rule_number().isNull()).select("doc_id", F.col("whole_text").alias("text"), "lang", "source", "n_chars")
+    judged = statistics(own, keep=("lang", "source", "n_chars", F.col("text").alias("whole_text")))
+    kept = judged.filter(~base_failed() & rules.rule_number().isNull())
+    return kept.select("doc_id", F.col("whole_text").alias("text"), "lang", "source", "n_chars")
