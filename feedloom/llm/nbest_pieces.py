@@ -14,7 +14,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from .common import slices, texts_of
 
 SPACE = "\u2581"
 BEST = 3
-#: Units that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+#: Units in each of the two generations that a worker remembers, and the longest.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 40
 #: Cost of a byte piece in millionths, so that bytes stand in only where pieces lack.
 BYTE_COST = 14_000_000
 #: Stands for no segmentation.
 _NONE = -(1 << 60)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -63,6 +65,23 @@ class Pieces:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 self.ids[piece] = (i, round(-1e6 * (math.log(len(self.ids) + 10) + constant)))
         self.longest = max(map(len, self.ids))
+        #: What any piece begins with, for the search to stop early; and its pairs of
+        #: neighbours: elsewhere no piece reaches over, and a unit may be cut.
+        self.begins: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
+        hashed = {p: self._hash(p) for p in self.ids}
+        if len(set(hashed.values())) < len(hashed):
+            raise ValueError("two pieces share a hash")
+        ordered = sorted(self.ids, key=hashed.__getitem__)
+        self.keys = np.array([hashed[p] for p in ordered], np.uint64)
+        self.key_ids, self.key_scores = (np.array([self.ids[p][i] for p in ordered], np.int64) for i in (0, 1))
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def edges(self, unit: str, end: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
         """(start, ids, score) of the edges that end at ``end``."""
@@ -75,30 +94,75 @@ class Pieces:
 
     def forward(self, unit: str) -> tuple[list[int], list, int]:
         """Viterbi scores, back edges, and the second-best full score."""
-        known, longest, n = self.ids.get, self.longest, len(unit)
+        begins, longest, n = self.begins, self.longest, len(unit)
         best, second, back = [0] + [_NONE] * n, [_NONE] * (n + 1), [None] * (n + 1)
-        for end in range(1, n + 1):
-            top, runner, edge = _NONE, _NONE, None
-            for start in range(end - longest if end > longest else 0, end):
-                found = known(unit[start:end])
-                if found:
-                    s = best[start] + found[1]
-                    if s > top:
-                        runner, top, edge = top, s, (start, found[0])
-                    elif s > runner:
-                        runner = s
-                    s = second[start] + found[1]
-                    if s > runner:
-                        runner = s
-            size = len(unit[end - 1].encode())
-            for s in (best[end - 1] - BYTE_COST * size, second[end - 1] - BYTE_COST * size):
-                if s > top:
-                    runner, top, edge = top, s, (end - 1, -1)
-                elif s > runner:
-                    runner = s
-            best[end], second[end], back[end] = top, runner, edge
+        for start in range(n):
+            first, other = best[start], second[start]
+            char = unit[start]
+            size = 1 if char < "\x80" else len(char.encode())
+            edges = [(start + 1, -1, -BYTE_COST * size)]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                piece = unit[start:end]
+                if piece not in begins:
+                    break
+                found = begins[piece]
+                if found is not None:
+                    edges.append((end, *found))
+            for end, piece, score in edges:
+                s = first + score
+                if s > best[end]:
+                    second[end] = best[end]
+                    best[end], back[end] = s, (start, piece)
+                elif s > second[end]:
+                    second[end] = s
+                s = other + score
+                if s > second[end]:
+                    second[end] = s
         return best, back, second[n]
 
+    def parts(self, unit: str) -> list[str]:
+        """``unit`` cut where no piece reaches over, if it holds marks to cut at."""
+        if unit[-1].isalnum() and "\n" not in unit:
+            return [unit]
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
+
+    def search_alike(self, units: list[str]) -> list[tuple[bytes, int, int]]:
+        """``forward`` and ``best_ids`` for units of one length, as arrays."""
+        n, k = len(units[0]), len(units)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").reshape(k, n).T.astype(np.uint64)
+        sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        best, second = np.full((n + 1, k), _NONE), np.full((n + 1, k), _NONE)
+        best[0] = 0
+        starts_at, ids_at = np.zeros((n + 1, k), np.int64), np.zeros((n + 1, k), np.int64)
+        hashes, every = np.zeros((n, k), np.uint64), np.arange(k)
+        for end in range(1, n + 1):
+            low = max(0, end - self.longest)
+            hashes[low:end] = hashes[low:end] * _STEP + codes[end - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.keys, hashes[low:end]), len(self.keys) - 1)
+            score = np.where(self.keys[at] == hashes[low:end], self.key_scores[at], 2 * _NONE)
+            first = np.concatenate([best[low:end] + score, (best[end - 1] - BYTE_COST * sizes[end - 1])[None]])
+            top = first.argmax(axis=0)
+            best[end] = first[top, every]
+            by_byte = top == end - low
+            piece = np.minimum(top, end - low - 1)
+            starts_at[end] = np.where(by_byte, end - 1, low + piece)
+            ids_at[end] = np.where(by_byte, -1, self.key_ids[at[piece, every]])
+            first[top, every] = 2 * _NONE
+            others = np.maximum((second[low:end] + score).max(axis=0), second[end - 1] - BYTE_COST * sizes[end - 1])
+            second[end] = np.maximum(np.maximum(first.max(axis=0), others), _NONE)
+        starts, ids, scores = starts_at.T.tolist(), ids_at.T.tolist(), best[n].tolist()
+        gaps, out = (best[n] - second[n]).tolist(), []
+        for i, unit in enumerate(units):
+            found, end, own, start = [], n, ids[i], starts[i]
+            while end:
+                piece = own[end]
+                end = start[end]
+                found += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(unit[end].encode())]
+            out.append((struct.pack(f"<{len(found)}I", *reversed(found)), scores[i], gaps[i]))
+        return out
+
     def best_ids(self, unit: str, back: list) -> list[int]:
         out, end = [], len(unit)
         while end:
@@ -128,25 +192,75 @@ class Pieces:
         return out
 
 
-class _Units(dict):
-    """unit -> (packed best ids, score, gap to the second best)."""
+def units_of(text: str) -> list[str]:
+    return _UNITS.findall(SPACE + text.replace(" ", SPACE))
 
-    def __init__(self, pieces: Pieces):
+
+class _Recent(dict):
+    """Remembers what ``make`` gives, for two generations of keys."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, int, int]]):
         super().__init__()
-        self.pieces = pieces
+        self.make, self.older = make, {}
 
-    def __missing__(self, unit: str) -> tuple[bytes, int, int]:
-        best, back, second = self.pieces.forward(unit)
-        value = (np.array(self.pieces.best_ids(unit, back), dtype="<u4").tobytes(), best[-1], best[-1] - second)
-        if len(unit) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[unit] = value
+    def __missing__(self, key: str) -> tuple[bytes, int, int]:
+        value = self.older.get(key) or self.make(key)
+        if len(key) <= CACHE_CHARS and "\n" not in key:
+            self.add(key, value)
         return value
 
+    def add(self, key: str, value: tuple[bytes, int, int]) -> None:
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
 
-def units_of(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE))
+    def lacks(self, key: str) -> bool:
+        return key not in self and key not in self.older
+
+
+class _Units:
+    """unit -> (packed best ids, score, gap to the second best).
+
+    ``spaced`` is keyed without the mark of the space before it.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.plain = _Recent(self._search)
+        self.spaced = _Recent(lambda chunk: self._cut(SPACE + chunk))
+
+    def _cut(self, unit: str) -> tuple[bytes, int, int]:
+        """From the parts between places over which no piece reaches."""
+        found = [self.plain[x] for x in self.pieces.parts(unit)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Search all units of ``texts`` that are not known yet, side by side."""
+        chunks: set[str] = set()
+        for text in texts:
+            chunks.update(text.split(" "))
+        parts = {c: self.pieces.parts(SPACE + c) for c in chunks if self.spaced.lacks(c)}
+        by_length: dict[int, set[str]] = {}
+        for own in parts.values():
+            for x in own:
+                if len(x) <= CACHE_CHARS and "\n" not in x and self.plain.lacks(x):
+                    by_length.setdefault(len(x), set()).add(x)
+        for same in by_length.values():
+            units = list(same)
+            for i in range(0, len(units), 4096):
+                for unit, value in zip(units[i : i + 4096], self.pieces.search_alike(units[i : i + 4096]), strict=True):
+                    self.plain.add(unit, value)
+        for chunk, own in parts.items():
+            if len(own) == 1 and len(chunk) <= CACHE_CHARS and "\n" not in chunk:
+                self.spaced.add(chunk, self.plain[own[0]])
+
+    def _search(self, unit: str) -> tuple[bytes, int, int]:
+        best, back, second = self.pieces.forward(unit)
+        ids = self.pieces.best_ids(unit, back)
+        return struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second
 
 
 def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
@@ -155,19 +269,28 @@ def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
     Only the n - 1 units with the least gaps can differ from the best choice in
     one of the n best; ties go to the earlier unit.
     """
+    lead = ""
     if SPACE in text:  # a literal mark would read as a space: it is spelled in bytes
         return _with_literal_marks(text, known, n)
-    units = units_of(text) if text else []
-    found = [known[u] for u in units]
-    parts, total = [f[0] for f in found], sum(f[1] for f in found)
+    if text and (text[0] == " " or text[-1] == " " or "  " in text):
+        units = units_of(text)
+        found = [known.plain[u] for u in units]
+    else:  # one chunk for each single space: the same units, but for line breaks
+        units = text.split(" ") if text else []
+        found = list(map(known.spaced.__getitem__, units))
+        lead = SPACE
+    parts, total = [f[0] for f in found], sum([f[1] for f in found])
     out = [(total, b"".join(parts))]
     if n == 1 or not found:
         return out
-    gaps = np.array([f[2] for f in found])
-    near = np.sort(np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps)))
+    gaps, near = [f[2] for f in found], []
+    for _ in range(min(n - 1, len(gaps))):
+        near.append(gaps.index(min(gaps)))
+        gaps[near[-1]] = 1 << 62
+    near.sort()
     options = []  # by unit: (loss, packed ids), without its best
     for i in near:
-        ranked = known.pieces.n_best(units[i], n)
+        ranked = known.pieces.n_best(lead + units[i], n)
         options.append([(ranked[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in ranked[1:]])
     # combinations by rising loss: a state is the option taken in each near unit
     queue, seen = [(0, (0,) * len(near))], {(0,) * len(near)}
@@ -195,11 +318,11 @@ def _with_literal_marks(text: str, known: _Units, n: int) -> list[tuple[int, byt
     # the parts between marks are encoded alone; n-best alternatives vary the first
     tail, score = b"", 0
     for part in rest:
-        found = [known[u] for u in _UNITS.findall(part.replace(" ", SPACE))]
+        found = [known.plain[u] for u in _UNITS.findall(part.replace(" ", SPACE))]
         tail += mark + b"".join(f[0] for f in found)
         score += sum(f[1] for f in found) - BYTE_COST * 3
-    lead = encode_text(first, known, n) if first else [known[SPACE][:2][::-1]]
-    return [(s + score, ids + tail) for s, ids in lead]
+    before = encode_text(first, known, n) if first else [known.plain[SPACE][:2][::-1]]
+    return [(s + score, ids + tail) for s, ids in before]
 
 
 def encode_nbest(docs: DataFrame, *, n: int = BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +336,8 @@ def encode_nbest(docs: DataFrame, *, n: int = BEST, model: str | None = None, id
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Units(Pieces(model))
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
+            known.prepare(batch["text"].to_pylist())
             rows = [
                 (doc_id, rank, score / 1e6, ids)
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
