@@ -28,7 +28,7 @@ from .common import slices, texts_of
 SPACE = "\u2581"
 BEST = 3
 #: Units in each of the two generations that a worker remembers, and the longest.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 40
 #: Cost of a byte piece in millionths, so that bytes stand in only where pieces lack.
 BYTE_COST = 14_000_000
 #: Stands for no segmentation.
