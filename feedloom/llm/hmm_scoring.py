@@ -1,8 +1,8 @@
 """Language-model scores by a hidden Markov model (operator 9).
 
 Symbols are the most frequent words and, for the others, classes by word ending;
-inside its class a word has its smoothed unigram share. Baum-Welch starts from a
-bounded sample and then runs over all training documents: each partition adds up
+inside its class a word has its smoothed unigram share. Every round of Baum-Welch
+runs over the whole token sequences of all training documents: each task adds up
 expected counts, which Spark sums by blocks of symbols. The score of a document
 is the exact likelihood of its whole token sequence by the scaled forward
 recursion. Word counts come from all training documents; frequent words are
@@ -26,11 +26,7 @@ from .common import materialize, slices, texts_of
 END = b"\n"
 #: Words that are symbols, words looked up without a join, and ending classes; bounds.
 SYMBOLS, LOOKED_UP, CLASSES = 32_768, 200_000, 256
-STATES, ROUNDS, SAMPLE_ROUNDS = 8, 2, 25
-#: Documents in the sample that Baum-Welch starts from, at most.
-SAMPLE = 1_500
-#: Training sequences are runs of this many tokens.
-RUN = 512
+STATES, ROUNDS = 8, 27
 #: Share of the unigram in each state's emissions.
 MIX = 0.1
 #: Symbols whose counts travel in one row.
@@ -200,11 +196,11 @@ class _Together:
         model, logs = self.model, np.zeros(self.n)
         if keep:
             self.alpha, self.scale = np.empty_like(self.emitted), np.empty(len(self.symbols), dtype=np.float32)
-        a = None
+        a, ones = None, np.ones(len(model.start), dtype=np.float32)
         for t, n in enumerate(self.active):
             here = slice(self.starts[t], self.starts[t + 1])
             a = (model.start if t == 0 else a[:n] @ model.step) * self.emitted[here]
-            c = a.sum(axis=1)
+            c = a @ ones  # faster than a sum over a short axis
             a /= c[:, None]
             logs[:n] += np.log(c)
             if keep:
@@ -214,9 +210,9 @@ class _Together:
         return out
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, steps and emissions; after ``forward(keep=True)``."""
+        """Expected starts, steps and emissions; once, after ``forward(keep=True)``."""
         states, step = len(self.model.start), np.zeros((len(self.model.start),) * 2)
-        gamma = np.empty_like(self.emitted)
+        gamma = self.alpha  # overwritten from the end
         after, n_after = None, 0
         for t in range(len(self.active) - 1, -1, -1):
             here, n = slice(self.starts[t], self.starts[t + 1]), self.active[t]
@@ -224,7 +220,7 @@ class _Together:
             if n_after:
                 beta[:n_after] = after @ self.model.step.T
                 step += self.alpha[here][:n_after].T @ after
-            gamma[here] = self.alpha[here] * beta
+            gamma[here] *= beta
             after, n_after = self.emitted[here] * beta / self.scale[here][:, None], n
         emit = np.stack([np.bincount(self.symbols, weights=gamma[:, s], minlength=len(self.model.emit)) for s in range(states)], axis=1)
         return gamma[: self.n].sum(axis=0), step * self.model.step, emit
@@ -237,8 +233,8 @@ def expected_counts(sequences: list[np.ndarray], model: Hmm):
 
 
 def runs(symbols: bytes) -> list[np.ndarray]:
-    ids = np.frombuffer(symbols, "<i4")
-    return [ids[i : i + RUN] for i in range(0, len(ids), RUN)]
+    """The training sequences of a document: one, of all its tokens."""
+    return [np.frombuffer(symbols, "<i4")]
 
 
 def _sum_rows(table: pa.Table) -> pa.Table:
@@ -250,7 +246,8 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
     """One round over all training rows of ``encoded``.
 
     A task emits one row per block of symbols; rows of a block are summed in two
-    steps, so that no group grows with the number of tasks beyond its root.
+    steps, so that no group grows with the number of tasks beyond its root. Tasks
+    are two for each core, so that what is shuffled does not grow with the input.
     """
     states, n_symbols = len(model.start), len(model.emit)
 
@@ -258,7 +255,7 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
         from pyspark import TaskContext
 
         start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states))
-        for batch in slices(batches, "symbols", 4 << 20):
+        for batch in slices(batches, "symbols", 8 << 20):
             sequences = [r for x in batch["symbols"].to_pylist() for r in runs(x)]
             for total, part in zip((start, step, emit), expected_counts(sequences, model), strict=True):
                 total += part
@@ -269,7 +266,8 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
             ["block", "part", "data"],
         )
 
-    parts = encoded.filter("not held_out").select("symbols").mapInArrow(partial, "block int, part int, data binary")
+    tasks = 2 * encoded.sparkSession.sparkContext.defaultParallelism
+    parts = encoded.filter("not held_out").select("symbols").coalesce(tasks).mapInArrow(partial, "block int, part int, data binary")
     summed = parts.groupBy("block", "part").applyInArrow(_sum_rows, "block int, data binary").groupBy("block").applyInArrow(_sum_rows, "block int, data binary")
     data = {r["block"]: np.frombuffer(r["data"], np.float64) for r in summed.collect()}
     if -1 not in data:
@@ -278,29 +276,28 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
     return Hmm.from_counts(head[:states], head[states:].reshape(states, states), emit, unigram)
 
 
-def first_model(encoded: DataFrame, unigram: np.ndarray, *, states: int = STATES, sample: int = SAMPLE, rounds: int = SAMPLE_ROUNDS, seed: int = 11) -> Hmm:
-    """Baum-Welch from a random start on ``sample`` training rows at most."""
+def random_model(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> Hmm:
+    """States that are likely to stay, each with emissions near the unigram."""
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * np.exp(rng.normal(0, 0.5, (len(unigram), states)))
     step = np.full((states, states), 0.1 / max(states - 1, 1)) + (0.9 - 0.1 / max(states - 1, 1)) * np.eye(states)
-    model = Hmm(np.full(states, 1 / states, dtype=np.float32), (step / step.sum(axis=1, keepdims=True)).astype(np.float32), (emit / emit.sum(axis=0)).astype(np.float32))
-    rows = encoded.filter("not held_out").orderBy(F.xxhash64("doc_id"), F.length("symbols")).select("symbols").limit(sample).collect()
-    sequences = [r for row in rows for r in runs(row["symbols"])[:4]]
-    for _ in range(rounds if sequences else 0):
-        model = Hmm.from_counts(*expected_counts(sequences, model), unigram)
-    return model
+    return Hmm(np.full(states, 1 / states, dtype=np.float32), (step / step.sum(axis=1, keepdims=True)).astype(np.float32), (emit / emit.sum(axis=0)).astype(np.float32))
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """The model after ``rounds`` full rounds over all training documents."""
-    unigram = np.concatenate([vocabulary.counts[: vocabulary.n_symbols] + 0.1, vocabulary.class_mass])
-    unigram = unigram / unigram.sum()
-    model = first_model(encoded, unigram, states=states)
+def first_model(encoded: DataFrame, unigram: np.ndarray, *, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """``rounds`` of Baum-Welch from a random start, each over all training rows."""
+    model = random_model(unigram, states)
     for _ in range(rounds):
         model = baum_welch_round(encoded, model, unigram)
     return model
 
 
+def train(encoded: DataFrame, vocabulary: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """The model after ``rounds`` rounds over all training documents."""
+    unigram = np.concatenate([vocabulary.counts[: vocabulary.n_symbols] + 0.1, vocabulary.class_mass])
+    return first_model(encoded, unigram / unigram.sum(), states=states, rounds=rounds)
+
+
 def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, looked_up: int = LOOKED_UP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on what is not held out, and score every row's whole text.
 

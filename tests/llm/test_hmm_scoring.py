@@ -89,3 +89,22 @@ def test_rounds_raise_the_likelihood(spark, documents):
         now = hmm._Together(sequences, model).forward(keep=False).sum()
         assert now > before
         before = now
+
+
+def test_every_round_reads_every_token(spark):
+    # more documents than a sample would hold, and one whose end is unlike its start
+    rows = [(i, f"w{i % 50} x") for i in range(1, 2_200)] + [(5_000, "left " * 3_000 + "right " * 3_000)]
+    docs = hmm.with_held_out(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocabulary = hmm.vocabulary_of(hmm.word_counts(docs))
+    encoded = hmm.encode(docs, vocabulary).persist()
+    unigram = np.concatenate([vocabulary.counts[: vocabulary.n_symbols] + 0.1, vocabulary.class_mass])
+    unigram /= unigram.sum()
+    whole = [np.frombuffer(x.symbols, "<i4") for x in encoded.filter("not held_out").collect()]
+    assert max(map(len, whole)) == 6_001
+    model, want = hmm.random_model(unigram), hmm.random_model(unigram)
+    for rounds in (1, 2):
+        want = hmm.Hmm.from_counts(*hmm.expected_counts(whole, want), unigram)
+        got = hmm.first_model(encoded, unigram, rounds=rounds)
+        for a, b in ((got.start, want.start), (got.step, want.step), (got.emit, want.emit)):
+            assert a == pytest.approx(b, rel=1e-3, abs=1e-6)
+    assert not np.allclose(model.emit, want.emit)
