@@ -26,6 +26,8 @@ FOUND = "array<struct<start:long,kind:int,end:long>>"
 DICTIONARY, COUNTED = 20_000, 300_000
 #: log10 of the guesses from which a value in context counts as a secret.
 LEAST_COST = 12.0
+#: A longer keyboard walk costs more than 20 by its turns alone, however it is cut.
+LONGEST_WALK = 512
 #: Common passwords, ranked before the corpus's words.
 COMMON = "password admin secret letmein welcome dragon monkey master login qwerty iloveyou sunshine princess football shadow changeme default root guest test".split()
 
@@ -34,12 +36,11 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key)["']?\x20{0,3}(?::|=>?|->|\bis\b)\x20{0,3}["']?([^\s"'`,;<>]{6,128})""", re.I | re.A
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key)["']?\x20{0,3}(?::|=>?|->|\bis\b)\x20{0,3}["']?([^\s"'`,;<>]{6,})""", re.I | re.A
 )
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
 _WORD = re.compile(rb"[a-z]{3,24}")
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)[0-9]{2}|[0-9]{2})|(?:19|20)[0-9]{2})")
-_REPEAT = re.compile(r"(.{1,16}?)\1+", re.S)
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i + 0.5 * (r > 0) + 0.25 * (r > 1) + 0.25 * (r > 2)) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 
@@ -51,13 +52,26 @@ def _neighbours(a: str, b: str) -> bool:
     return abs(r - s) <= 1 and abs(x - y) <= 1
 
 
+def _repeats(value: str) -> list[tuple[int, int] | None]:
+    """By start: unit length and end of the shortest unit, of 16 at most, that repeats there."""
+    n = len(value)
+    out: list[tuple[int, int] | None] = [None] * n
+    for unit in range(min(16, n // 2), 0, -1):
+        run = 0
+        for i in range(n - unit - 1, -1, -1):
+            run = run + 1 if value[i] == value[i + unit] else 0
+            if run >= unit:
+                out[i] = unit, i + unit + run // unit * unit
+    return out
+
+
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``.
 
     A segment costs log10 of its guesses; beyond the first, each costs 1 more,
     for trying the order of segments. ``ranks``: rank of each known word.
     """
-    n, low = len(value), value.lower()
+    n, low, repeats = len(value), "".join([c.lower()[0] for c in value]), _repeats(value)
     pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
     for i in range(n):
         for j in range(i + 3, min(n, i + 24) + 1):
@@ -67,23 +81,23 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
                 pieces[i].append((j, math.log10(rank * (1 if plain else 2) + 1)))
         if m := _DATE.match(value, i):
             pieces[i].append((m.end(), math.log10(365 * 120 if m.end() - i > 4 else 120)))
-        if m := _REPEAT.match(value, i):
-            unit = len(m[1])
-            pieces[i].append((m.end(), min(unit * 1.0, math.log10(ranks.get(m[1].lower(), 0) or 10**unit)) + math.log10((m.end() - i) / unit)))
+        if found := repeats[i]:
+            unit, end = found
+            pieces[i].append((end, min(unit * 1.0, math.log10(ranks.get(low[i : i + unit], 0) or 10**unit)) + math.log10((end - i) / unit)))
         j, turns, last = i + 1, 0, None
-        while j < n and _neighbours(low[j - 1], low[j]):
+        while j < min(n, i + LONGEST_WALK) and _neighbours(low[j - 1], low[j]):
             step = (_PLACE[low[j]][0] - _PLACE[low[j - 1]][0], _PLACE[low[j]][1] > _PLACE[low[j - 1]][1])
             turns, last, j = turns + (step != last), step, j + 1
             if j - i >= 3:
-                pieces[i].append((j, math.log10(47 * (j - i) * 4**turns)))
+                pieces[i].append((j, math.log10(47 * (j - i)) + turns * math.log10(4)))
     best = [0.0] + [math.inf] * n  # with 1 for each segment
+    brute = math.inf  # the best that ends here in a brute-force span
     for i in range(n):
         here = best[i] + 1.0
         for j, cost in pieces[i]:
             best[j] = min(best[j], here + cost)
-        for j in range(i + 1, n + 1):
-            if here + (j - i) < best[j]:
-                best[j] = here + (j - i)
+        brute = min(brute, here) + 1.0
+        best[i + 1] = min(best[i + 1], brute)
     return best[n] - 1.0
 
 
@@ -98,15 +112,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    for s, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def guessed_spans(text: str, taken: list[tuple[int, int, int]], ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost at least ``least``, off fixed spans."""
+    """Values in a credential context that cost at least ``least``, if they reach beyond fixed spans."""
     low, out = text.lower(), []
     if not any(w in low for w in _CONTEXT_WORDS):
         return out
+    fixed = sorted((s, e) for s, _, e in taken)
     for m in _CONTEXT.finditer(text):
         start, value = m.start(1), m[1].rstrip(".!?:)]}")
         end = start + len(value)
-        if len(value) >= 6 and not any(s < end and start < e for s, _, e in taken) and guess_cost(value, ranks) >= least:
+        if len(value) >= 6 and not _covered(start, end, fixed) and guess_cost(value, ranks) >= least:
             out.append((start, 3, end))
     return out
 

@@ -135,3 +135,21 @@ def test_guess_and_redact(spark):
     assert got[1].spans == "guess:18:32" and got[2].spans == "" and got[3].n_assign == 1 and got[3].n_hex == 1
     texts = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert texts == {1: "the passphrase is [secret]. ok", 2: "my password is horse", 3: "[secret]", 4: None}
+
+
+def test_guessed_spans_are_whole(spark):
+    rng = np.random.default_rng(8)
+    signs = list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789.-_")
+    long = "".join(rng.choice(signs, 400)) + "Q"
+    values = {1: f"the token is {long} ok", 2: "password: Abcdefgh1234!x9#Kq7$vZp end", 3: "secret -> Zr4#0123456789abcdef end", 4: f"credentials: {'z' * 100_000} ok"}
+    df = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in values.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in secrets.redact(df, {}, least=9.0).collect()}
+    assert texts == {1: "the token is [secret] ok", 2: "[secret] end", 3: "secret -> [secret] end", 4: values[4]}
+
+
+def test_repeats_are_those_of_the_pattern():
+    rng = np.random.default_rng(9)
+    for n in range(1, 60):
+        value = "".join(rng.choice(list("ab"), n))
+        want = [re.compile(r"(.{1,16}?)\1+", re.S).match(value, i) for i in range(n)]
+        assert secrets._repeats(value) == [m and (len(m[1]), m.end()) for m in want]
