@@ -50,9 +50,10 @@ def multiplier_by_containment(symbols: DataFrame, catalog: DataFrame, default: f
 
 
 def cascading_multiplier(picks: DataFrame, catalog: DataFrame, default: float = 1.0) -> DataFrame:
-    """By sector and industry; else the sector's highest; else the default."""
+    """By sector and industry; else the highest of sectors that contain the pick's; else the default."""
     exact = catalog.select(F.lower("sector_name").alias("_s"), F.lower("industry_name").alias("_i"), F.col("multiplier").alias("_m1"))
-    sector = catalog.groupBy(F.lower("sector_name").alias("_s2")).agg(F.max("multiplier").alias("_m2"))
+    wanted = picks.select(F.lower("sector").alias("_s2")).filter("_s2 <> ''").distinct()
+    sector = wanted.join(bounded(catalog), F.contains(F.lower("sector_name"), F.col("_s2"))).groupBy("_s2").agg(F.max("multiplier").alias("_m2"))
     return (
         picks.join(exact, (F.lower("sector") == F.col("_s")) & (F.lower("pick") == F.col("_i")), "left")
         .join(sector, F.lower("sector") == F.col("_s2"), "left")
@@ -64,14 +65,22 @@ def snap_to_catalog(picks: DataFrame, catalog: DataFrame, pick: str = "pick") ->
     """The catalog entry that a free-text pick means, or an empty string.
 
     Exact text first, then equal once separators are alike, then the industry
-    alone, then the longest industry that the pick contains.
+    alone; then the longest industry that contains the pick's, or whose sector
+    contains the pick's sector; then the longest that the pick contains. A pick
+    without a separator serves as sector and industry.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"^\[\d+\]\s*|[\"']", "")), r"\s*[|/>:,-]\s*", "|"))
     entry = catalog.select("sector_name", "industry_name", F.concat_ws(" | ", "sector_name", "industry_name").alias("entry"))
-    distinct = picks.select(F.col(pick).alias("_pick")).distinct()
+    clean = F.trim(F.lower(F.regexp_replace("_pick", r"^\[\d+\]\s*|[\"']", "")))
+    parts = F.split("_clean", r"\s*[|/>:,-]\s*", 2)
+    distinct = picks.select(F.col(pick).alias("_pick")).distinct().withColumn("_clean", clean).withColumn("_sector", F.trim(F.get(parts, F.lit(0))))
+    distinct = distinct.withColumn("_needle", F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), "_sector"))
     rank = (
         F.when(F.col("_pick") == F.col("entry"), 0).when(flat(F.col("_pick")) == flat(F.col("entry")), 1)
-        .when(F.lower("_pick") == F.lower("industry_name"), 2).when(F.contains(F.lower("_pick"), F.lower("industry_name")), 3)
+        .when((F.lower("_pick") == F.lower("industry_name")) | ((F.col("_needle") == F.lower("industry_name")) & (F.col("_needle") != "")), 2)
+        .when((F.col("_needle") != "") & F.contains(F.lower("industry_name"), F.col("_needle")), 3)
+        .when((F.col("_sector") != "") & F.contains(F.lower("sector_name"), F.col("_sector")), 4)
+        .when(F.contains(F.lower("_pick"), F.lower("industry_name")), 5)
     )
     hits = distinct.join(bounded(entry), rank.isNotNull()).withColumn("_rank", rank)
     best = hits.groupBy("_pick").agg(F.min_by("entry", F.struct("_rank", -F.length("industry_name"), "entry")).alias("snapped"))

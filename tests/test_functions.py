@@ -91,3 +91,13 @@ def test_fallback_and_forms(spark):
     picks = spark.createDataFrame([("[2] Tech | Software",), ("tech/software",), ("SOFTWARE",), ("the application software kind",), ("other",)], "pick string")
     catalog = spark.createDataFrame([("Tech", "Software"), ("Tech", "Application Software")], "sector_name string, industry_name string")
     assert [r.snapped for r in joins.snap_to_catalog(picks, catalog).orderBy("pick").collect()] == ["Tech | Software", "Tech | Software", "", "Tech | Software", "Tech | Application Software"]
+
+
+def test_catalog_entries_that_contain_the_pick(spark):
+    catalog = spark.createDataFrame([("Technology", "Semiconductors", 1.2), ("Technology", "Semiconductor Equipment", 1.5), ("Energy", "Oil & Gas", 0.8)], "sector_name string, industry_name string, multiplier double")
+    picks = {"Technology | Semicond": "Technology | Semiconductor Equipment", "Tech | Widgets": "Technology | Semiconductor Equipment", "energy": "Energy | Oil & Gas", "Any | oil & gas": "Energy | Oil & Gas", "": "", "Other | None": ""}
+    got = joins.snap_to_catalog(spark.createDataFrame([(p,) for p in picks], "pick string"), catalog)
+    assert {r.pick: r.snapped for r in got.collect()} == picks
+    pairs = {("Tech", "x"): 1.5, ("tech", "Semiconductors"): 1.5, ("technology", "semiconductors"): 1.2, ("ENERG", None): 0.8, ("", "x"): 1.0, (None, "x"): 1.0, ("Other", "x"): 1.0}
+    got = joins.cascading_multiplier(spark.createDataFrame(list(pairs), "sector string, pick string"), catalog)
+    assert {(r.sector, r.pick): r.multiplier for r in got.collect()} == pairs
