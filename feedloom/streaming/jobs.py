@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..operators import upsert
 
 
-def live_articles(stream: DataFrame, symbols: DataFrame, *, hash_col: str = "article_hash", ts: str = "published_at", late: str = "7 days") -> DataFrame:
-    """Arrivals of known symbols, each hash once within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([hash_col]).join(F.broadcast(symbols.filter("status").select(F.col("id").alias("symbol_id"))), "symbol_id")
+def live_articles(stream: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Arrivals of known symbols, however old; ``append_batches`` drops what is stored."""
+    return stream.join(F.broadcast(symbols.filter("status").select(F.col("id").alias("symbol_id"))), "symbol_id")
 
 
 def bucket_dedup(stream: DataFrame, *, ts: str = "published_at", late: str = "10 minutes") -> DataFrame:

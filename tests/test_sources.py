@@ -76,3 +76,17 @@ def test_streams_equal_batch(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) <= {h for h, _, _ in rows}
     kinds = jobs.throughput(spark.readStream.schema(df.schema).parquet(source).select(F.col("published_at").alias("scored_at"), F.lit("k").alias("kind")))
     assert kinds.isStreaming
+
+
+def test_late_articles_are_stored(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    # a future date first, then backfilled rows and repeats, each in a batch of its own
+    batches = [[("a", 0, "2030-01-01"), ("b", 1, "2024-01-01")], [("c", 0, "2019-05-05"), ("a", 0, "2030-01-01")], [("d", 1, "2024-01-02"), ("c", 0, "2019-05-05"), ("e", 2, "2024-01-02"), ("f", 0, None)]]
+    schema = "article_hash string, symbol_id long, at string"
+    symbols = spark.createDataFrame([(0, True), (1, True), (2, False)], "id long, status boolean")
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema).withColumn("published_at", F.to_timestamp("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(source)
+        live = jobs.live_articles(spark.readStream.schema(df.schema).parquet(source), symbols)
+        live.writeStream.foreachBatch(jobs.append_batches(target, "article_hash")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.article_hash for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "d", "f"]
