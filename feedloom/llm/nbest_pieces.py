@@ -270,9 +270,11 @@ def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
     one of the n best; ties go to the earlier unit.
     """
     lead = ""
-    if SPACE in text:  # a literal mark would read as a space: it is spelled in bytes
-        return _with_literal_marks(text, known, n)
-    if text and (text[0] == " " or text[-1] == " " or "  " in text):
+    if SPACE in text:
+        units = _around_literal_marks(text)
+        mark = (np.array([known.pieces.byte_ids[b] for b in SPACE.encode()], dtype="<u4").tobytes(), -BYTE_COST * len(SPACE.encode()), 1 << 61)
+        found = [mark if u is None else known.plain[u] for u in units]
+    elif text and (text[0] == " " or text[-1] == " " or "  " in text):
         units = units_of(text)
         found = [known.plain[u] for u in units]
     else:  # one chunk for each single space: the same units, but for line breaks
@@ -290,6 +292,9 @@ def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
     near.sort()
     options = []  # by unit: (loss, packed ids), without its best
     for i in near:
+        if units[i] is None:
+            options.append([])
+            continue
         ranked = known.pieces.n_best(lead + units[i], n)
         options.append([(ranked[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in ranked[1:]])
     # combinations by rising loss: a state is the option taken in each near unit
@@ -311,18 +316,16 @@ def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _with_literal_marks(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
-    pieces = known.pieces
-    mark = np.array([pieces.byte_ids[b] for b in SPACE.encode()], dtype="<u4").tobytes()
+def _around_literal_marks(text: str) -> list[str | None]:
+    """The units of a text, None for a literal mark.
+
+    A literal mark would read as a space: it is spelled in bytes, in one way.
+    """
     first, *rest = text.split(SPACE)
-    # the parts between marks are encoded alone; n-best alternatives vary the first
-    tail, score = b"", 0
+    units: list[str | None] = [*units_of(first)]
     for part in rest:
-        found = [known.plain[u] for u in _UNITS.findall(part.replace(" ", SPACE))]
-        tail += mark + b"".join(f[0] for f in found)
-        score += sum(f[1] for f in found) - BYTE_COST * 3
-    before = encode_text(first, known, n) if first else [known.plain[SPACE][:2][::-1]]
-    return [(s + score, ids + tail) for s, ids in before]
+        units += [None, *_UNITS.findall(part.replace(" ", SPACE))]
+    return units
 
 
 def encode_nbest(docs: DataFrame, *, n: int = BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

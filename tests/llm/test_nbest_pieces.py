@@ -75,3 +75,14 @@ def test_tricky_rows(spark, tricky):
     assert nb.encode_nbest(tricky.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, struct.pack("<2I", 0, 4_000_000)), (3, b"")], "doc_id long, token_ids binary")
     assert [r.text for r in nb.decode(odd).orderBy("doc_id").collect()] == [None, "", ""]
+
+
+def test_literal_marks_leave_every_unit_open(pieces):
+    known = nb._Units(pieces)
+    mark = tuple(pieces.byte_ids[b] for b in nb.SPACE.encode())
+    for text, units in (("it▁hello so", ["▁it", None, "hello", "▁so"]), ("▁hello", ["▁", None, "hello"]), ("a▁▁is b▁", ["▁a", None, None, "is", "▁b", None])):
+        per_unit = [[(-nb.BYTE_COST * 3, mark)] if u is None else all_segmentations(pieces, u)[:12] for u in units]
+        totals = sorted((sum(s for s, _ in c) for c in itertools.product(*per_unit)), reverse=True)
+        got = nb.encode_text(text, known, 4)
+        assert [s for s, _ in got] == totals[:4] and len({ids for _, ids in got}) == 4
+        assert {ids for _, ids in got} <= {struct.pack(f"<{len(x)}I", *x) for x in (sum((i for _, i in c), ()) for c in itertools.product(*per_unit))}
