@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Spark (Java) character class; ``bytes.split()`` in
@@ -18,10 +18,13 @@ WHITE = r"[\x20\x09-\x0D]"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a folder made.
+    Only a session on one machine (tests) that names none gets a folder made;
+    on a cluster, where no other executor could read it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,6 +41,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Rows of ``df`` with the lowest hashes of ``keys``, at most ``most``.
+
+    Rows must be distinct in ``keys``. The cut falls between two cells of the
+    hash range, so equal tables give equal samples; a table within ``most`` comes
+    whole. The driver sees 128 cell counts, and no task gathers the rows.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    place = (F.xxhash64(*keys).cast("double") / 2.0**64 + 0.5) * (64.0 * n / most)
+    held, last = 0, 0
+    for row in sorted(df.filter(place < 128).groupBy(F.floor(place).alias("cell")).count().collect()):
+        held += row["count"]
+        if held > most:
+            break
+        last = row["cell"] + 1
+    return df.filter(place < last)
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` (column ``c``) with the highest counts, at most ``most``.
+
+    The cut falls between two cells of a histogram of log counts, so rows of
+    equal count stay together, and only the histogram reaches the driver.
+    """
+    cell = F.floor(F.log2("c") * 64)
+    least, held = None, 0
+    for row in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["cell"]
+    return counts.filter(cell >= least if least is not None else F.lit(False))
+
+
+def binned(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``; null counts as below all."""
+    out = F.when(F.lit(False), 0)
+    for k in range(len(cuts), 0, -1):
+        out = out.when(value >= cuts[k - 1], k)
+    return out.otherwise(0)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, null text as empty; other columns go."""
     return docs.select(

@@ -218,14 +218,18 @@ def score(docs: DataFrame, model: OrdinalModel, *, least_tail: float = LEAST_TAI
 
 
 def select_documents(docs: DataFrame, model: OrdinalModel, *, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The rows that ``score`` keeps, with the columns of ``documents``."""
+    """The rows of ``docs`` that ``score`` keeps, with all their columns.
+
+    Null text counts as empty. Repeated rows and null ids are judged like any
+    other row; an empty table gives none.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(model.tails(scores(batch["text"].to_pylist()))[:, -1] >= least_tail))
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    own = docs.withColumn("text", F.col("text").cast("string"))
     return own.mapInArrow(each, own.schema)
 
 

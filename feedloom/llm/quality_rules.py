@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize, texts_of
+from .common import WHITE, binned, bounded_sample, materialize, texts_of
 
 WINDOW = 5
 FEATURES = (
@@ -168,16 +168,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, label: Column
 
     Labels that are null, or whose id is, are left out; for repeated ids the
     smallest label counts. The chosen ids are broadcast: ``most`` bounds them.
+    Clashing column names in ``docs`` do no harm.
     """
-    picked = (
-        labels.select(F.col("doc_id").cast("long").alias("picked_id"), label.alias("label"))
-        .dropna()
-        .groupBy("picked_id")
-        .agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("picked_id"), "picked_id")
-        .limit(most)
-    )
-    return docs.join(F.broadcast(picked), docs[id_col].cast("long") == F.col("picked_id"))
+    known = labels.select(F.col("doc_id").cast("long").alias("picked_id"), label.alias("picked_label")).dropna()
+    known = known.groupBy("picked_id").agg(F.min("picked_label").alias("picked_label"))
+    picked = bounded_sample(known, most, "picked_id")
+    own = docs.drop("label", "picked_id", "picked_label")
+    return own.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("picked_id")).withColumnRenamed("picked_label", "label")
 
 
 def learn(rows: DataFrame, *, most_rules: int = 8, most_literals: int = 3, least_precision: float = 0.9, least_covered: int = 5) -> DecisionList:
@@ -193,12 +190,7 @@ def learn(rows: DataFrame, *, most_rules: int = 8, most_literals: int = 3, least
     cuts = {f: sorted({x for x in (found[f] or []) if x is not None}) for f in FEATURES}
     if not any(cuts.values()):
         return DecisionList([])
-    bins = {}
-    for f in FEATURES:
-        over = F.lit(0)
-        for x in cuts[f]:
-            over = over + (F.col(f) >= x).cast("int")
-        bins[f] = over
+    bins = {f: binned(F.col(f), cuts[f]) for f in FEATURES}
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), bins[f].alias("bin")) for f in FEATURES))).alias("cell")
     rules: list[list[Literal]] = []
     rest = rows
@@ -285,9 +277,18 @@ def op10_learned_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    All columns of ``docs`` come along, whatever their names. Null and empty
+    texts go; repeated rows and null ids are judged like any other row; an empty
+    table gives none.
+    """
     rules = learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    judged = statistics(own, keep=("lang", "source", "n_chars", F.col("text").alias("whole_text")))
-    kept = judged.filter(~base_failed() & rules.rule_number().isNull())
-    return kept.select("doc_id", F.col("whole_text").alias("text"), "lang", "source", "n_chars")
+    return passing(docs, rules)
+
+
+def passing(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and ``rules``, with all columns."""
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    judged = statistics(whole, keep=("whole",))
+    return judged.filter(~base_failed() & rules.rule_number().isNull()).select("whole.*")
