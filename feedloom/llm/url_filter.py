@@ -2,6 +2,8 @@
 
 Only DataFrame functions. A url's lexical features (lengths, depth, digit ratio,
 entropy, parameter counts, suffix statistics) are binned at training quantiles.
+Suffixes fall into hash classes, each with its own rate of blocked urls, so that
+every suffix has one; a training url is rated without the fold it belongs to.
 Each level of a tree is one grouped sum of gradients by node, feature and bin;
 the histogram, of fixed size, picks the splits. The model is a sum of nested
 conditional expressions. Labelled urls are those that a rule judges, or a table
@@ -10,17 +12,19 @@ of the caller's.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import binned, bounded_sample, materialize
 
 #: (verdict, host and path) of the policy.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Labelled urls that the trees are trained on, and suffixes with own statistics, at most.
-MOST_TRAIN, MOST_SUFFIXES = 20_000, 1_000
+#: Distinct labelled urls that the trees are trained on, at most; hash classes of
+#: each kind of suffix, and folds for their rates.
+MOST_TRAIN, SUFFIX_CLASSES, FOLDS = 20_000, 512, 4
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "host_dots", "hyphens", "params", "query_chars", "digit_ratio", "entropy", "top_rate", "section_rate", "ending_rate")
 SUFFIXES = ("top", "section", "ending")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,30 +105,26 @@ class Tree:
         return self._walk(lambda n: F.lit(self.values.get(n, 0.0)))
 
 
+def suffix_class(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(SUFFIX_CLASSES)).cast("int")
+
+
 @dataclass
 class BoostedTrees:
-    """Cuts of each feature, block rates of suffixes, the prior and the trees."""
+    """Cuts of each feature, block rates of suffix classes, the prior and the trees."""
 
     cuts: dict[str, list[float]]
-    rates: dict[str, dict[str, float]]
-    prior_rate: float
+    rates: dict[str, list[float]]
     margin: float
     trees: list[Tree]
 
-    def with_bins(self, df: DataFrame) -> DataFrame:
-        """Add the rates, by broadcast of ``MOST_SUFFIXES`` rows at most, and the bins."""
-        spark = df.sparkSession
-        for name in SUFFIXES:
-            known = spark.createDataFrame(sorted(self.rates[name].items()), f"{name}_key string, {name}_known double")
-            df = df.join(F.broadcast(known), F.col(name) == F.col(f"{name}_key"), "left")
-            df = df.withColumn(f"{name}_rate", F.coalesce(f"{name}_known", F.lit(self.prior_rate)))
-        bins = {}
-        for f in FEATURES:
-            over = F.lit(0)
-            for x in self.cuts[f]:
-                over = over + (F.col(f) >= x).cast("int")
-            bins[f"{f}_bin"] = over
-        return df.withColumns(bins)
+    def with_rates(self, df: DataFrame) -> DataFrame:
+        """Add the block rate of each suffix's class, from a literal array."""
+        return df.withColumns({f"{name}_rate": F.get(F.lit(self.rates[name]), suffix_class(name)) for name in SUFFIXES})
+
+    def with_bins(self, rated: DataFrame) -> DataFrame:
+        """Add the bins to rows with features and rates."""
+        return rated.withColumns({f"{f}_bin": binned(F.col(f), self.cuts[f]) for f in FEATURES})
 
     def probability(self) -> Column:
         """Chance of ``block`` for rows with bins."""
@@ -134,31 +134,60 @@ class BoostedTrees:
         return 1 / (1 + F.exp(-total))
 
 
-def train(labelled: DataFrame, *, trees: int = 10, depth: int = 3, rate: float = 0.4, ridge: float = 1.0, least_rows: float = 5.0, most_train: int = MOST_TRAIN) -> BoostedTrees:
-    """Boost on ``url, label`` rows (1: block), ``most_train`` at most by url hash.
+def training_urls(labelled: DataFrame, most: int = MOST_TRAIN) -> DataFrame:
+    """Distinct ``url, label`` rows, ``most`` at most by url hash.
 
-    Null labels are left out. No rows, or one class alone, give the smoothed
-    prior and no tree.
+    Their number is estimated first, so that only about twice ``most`` rows are
+    grouped, however many the table has and however often a url repeats. Of two
+    labels of one url the higher counts.
     """
-    import math
+    rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna()
+    n = rows.agg(F.approx_count_distinct("url")).first()[0]
+    share = F.xxhash64("url").cast("double") / 2.0**64 + 0.5
+    if n > 2 * most:
+        rows = rows.filter(share < 2.0 * most / n)
+    return bounded_sample(rows.groupBy("url").agg(F.max("label").alias("label")), most, "url")
+
+
+def _suffix_rates(sample: DataFrame, prior: float) -> tuple[dict[str, list[float]], DataFrame]:
+    """Smoothed block rates by suffix class, and ``sample`` with out-of-fold ones."""
+    rates, rated = {}, sample
+    for name in SUFFIXES:
+        counted = sample.groupBy("fold", suffix_class(name).alias("k")).agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
+        p, n = ([[0] * SUFFIX_CLASSES for _ in range(FOLDS)] for _ in range(2))
+        for r in counted:
+            p[r["fold"]][r["k"]], n[r["fold"]][r["k"]] = r["p"], r["n"]
+        every = [(sum(f[k] for f in p), sum(f[k] for f in n)) for k in range(SUFFIX_CLASSES)]
+        rate = lambda a, b: (a + 5 * prior) / (b + 5)
+        rates[name] = [rate(*x) for x in every]
+        own = F.lit(None).cast("double")
+        for fold in range(FOLDS):
+            others = [rate(every[k][0] - p[fold][k], every[k][1] - n[fold][k]) for k in range(SUFFIX_CLASSES)]
+            own = F.when(F.col("fold") == fold, F.get(F.lit(others), suffix_class(name))).otherwise(own)
+        rated = rated.withColumn(f"{name}_rate", own)
+    return rates, rated
+
+
+def train(labelled: DataFrame, *, trees: int = 10, depth: int = 3, rate: float = 0.4, ridge: float = 1.0, least_rows: float = 5.0, most_train: int = MOST_TRAIN) -> BoostedTrees:
+    """Boost on ``url, label`` rows (1: block), ``most_train`` distinct urls at most.
 
-    sample = labelled.select("url", F.col("label").cast("int").alias("label")).dropna()
-    sample = materialize(with_features(with_parts(sample.orderBy(F.xxhash64("url"), "url", "label").limit(most_train))), "url-train")
+    Null labels and urls are left out. No rows, or one class alone, give the
+    smoothed prior and no tree.
+    """
+    sample = materialize(with_features(with_parts(training_urls(labelled, most_train))), "url-train")
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)))
     size, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (blocked + 0.5) / (size + 1)
-    rates = {}
-    for name in SUFFIXES:
-        top = sample.groupBy(name).agg(F.sum("label").alias("p"), F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(MOST_SUFFIXES).collect()
-        rates[name] = {r[name]: (r["p"] + 5 * prior) / (r["n"] + 5) for r in top}
-    model = BoostedTrees({f: [] for f in FEATURES}, rates, prior, math.log(prior / (1 - prior)), [])
+    rates, rated = _suffix_rates(sample, prior)
+    model = BoostedTrees({f: [] for f in FEATURES}, rates, math.log(prior / (1 - prior)), [])
     if not 0 < blocked < size:
         return model
-    rated = model.with_bins(sample)
+    rated = materialize(rated.select("label", *FEATURES), "url-rated")
     quantiles = [k / 16 for k in range(1, 16)]
     found = rated.agg(*(F.percentile_approx(f, quantiles, 10_000).alias(f) for f in FEATURES)).first()
     model.cuts = {f: sorted(set(found[f])) for f in FEATURES}
     names = [f"{f}_bin" for f in FEATURES]
-    kinds = model.with_bins(sample).groupBy(*names, "label").agg(F.count("*").alias("n"))
+    kinds = model.with_bins(rated).groupBy(*names, "label").agg(F.count("*").alias("n"))
     kinds = materialize(kinds, "url-kinds")  # equal rows once, with their count
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"{f}_bin").alias("bin")) for f in FEATURES))).alias("cell")
     for _ in range(trees):
@@ -216,7 +245,7 @@ def judge(pages: DataFrame, model: BoostedTrees | None = None, *, rules=RULES, i
     own = with_parts(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumn("rule", rule_of(rules))
     if model is None:
         model = train(own.filter("rule is not null").select("url", (rule_verdict(F.col("rule"), rules) == "block").cast("int").alias("label")))
-    scored = model.with_bins(with_features(own)).withColumn("block_chance", model.probability())
+    scored = model.with_bins(model.with_rates(with_features(own))).withColumn("block_chance", model.probability())
     verdict = F.coalesce(rule_verdict(F.col("rule"), rules), F.when(F.col("block_chance") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_chance")
 

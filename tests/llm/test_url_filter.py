@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -57,5 +58,36 @@ def test_trees_learn_held_out_urls(spark):
         "xxhash64(id) % 2 = 0 AS trains",
     )
     model = uf.train(made.filter("trains"))
-    scored = model.with_bins(uf.with_features(uf.with_parts(made.filter("not trains")))).withColumn("right", (model.probability() >= 0.5).cast("int") == F.col("label"))
+    scored = model.with_bins(model.with_rates(uf.with_features(uf.with_parts(made.filter("not trains"))))).withColumn("right", (model.probability() >= 0.5).cast("int") == F.col("label"))
     assert scored.agg(F.avg(F.col("right").cast("int"))).first()[0] > 0.97
+
+
+def test_verdicts_by_walking_the_trees(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    own = uf.with_parts(pages).withColumn("rule", uf.rule_of())
+    model = uf.train(own.filter("rule is not null").select("url", (uf.rule_verdict(F.col("rule")) == "block").cast("int").alias("label")))
+    assert model.trees
+    want = {}
+    for r in model.with_rates(uf.with_features(own)).collect():
+        bins = {f: sum(x <= r[f] for x in model.cuts[f]) for f in uf.FEATURES}
+        total = model.margin
+        for tree in model.trees:
+            node = 0
+            while node in tree.splits:
+                feature, cut = tree.splits[node]
+                node = 2 * node + (2 if bins[feature] >= cut else 1)
+            total += tree.values.get(node, 0.0)
+        want[r.page_id] = 1 / (1 + math.exp(-total))
+    rows = uf.judge(pages, model).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert abs(r.block_chance - want[r.page_id]) < 1e-9
+        if r.rule is None:
+            assert r.verdict == ("block" if r.block_chance >= 0.5 else "allow")
+
+
+def test_training_urls_are_bounded_and_distinct(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('u', id)) AS url", "int(id % 2) AS label")
+    got = uf.training_urls(rows, 200).collect()
+    assert 100 < len(got) <= 200 and len({r.url for r in got}) == len(got)
+    assert uf.training_urls(rows, 5000).count() == 2001
