@@ -11,7 +11,9 @@ loose candidates. Spans of the fixed patterns always stay.
 
 from __future__ import annotations
 
+import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +34,28 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HIDDEN_MAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}", re.I | re.A
-)
+_AT = re.compile(r"\x20?[\[(]at[\])]", re.I | re.A)
+_HIDDEN_DOMAIN = re.compile(r"\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+", re.I | re.A)
 _BARE_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,4}(?![\w-])", re.A)
 _GROUPED_CARD = re.compile(r"[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}")
 
 #: Gazetteers, context words and what speaks against a kind.
 TOP_DOMAINS = frozenset("com org net edu gov int io de fr es it nl uk eu us ca ch at be pl info biz example".split())
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
+#: One- and two-digit calling codes, then the beginnings that all three-digit codes share.
+CALLING_CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+CALLING_ZONES = tuple("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: First digits of card numbers by issuer, and first octets that no public host has.
+ISSUERS = tuple("4 51 52 53 54 55 22 23 24 25 26 27 34 37 36 38 35 6011 64 65 62 50 56 57 58 67".split())
+NO_HOST = frozenset(["0", "127", *map(str, range(224, 256))])
 CONTEXT = {
     "email": re.compile(r"mail|contact|kontakt|correo|courriel|write to|reach"),
     "ip": re.compile(r"\bip\b|host|server|address|login|from"),
     "card": re.compile(r"card|visa|master|credit|karte|tarjeta|carte|pay"),
     "phone": re.compile(r"phone|tel|call|mobil|fax|anruf|llam"),
 }
+_LAST_WORD = re.compile(r"([^\W\d_]+)[^\w]*$")
+#: Hash classes of the word before a span, one digit.
+WORD_CLASSES = 8
 AGAINST = re.compile(r"version|isbn|order|invoice|serial|chapter|section|\bv$")
 
 
@@ -74,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, s, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split(".")):
                 out.append((1, *m.span()))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -87,24 +96,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _hidden_mails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled ``[at]``, found from there as ``_emails`` does."""
+    done = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        tail = _HIDDEN_DOMAIN.match(text, m.end()) if done <= start < m.start() else None
+        if tail:
+            done = tail.end()
+            yield start, done
+
+
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that overlap no fixed span nor an earlier candidate."""
-    out: list[tuple[int, int, int]] = []
-    if not _DIGIT.search(text) and "at]" not in text and "at)" not in text:
-        return out
-    found = [(0, m) for m in _HIDDEN_MAIL.finditer(text)] if re.search(r"[\[(]at[\])]", text, re.I) else []
-    found += [(2, m) for m in _GROUPED_CARD.finditer(text)] + [(3, m) for m in _BARE_PHONE.finditer(text)]
-    held = sorted((s, e) for _, s, e in taken)
-    for kind, m in found:
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in held):
-            out.append((kind, s, e))
+    found: list[tuple[int, int, int]] = []
+    if "[" in text or "(" in text:
+        found += [(0, *x) for x in _hidden_mails(text)]
+    if _DIGIT.search(text):
+        found += [(2, *m.span()) for m in _GROUPED_CARD.finditer(text)] + [(3, *m.span()) for m in _BARE_PHONE.finditer(text)]
+    held: list[tuple[int, int]] = []  # disjoint and sorted: the fixed spans, overlapping ones as one
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if held and s < held[-1][1]:
+            held[-1] = (held[-1][0], max(e, held[-1][1]))
+        else:
             held.append((s, e))
+    out = []
+    for kind, s, e in found:
+        at = bisect.bisect_left(held, (s, s))
+        if (at == 0 or held[at - 1][1] <= s) and (at == len(held) or held[at][0] >= e):
+            out.append((kind, s, e))
+            held.insert(at, (s, e))
     return out
 
 
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
-    """One of ``+0-`` from each labeler, then the size of the span, 0 to 3."""
+    """One of ``+0-`` from each labeler, then what only the classifier sees.
+
+    These are digits: the size of the span, how it is separated, what stands
+    right before and after it, and a hash class of the word before it.
+    """
     span, before, name = text[start:end], text[max(0, start - 40) : start].lower(), KINDS[kind]
     digits = re.sub("[^0-9]", "", span)
     pattern = "+" if base else "-" if name == "card" else "0"
@@ -113,16 +145,20 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
         gazetteer = "+" if last in TOP_DOMAINS else "-"
         shape = "+" if span[0].isalnum() and span.find("@") <= 64 else "-"
     elif name == "ip":
-        gazetteer = "-" if span.split(".")[0] in ("0", "127", "255") else "+"
+        gazetteer = "-" if span.split(".")[0] in NO_HOST else "+"
         shape = "-" if text[end : end + 2][:1] == "." and text[end + 1 : end + 2].isdigit() else "+"
     elif name == "card":
-        gazetteer = "+" if digits[0] in "3456" else "-"
+        gazetteer = "+" if digits.startswith(ISSUERS) else "-"
         shape = "+" if len({len(x) for x in re.split("[ -]", span)}) == 1 else "-"
     else:
-        gazetteer = "+" if span[0] == "+" and digits.startswith(CALLING_CODES) else "0"
+        gazetteer = "0" if span[0] != "+" else "+" if digits.startswith(CALLING_CODES + CALLING_ZONES) else "-"
         shape = "+" if 9 <= len(digits) <= 13 else "-"
     context = "+" if CONTEXT[name].search(before) else "-" if AGAINST.search(before) else "0"
-    return pattern + gazetteer + context + shape + str(min(3, len(digits) // 5))
+    parted = 3 if "(" in span or "[" in span else 2 if " " in span else 1 if "-" in span else 0
+    edges = [2 if not c or c in "\n\r" else 1 if c in " \t" else 3 if c in ":=" else 0 for c in (text[max(0, start - 1) : start], text[end : end + 1])]
+    words = _LAST_WORD.search(before)
+    word = zlib.crc32(words[1].encode()) % WORD_CLASSES if words else 0
+    return pattern + gazetteer + context + shape + f"{min(3, len(digits) // 5)}{parted}{edges[0]}{edges[1]}{word}"
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,14 +202,22 @@ def reliabilities(patterns: list[tuple[int, str, int]], rounds: int = 60) -> tup
     return posterior, rates
 
 
+#: Values of each digit after the votes.
+_DETAILS = (4, 4, 4, 4, WORD_CLASSES)
+
+
 def _features(patterns: list[tuple[int, str, int]]) -> np.ndarray:
+    """One-hot rows: kind, votes, and the details, each with its kind."""
     rows = []
     for kind, v, _ in patterns:
-        one = [0.0] * (len(KINDS) + 3 * len(LABELERS) + 4)
+        one = [0.0] * (len(KINDS) + 3 * len(LABELERS) + len(KINDS) * sum(_DETAILS))
         one[kind] = 1.0
         for j, c in enumerate(v[: len(LABELERS)]):
             one[len(KINDS) + 3 * j + "-0+".index(c)] = 1.0
-        one[len(KINDS) + 3 * len(LABELERS) + int(v[-1])] = 1.0
+        at = len(KINDS) + 3 * len(LABELERS) + kind * sum(_DETAILS)
+        for size, c in zip(_DETAILS, v[len(LABELERS) :], strict=True):
+            one[at + int(c)] = 1.0
+            at += size
         rows.append(one)
     return np.array(rows)
 
@@ -193,13 +237,21 @@ def span_classifier(patterns: list[tuple[int, str, int]], posterior: np.ndarray,
 def accepted_patterns(found: DataFrame, least: float = 0.8) -> list[str]:
     """``kind`` and votes of loose candidates that the classifier accepts.
 
-    Only pattern counts reach the driver: kinds x 3^labelers x 4 at most.
+    Expectation-maximisation sees the votes alone; the classifier, trained on
+    its posteriors, also sees the span and its surroundings, and so can correct
+    the labelers. Only pattern counts reach the driver, of a number that does
+    not grow with the input: kinds x 3^labelers x 2,048 at most.
     """
     counted = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").count().collect()
     patterns = sorted((r["kind"], r["votes"], r["count"]) for r in counted)
     if not patterns:
         return []
-    posterior, _ = reliabilities(patterns)
+    cast: dict[tuple[int, str], int] = {}
+    for k, v, n in patterns:
+        cast[k, v[: len(LABELERS)]] = cast.get((k, v[: len(LABELERS)]), 0) + n
+    by_votes, _ = reliabilities([(k, v, n) for (k, v), n in cast.items()])
+    of_votes = dict(zip(cast, by_votes, strict=True))
+    posterior = np.array([of_votes[k, v[: len(LABELERS)]] for k, v, _ in patterns])
     chance = span_classifier(patterns, posterior)
     return [f"{k}{v}" for (k, v, _), p in zip(patterns, chance, strict=True) if p >= least and v[0] != "+"]
 
