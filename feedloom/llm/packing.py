@@ -9,7 +9,6 @@ one length form a bucket, from which batches are drawn. Nothing is shuffled.
 
 from __future__ import annotations
 
-import base64
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -24,7 +23,7 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, token_ids binar
 END_ID = 1
 LONGEST = 2048
 #: Distinct chunks that a Python worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 
 #: A space beside other white space or at an end: such texts are encoded whole.
 _MIXED_SPACE = re.compile(r" \s|\s |^ | $")
@@ -47,23 +46,22 @@ class _Chunks(dict):
 
 
 def byte_encoder(vocabulary: str | None = None) -> Callable[[str], bytes]:
-    """A function from text to little-endian 32-bit ids.
+    """A function from text to little-endian 32-bit ids, as the tokenizer gives them.
 
-    ``vocabulary`` is the byte-level vocabulary as ranks; the default is the
-    public 50k one, whose ids equal those of its JSON form. Special tokens'
-    strings in a text are ordinary text. The split into words never joins what
-    a single space between two other characters separates, so a text is encoded
-    chunk by chunk, and frequent chunks are encoded once per worker.
+    ``vocabulary`` is the tokenizer's JSON file; the default is the public
+    byte-level one. A special token's string in a text becomes that token. The
+    split into words never joins what a single space between two other
+    characters separates, so a text is encoded chunk by chunk, and frequent
+    chunks are encoded once per worker.
     """
     import public_tokenizers
-    import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def plain(text: str) -> bytes:
-        ids = encoding.encode_ordinary(text)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     first, spaced = _Chunks(plain, ""), _Chunks(plain, " ")
@@ -71,7 +69,7 @@ def byte_encoder(vocabulary: str | None = None) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if _MIXED_SPACE.search(text):
+        if _MIXED_SPACE.search(text) or any(s in text for s in special):
             return plain(text)
         head, *rest = text.split(" ")
         return first[head] + b"".join(map(spaced.__getitem__, rest))

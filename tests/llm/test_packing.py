@@ -12,14 +12,13 @@ from .conftest import SF, TRICKY
 
 def reference_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [e.ids + [1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_chunked_encoder_equals_tokenizer(documents):
     encode = packing.byte_encoder()
     texts = [r.text for r in documents.select("text").collect()] + [t or "" for _, t in TRICKY[:8]]
-    texts += ["a  b", " a", "a ", "a \n b", "a\n\nb c", "it's they'll 12 34", "<|endoftext|> x", "a　 b", "a\x1c b"]
+    texts += ["a  b", " a", "a ", "a \n b", "a\n\nb c", "it's they'll 12 34", "<|endoftext|> x", "x <|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "a　 b", "a\x1c b"]
     for text, ids in zip(texts, reference_ids(texts), strict=True):
         data = encode(text)
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == ids[:-1]
