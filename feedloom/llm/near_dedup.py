@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import discard, materialize, slices, texts_of
 
 SHINGLE = 5
 REGISTERS = 256
@@ -252,8 +252,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "component-edges")
     before = state(edges)
     while True:
-        edges = materialize(round_of(edges), "component-edges")
+        former, edges = edges, materialize(round_of(edges), "component-edges")
         after = state(edges)
+        discard(former)
         if after == before:
             break
         before = after
@@ -274,8 +275,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, rows: int = ROWS
     texts = texts_of(docs, id_col, text_col)
     base = materialize(sketches(texts), "near-sketches")
     named = base.filter(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
-    copies = named.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = base.select("doc_id", "n_shingles", "sig").join(copies, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    # written, so that both sides of the joins below are plain shuffles, which
+    # adaptive execution splits where one set has very many copies
+    copies = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-copies")
+    alone = base.filter(F.col("doc_id").isNull() | F.col("sig").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
+    members = named.select("doc_id", "n_shingles", "sig").join(copies, "sig").select("doc_id", "n_shingles", "rep").union(alone)
     firsts = named.join(copies, ["sig"]).filter(F.col("doc_id") == F.col("rep")).select("doc_id", "registers")
     banded = materialize(firsts.select("doc_id", band_keys(F.col("registers"), rows).alias("band", "key")), "near-bands")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last")
@@ -317,10 +321,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, rows: int = ROWS
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``documents``."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Texts without words and null ids stay; rows that repeat an id stay or go
+    together; an empty table gives none.
+    """
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    joined = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
+    return joined.union(docs.filter("doc_id is null"))
 
 
 def op7_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
