@@ -9,6 +9,7 @@ by their frequency in the whole corpus, so that prose after "password" is cheap.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -18,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import materialize, most_frequent, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 FOUND = "array<struct<start:long,kind:int,end:long>>"
-#: Words in the dictionary at most, and distinct words a task counts at a time.
-DICTIONARY, COUNTED = 20_000, 300_000
-#: log10 of the guesses from which a value in context counts as a secret.
-LEAST_COST = 12.0
+#: Words in the dictionary at most, and distinct words a task counts at a time. A
+#: rarer word than the dictionary holds would cost over 5 by its rank.
+DICTIONARY, COUNTED = 200_000, 300_000
+#: log10 of the guesses from which a value in context counts as a secret; for a
+#: value that mixes letters of both cases, digits or signs, at least three of them.
+LEAST_COST, LEAST_MIXED = 12.0, 8.0
+#: Letters of a dictionary word.
+WORD_LETTERS = (3, 40)
 #: A longer keyboard walk costs more than 20 by its turns alone, however it is cut.
 LONGEST_WALK = 512
 #: Common passwords, ranked before the corpus's words.
@@ -39,8 +44,9 @@ _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key)["']?\x20{0,3}(?::|=>?|->|\bis\b)\x20{0,3}["']?([^\s"'`,;<>]{6,})""", re.I | re.A
 )
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
-_WORD = re.compile(rb"[a-z]{3,24}")
+_WORD = re.compile(rb"[a-z]{3,}")
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)[0-9]{2}|[0-9]{2})|(?:19|20)[0-9]{2})")
+_LOWER, _UPPER, _DIGITS, _OTHERS = (re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i + 0.5 * (r > 0) + 0.25 * (r > 1) + 0.25 * (r > 2)) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 
@@ -72,9 +78,12 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     for trying the order of segments. ``ranks``: rank of each known word.
     """
     n, low, repeats = len(value), "".join([c.lower()[0] for c in value]), _repeats(value)
+    run = [0] * (n + 1)  # letters from here on
+    for i in range(n - 1, -1, -1):
+        run[i] = run[i + 1] + 1 if "a" <= low[i] <= "z" else 0
     pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
     for i in range(n):
-        for j in range(i + 3, min(n, i + 24) + 1):
+        for j in range(i + WORD_LETTERS[0], i + min(run[i], WORD_LETTERS[1]) + 1):
             rank = ranks.get(low[i:j])
             if rank:
                 plain = value[i:j] == low[i:j]
@@ -112,24 +121,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
-    for s, e in spans:
-        if s <= start < e:
-            start = e
-    return start >= end
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, those that touch or overlap as one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _kinds_of_signs(value: str) -> int:
+    return sum(map(bool, (_LOWER.search(value), _UPPER.search(value), _DIGITS.search(value), _OTHERS.search(value))))
 
 
 def guessed_spans(text: str, taken: list[tuple[int, int, int]], ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost at least ``least``, if they reach beyond fixed spans."""
+    """Values in a credential context that reach beyond fixed spans and cost enough.
+
+    Enough is ``least``, or for mixed values two thirds of it.
+    """
     low, out = text.lower(), []
     if not any(w in low for w in _CONTEXT_WORDS):
         return out
-    fixed = sorted((s, e) for s, _, e in taken)
+    starts, ends = _joined([(s, e) for s, _, e in taken])
     for m in _CONTEXT.finditer(text):
         start, value = m.start(1), m[1].rstrip(".!?:)]}")
         end = start + len(value)
-        if len(value) >= 6 and not _covered(start, end, fixed) and guess_cost(value, ranks) >= least:
-            out.append((start, 3, end))
+        at = bisect.bisect_right(starts, start) - 1
+        if len(value) >= 6 and not (at >= 0 and end <= ends[at]):
+            enough = least * LEAST_MIXED / LEAST_COST if _kinds_of_signs(value) >= 3 else least
+            if guess_cost(value, ranks) >= enough:
+                out.append((start, 3, end))
     return out
 
 
@@ -137,14 +162,18 @@ def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
     """Ranks of common passwords and of the ``most`` most frequent words.
 
     All documents are counted, each task pre-aggregating what it reads; the
-    words that reach the driver are ``most`` at most. Ties go by spelling.
+    words that reach the driver are ``most`` at most, of ``WORD_LETTERS`` and
+    found twice or more. Words of equal count come in all or not at all, and
+    rank by spelling.
     """
+    high = WORD_LETTERS[1]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            words = [w for w in counts if len(w) <= high]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "c"])
             counts.clear()
             return out
 
@@ -156,8 +185,9 @@ def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
         if counts:
             yield flush()
 
-    top = texts_of(docs).select("text").mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in top.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = texts_of(docs).select("text").mapInArrow(partial, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
+    top = most_frequent(materialize(counted, "secret-words"), most).collect()
+    words = [r["word"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
 
 
@@ -201,10 +231,12 @@ def scan(docs: DataFrame, ranks: dict[str, int] | None = None, **options) -> Dat
 
 
 def redact(docs: DataFrame, ranks: dict[str, int] | None = None, *, mark: str = "[secret]", least: float = LEAST_COST) -> DataFrame:
-    """The columns of ``documents`` with every found span replaced by ``mark``.
+    """The columns of ``docs`` with every found span of ``text`` replaced by ``mark``.
 
-    Overlapping spans are replaced as one. ``n_chars`` is that of the new text;
-    a null text stays null. Rows stay, repeated ones too.
+    Overlapping spans are replaced as one. ``n_chars``, where ``docs`` has it, is
+    that of the new text; a null text stays null, an empty one empty. Every row
+    comes back: repeated ones, null ids and all other columns as they are; an
+    empty table gives none.
     """
     words = word_ranks(docs) if ranks is None else ranks
 
@@ -221,14 +253,12 @@ def redact(docs: DataFrame, ranks: dict[str, int] | None = None, *, mark: str =
                         done = max(done, e)
                     text = "".join(parts) + text[done:]
                 texts.append(text)
-            lengths = [None if t is None else len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(texts, pa.string()), batch["lang"], batch["source"], pa.array(lengths, pa.int64())],
-                ["doc_id", "text", "lang", "source", "n_chars"],
-            )
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    return own.mapInArrow(each, "doc_id long, text string, lang string, source string, n_chars long")
+            changed = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(i)) for i, n in enumerate(names)], names)
+
+    own = docs.withColumns({"text": F.col("text").cast("string")} | ({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in docs.columns else {}))
+    return own.mapInArrow(each, own.schema)
 
 
 def op6_guess_cost_secrets(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import re
 
 import numpy as np
+import pytest
 
 from feedloom.llm import pii, secrets
 
@@ -91,6 +93,30 @@ def test_tricky_rows(tricky):
     assert pii.detect(tricky.limit(0)).count() == secrets.scan(tricky.limit(0)).count() == secrets.redact(tricky.limit(0)).count() == 0
 
 
+def test_hidden_addresses_in_any_case_and_length():
+    name, host = "n" * 200, "h" * 100
+    for text, want in (
+        ("x[AT]y.com", ["x[AT]y.com"]), ("a b (At) c [DOT] d. Next one", ["b (At) c [DOT] d"]), (f"{name} [at] {host}.a.b.c.d.e.f end", [f"{name} [at] {host}.a.b.c.d.e.f"]),
+        ("p[at]q.de[at]r.fr", ["p[at]q.de"]), ("look [at] that", []), ("[at] x.com", []),
+    ):
+        assert [text[s:e] for _, s, e in pii.loose_spans(text, [])] == want, text
+
+
+def test_many_leading_zeros_are_one_part():
+    text = "0" * 5000 + ".1.1.1 and 1.2.3." + "9" * 5000
+    assert pii.base_spans(text) == [(1, 0, 5006)]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert len(pii.loose_spans("020 7946 0958; " * 50_000, [])) == 50_000
+    text = "password: x9#Kq!7vZp2 \n" * 20_000
+    assert len(secrets.guessed_spans(text, secrets.base_spans(text), {}, 9.0)) == 20_000
+    assert time.perf_counter() - start < 30
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000, "1" * 200_000, "+" * 100_000, "@" * 100_000, "+1" + "(" * 200_000, "a1" * 100_000):
         pii.base_spans(text), pii.loose_spans(text, []), secrets.base_spans(text)
@@ -100,7 +126,7 @@ def test_reliabilities_find_the_truth():
     rng = np.random.default_rng(5)
     truth, counts = rng.random(20_000) < 0.4, {}
     for t in truth:
-        v = "".join(("+" if t else "-") if rng.random() < p else rng.choice(list("+0-")) for p in (0.9, 0.7, 0.5, 0.0)) + "1"
+        v = "".join(("+" if t else "-") if rng.random() < p else rng.choice(list("+0-")) for p in (0.9, 0.7, 0.5, 0.0)) + "10000"
         counts[v, bool(t)] = counts.get((v, bool(t)), 0) + 1
     patterns = sorted({(0, v, sum(counts.get((v, t), 0) for t in (True, False))) for v, _ in counts})
     posterior, rates = pii.reliabilities(patterns)
@@ -128,6 +154,48 @@ def test_guess_cost():
         assert cost(v) <= len(v)
 
 
+def brute_cost(value, ranks):
+    """The cheapest of all segmentations, by plain recursion."""
+    low = value.lower()
+
+    def costs(i, j):
+        part, out = value[i:j], [float(j - i)]
+        if low[i:j] in ranks and j - i >= 3:
+            out.append(math.log10(ranks[low[i:j]] * (1 if part == low[i:j] else 2) + 1))
+        m = secrets._DATE.match(value, i)
+        if m and m.end() == j:
+            out.append(math.log10(365 * 120 if j - i > 4 else 120))
+        for unit in range(1, (j - i) // 2 + 1):  # the shortest unit that repeats here, as often as it does
+            m = re.compile(r"(.{%d})\1+" % unit, re.S).match(value, i)
+            if m:
+                if m.end() == j:
+                    out.append(min(unit * 1.0, math.log10(ranks.get(low[i : i + unit], 0) or 10**unit)) + math.log10((j - i) / unit))
+                break
+        if j - i >= 3 and all(secrets._neighbours(low[k], low[k + 1]) for k in range(i, j - 1)):
+            steps = [(secrets._PLACE[low[k + 1]][0] - secrets._PLACE[low[k]][0], secrets._PLACE[low[k + 1]][1] > secrets._PLACE[low[k]][1]) for k in range(i, j - 1)]
+            out.append(math.log10(47 * (j - i)) + sum(a != b for a, b in zip([None, *steps], steps)) * math.log10(4))
+        return min(out)
+
+    def best(i):
+        if i == len(value):
+            return -1.0
+        return min(costs(i, j) + 1 + best(j) for j in range(i + 1, len(value) + 1))
+
+    return best(0)
+
+
+def test_guess_cost_against_all_segmentations():
+    ranks = {w: i + 1 for i, w in enumerate(["password", "horse", "correct", "pass", "word", "ors"])}
+    for value in ("horse", "Password1", "qwe2024", "ababab", "aabbab", "1999-12-3", "x9#Kq!7v", "horseqwer", "asdaaa12", "zzzhorse", "9876543", "passpass"):
+        assert secrets.guess_cost(value, ranks) == pytest.approx(brute_cost(value, ranks)), value
+
+
+def test_short_random_values_are_found(spark):
+    ranks = {"horse": 1}
+    for value, found in (("xK9$mQ2!vL", 1), ("kT4#pw9Z", 1), ("Zahlung", 0), ("zahlungszie", 0), ("horse123", 0)):
+        assert len(secrets.guessed_spans(f"password: {value} end", [], ranks, secrets.LEAST_COST)) == found, value
+
+
 def test_guess_and_redact(spark):
     rows = [(1, "the passphrase is x9#Kq!7vZp2&Lm. ok", "en", "s", 5), (2, "my password is horse", "en", "s", 5), (3, "token=abcdefabcdefabcdef12", None, None, None), (4, None, "en", "s", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
