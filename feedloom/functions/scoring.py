@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAYS_PER_MONTH = 30.44
@@ -106,3 +106,14 @@ def insider_modifier(value: Column | str) -> Column:
 def score_boost(multiplier: Column | str) -> Column:
     """Percent that a multiplier adds."""
     return (_c(multiplier) - 1) * 100
+
+
+def score_base(final: Column | str, macro: Column | str, ai: Column | str) -> Column:
+    """The score before both multipliers; as it is where one is zero."""
+    f, product = _c(final).cast("double"), F.coalesce(_c(macro).cast("double"), F.lit(1.0)) * F.coalesce(_c(ai).cast("double"), F.lit(1.0))
+    return F.when(product == 0, f).otherwise(F.round(f / F.nullif(product, F.lit(0.0)), 6))
+
+
+def score_decomposition(df: DataFrame, final: str = "final_score", macro: str = "macro_multiplier", ai: str = "ai_multiplier") -> DataFrame:
+    """Add ``base_score`` and the percent that each multiplier adds."""
+    return df.withColumns({"base_score": score_base(final, macro, ai), "macro_boost": score_boost(macro), "ai_boost": score_boost(ai)})

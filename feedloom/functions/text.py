@@ -33,6 +33,12 @@ def any_word(text: Column | str, words: list[str]) -> Column:
     return F.coalesce(_c(text).rlike(r"(?i)\b(" + "|".join(re.escape(w) for w in words) + r")\b"), F.lit(False)) if words else F.lit(False)
 
 
+def has_word(text: Column, word: Column) -> Column:
+    """Whether the text has the word or phrase of another column, as whole words, whatever the case."""
+    quoted = F.concat(F.lit("(?i)\\b\\Q"), F.replace(word, F.lit("\\E"), F.lit("")), F.lit("\\E\\b"))
+    return F.coalesce(F.regexp_like(text, quoted), F.lit(False))
+
+
 RECIPES = {
     "url|title|time": lambda url, title, at: F.concat_ws("|", url, title, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")),
     "url|title": lambda url, title, at: F.concat_ws("|", url, title),
@@ -46,10 +52,48 @@ def article_hash(url: Column | str, title: Column | str, at: Column | str, recip
     return F.sha2(RECIPES[recipe](_c(url), _c(title), _c(at)), 256)
 
 
+# Parts of an address that tell a feed.
+ATOM_QUERIES = ("type=atom", "format=atom")
+RSS_PARTS = ("/rss", "/atom", "/feed", "/feeds", "rss.xml", "atom.xml", "feed.xml", "news.xml", "rss/news", "rss/press", "atom/news")
+RSS_QUERIES = ("pagetemplate=rss", "format=rss", "format=feed", "type=atom", "type=rss", "feed=rss", "feed=atom", "output=rss")
+
+
+def _any_part(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
+
+
 def classify_feed_url(url: Column | str) -> Column:
-    """``atom`` or ``rss`` by the shape of the address, else null."""
+    """``atom`` or ``rss`` by the shape of the address, else null.
+
+    ``atom`` counts in the path or as a query, not in the host; then the signs
+    of RSS in the whole address, in the query, or ``.xml`` at its end.
+    """
+    u = F.lower(_c(url))
+    after = F.regexp_extract(u, r"^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    query = F.regexp_extract(u, r"\?([^#]*)", 1)
+    return (
+        F.when(after.contains("atom") | _any_part(query, ATOM_QUERIES), "atom")
+        .when(_any_part(u, RSS_PARTS) | _any_part(query, RSS_QUERIES) | u.endswith(".xml"), "rss")
+    )
+
+
+def ticker_from_url(url: Column | str, symbol: Column | str) -> Column:
+    """The ticker that a listing's address names, else the symbol; lower case."""
     u = F.lower(_c(url))
-    return F.when(u.contains("atom"), "atom").when(u.rlike(r"/(rss|feed)s?([/?.]|$)|[?&](format|type|feed)=rss|rss|\.xml([?#]|$)"), "rss")
+    named = F.coalesce(F.nullif(F.regexp_extract(u, r"/stocks/([^/]+)/press-releases", 1), F.lit("")), F.nullif(F.regexp_extract(u, r"symbol:([^|&]+)", 1), F.lit("")))
+    return F.lower(F.coalesce(named, _c(symbol)))
+
+
+#: Lengths to which texts are cut, by use.
+CLIPS = {"title": 200, "hint": 300, "reason": 500, "summary": 1_000, "forecast": 2_000, "facts": 4_000, "body": 100_000}
+
+
+def clip_text(text: Column | str, most: int | str) -> Column:
+    """The first signs of a text: so many, or what its use allows."""
+    return F.left(_c(text), F.lit(CLIPS[most] if isinstance(most, str) else most))
 
 
 def detect_platform(url: Column | str) -> Column:
@@ -80,23 +124,39 @@ def first_number(text: Column | str) -> Column:
 
 
 def format_volume(n: Column | str) -> Column:
+    """1.2M, 3K or the whole number."""
     c = _c(n).cast("double")
     return (
-        F.when(c >= 1e9, F.format_string("%.1fB", c / 1e9)).when(c >= 1e6, F.format_string("%.1fM", c / 1e6))
-        .when(c >= 1e3, F.format_string("%.0fK", c / 1e3)).when(c.isNotNull(), F.format_string("%.0f", c))
-    )
+        F.when(c >= 1e6, F.format_string("%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("%.0fK", c / 1e3)).when(c.isNotNull(), F.format_string("%d", c.cast("long")))
+    )
+
+
+def format_percent(share: Column | str) -> Column:
+    """A share as percent, such as 12.3%."""
+    c = _c(share).cast("double")
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c * 100))
 
 
 def first_line(text: Column | str) -> Column:
     return F.get(F.split(_c(text), "\n"), F.lit(0))
 
 
-def find_section(text: Column | str, start: str, end: str, most: int) -> Column:
-    """From the first line that matches ``start`` to the next that matches ``end``."""
+def clean_text(text: Column | str) -> Column:
+    """Runs of blank lines and of blanks shortened, outer white space off."""
+    out = F.regexp_replace(F.regexp_replace(_c(text), r"\n{3,}", "\n\n"), r"[ \t]{4,}", " ")
+    return F.btrim(out, F.lit(" \t\r\n"))
+
+
+def find_section(text: Column | str, start: str, end: str, most: int, *, upper: bool = False) -> Column:
+    """From the first line that matches ``start`` to the next that matches ``end``; null if none does.
+
+    With ``upper`` the lines are compared trimmed and in upper case.
+    """
     lines = F.split(_c(text), "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(x.rlike(start), F.lit(False))), True).cast("int")
+    seen = (lambda x: F.upper(F.trim(x))) if upper else (lambda x: x)
+    at = F.array_position(F.transform(lines, lambda x: F.coalesce(seen(x).rlike(start), F.lit(False))), True).cast("int")
     rest = F.slice(lines, at + 1, F.size(lines))
-    stop = F.array_position(F.transform(rest, lambda x: F.coalesce(x.rlike(end), F.lit(False))), True).cast("int")
+    stop = F.array_position(F.transform(rest, lambda x: F.coalesce(seen(x).rlike(end), F.lit(False))), True).cast("int")
     body = F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(rest)))
     return F.when(at > 0, F.left(F.trim(F.array_join(F.concat(F.slice(lines, at, F.lit(1)), body), "\n")), F.lit(most)))
 

@@ -42,15 +42,79 @@ def previous_state(df: DataFrame, key: str, order: list[Column], columns: list[s
     return df.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
 
 
-def contribution_share(df: DataFrame, key: str, weight: str) -> DataFrame:
-    """Percent of the key's total absolute weight."""
-    total = F.sum(F.abs(weight)).over(Window.partitionBy(key))
-    return df.withColumn("share", F.when(total > 0, F.abs(weight) / total * 100).otherwise(0.0))
-
-
-def compact_ranks(df: DataFrame, order: list[Column], group: str) -> DataFrame:
-    """Ranks 1, 2, 3 within each group."""
-    return df.withColumn("compact_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def contribution_share(df: DataFrame, key: str, weight: str, least_total: float = 0.0) -> DataFrame:
+    """Percent of the key's total absolute weight, which counts as ``least_total`` at least.
+
+    Sums are grouped and joined back, so that no task buffers a whole key.
+    """
+    totals = df.groupBy(key).agg(F.sum(F.abs(weight)).alias("_total"))
+    total = F.greatest(F.col("_total"), F.lit(least_total))
+    same = F.col("_key").eqNullSafe(F.col(key))
+    joined = df.join(totals.withColumnRenamed(key, "_key"), same)
+    return joined.withColumn("share", F.when(total > 0, F.abs(weight) / total * 100).otherwise(0.0)).drop("_key", "_total")
+
+
+#: Slices in which ``compact_ranks`` ranks a group.
+SLICES = 256
+
+
+def compact_ranks(df: DataFrame, by: str, ties: list[str], group: str | None = None, slices: int = SLICES) -> DataFrame:
+    """Add ``compact_rank``: 1, 2, 3 within each group, by ``by`` and then ``ties``; nulls first.
+
+    ``by`` is a number or a time. Its range is cut into slices of about equal
+    size; rows are ranked within group and slice, and the sizes of earlier
+    slices added. So a group of any size, or a table without groups, is spread
+    over tasks.
+    """
+    place = F.col(by).cast("double")
+    cuts = [x for x in (df.agg(F.percentile_approx(place, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []) if x is not None]
+    at = F.array_position(F.transform(F.lit(sorted(set(cuts)) or [0.0]), lambda c: place < c), True)
+    slice_of = F.when(place.isNull(), F.lit(-1)).otherwise(F.when(at > 0, at).otherwise(F.lit(len(cuts) + 1)).cast("int"))
+    keys = [group] if group else []
+    cut = df.withColumn("_slice", slice_of)
+    sizes = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias("_group") for k in keys), F.col("_slice").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(by, *ties)))
+    same = F.col("_slice") == F.col("_at")
+    same = same & F.col(group).eqNullSafe(F.col("_group")) if group else same
+    return ranked.join(starts, same).withColumn("compact_rank", F.col("_before") + F.col("_rank")).drop("_slice", "_at", "_before", "_rank", "_group")
+
+
+def move_to_front(queue: DataFrame, moved: DataFrame, now: Column) -> DataFrame:
+    """``id, rank, added_at`` with the moved ids at the front, ranks made compact.
+
+    Of several moved at once the smallest id comes first. Ties of rank go by the
+    time they were added.
+    """
+    first = moved.select("id").distinct().withColumns({"rank": F.lit(0), "added_at": now})
+    rest = queue.select("id", F.col("rank").cast("int").alias("rank"), "added_at").join(first.select("id"), "id", "left_anti")
+    ranked = compact_ranks(rest.unionByName(first), "rank", ["added_at", "id"])
+    return ranked.select("id", F.col("compact_rank").cast("int").alias("rank"), "added_at")
+
+
+def append_rank(queue: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``id, rank, added_at`` with ids that are not queued yet behind the last, by id."""
+    fresh = new.select("id").distinct().join(queue.select("id"), "id", "left_anti")
+    last = queue.agg(F.coalesce(F.max("rank"), F.lit(0)).cast("int")).first()[0]
+    added = compact_ranks(fresh, "id", []).select("id", (F.lit(last) + F.col("compact_rank")).cast("int").alias("rank"), now.alias("added_at"))
+    return queue.select("id", F.col("rank").cast("int").alias("rank"), "added_at").unionByName(added)
+
+
+def last_n_by_family(filings: DataFrame, n: int = 5, key: str = "symbol_id", family: Column | str = "form_type") -> DataFrame:
+    """The last ``n`` filings of each key and family."""
+    named = filings.withColumn("family", F.col(family) if isinstance(family, str) else family)
+    w = Window.partitionBy(key, "family").orderBy(F.desc("published_at"), F.desc("id"))
+    return named.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def quarter_label(ts: Column | str) -> Column:
+    return F.concat(F.lit("Q"), F.quarter(ts), F.lit(" "), F.year(ts))
+
+
+def quarter_series(figures: DataFrame, *, ts: str = "published_at", cash_flow: str = "operating_cash_flow", capex: str = "capex") -> DataFrame:
+    """Add ``label`` (Q1 2024) and ``burn``: cash flow less capital spending, where that is known."""
+    return figures.withColumns({"label": quarter_label(ts), "burn": F.col(cash_flow) - F.coalesce(capex, F.lit(0.0))})
 
 
 def cap_per_form(df: DataFrame, keys: list[str], order: list[Column], most: int, seen: DataFrame, id_col: str) -> DataFrame:

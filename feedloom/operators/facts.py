@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+
 from ..functions import text as T
 
 FIGURES = "array<struct<metric:string,value:string,period:string>>"
@@ -64,7 +66,7 @@ def eight_k_items(df: DataFrame, text_col: str, items: list[str], whole: int = 3
 def filing_title(text: Column | str, fallback: Column, boilerplate: str = r"(?i)securities and exchange|washington|form \d|united states|commission file") -> Column:
     """The first telling line after five non-blank ones, else the fallback."""
     c = F.col(text) if isinstance(text, str) else text
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     good = F.filter(F.slice(lines, F.lit(6), F.greatest(F.size(lines), F.lit(1))), lambda x: (F.length(x) >= 20) & (F.length(x) <= 250) & ~x.rlike(boilerplate) & x.rlike("[a-z]"))
     return F.coalesce(F.left(F.get(good, F.lit(0)), F.lit(200)), fallback)
 
@@ -91,7 +93,22 @@ def scoring_payload(*columns: str) -> Column:
 
 
 def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in columns})
+    """Columns of any shape (numbers, arrays, structs, maps) without NaN and infinite numbers."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({c: clean_number(F.col(c), kinds[c]) for c in columns})
+
+
+def clean_number(value: Column, kind: DataType) -> Column:
+    """``value`` with every NaN or infinite number inside as null."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: clean_number(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: clean_number(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(clean_number(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
 
 
 def score_articles(df: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -104,14 +121,30 @@ def score_articles(df: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(each, schema)
 
 
-def violations(summary: str, score: str, calibration: str, previous: Column | None = None) -> Column:
-    """What is wrong with a scored row; an empty list if nothing is."""
-    least = F.greatest(F.lit(100), F.coalesce(F.length(previous) / 4, F.lit(0))) if previous is not None else F.lit(100)
+def violations(summary: str, score: str, calibration: str, forecast: str, previous: Column | None = None) -> Column:
+    """What is wrong with a scored row; an empty list if nothing is.
+
+    The summary must be there and, after a former one, hold 100 signs and a
+    quarter of that; the score must be a number from -1 to 1, with a calibration
+    unless it is zero; the forecast must be there.
+    """
+    own = F.coalesce(F.trim(summary), F.lit(""))
+    short = own == ""
+    if previous is not None:
+        before = F.length(F.coalesce(previous, F.lit("")))
+        short = short | ((before > 0) & (F.length(own) < F.greatest(F.lit(100), F.floor(before / 4))))
     s = F.col(score).try_cast("double")
     return F.array_compact(
         F.array(
-            F.when(F.coalesce(F.length(F.trim(summary)), F.lit(0)) < least, "summary"),
+            F.when(short, "summary"),
             F.when(s.isNull() | F.isnan(s) | (F.abs(s) > 1), "score"),
             F.when((s != 0) & F.col(calibration).isNull(), "calibration"),
+            F.when(F.coalesce(F.trim(forecast), F.lit("")) == "", "forecast"),
         )
     )
+
+
+def validate_result(df: DataFrame, *, previous: str | None = None, **columns: str) -> DataFrame:
+    """Add ``violations`` and ``valid``; ``columns`` name what ``violations`` takes."""
+    found = violations(**columns, previous=F.col(previous) if previous else None)
+    return df.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)

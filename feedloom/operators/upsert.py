@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_ci
 from .dedup import keep_first
 
 
@@ -62,6 +63,18 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+#: Addresses of pages that no feed reader can take, whatever they were filed as. Fixed values.
+HTML_PAGES = ("nasdaq.com/market-activity", "yahoo.com/quote")
+
+
+def retype_feeds(feeds: DataFrame, url: str = "feed_url", kind: str = "feed_type") -> DataFrame:
+    """Feeds filed as ``rss`` whose address is that of a page become ``html``."""
+    page = F.lit(False)
+    for part in HTML_PAGES:
+        page = page | contains_ci(url, part)
+    return feeds.withColumn(kind, F.when(page & (F.col(kind) == "rss"), "html").otherwise(F.col(kind)))
+
+
 def mark_processed(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     hit = ids.select(key).distinct().withColumn("_hit", F.lit(True))
     return df.join(hit, key, "left").withColumn(flag, F.coalesce("_hit", flag)).drop("_hit")

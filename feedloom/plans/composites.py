@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import aggregates, dedup, joins
+from ..functions.text import article_hash, contains_ci
+from ..operators import aggregates, dedup, facts, joins, selections, upsert
+from ..operators.filings import filing_signals  # noqa: F401  part of this module's interface
+from ..sources import parse
 
 
 def final_scores(symbols: DataFrame, articles: DataFrame, macro: DataFrame, as_of: Column) -> DataFrame:
@@ -30,49 +33,190 @@ def final_scores_with_signals(symbols: DataFrame, articles: DataFrame, macro: Da
     weight = F.when(F.col("form_type") == "10-K", 1.5).when(F.col("form_type") == "8-K", 1.2).otherwise(1.0)
     means = aggregates.decayed_mean(articles, "symbol_id", "score", "published_at", as_of, weight=weight)
     extra = aggregates.signal_modifier(signals, "symbol_id", "filed_at", "modifier", as_of, days=180)
-    guard = articles.filter(F.col("form_type").isin("10-K", "10-Q")).groupBy("symbol_id").agg(F.count_if(F.col("score").isNotNull()).alias("tier1_scored"))
+    guard = aggregates.tier1_coverage_guard(articles).select("symbol_id", "blocked")
     rated = joins.multiplier_by_containment(symbols, macro).select(F.col("id").alias("symbol_id"), "macro_multiplier")
     pulled = scoring.gravity(scoring.asymptotic_multiply("mean_score", "macro_multiplier"), "newest", as_of)
     total = scoring.clamp(pulled + F.coalesce("sec_modifier", F.lit(0.0)), -1.0, 1.0)
     return (
         means.join(rated, "symbol_id").join(extra, "symbol_id", "left").join(guard, "symbol_id", "left")
-        .select("symbol_id", "sec_modifier", F.when(F.coalesce("tier1_scored", F.lit(1)) > 0, F.round(total, 6)).alias("final_score"))
+        .select("symbol_id", "sec_modifier", F.when(~F.coalesce("blocked", F.lit(False)), F.round(total, 6)).alias("final_score"))
     )
 
 
 def scoring_window(articles: DataFrame, as_of: Column, newest_news: int = 12) -> DataFrame:
     """Filings still fresh by form, and the newest articles that are no filings."""
-    limits = F.when(F.col("form_type") == "10-K", 18 * scoring.DAYS_PER_MONTH).when(F.col("form_type") == "10-Q", 15 * scoring.DAYS_PER_MONTH).otherwise(90.0)
-    filings = articles.filter(F.col("form_type").isNotNull() & (scoring.age_days("published_at", as_of) <= limits))
+    filings = selections.within_staleness(articles.filter("form_type IS NOT NULL"), as_of)
     news = dedup.newest_n(articles.filter("form_type IS NULL"), "symbol_id", newest_news, [F.desc("published_at"), F.desc("id")])
     return filings.unionByName(news)
 
 
-def leaderboard(symbols: DataFrame, articles: DataFrame) -> DataFrame:
-    counts = articles.groupBy("symbol_id").agg(F.count("score").alias("n_scored"), F.count("*").alias("n_total"), F.avg("score").alias("avg_score"))
-    return symbols.join(counts, F.col("id") == F.col("symbol_id"), "left").select(
-        "id", "company_name", F.coalesce("n_scored", F.lit(0)).alias("n_scored"), F.coalesce("n_total", F.lit(0)).alias("n_total"),
-        F.round("avg_score", 6).alias("avg_score"), scoring.score_label("avg_score").alias("label"),
+def symbol_search(
+    symbols: DataFrame, feeds: DataFrame, articles: DataFrame, queue: DataFrame, query: str = "", mode: str = "all", sort: str = "alpha", most: int = 500, names: tuple[str, ...] = ("company_name",)
+) -> DataFrame:
+    """Symbols by name or feed address, with their counts, in one of the modes and orders.
+
+    Of a symbol that only a feed's address brings in, those feeds alone count.
+    ``mode`` as for ``article_count_filter``; ``sort``: ``alpha``, ``articles``
+    (fewest first) or ``most``.
+    """
+    named = F.lit(not query.strip())
+    for name in names:
+        named = named | contains_ci(F.col(name).cast("string"), query)
+    hit = contains_ci("feed_url", query)
+    of_feeds = feeds.groupBy(F.col("symbol_id").alias("id")).agg(
+        F.count_if("is_active").alias("_a"), F.count("*").alias("_t"), F.count_if(F.col("is_active") & hit).alias("_ah"), F.count_if(hit).alias("_th")
+    )
+    of_articles = articles.groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("article_count"))
+    ranks = queue.groupBy("id").agg(F.max("rank").alias("prio_rank"))
+    found = symbols.withColumn("_named", named).join(of_feeds, "id", "left").na.fill(0, ["_a", "_t", "_ah", "_th"]).filter("_named OR _th > 0")
+    counted = found.join(of_articles, "id", "left").join(ranks, "id", "left").na.fill(0, ["article_count"]).select(
+        "id", *names, F.when(F.col("_named"), F.col("_a")).otherwise(F.col("_ah")).alias("active_feeds"),
+        F.when(F.col("_named"), F.col("_t")).otherwise(F.col("_th")).alias("total_feeds"), "article_count", "prio_rank",
     )
+    order = {"articles": [F.asc("article_count")], "most": [F.desc("article_count")]}.get(sort, [])
+    return selections.article_count_filter(counted, mode).orderBy(*order, *names, "id").limit(most)
 
 
-def symbol_search(symbols: DataFrame, articles: DataFrame, query: str, most: int = 500) -> DataFrame:
-    """Symbols whose name or industry contains the query, with article counts."""
-    hit = F.contains(F.lower("company_name"), F.lit(query.lower())) | F.coalesce(F.contains(F.lower("industry"), F.lit(query.lower())), F.lit(False))
-    counts = articles.groupBy("symbol_id").agg(F.count("*").alias("n_articles"))
-    return (
-        symbols.filter(hit).join(counts, F.col("id") == F.col("symbol_id"), "left")
-        .select("id", "company_name", "industry", F.coalesce("n_articles", F.lit(0)).alias("n_articles")).orderBy("company_name", "id").limit(most)
-    )
+def ingest_articles(raw: DataFrame, stored: DataFrame, *, recipe: str = "url|title|time") -> DataFrame:
+    """The stored articles after a batch of parsed ones.
 
+    ``raw`` has ``url, title, published_at, summary, html`` and whatever else
+    ``stored`` has; rows need a title. The page's text, where it has one, stands
+    beside the summary; of equal hashes the first by address counts, and what is
+    stored stays as it is.
+    """
+    hashed = selections.nonblank_title(raw).withColumn("article_hash", article_hash("url", "title", "published_at", recipe))
+    fresh = hashed.join(stored.select("article_hash"), "article_hash", "left_anti")
+    read = fresh.withColumn("full_text", F.coalesce(parse.body_text("html"), F.lit("")))
+    return upsert.append_new(stored, read.select(*stored.columns), "article_hash", [F.col("url"), F.col("title")])
+
+
+def refresh_sector_map(screener: DataFrame, symbols: DataFrame, catalog: DataFrame, snapshots: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """One refresh from a normalised screener: ``catalog``, ``symbols``, ``snapshots`` and ``stats``.
+
+    New sector and industry pairs join the catalog, unrated; symbols take over
+    what is not null; each gets one snapshot a day as JSON, of which the latest
+    counts. ``symbols`` has ``id, symbol`` and may have the screener's columns;
+    ``catalog`` has ``sector_name, industry_name, multiplier, last_llm_run_at``;
+    ``snapshots`` has ``symbol_id, snapshot_date, data``.
+    """
+    rows = screener.join(symbols.select(F.col("id"), F.upper("symbol").alias("ticker")), "ticker").withColumns({c: F.nullif(c, F.lit("")) for c in ("sector", "industry")})
+    pairs = rows.filter("sector IS NOT NULL AND industry IS NOT NULL").select(F.col("sector").alias("sector_name"), F.col("industry").alias("industry_name")).distinct()
+    new = pairs.join(catalog, ["sector_name", "industry_name"], "left_anti").withColumns({"multiplier": F.lit(1.0), "last_llm_run_at": F.lit(None).cast("timestamp")})
+    grown = catalog.unionByName(new.select(*catalog.columns))
+    patched = upsert.patch_non_null(symbols, rows, "id", [c for c in rows.columns if c in symbols.columns and c not in ("id", "symbol")])
+    values = [c for c in rows.columns if c not in ("id", "ticker")]
+    today = rows.select(F.col("id").alias("symbol_id"), as_of.cast("date").alias("snapshot_date"), F.to_json(F.struct(*values)).alias("data"))
+    kept = upsert.upsert(snapshots, today.select(*snapshots.columns), ["symbol_id", "snapshot_date"], [F.col("data")])
+    known = symbols.select("id").join(rows.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left")
+    stats = known.agg(F.count("_hit").alias("mapped"), F.count_if(F.col("_hit").isNull()).alias("missing"))
+    return {"catalog": grown, "symbols": patched, "snapshots": kept, "stats": stats}
+
+
+def sync_universe(live: DataFrame, symbols: DataFrame, exchange: str, as_of: Column) -> dict[str, DataFrame]:
+    """Bring stored symbols of an exchange in line with its live listing.
+
+    ``live`` has ``ticker`` (EXCHANGE:NAME) and ``company_name``; ``symbols`` has
+    ``symbol, company_name, status``. Gives ``actions`` by symbol, ``symbols``
+    after them, and the ``audit`` row.
+    """
+    listed = selections.live_exchange(live, exchange).select(F.upper(F.split_part("ticker", F.lit(":"), F.lit(2))).alias("symbol"), "company_name")
+    listed = dedup.keep_first(listed, ["symbol"], [F.col("company_name")])
+    actions = joins.reconcile(listed, symbols, "symbol", "company_name", "status")
+    status = F.when(F.col("action") == "delisted", False).when(F.col("action").isin("new", "restored"), True).otherwise(F.coalesce("status", F.lit(False)))
+    after = actions.join(symbols.select("symbol", "status"), "symbol", "left").select("symbol", "company_name", status.alias("status"))
+    return {"actions": actions, "symbols": after, "audit": upsert.run_audit(actions, "sync_universe", as_of, F.lit(False))}
 
-def filing_signals(articles: DataFrame) -> DataFrame:
-    """Rule-based signals of filings, one row for each rule that fires."""
-    form = F.col("form_type")
-    rules = [
-        ("late_annual", -0.05, form == "NT 10-K"), ("late_quarterly", -0.03, form == "NT 10-Q"), ("stake", 0.05, form == "SC 13D"), ("stake_change", 0.02, form == "SC 13D/A"),
-        ("passive_stake", 0.02, form == "SC 13G"), ("passive_stake_change", 0.01, form == "SC 13G/A"), ("shelf", -0.02, form == "S-3"), ("offering", -0.04, form.startswith("424B")),
-        ("negative_event", -0.01, (form == "8-K") & (F.col("score") < 0)),
-    ]
-    fired = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("signal_type"), F.lit(m).alias("modifier"))) for n, m, c in rules)))
-    return articles.select("id", "symbol_id", F.col("published_at").alias("filed_at"), F.explode(fired).alias("s")).select("id", "symbol_id", "filed_at", "s.*")
+
+def research_multipliers(pending: DataFrame, catalog: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
+    """Raise catalog multipliers by rated research, and mark its articles as done.
+
+    ``pending`` has ``article_id, sector_name, industry_name, growth, rationale,
+    seq``; ``catalog`` ``sector_name, industry_name, multiplier, rationale``;
+    ``articles`` ``id, llm_processed``.
+    """
+    signals = pending.withColumn("multiplier", scoring.growth_to_multiplier("growth"))
+    raised = upsert.raise_multiplier(catalog, signals, ["sector_name", "industry_name"])
+    return {"catalog": raised, "articles": upsert.mark_processed(articles, pending.select(F.col("article_id").alias("id")), "id", "llm_processed")}
+
+
+#: Figures of the annual and the quarterly charts.
+ANNUAL_FIGURES = (
+    "revenue", "gross_margin", "operating_margin", "net_margin", "operating_cash_flow", "free_cash_flow", "net_income", "cash_and_equivalents", "total_debt",
+    "shares_outstanding", "rd_spend", "sga_spend",
+)
+QUARTERLY_FIGURES = ("revenue", "gross_margin", "operating_margin", "net_margin", "operating_cash_flow", "capex", "cash_and_equivalents")
+
+
+def filing_dashboard(filings: DataFrame, signals: DataFrame, scored: DataFrame, as_of: Column, *, n: int = 200, n_signals: int = 100, last: int = 5) -> dict[str, DataFrame]:
+    """What a dashboard of filings shows, for all symbols at once or those of the tables.
+
+    ``filings``: ``id, symbol_id, form_type, published_at, score, title,
+    article_summary, extracted_facts`` (JSON); ``signals`` as of
+    ``filing_signals``; ``scored``: scored articles of any form. Tables:
+    ``counts`` by family, ``annual`` and ``quarterly`` figures of the last
+    filings, ``events``, ``composition`` and ``coverage``.
+    """
+    newest = dedup.newest_n(filings.filter("form_type IS NOT NULL"), "symbol_id", n, [F.desc("published_at"), F.desc("id")])
+    recent = dedup.newest_n(signals, "symbol_id", n_signals, [F.desc("filed_at"), F.desc("id"), F.col("signal_type")])
+    by_family = dedup.last_n_by_family(newest, last, family=aggregates.family("form_type"))
+
+    def figures(family: str, names: tuple[str, ...]) -> DataFrame:
+        own = by_family.filter(F.col("family") == family)
+        found = facts.extract_figures(own.select("id", "extracted_facts"), "extracted_facts", list(names))
+        wide = found.groupBy("id").agg(*(F.max(F.when(F.col("key") == x, F.col("amount"))).alias(x) for x in names))
+        return own.select("id", "symbol_id", "published_at").join(wide, "id", "left")
+
+    annual = figures("10-K", ANNUAL_FIGURES).withColumn("label", F.year("published_at").cast("string"))
+    return {
+        "counts": aggregates.family_counts(newest, "symbol_id", "form_type"),
+        "annual": annual,
+        "quarterly": dedup.quarter_series(figures("10-Q", QUARTERLY_FIGURES)),
+        "events": selections.event_timelines(newest, recent),
+        "composition": aggregates.score_composition(scored),
+        "coverage": aggregates.coverage_heatmap(newest, as_of, keys=("symbol_id",)),
+    }
+
+
+def symbol_report(symbols: DataFrame, articles: DataFrame, macro: DataFrame, snapshots: DataFrame, n: int = 50) -> DataFrame:
+    """The newest scored articles of each symbol, with their share of its score.
+
+    Each row carries the symbol's name, multipliers, decomposed score and latest
+    snapshot. ``symbols`` has ``final_score`` and ``ai_multiplier``.
+    """
+    newest = dedup.newest_n(articles.filter("score IS NOT NULL"), "symbol_id", n, [F.desc("published_at"), F.desc("id")])
+    shares = dedup.contribution_share(newest, "symbol_id", "score", least_total=1e-9)
+    rated = scoring.score_decomposition(joins.multiplier_by_containment(symbols, macro))
+    latest = dedup.keep_first(snapshots, ["symbol_id"], [F.desc("snapshot_date")]).select("symbol_id", "snapshot_date", "data")
+    own = rated.select(F.col("id").alias("symbol_id"), "company_name", "macro_multiplier", "final_score", "base_score", "macro_boost", "ai_boost")
+    return shares.select("id", "symbol_id", "published_at", "score", "share").join(own, "symbol_id").join(latest, "symbol_id", "left")
+
+
+def dedup_all(articles: DataFrame, *, key: str = "symbol_id", url: str = "url", title: str = "title", source: str = "source_name", score: str = "score", ts: str = "published_at", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Articles without repeated addresses, titles and language variants; and the rows after each step."""
+    by_url = dedup.keep_first(articles, [key, url], [F.col(id_col)])
+    by_title = dedup.dedup_titles(by_url, key, title, [F.col(score).isNull(), F.col(ts).desc_nulls_last(), F.col(id_col)])
+    single = dedup.dedup_language_variants(by_title, key, ts, source, score, english=F.col(url).contains("/0/en/"), id_col=id_col)
+    steps = [(df.select(F.lit(i).alias("place"), F.lit(name).alias("step"))) for i, (name, df) in enumerate((("before", articles), ("urls", by_url), ("titles", by_title), ("variants", single)))]
+    counts = steps[0]
+    for more in steps[1:]:
+        counts = counts.unionByName(more)
+    return single, counts.groupBy("place", "step").agg(F.count("*").alias("n"))
+
+
+def data_health(symbols: DataFrame, feeds: DataFrame, articles: DataFrame) -> DataFrame:
+    """``report, item, n``: feeds and articles by source, and what is missing or double."""
+    line = lambda df, report, item: df.select(F.lit(report).alias("report"), item.cast("string").alias("item"), F.col("n").cast("long").alias("n"))
+    total = lambda df: df.agg(F.count("*").alias("n"))
+    silent = aggregates.feed_article_counts(feeds, articles).filter("article_count = 0")
+    parts = [
+        line(silent.groupBy("feed_type").agg(F.count("*").alias("n")), "feeds without articles", F.col("feed_type")),
+        line(aggregates.zero_article_domains(feeds, articles), "hosts without articles", F.col("host")),
+        line(articles.groupBy("source_name").agg(F.count("*").alias("n")), "articles by source", F.col("source_name")),
+        line(total(joins.symbols_without_feed(symbols, feeds)), "symbols without feed", F.lit(None)),
+        line(total(dedup.duplicate_groups(articles, ["symbol_id", F.lower(F.trim("title")).alias("t")])), "repeated titles", F.lit(None)),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,71 +163,81 @@ def discover_feed_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     return rows.select(id_col, absolute(F.col(url_col), href).alias("feed_url"), F.when(F.col("tag").rlike("(?i)atom"), "atom").otherwise("rss").alias("feed_type")).distinct()
 
 
-def normalize_screener(df: DataFrame, wanted: DataFrame, numbers: list[str]) -> DataFrame:
-    """Market rows of wanted tickers; bad, NaN and infinite numbers as null."""
+# A screener's field and the column it fills.
+SCREENER_FIELDS = {
+    "close": "close_price", "change": "price_change", "price_earnings_ttm": "price_earnings_ttm", "price_book_fq": "price_book_ratio",
+    "earnings_per_share_diluted_ttm": "earnings_per_share_basic_ttm", "price_earnings_growth_ttm": "price_earnings_growth_ttm", "total_revenue": "total_revenue",
+    "net_income": "net_income", "gross_margin": "gross_margin", "operating_margin": "operating_margin", "net_margin": "net_margin", "return_on_equity": "return_on_equity",
+    "debt_to_equity": "debt_to_equity", "current_ratio_mrq": "current_ratio", "RSI": "rsi", "SMA200": "sma200", "High.52W": "price_52_week_high",
+    "relative_volume_10d_calc": "relative_volume_10d_calc", "average_volume_30d_calc": "average_volume_30d_calc", "earnings_release_next_date": "earnings_release_date",
+    "Dividends.Yield.Current": "dividend_yield_recent", "number_of_employees": "number_of_employees", "market_cap_calc": "market_cap_formatted",
+}
+TEXT_FIELDS, WHOLE_FIELDS, TIME_FIELDS = ("market_cap_formatted",), ("number_of_employees",), ("earnings_release_date",)
+
+
+def finite(value: Column) -> Column:
+    """A number, or null for what is none, not a number, or infinite."""
+    x = value.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def normalize_screener(df: DataFrame, wanted: DataFrame, fields: dict[str, str] = SCREENER_FIELDS) -> DataFrame:
+    """Market rows of wanted tickers, under the library's names.
+
+    Tickers lose their exchange. Bad numbers become null; times come as
+    milliseconds since 1970 or as text; names and industries are trimmed.
+    Fields that ``df`` lacks are left out.
+    """
     bare = F.upper(F.element_at(F.split("ticker", ":"), -1))
-    clean = {c: F.when(~F.isnan(F.col(c).try_cast("double")) & (F.abs(F.col(c).try_cast("double")) != float("inf")), F.col(c).try_cast("double")) for c in numbers}
-    return df.withColumn("ticker", bare).withColumns(clean).join(wanted.select(F.upper("ticker").alias("ticker")), "ticker", "left_semi")
-
-
-_DROPPED = {"script", "style", "nav", "footer", "header", "aside"}
-
-
-class _Paragraphs(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skip, self.articles, self.depth, self.paragraphs, self.body, self.open = 0, [], 0, [], [], False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _DROPPED:
-            self.skip += 1
-        elif tag in ("article", "main"):
-            self.depth += 1
-        elif tag == "p":
-            self.paragraphs.append([])
-            self.open = True
-
-    def handle_endtag(self, tag):
-        if tag in _DROPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag in ("article", "main"):
-            self.depth = max(0, self.depth - 1)
-        elif tag == "p":
-            self.open = False
-
-    def handle_data(self, data):
-        if not self.skip:
-            if self.depth:
-                self.articles.append(data)
-            if self.open and self.paragraphs:
-                self.paragraphs[-1].append(data)
-
-
-def body_text(html: str | None, most: int = 100_000) -> str | None:
-    """The article's body if it is long enough, else its long paragraphs."""
-    if html is None:
-        return None
-    parser = _Paragraphs()
-    parser.feed(html)
-    parser.close()
-    body = " ".join(" ".join(parser.articles).split())
-    if len(body) > 200:
-        return body[:most]
-    long = [p for p in (" ".join("".join(x).split()) for x in parser.paragraphs) if len(p) > 40]
-    return "\n".join(long)[:most] if sum(map(len, long)) > 200 else None
+    columns = []
+    for field, name in fields.items():
+        if field not in df.columns:
+            continue
+        c = F.col(f"`{field}`")
+        if name in TEXT_FIELDS:
+            c = F.left(c.cast("string"), F.lit(50))
+        elif name in WHOLE_FIELDS:
+            c = finite(c).cast("long")
+        elif name in TIME_FIELDS:
+            millis = c.try_cast("double")
+            c = F.coalesce(F.timestamp_millis(millis.cast("long")), to_utc(c.cast("string")))
+        else:
+            c = finite(c)
+        columns.append(c.alias(name))
+    others = [F.trim(c).alias(c) for c in ("sector", "industry") if c in df.columns]
+    rows = df.select(bare.alias("ticker"), *others, *columns)
+    return rows.join(wanted.select(F.upper("ticker").alias("ticker")), "ticker", "left_semi")
+
+
+# Parts of a page that are no text, and what holds an article.
+NO_TEXT = ("script", "style", "nav", "footer", "header", "aside")
+BODIES = (
+    r"<article\b[^>]*>(.*?)</article>",
+    r"<([a-z]+)[^>]*class=.[^\"'>]*(?:article-body|news-body|press-release|body__content)[^>]*>(.*?)</\1>",
+    r"<main\b[^>]*>(.*?)</main>",
+)
+LONGEST_BODY, LEAST_BODY, LEAST_PARAGRAPH = 100_000, 200, 40
+
+
+def body_text(html: Column | str) -> Column:
+    """An article's text: its body if that is long enough, else its long paragraphs; null if there is none.
+
+    By patterns, not by a tree: a block ends at the first closing tag of its
+    kind. Bodies need over 200 signs; so do all paragraphs of over 40 together.
+    """
+    h = F.col(html) if isinstance(html, str) else html
+    for tag in NO_TEXT:
+        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    bodies = [T.strip_html(F.regexp_extract(h, "(?is)" + p, 1 if p.count("(.*?)") and "\\1" not in p else 2)) for p in BODIES]
+    paragraphs = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), T.strip_html)
+    joined = F.array_join(F.filter(paragraphs, lambda p: F.length(p) > LEAST_PARAGRAPH), " ")
+    found = F.coalesce(*(F.when(F.length(b) > LEAST_BODY, b) for b in [*bodies, joined]))
+    return F.left(found, F.lit(LONGEST_BODY))
 
 
 def html_to_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace ``html_col`` by ``body``; null where there is no article."""
-    keep = [c for c in df.columns if c != html_col]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keep].assign(body=[body_text(x) for x in batch[html_col]])
-
-    schema = df.select(*keep, F.lit("").cast("string").alias("body")).schema
-    schema["body"].nullable = True
-    return df.mapInPandas(each, schema)
+    return df.withColumn("body", body_text(html_col)).drop(html_col)
 
 
 def strip(df: DataFrame, html_col: str) -> DataFrame:

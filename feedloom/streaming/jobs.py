@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,12 +9,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import upsert
+from ..operators import dedup, upsert
+
+#: Folders by key hash in a store that ``append_batches`` writes.
+BUCKETS = 64
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
+
+    On one machine (tests) a session may name none; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="feedloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed_stream(df: DataFrame, name: str, files: int = 4) -> DataFrame:
+    """The rows as a stream, landed as files of which a batch takes ``files``."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def live_articles(stream: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Arrivals of known symbols, however old; ``append_batches`` drops what is stored."""
-    return stream.join(F.broadcast(symbols.filter("status").select(F.col("id").alias("symbol_id"))), "symbol_id")
+    """Arrivals of active symbols, however old; ``append_batches`` drops what is stored."""
+    return stream.join(symbols.filter("status").select(F.col("id").alias("symbol_id")), "symbol_id")
 
 
 def bucket_dedup(stream: DataFrame, *, ts: str = "published_at", late: str = "10 minutes") -> DataFrame:
@@ -29,20 +52,53 @@ def throughput(stream: DataFrame, *, ts: str = "scored_at", late: str = "1 hour"
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "24 hours", "1 hour").alias("w"), "kind").agg(F.count("*").alias("n"))
 
 
+def running_state(stream: DataFrame, *, rate: float = 0.0007, grace_hours: float = 30.44 * 24, reference: str = "2024-01-01") -> DataFrame:
+    """A running fold per symbol: sums that decay at read time, and the last values.
+
+    ``stream`` has ``id, symbol_id, published_at, score, summary``. Each batch
+    gives, for each touched symbol, the sums of score and weight relative to
+    ``reference``, the newest time, and the score and summary of the newest
+    article. A weight after its grace is exp(rate * (t + grace - now)), so the
+    sums times exp(-rate * (now - reference)) are the decayed ones; rows still
+    in grace weigh one and are added by the reader from the last month. The
+    state is a grouped aggregation, whatever the order of arrival.
+    """
+    hours = (F.unix_micros("published_at") - F.unix_micros(F.lit(reference).cast("timestamp"))) / 3.6e9 + grace_hours
+    w, order = F.exp(rate * hours), F.struct("published_at", "id")
+    scored = stream.filter("score IS NOT NULL AND published_at IS NOT NULL")
+    return scored.groupBy("symbol_id").agg(
+        F.sum(F.col("score") * w).alias("weighted"), F.sum(w).alias("weight"), F.max("published_at").alias("newest"), F.max_by("score", order).alias("last_score"), F.max_by("summary", order).alias("last_summary")
+    )
+
+
 def append_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends rows of keys not stored yet."""
+    """A ``foreachBatch`` function that appends rows of keys not stored yet.
+
+    The store is divided by a hash of the key, and a batch reads those parts
+    alone that its keys fall into. A batch that runs twice appends nothing new.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in fresh.select("key_bucket").distinct().collect()]
         try:
-            stored = spark.read.parquet(path).select(key)
+            stored = spark.read.parquet(path).filter(F.col("key_bucket").isin(touched)).select(key)
         except Exception as e:  # nothing is stored before the first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
             fresh = fresh.join(stored, key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("append").partitionBy("key_bucket").parquet(path)
+
+    return write
+
+
+def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps each batch's rows under its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part-of-batch={number}")
 
     return write
 
@@ -56,69 +112,83 @@ def raise_batches(target_of: Callable[[SparkSession], DataFrame], store: Callabl
     return write
 
 
+def incremental_scores(recompute: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], None], key: str = "symbol_id") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that recomputes the keys a batch touches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store(recompute(batch.select(key).distinct()), number)
+
+    return write
+
+
+# ---------------------------------------------------------------- runs over what is there
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def run_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bucket_dedup`` over the events as a stream, all windows closed.
+def run_batches(df: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a stream over what is there, batch by batch."""
+    path = shared_path(df.sparkSession, name)
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    A last, later event closes the open windows: the stream is the events and
-    one empty marker, which the result leaves out.
-    """
-    from ..plans import testviews
 
-    articles = testviews.articles(spark, sf_dir).select("id", F.col("symbol_id") % 10, "published_at", "score", "source_name").toDF("id", "symbol_id", "published_at", "score", "source_name")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    marker = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("symbol_id"), F.lit("2100-01-01").cast("timestamp").alias("published_at"), F.lit(None).cast("double").alias("score"), F.lit("").alias("source_name"))
-    articles.write.parquet(path)
-    marker.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(articles.schema).parquet(path)
-    return run_available(bucket_dedup(stream), "bucket-dedup").filter("id >= 0")
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of the rows that ``keep_updates`` kept, each key's last."""
+    rows = spark.read.parquet(path).drop("part-of-batch")
+    return dedup.keep_first(rows, keys, [F.desc("batch")]).drop("batch")
 
 
-def running_state(stream: DataFrame, *, rate: float = 0.0007, grace_hours: float = 30.44 * 24) -> DataFrame:
-    """An ordered fold per symbol: sums that decay at read time.
+def run_live_articles(stream: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """The store after all arrivals: active symbols' articles, one for each key."""
+    path = shared_path(stream.sparkSession, "live-articles")
+    run_batches(live_articles(stream, symbols), "live-articles", append_batches(path, key))
+    return stream.sparkSession.read.parquet(path).drop("key_bucket")
 
-    ``stream`` has ``symbol_id, published_at, score``. Each batch gives, for each
-    touched symbol, the sums of score and weight relative to ``REFERENCE`` and
-    the newest time. A weight after its grace is exp(rate * (t + grace - now)),
-    so the sums times exp(-rate * (now - reference)) are the decayed ones; rows
-    still in grace weigh one and are added by the reader from the last month.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    reference = pd.Timestamp("2024-01-01")
+def run_incremental_scores(stream: DataFrame, recompute: Callable[[DataFrame], DataFrame], key: str = "symbol_id") -> DataFrame:
+    """Scores after all arrivals, each key's as of the last batch that touched it."""
+    path = shared_path(stream.sparkSession, "incremental-scores")
+    run_batches(stream, "incremental-scores", incremental_scores(recompute, keep_updates(path), key))
+    return latest_updates(stream.sparkSession, path, [key])
 
-    def fold(key, frames, state):
-        weighted, weight, newest = state.get if state.exists else (0.0, 0.0, None)
-        for frame in frames:
-            frame = frame.dropna(subset=["score", "published_at"])
-            hours = (frame["published_at"] - reference).dt.total_seconds() / 3600 + grace_hours
-            w = (rate * hours).map(math.exp)
-            weighted, weight = weighted + float((frame["score"] * w).sum()), weight + float(w.sum())
-            if len(frame):
-                last = frame["published_at"].max()
-                newest = last if newest is None else max(pd.Timestamp(newest), last)
-        state.update((weighted, weight, newest))
-        yield pd.DataFrame({"symbol_id": [key[0]], "weighted": [weighted], "weight": [weight], "newest": [newest]})
 
-    fields = "weighted double, weight double, newest timestamp"
-    return stream.groupBy("symbol_id").applyInPandasWithState(fold, f"symbol_id long, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
+def run_running_state(stream: DataFrame) -> DataFrame:
+    path = shared_path(stream.sparkSession, "running-state")
+    run_batches(running_state(stream), "running-state", keep_updates(path), "update")
+    return latest_updates(stream.sparkSession, path, ["symbol_id"])
 
 
-def incremental_scores(recompute: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], None], key: str = "symbol_id") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that recomputes the keys a batch touches."""
+def run_monotone_multipliers(signals: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("sector_name", "industry_name")) -> DataFrame:
+    """The target after all signals; each batch starts from what the one before wrote."""
+    spark = signals.sparkSession
+    state = {"path": shared_path(spark, "multipliers")}
+    target.write.parquet(state["path"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        store(recompute(batch.select(key).distinct()), number)
+    def store(raised: DataFrame, number: int) -> None:
+        following = shared_path(spark, f"multipliers-{number}")
+        raised.write.parquet(following)
+        state["path"] = following
 
-    return write
+    run_batches(signals, "multipliers", raise_batches(lambda s: s.read.parquet(state["path"]), store, list(keys)))
+    return spark.read.parquet(state["path"])
+
+
+def run_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bucket_dedup`` over the events as a stream, all windows closed.
+
+    A last, later event closes the open windows; the result leaves it out.
+    """
+    from ..plans import testviews
+
+    articles = testviews.articles(spark, sf_dir).select("id", (F.col("symbol_id") % 10).alias("symbol_id"), "published_at", "score", "source_name")
+    marker = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("symbol_id"), F.lit("2100-01-01").cast("timestamp").alias("published_at"), F.lit(None).cast("double").alias("score"), F.lit("").alias("source_name"))
+    stream = landed_stream(articles.unionByName(marker), "bucket-events", 1_000)
+    return run_available(bucket_dedup(stream), "bucket-dedup").filter("id >= 0")

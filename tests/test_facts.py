@@ -37,18 +37,23 @@ def test_sections_titles_and_reports(spark):
 
 
 def test_violations_and_hook(spark):
-    df = spark.createDataFrame([(1, "s" * 120, 0.5, "c"), (2, "short", 2.0, None), (3, None, None, None)], "id int, summary string, score double, calibration string")
-    got = {r.id: r.v for r in df.select("id", facts.violations("summary", "score", "calibration").alias("v")).collect()}
-    assert got == {1: [], 2: ["summary", "score", "calibration"], 3: ["summary", "score"]}
+    rows = [(1, "s" * 120, 0.5, "c", "f", "p" * 400), (2, "short", 2.0, None, " ", "p" * 400), (3, None, None, None, None, None), (4, "short", 0.0, None, "f", None)]
+    df = spark.createDataFrame(rows, "id int, summary string, score double, calibration string, forecast string, former string")
+    got = {r.id: r.v for r in df.select("id", facts.violations("summary", "score", "calibration", "forecast", F.col("former")).alias("v")).collect()}
+    assert got == {1: [], 2: ["summary", "score", "calibration", "forecast"], 3: ["summary", "score", "forecast"], 4: []}
     hooked = facts.score_articles(df.select("id"), lambda b: b.assign(score=b.id * 0.1), "id int, score double")
-    assert sorted(r.score for r in hooked.collect()) == pytest.approx([0.1, 0.2, 0.3])
+    assert sorted(r.score for r in hooked.collect()) == pytest.approx([0.1, 0.2, 0.3, 0.4])
 
 
 def test_running_state(spark, tmp_path):
-    df = spark.createDataFrame([(1, "2024-01-02 00:00:00", 0.5), (1, "2024-01-03 00:00:00", -0.5), (2, "2024-01-01 00:00:00", None)], "symbol_id long, at string, score double").withColumn("published_at", F.to_timestamp("at")).drop("at")
-    df.write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = jobs.running_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.symbol_id: r for r in seen}
-    assert got[1].newest.day == 3 and got[1].weighted < 0 < got[1].weight and got[2].weight == 0.0
+    rows = [(1, 1, "2024-01-02 00:00:00", 0.5, "old"), (2, 1, "2024-01-03 00:00:00", -0.5, "new"), (3, 2, "2024-01-01 00:00:00", None, "x")]
+    df = spark.createDataFrame(rows, "id long, symbol_id long, at string, score double, summary string").withColumn("published_at", F.to_timestamp("at")).drop("at")
+    got = {r.symbol_id: r for r in jobs.run_running_state(jobs.landed_stream(df.repartition(3), "state", 1)).collect()}
+    assert set(got) == {1} and got[1].newest.day == 3 and got[1].weighted < 0 < got[1].weight
+    assert (got[1].last_score, got[1].last_summary) == (-0.5, "new")
+
+
+def test_clean_numbers_at_any_depth(spark):
+    df = spark.createDataFrame([(1, [1.0, float("nan")], {"a": float("inf"), "b": 2.0}, (float("nan"), "t"), 3)], "id int, l array<double>, m map<string,double>, s struct<x:double,y:string>, n int")
+    (r,) = facts.clean_numbers(df, ["l", "m", "s", "n"]).collect()
+    assert r.l == [1.0, None] and r.m == {"a": None, "b": 2.0} and (r.s.x, r.s.y) == (None, "t") and r.n == 3

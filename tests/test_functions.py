@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import scoring, text
-from feedloom.operators import dedup, joins, upsert
+from feedloom.operators import dedup, filings, joins, upsert
 
 
 def column(spark, values, schema, expr):
@@ -51,7 +51,10 @@ def test_figures_and_text(spark):
     assert column(spark, ["http://a/Default.aspx", "https://www.nasdaq.com/x", "http://z"], "t string", text.detect_platform("t")) == ["q4ir", "nasdaq", "generic"]
     body = "intro\nItem 1. Business\nwe sell\nbolts\nItem 2. Properties\nland"
     assert column(spark, [body, "none", None], "t string", text.find_section("t", r"^Item 1\.", r"^Item 2\.", 100)) == ["Item 1. Business\nwe sell\nbolts", None, None]
-    assert column(spark, [1234567.0, 3000.0, 12.0, 2.5e9], "t double", text.format_volume("t")) == ["1.2M", "3K", "12", "2.5B"]
+    assert column(spark, [1234567.0, 3000.0, 12.0, 2.5e9], "t double", text.format_volume("t")) == ["1.2M", "3K", "12", "2500.0M"]
+    assert column(spark, [0.1234, None], "t double", text.format_percent("t")) == ["12.3%", None]
+    assert column(spark, ["https://atom.example/x", "https://x/atom/1", "https://x/?type=atom", "https://x/press", "https://x/a.xml"], "t string", text.classify_feed_url("t")) == ["rss", "atom", "atom", None, "rss"]
+    assert column(spark, ["https://n/stocks/AB/press-releases", "q=symbol:CD|x", "https://x"], "t string", text.ticker_from_url("t", F.lit("Z"))) == ["ab", "cd", "z"]
     assert column(spark, ["A/B & C"], "t string", text.company_search_url("t", "u?q=")) == ["u?q=A/B%2520%2526%2520C"]
 
 
@@ -69,10 +72,30 @@ def test_writes_are_idempotent_and_monotone(spark):
     assert sorted(longer.collect()) == [(1, "long text", "n"), (2, "x", "n"), (3, None, "n")]
 
 
-def test_catalog_bound_is_checked(spark):
-    with pytest.raises(ValueError):
-        joins.bounded(spark.range(20), most=10)
-    assert joins.bounded(spark.range(10), most=10).count() == 10
+def test_containing_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    needles, texts = sorted({word(rng.randint(1, 6)) for _ in range(60)}), sorted({word(rng.randint(0, 12)) for _ in range(80)})
+    got = joins.containing(spark.createDataFrame([(x,) for x in [*needles, ""]], "n string"), "n", spark.createDataFrame([(x,) for x in texts], "t string"), "t")
+    assert sorted((r.n, r.t) for r in got.collect()) == sorted((n, t) for n in needles for t in texts if n in t)
+
+
+def test_ranks_move_and_append(spark):
+    queue = spark.createDataFrame([(5, 1, "2024-01-01"), (6, 2, "2024-01-02"), (7, 2, "2024-01-01")], "id long, rank int, added_at string")
+    ids = spark.createDataFrame([(7,), (9,)], "id long")
+    assert [(r.id, r.rank) for r in dedup.move_to_front(queue, ids, F.lit("2024-02-01")).orderBy("rank").collect()] == [(7, 1), (9, 2), (5, 3), (6, 4)]
+    assert [(r.id, r.rank) for r in dedup.append_rank(queue, ids, F.lit("2024-02-01")).orderBy("rank", "id").collect()] == [(5, 1), (6, 2), (7, 2), (9, 3)]
+
+
+def test_filing_texts_by_form(spark):
+    body = "Preface\nItem 1A. Risk Factors\nmuch    risk\nItem 1B. None\nItem 7. Results\ngrew\nItem 8. Tables\nend"
+    rows = [("10-K", body), ("10-K/A", "nothing"), ("NT 10-K", "n" * 9_000), ("8-K", "short"), ("8-K", "x\n" * 20_000 + "Item 5.02 New head\nA. Person\nSignatures"), ("X", "whole"), ("4", None)]
+    got = column(spark, rows, "f string, t string", filings.filing_text("f", "t"))
+    assert got[0] == "=== RISK FACTORS (Item 1A) ===\nItem 1A. Risk Factors\nmuch risk\n\n=== MANAGEMENT DISCUSSION & ANALYSIS (Item 7) ===\nItem 7. Results\ngrew"
+    assert got[1] is None and len(got[2]) == 8_000 and got[3] == "short" and got[5] == "whole" and got[6] is None
+    assert got[4] == "=== Item 5.02: Director/Officer Changes ===\nItem 5.02 New head\nA. Person"
 
 
 def test_dedup_leaves_no_duplicate_key(spark):
@@ -85,12 +108,12 @@ def test_fallback_and_forms(spark):
     a, b = spark.createDataFrame([(1, "p")], "k int, v string"), spark.createDataFrame([(1, "f"), (2, "f")], "k int, v string")
     assert sorted(joins.with_fallback(a, b, "k").collect()) == [(1, "p"), (2, "f")]
     symbols = spark.createDataFrame([(1, True), (2, True), (3, False)], "id long, status boolean")
-    registry = spark.createDataFrame([("10-K", True), ("6-K", False)], "form string, all_symbols boolean")
+    registry = [filings.Form("10-K", 1, 1.0, 1, True, 1), filings.Form("6-K", 1, 1.0, 1, False, 1)]
     feeds = spark.createDataFrame([(1,)], "symbol_id long")
     assert sorted(joins.form_assignment(symbols, registry, feeds).collect()) == [(1, "10-K"), (2, "10-K"), (2, "6-K")]
     picks = spark.createDataFrame([("[2] Tech | Software",), ("tech/software",), ("SOFTWARE",), ("the application software kind",), ("other",)], "pick string")
     catalog = spark.createDataFrame([("Tech", "Software"), ("Tech", "Application Software")], "sector_name string, industry_name string")
-    assert [r.snapped for r in joins.snap_to_catalog(picks, catalog).orderBy("pick").collect()] == ["Tech | Software", "Tech | Software", "", "Tech | Software", "Tech | Application Software"]
+    assert [r.snapped for r in joins.snap_to_catalog(picks, catalog).orderBy("pick").collect()] == ["Tech | Software", "Tech | Software", "", "Tech | Software", ""]
 
 
 def test_catalog_entries_that_contain_the_pick(spark):

@@ -58,8 +58,11 @@ def test_files(spark, tmp_path):
     assert sorted((r.symbol, r.status, r.feed_url) for r in parse.read_watchlist(spark, str(tmp_path / "w.json")).collect()) == [("ABC", True, "u"), ("D", False, "w")]
     (tmp_path / "s.csv").write_text("organization,url\nA,u\nB,u,5\nC,v\n")
     assert sorted(parse.read_source_list(spark, str(tmp_path / "s.csv")).collect()) == [("u", "A"), ("v", "C")]
-    screener = spark.createDataFrame([("NYSE:abc", "1.5"), ("X:q", "2"), ("NASDAQ:d", "NaN")], "ticker string, price string")
-    assert sorted(parse.normalize_screener(screener, spark.createDataFrame([("ABC",), ("D",)], "ticker string"), ["price"]).collect(), key=str) == [("ABC", 1.5), ("D", None)]
+    rows = [("NYSE:abc", "1.5", 7.9, "86400000", " Tech "), ("X:q", "2", 1.0, None, None), ("NASDAQ:d", "NaN", float("inf"), "2024-01-02", "")]
+    screener = spark.createDataFrame(rows, "ticker string, close string, number_of_employees double, earnings_release_next_date string, sector string")
+    got = {r.ticker: r for r in parse.normalize_screener(screener, spark.createDataFrame([("ABC",), ("D",)], "ticker string")).collect()}
+    assert set(got) == {"ABC", "D"} and (got["ABC"].close_price, got["ABC"].number_of_employees, got["ABC"].sector, got["ABC"].earnings_release_date.day) == (1.5, 7, "Tech", 2)
+    assert (got["D"].close_price, got["D"].number_of_employees, got["D"].earnings_release_date.day) == (None, None, 2)
 
 
 def test_streams_equal_batch(spark, tmp_path):
