@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import materialize, most_frequent, slices, texts_of
 
 END = b"\n"
 #: Words that are symbols, words looked up without a join, and ending classes; bounds.
 SYMBOLS, LOOKED_UP, CLASSES = 32_768, 200_000, 256
-STATES, ROUNDS = 8, 27
+STATES = 8
+#: Rounds over all training documents. On 3.6 million tokens the held-out score per
+#: token is -2.971 after 2 rounds, -2.912 after 8 and -2.901 after 27.
+ROUNDS = 8
 #: Share of the unigram in each state's emissions.
 MIX = 0.1
 #: Symbols whose counts travel in one row.
@@ -88,15 +91,8 @@ def vocabulary_of(counts: DataFrame, *, symbols: int = SYMBOLS, looked_up: int =
     The cut falls between two cells of a histogram of log counts, so words of
     equal count stay together and only bounded tables reach the driver.
     """
-    cell = F.floor(F.log2("c") * 64)
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, held = None, 0
-    for row in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
-        held += row["count"]
-        if held > looked_up:
-            break
-        least = row["cell"]
-    top = counts.filter(cell >= least if least is not None else F.lit(False)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    top = most_frequent(counts, looked_up).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c = top["word"].combine_chunks(), top["c"].to_numpy().astype(np.int64)
     ending = F.crc32(F.right("word", F.lit(2)).cast("binary")) % CLASSES
     mass = np.zeros(CLASSES)
