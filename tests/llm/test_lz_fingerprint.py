@@ -67,3 +67,22 @@ def test_tricky_rows(spark, tricky):
     assert lz.edited_likeness(tricky.limit(0)).count() == 0
     assert [r.near_next for r in lz.edited_likeness(tricky.filter("doc_id = 5")).collect()] == [1.0]
     assert lz.fingerprints(tricky).count() == len(TRICKY)
+
+
+def plain_fingerprint(text):
+    """The smallest distinct 32-bit hashes of the phrases, in plain whole numbers."""
+    out = set()
+    for phrase in phrases(text):
+        h = 0x9E3779B97F4A7C1
+        for c in phrase:
+            h = (h * 0x5851F42D4C957F2D + ord(c) + 1) % 2**60
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % 2**64
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) % 2**64
+        out.add((h ^ (h >> 31)) >> 32)
+    return "".join(f"{x:08x}" for x in sorted(out)[: lz.SIZE])
+
+
+def test_fingerprints_against_plain_numbers(documents):
+    texts = [r.text for r in documents.limit(60).collect()] + ["", "a", "é" * 300, "ab" * 4_000]
+    for text in texts:
+        assert lz.fingerprint_text(text) == plain_fingerprint(text)

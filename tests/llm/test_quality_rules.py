@@ -55,3 +55,24 @@ def test_learning_without_labels(spark, tricky):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert qr.learn_rules(tricky, labels).rules == []
     assert qr.learn_rules(tricky, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 1, 1)], labels.schema)).rules == []
+
+
+def test_kept_follows_the_printed_list(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = qr.learn_rules(documents, spark.read.parquet(f"{sf}/labels.parquet"), least_precision=0.6, least_covered=1)
+    assert rules.rules
+
+    def first_rule(row):
+        for line in str(rules).split("\n"):
+            number, _, condition = line.partition(": reject if ")
+            parts = [x.split() for x in condition.split(" and ")]
+            if all(row[f] >= exact[f, op, t] if op == ">=" else row[f] < exact[f, op, t] for f, op, t in parts):
+                return int(number)
+        return None
+
+    exact = {tuple(str(x).split()): x.threshold for r in rules.rules for x in r}  # the print rounds
+    rows = qr.judge(documents, rules).collect()
+    for r in rows:
+        assert r.rule == first_rule(r) and r.kept == (not r.base_failed and r.rule is None)
+    assert any(r.rule for r in rows)
