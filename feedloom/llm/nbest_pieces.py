@@ -3,19 +3,21 @@
 A text's lattice has an edge for each piece that matches at a position, and one
 edge of byte pieces for each code point. Forward Viterbi scores are exact
 heuristics for a backward A-star search, so hypotheses leave its queue in order
-of their full score. No piece spans from a word into the next mark of a space or
-over a line break, so the lattice falls into units there: frequent units are
-searched once per worker, and the best segmentations of a text are the cheapest
-combinations of its units' alternatives.
+of their full score. No piece reaches from a word into the next mark of a space,
+over a line break, or from letters to other signs, so the lattice falls into
+units there. A batch's distinct units are searched side by side and remembered;
+the best segmentation of each text is gathered from them as arrays, and its
+n best are the cheapest combinations of its units' alternatives.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
 import re
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,42 @@ from .common import slices, texts_of
 
 SPACE = "\u2581"
 BEST = 3
-#: Units in each of the two generations that a worker remembers, and the longest.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 40
+#: Units that a task remembers before it starts afresh, and the longest searched as arrays.
+CACHE_ENTRIES, ALIKE_CHARS = 300_000, 40
+#: Units whose alternatives a task remembers, and bytes of text in a batch.
+ALTERNATIVES, BATCH_BYTES = 20_000, 3 << 19
 #: Cost of a byte piece in millionths, so that bytes stand in only where pieces lack.
 BYTE_COST = 14_000_000
 #: Stands for no segmentation.
 _NONE = -(1 << 60)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _SLOT_FACTOR, _SLOT_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_FINE_UNITS = re.compile(f"\n|{SPACE}*[^\\W\\d_]+|{SPACE}*(?:[\\d_]|[^\\w{SPACE}\n])+|{SPACE}+")
+#: Stands for a mark that the text itself holds; spelled in bytes, in one way.
+_LITERAL = SPACE + "\n"
+
+
+def _processor(model: str | None):
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _spells(processor, i: int, piece: str) -> bool:
+    """Whether a piece stands for text, and lies within a unit."""
+    return not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i) or "\n" in piece or re.search(f"[^{SPACE}]{SPACE}", piece))
+
+
+@functools.lru_cache(maxsize=1)
+def spelled_pieces(model: str | None) -> list[bytes]:
+    """The bytes that each id stands for, none for control ids."""
+    processor = _processor(model)
+    out = []
+    for i in range(processor.get_piece_size()):
+        piece = processor.id_to_piece(i)
+        out.append(bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace(SPACE, " ").encode() if _spells(processor, i, piece) else b"")
+    return out
 
 
 class Pieces:
@@ -46,35 +76,50 @@ class Pieces:
     """
 
     def __init__(self, model: str | None = None):
-        import public_tokenizers
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_file=model or public_tokenizers.path("piece_bpe_32k.model"))
+        processor = _processor(model)
         self.ids: dict[str, tuple[int, int]] = {}
-        self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         constant = math.log(sum(1 / (r + 10) for r in range(processor.get_piece_size())))
         for i in range(processor.get_piece_size()):
             piece = processor.id_to_piece(i)
             if processor.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            elif processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i) or "\n" in piece or re.search(f"[^{SPACE}]{SPACE}", piece):
-                self.bytes_of.append(b"")
-            else:
-                self.bytes_of.append(piece.replace(SPACE, " ").encode())
+            elif _spells(processor, i, piece):
                 self.ids[piece] = (i, round(-1e6 * (math.log(len(self.ids) + 10) + constant)))
         self.longest = max(map(len, self.ids))
-        #: What any piece begins with, for the search to stop early; and its pairs of
-        #: neighbours: elsewhere no piece reaches over, and a unit may be cut.
+        #: What any piece begins with, for the search to stop early.
         self.begins: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
         hashed = {p: self._hash(p) for p in self.ids}
         if len(set(hashed.values())) < len(hashed):
             raise ValueError("two pieces share a hash")
-        ordered = sorted(self.ids, key=hashed.__getitem__)
-        self.keys = np.array([hashed[p] for p in ordered], np.uint64)
-        self.key_ids, self.key_scores = (np.array([self.ids[p][i] for p in ordered], np.int64) for i in (0, 1))
-        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        ordered = sorted(self.ids, key=lambda p: self._slot(hashed[p]))
+        # a table from a slot of the hash to its first piece; the last, empty row ends a slot
+        self.keys = np.array([*(hashed[p] for p in ordered), 0], np.uint64)
+        self.key_ids, self.key_scores = (np.array([*(self.ids[p][i] for p in ordered), (-1, 2 * _NONE)[i]], np.int64) for i in (0, 1))
+        slots, none = self._slot(self.keys[:-1]), len(ordered)
+        self.slot = np.full(1 << (64 - int(_SLOT_SHIFT)), none, np.int32)
+        self.slot[slots[::-1]] = np.arange(none)[::-1]
+        self.following = np.full(none + 1, none, np.int32)
+        self.following[:-2][slots[1:] == slots[:-1]] = np.flatnonzero(slots[1:] == slots[:-1]) + 1
+        # letters and other signs never share a piece in most models: then a unit ends there
+        letter = re.compile(r"[^\W\d_]")
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1) if p[k] != SPACE}
+        self.units = _UNITS if any(bool(letter.match(a)) != bool(letter.match(b)) for a, b in pairs) else _FINE_UNITS
+
+    def units_of(self, text: str) -> list[str]:
+        """The units of a text; literal marks come as ``_LITERAL``."""
+        if SPACE not in text:
+            return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        first, *rest = text.split(SPACE)
+        out = self.units.findall(SPACE + first.replace(" ", SPACE))
+        for part in rest:
+            out += [_LITERAL, *self.units.findall(part.replace(" ", SPACE))]
+        return out
+
+    @staticmethod
+    def _slot(hashes):
+        with np.errstate(over="ignore"):
+            return (np.asarray(hashes, np.uint64) * _SLOT_FACTOR) >> _SLOT_SHIFT
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -120,16 +165,19 @@ class Pieces:
                     second[end] = s
         return best, back, second[n]
 
-    def parts(self, unit: str) -> list[str]:
-        """``unit`` cut where no piece reaches over, if it holds marks to cut at."""
-        if unit[-1].isalnum() and "\n" not in unit:
-            return [unit]
-        pairs = self.pairs
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
-
-    def search_alike(self, units: list[str]) -> list[tuple[bytes, int, int]]:
-        """``forward`` and ``best_ids`` for units of one length, as arrays."""
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the pieces with these hashes; the last row where there is none."""
+        at = self.slot[self._slot(hashes)]
+        wrong = self.keys[at] != hashes
+        while True:
+            more = wrong & (at < len(self.keys) - 1)
+            if not more.any():
+                return at
+            at[more] = self.following[at[more]]
+            wrong[more] = self.keys[at[more]] != hashes[more]
+
+    def search_alike(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best ids in a row, their numbers, scores, and gaps to the second best, of units of one length."""
         n, k = len(units[0]), len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").reshape(k, n).T.astype(np.uint64)
         sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
@@ -140,8 +188,8 @@ class Pieces:
         for end in range(1, n + 1):
             low = max(0, end - self.longest)
             hashes[low:end] = hashes[low:end] * _STEP + codes[end - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.keys, hashes[low:end]), len(self.keys) - 1)
-            score = np.where(self.keys[at] == hashes[low:end], self.key_scores[at], 2 * _NONE)
+            at = self._places(hashes[low:end])
+            score = self.key_scores[at]
             first = np.concatenate([best[low:end] + score, (best[end - 1] - BYTE_COST * sizes[end - 1])[None]])
             top = first.argmax(axis=0)
             best[end] = first[top, every]
@@ -152,16 +200,24 @@ class Pieces:
             first[top, every] = 2 * _NONE
             others = np.maximum((second[low:end] + score).max(axis=0), second[end - 1] - BYTE_COST * sizes[end - 1])
             second[end] = np.maximum(np.maximum(first.max(axis=0), others), _NONE)
-        starts, ids, scores = starts_at.T.tolist(), ids_at.T.tolist(), best[n].tolist()
-        gaps, out = (best[n] - second[n]).tolist(), []
-        for i, unit in enumerate(units):
-            found, end, own, start = [], n, ids[i], starts[i]
-            while end:
-                piece = own[end]
-                end = start[end]
-                found += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(unit[end].encode())]
-            out.append((struct.pack(f"<{len(found)}I", *reversed(found)), scores[i], gaps[i]))
-        return out
+        # from the end back, all units in step; a byte edge holds its place with -1 for each byte
+        found, end = [], np.full(k, n)
+        while end.any():
+            live = end > 0
+            own, start = ids_at[end, every], starts_at[end, every]
+            spelled = live & (own < 0)
+            found.append(np.where(live & ~spelled, own, -1))
+            if spelled.any():
+                char = codes[np.maximum(end, 1) - 1, every].astype(np.int64)
+                width = np.where(spelled, sizes[np.maximum(end, 1) - 1, every], 0)
+                for b in range(int(width.max())):  # the last byte first
+                    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[width]
+                    byte = np.where(b == width - 1, lead | (char >> (6 * b)), 0x80 | (char >> (6 * b)) & 0x3F)
+                    found.append(np.where(b < width, np.array(self.byte_ids)[byte & 0xFF], -1))
+            end = np.where(live, start, 0)
+        steps = np.stack(found[::-1], axis=1) if found else np.empty((k, 0), np.int64)
+        there = steps >= 0
+        return steps[there], there.sum(axis=1), best[n], best[n] - second[n]
 
     def best_ids(self, unit: str, back: list) -> list[int]:
         out, end = [], len(unit)
@@ -192,140 +248,127 @@ class Pieces:
         return out
 
 
-def units_of(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE))
-
-
-class _Recent(dict):
-    """Remembers what ``make`` gives, for two generations of keys."""
+class _Rows:
+    """A growing array."""
 
-    def __init__(self, make: Callable[[str], tuple[bytes, int, int]]):
-        super().__init__()
-        self.make, self.older = make, {}
+    def __init__(self, dtype):
+        self.data, self.n = np.empty(1 << 16, dtype), 0
 
-    def __missing__(self, key: str) -> tuple[bytes, int, int]:
-        value = self.older.get(key) or self.make(key)
-        if len(key) <= CACHE_CHARS and "\n" not in key:
-            self.add(key, value)
-        return value
+    def extend(self, values: list | np.ndarray) -> None:
+        while self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
-    def add(self, key: str, value: tuple[bytes, int, int]) -> None:
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
 
-    def lacks(self, key: str) -> bool:
-        return key not in self and key not in self.older
-
-
-class _Units:
-    """unit -> (packed best ids, score, gap to the second best).
-
-    ``spaced`` is keyed without the mark of the space before it.
-    """
+class Segmenter:
+    """Finds the ``n`` best of texts; remembers units and what it found for them."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.plain = _Recent(self._search)
-        self.spaced = _Recent(lambda chunk: self._cut(SPACE + chunk))
-
-    def _cut(self, unit: str) -> tuple[bytes, int, int]:
-        """From the parts between places over which no piece reaches."""
-        found = [self.plain[x] for x in self.pieces.parts(unit)]
-        if len(found) == 1:
-            return found[0]
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
-
-    def prepare(self, texts: list[str]) -> None:
-        """Search all units of ``texts`` that are not known yet, side by side."""
-        chunks: set[str] = set()
-        for text in texts:
-            chunks.update(text.split(" "))
-        parts = {c: self.pieces.parts(SPACE + c) for c in chunks if self.spaced.lacks(c)}
-        by_length: dict[int, set[str]] = {}
-        for own in parts.values():
-            for x in own:
-                if len(x) <= CACHE_CHARS and "\n" not in x and self.plain.lacks(x):
-                    by_length.setdefault(len(x), set()).add(x)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.scores, self.gaps, self.starts, self.sizes, self.ids = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64), _Rows(np.int64), _Rows("<u4")
+        self.options: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
+
+    def _learn(self, units: set[str]) -> None:
+        """Search units that are not known yet, those of one length side by side."""
+        by_length: dict[int, list[str]] = {}
+        for unit in units:
+            if len(unit) <= ALIKE_CHARS and unit != _LITERAL:
+                by_length.setdefault(len(unit), []).append(unit)
+            elif unit == _LITERAL:
+                own = [self.pieces.byte_ids[b] for b in SPACE.encode()]
+                self._add([unit], own, [len(own)], [-BYTE_COST * len(own)], [1 << 61])
+            else:
+                best, back, second = self.pieces.forward(unit)
+                own = self.pieces.best_ids(unit, back)
+                self._add([unit], own, [len(own)], [best[-1]], [best[-1] - second])
         for same in by_length.values():
-            units = list(same)
-            for i in range(0, len(units), 4096):
-                for unit, value in zip(units[i : i + 4096], self.pieces.search_alike(units[i : i + 4096]), strict=True):
-                    self.plain.add(unit, value)
-        for chunk, own in parts.items():
-            if len(own) == 1 and len(chunk) <= CACHE_CHARS and "\n" not in chunk:
-                self.spaced.add(chunk, self.plain[own[0]])
-
-    def _search(self, unit: str) -> tuple[bytes, int, int]:
-        best, back, second = self.pieces.forward(unit)
-        ids = self.pieces.best_ids(unit, back)
-        return struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second
-
-
-def encode_text(text: str, known: _Units, n: int) -> list[tuple[int, bytes]]:
-    """The ``n`` best (score, packed ids) of a text, best first.
-
-    Only the n - 1 units with the least gaps can differ from the best choice in
-    one of the n best; ties go to the earlier unit.
-    """
-    lead = ""
-    if SPACE in text:
-        units = _around_literal_marks(text)
-        mark = (np.array([known.pieces.byte_ids[b] for b in SPACE.encode()], dtype="<u4").tobytes(), -BYTE_COST * len(SPACE.encode()), 1 << 61)
-        found = [mark if u is None else known.plain[u] for u in units]
-    elif text and (text[0] == " " or text[-1] == " " or "  " in text):
-        units = units_of(text)
-        found = [known.plain[u] for u in units]
-    else:  # one chunk for each single space: the same units, but for line breaks
-        units = text.split(" ") if text else []
-        found = list(map(known.spaced.__getitem__, units))
-        lead = SPACE
-    parts, total = [f[0] for f in found], sum([f[1] for f in found])
-    out = [(total, b"".join(parts))]
-    if n == 1 or not found:
+            for i in range(0, len(same), 4096):
+                self._add(same[i : i + 4096], *self.pieces.search_alike(same[i : i + 4096]))
+
+    def _add(self, units: list[str], ids, sizes, scores, gaps) -> None:
+        self.row.update(zip(units, range(len(self.row), len(self.row) + len(units)), strict=True))
+        self.starts.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        for rows, values in ((self.ids, ids), (self.sizes, sizes), (self.scores, scores), (self.gaps, gaps)):
+            rows.extend(values)
+
+    def _alternatives(self, unit: str, n: int) -> list[tuple[int, bytes]]:
+        """(loss, packed ids) of a unit's 2nd to ``n``-th best."""
+        if unit == _LITERAL:
+            return []
+        key = (unit, n)
+        found = self.options.get(key)
+        if found is None:
+            ranked = self.pieces.n_best(unit, n)
+            found = [(ranked[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in ranked[1:]]
+            if len(unit) <= ALIKE_CHARS:
+                if len(self.options) >= ALTERNATIVES:
+                    self.options.clear()
+                self.options[key] = found
+        return found
+
+    def segment(self, texts: list[str], n: int) -> list[list[tuple[int, bytes]]]:
+        """The ``n`` best (score, packed ids) of each text, best first.
+
+        Only the n - 1 units with the least gaps can differ from the best choice
+        in one of the n best; ties go to the earlier unit.
+        """
+        if len(self.row) > CACHE_ENTRIES:
+            self._forget()
+        units = [self.pieces.units_of(t) for t in texts]
+        flat = [u for own in units for u in own]
+        rows = np.fromiter(map(self.row.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        lacking = np.flatnonzero(rows < 0).tolist()
+        if lacking:
+            self._learn({flat[i] for i in lacking})
+            rows[lacking] = [self.row[flat[i]] for i in lacking]
+        scores, gaps, sizes = self.scores.data[rows], self.gaps.data[rows], self.sizes.data[rows]
+        ends = np.cumsum(sizes)
+        ids = self.ids.data[np.repeat(self.starts.data[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        out, at = [], 0
+        for own in units:
+            if not own:
+                out.append([(0, b"")])
+                continue
+            here = slice(at, at + len(own))
+            at += len(own)
+            first = int(ends[here.start] - sizes[here.start])
+            best = ids[first : int(ends[here.stop - 1])].tobytes()
+            total = int(scores[here].sum())
+            out.append([(total, best)] if n == 1 else self._ranked(own, total, best, gaps[here].copy(), 4 * (ends[here] - first), 4 * sizes[here], n))
         return out
-    gaps, near = [f[2] for f in found], []
-    for _ in range(min(n - 1, len(gaps))):
-        near.append(gaps.index(min(gaps)))
-        gaps[near[-1]] = 1 << 62
-    near.sort()
-    options = []  # by unit: (loss, packed ids), without its best
-    for i in near:
-        if units[i] is None:
-            options.append([])
-            continue
-        ranked = known.pieces.n_best(lead + units[i], n)
-        options.append([(ranked[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in ranked[1:]])
-    # combinations by rising loss: a state is the option taken in each near unit
-    queue, seen = [(0, (0,) * len(near))], {(0,) * len(near)}
-    while queue and len(out) < n:
-        loss, state = heapq.heappop(queue)
-        if any(state):
-            own = list(parts)
-            for i, s, choice in zip(near, state, options, strict=True):
-                if s:
-                    own[i] = choice[s - 1][1]
-            out.append((total - loss, b"".join(own)))
-        for k, s in enumerate(state):
-            if s < len(options[k]):
-                after = state[:k] + (s + 1,) + state[k + 1 :]
-                if after not in seen:
-                    seen.add(after)
-                    heapq.heappush(queue, (loss + options[k][s][0] - (options[k][s - 1][0] if s else 0), after))
-    return out
-
 
-def _around_literal_marks(text: str) -> list[str | None]:
-    """The units of a text, None for a literal mark.
-
-    A literal mark would read as a space: it is spelled in bytes, in one way.
-    """
-    first, *rest = text.split(SPACE)
-    units: list[str | None] = [*units_of(first)]
-    for part in rest:
-        units += [None, *_UNITS.findall(part.replace(" ", SPACE))]
-    return units
+    def _ranked(self, units: list[str], total: int, best: bytes, gaps: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+        near = []
+        for _ in range(min(n - 1, len(units))):
+            near.append(int(gaps.argmin()))
+            gaps[near[-1]] = 1 << 62
+        near.sort()
+        options = [self._alternatives(units[i], n) for i in near]
+        places = [(int(ends[i] - sizes[i]), int(ends[i])) for i in near]
+        out = [(total, best)]
+        # combinations by rising loss: a state is the option taken in each near unit
+        queue, seen = [(0, (0,) * len(near))], {(0,) * len(near)}
+        while queue and len(out) < n:
+            loss, state = heapq.heappop(queue)
+            if any(state):
+                parts, done = [], 0
+                for (start, end), s, choice in zip(places, state, options, strict=True):
+                    if s:
+                        parts += [best[done:start], choice[s - 1][1]]
+                        done = end
+                out.append((total - loss, b"".join([*parts, best[done:]])))
+            for k, s in enumerate(state):
+                if s < len(options[k]):
+                    after = state[:k] + (s + 1,) + state[k + 1 :]
+                    if after not in seen:
+                        seen.add(after)
+                        heapq.heappush(queue, (loss + options[k][s][0] - (options[k][s - 1][0] if s else 0), after))
+        return out
 
 
 def encode_nbest(docs: DataFrame, *, n: int = BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,14 +381,10 @@ def encode_nbest(docs: DataFrame, *, n: int = BEST, model: str | None = None, id
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Units(Pieces(model))
-        for batch in slices(batches, "text", 2 << 20):
-            known.prepare(batch["text"].to_pylist())
-            rows = [
-                (doc_id, rank, score / 1e6, ids)
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
-                for rank, (score, ids) in enumerate(encode_text(text, known, n), 1)
-            ]
+        segmenter = Segmenter(Pieces(model))
+        for batch in slices(batches, "text", BATCH_BYTES):
+            found = segmenter.segment(batch["text"].to_pylist(), n)
+            rows = [(doc_id, rank, score / 1e6, ids) for doc_id, own in zip(batch["doc_id"].to_pylist(), found, strict=True) for rank, (score, ids) in enumerate(own, 1)]
             types = [pa.int64(), pa.int32(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "rank", "score", "token_ids"])
 
@@ -358,21 +397,27 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
     Ids outside the model and control ids decode to nothing; bytes that are no
     text become replacement characters. The space before the text is taken off.
     """
-    own = encoded.drop("text")
+    without = encoded.drop("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Pieces(model).bytes_of
+        table = spelled_pieces(model)
+        sizes = np.array([len(x) for x in table])
+        starts, spelled = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         for batch in slices(batches, "token_ids", 4 << 20):
             texts = []
             for data in batch["token_ids"].to_pylist():
                 if data is None:
                     texts.append(None)
                     continue
-                raw = b"".join([table[i] for i in np.frombuffer(data, "<u4").tolist() if i < len(table)])
+                ids = np.frombuffer(data, "<u4")
+                ids = ids[ids < len(table)]
+                own = sizes[ids]
+                ends = np.cumsum(own)
+                raw = spelled[np.repeat(starts[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
                 texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
-    return own.mapInArrow(each, StructType([*own.schema.fields, StructField("text", StringType())]))
+    return without.mapInArrow(each, StructType([*without.schema.fields, StructField("text", StringType())]))
 
 
 def op8_nbest_pieces(spark, sf_dir: str) -> DataFrame:

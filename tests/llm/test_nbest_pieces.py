@@ -41,11 +41,12 @@ def test_search_against_enumeration(pieces):
 
 
 def test_text_against_enumeration(pieces):
-    known = nb._Units(pieces)
-    for text in ("to be or", "it is\nso", "a  b"):
-        per_unit = [all_segmentations(pieces, u) for u in nb.units_of(text)]
-        totals = sorted((sum(s for s, _ in c) for c in itertools.product(*(u[:8] for u in per_unit))), reverse=True)
-        got = nb.encode_text(text, known, 5)
+    known = nb.Segmenter(pieces)
+    for text in ("to be or", "it is\nso", "a  b", "so, it", "(a1) b_", "x²."):
+        whole = all_segmentations(pieces, nb.SPACE + text.replace(" ", nb.SPACE))  # without any units
+        totals = [s for s, _ in whole]
+        got = known.segment([text], 5)[0]
+        assert {ids for _, ids in got} <= {struct.pack(f"<{len(i)}I", *i) for _, i in whole}
         assert [s for s, _ in got] == pytest.approx(totals[:5])
         assert len({ids for _, ids in got}) == 5
 
@@ -78,11 +79,32 @@ def test_tricky_rows(spark, tricky):
 
 
 def test_literal_marks_leave_every_unit_open(pieces):
-    known = nb._Units(pieces)
+    known = nb.Segmenter(pieces)
     mark = tuple(pieces.byte_ids[b] for b in nb.SPACE.encode())
+    assert pieces.units_of("it▁hello so") == ["▁it", nb._LITERAL, "hello", "▁so"]
     for text, units in (("it▁hello so", ["▁it", None, "hello", "▁so"]), ("▁hello", ["▁", None, "hello"]), ("a▁▁is b▁", ["▁a", None, None, "is", "▁b", None])):
         per_unit = [[(-nb.BYTE_COST * 3, mark)] if u is None else all_segmentations(pieces, u)[:12] for u in units]
         totals = sorted((sum(s for s, _ in c) for c in itertools.product(*per_unit)), reverse=True)
-        got = nb.encode_text(text, known, 4)
+        got = known.segment([text], 4)[0]
         assert [s for s, _ in got] == totals[:4] and len({ids for _, ids in got}) == 4
         assert {ids for _, ids in got} <= {struct.pack(f"<{len(x)}I", *x) for x in (sum((i for _, i in c), ()) for c in itertools.product(*per_unit))}
+
+
+def test_query_against_the_lattice_of_whole_texts(pieces, documents):
+    """The n best of a text by one search over its whole lattice."""
+    known = nb.Segmenter(pieces)
+    texts = [r.text for r in documents.filter("length(text) < 400").limit(40).collect()] + ["x" * 60 + " y", "Ünïcödé 漢字, 12.5% (a_b)\n\tz"]
+    for text, got in zip(texts, known.segment(texts, 3), strict=True):
+        if nb.SPACE in text or not text:
+            continue
+        whole = pieces.n_best(nb.SPACE + text.replace(" ", nb.SPACE), 3)
+        assert [s for s, _ in got] == [s for s, _ in whole]
+        assert got[0][1] == struct.pack(f"<{len(whole[0][1])}I", *whole[0][1]) or whole[0][0] == whole[1][0]
+
+
+def test_forgetting_changes_nothing(pieces, monkeypatch):
+    texts = [f"word{k} other{k % 7}, more" for k in range(60)]
+    want = nb.Segmenter(pieces).segment(texts, 3)
+    monkeypatch.setattr(nb, "CACHE_ENTRIES", 5)
+    known = nb.Segmenter(pieces)
+    assert [x for t in texts for x in known.segment([t], 3)] == want
