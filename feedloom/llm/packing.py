@@ -22,22 +22,49 @@ from .common import slices, texts_of
 PIECES = "doc_id long, start long, length long, doc_tokens long, token_ids binary"
 END_ID = 1
 LONGEST = 2048
-#: Distinct chunks that a Python worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
+#: Distinct chunks that a task remembers, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 
 #: A space beside other white space or at an end: such texts are encoded whole.
 _MIXED_SPACE = re.compile(r" \s|\s |^ | $")
+#: White space but for spaces and line breaks, by far the most frequent.
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _mixed_space(text: str) -> bool:
+    """Whether ``_MIXED_SPACE`` finds anything, mostly without the pattern."""
+    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in _RARE_SPACE) and _MIXED_SPACE.search(text) is not None
+
+
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class _Chunks(dict):
-    """Remembers the encoded form of chunks; starts afresh when full."""
+    """Remembers the encoded form of chunks; starts afresh when full.
+
+    ``lead`` is put before each chunk; ``plain`` remembers chunks without any.
+    The split into words cuts between a letter or digit and the signs at a
+    chunk's end, and around a single line break, so what stands there is looked
+    up by itself.
+    """
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, plain: _Chunks | None = None):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.plain = encode, lead, self if plain is None else plain
 
     def __missing__(self, chunk: str) -> bytes:
-        value = self.encode(self.lead + chunk)
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            if lines == chunk.split():
+                line = self.plain["\n"]
+                return self[lines[0]] + b"".join([line + self.plain[x] for x in lines[1:]])
+        word = chunk.rstrip(_SIGNS)
+        if word and word is not chunk and word[-1].isalnum():
+            value = self[word] + self.plain[chunk[len(word) :]]
+        else:
+            value = self.encode(self.lead + chunk)
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -45,6 +72,21 @@ class _Chunks(dict):
         return value
 
 
+def _spelled_bytes() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary.
+
+    Bytes that print stand for themselves, the others for the signs from 256 on.
+    """
+    out, more = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or (b >= 161 and b != 173):
+            out[b] = chr(b)
+        else:
+            out[b] = chr(more)
+            more += 1
+    return out
+
+
 def byte_encoder(vocabulary: str | None = None) -> Callable[[str], bytes]:
     """A function from text to little-endian 32-bit ids, as the tokenizer gives them.
 
@@ -59,17 +101,22 @@ def byte_encoder(vocabulary: str | None = None) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    merge, spelled = tokenizer.model.tokenize, _spelled_bytes()
 
     def plain(text: str) -> bytes:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # one word: its pieces need no split
+            ids = [x.id for x in merge(text.encode().decode("latin-1").translate(spelled))]
+        else:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    first, spaced = _Chunks(plain, ""), _Chunks(plain, " ")
+    first = _Chunks(plain, "")
+    spaced = _Chunks(plain, " ", first)
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if _MIXED_SPACE.search(text) or any(s in text for s in special):
+        if _mixed_space(text) or any(s in text for s in special):
             return plain(text)
         head, *rest = text.split(" ")
         return first[head] + b"".join(map(spaced.__getitem__, rest))

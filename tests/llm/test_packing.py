@@ -18,7 +18,7 @@ def reference_ids(texts):
 def test_chunked_encoder_equals_tokenizer(documents):
     encode = packing.byte_encoder()
     texts = [r.text for r in documents.select("text").collect()] + [t or "" for _, t in TRICKY[:8]]
-    texts += ["a  b", " a", "a ", "a \n b", "a\n\nb c", "it's they'll 12 34", "<|endoftext|> x", "x <|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "a　 b", "a\x1c b"]
+    texts += ["a  b", " a", "a ", "a \n b", "a\n\nb c", "it's they'll 12 34", "<|endoftext|> x", "x <|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "a　 b", "a\x1c b", "one.\ntwo, (three)\nfour! five", "a\n\nb.", "x»., y", "dogs' it's.\nx", "²., ½!", "word\r\nword", "\nx", "x\n"]
     for text, ids in zip(texts, reference_ids(texts), strict=True):
         data = encode(text)
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == ids[:-1]
@@ -58,3 +58,10 @@ def test_tricky_rows(tricky):
     rows = packing.pack(tricky).withColumn("ids_crc32", F.crc32("token_ids")).collect()
     check_whole(rows, zip([i for i, _ in TRICKY], reference_ids([t or "" for _, t in TRICKY]), strict=True))
     assert packing.pack(tricky.limit(0)).count() == 0
+
+
+def test_mixed_space_as_the_pattern():
+    import itertools
+
+    for text in map("".join, itertools.product(" \n\ta\u3000\x1c", repeat=4)):
+        assert packing._mixed_space(text) == (packing._MIXED_SPACE.search(text) is not None)
