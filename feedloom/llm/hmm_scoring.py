@@ -32,6 +32,8 @@ STATES = 8
 ROUNDS = 8
 #: Share of the unigram in each state's emissions.
 MIX = 0.1
+#: Tokens beyond which a sequence waits for others as long.
+LONG = 4_096
 #: Symbols whose counts travel in one row.
 BLOCK = 1_024
 _COUNTED = 400_000
@@ -233,6 +235,28 @@ def runs(symbols: bytes) -> list[np.ndarray]:
     return [np.frombuffer(symbols, "<i4")]
 
 
+def together(batches: Iterator[list[np.ndarray]], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """The same sequences, long ones kept back until ``most`` tokens of them wait.
+
+    Sequences of a batch go side by side, step by step, so a batch takes as many
+    steps as its longest one has: long ones are best among their like.
+    """
+    long, waiting = [], 0
+    for batch in batches:
+        short = [s for s in batch if len(s) <= LONG]
+        if short:
+            yield short
+        for s in batch:
+            if len(s) > LONG:
+                long.append(s)
+                waiting += len(s)
+                if waiting >= most:
+                    yield long
+                    long, waiting = [], 0
+    if long:
+        yield long
+
+
 def _sum_rows(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float64) for x in table["data"].to_pylist())
     return pa.table({"block": table["block"][:1], "data": pa.array([total.tobytes()], pa.binary())})
@@ -251,8 +275,8 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
         from pyspark import TaskContext
 
         start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states))
-        for batch in slices(batches, "symbols", 4 << 20):
-            sequences = [r for x in batch["symbols"].to_pylist() for r in runs(x)]
+        lists = ([r for x in batch["symbols"].to_pylist() for r in runs(x)] for batch in slices(batches, "symbols", 4 << 20))
+        for sequences in together(lists):
             for total, part in zip((start, step, emit), expected_counts(sequences, model), strict=True):
                 total += part
         rows = [(-1, np.concatenate([start, step.ravel()]))] + [(b, emit[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-n_symbols // BLOCK))]

@@ -108,3 +108,11 @@ def test_every_round_reads_every_token(spark):
         for a, b in ((got.start, want.start), (got.step, want.step), (got.emit, want.emit)):
             assert a == pytest.approx(b, rel=1e-3, abs=1e-6)
     assert not np.allclose(model.emit, want.emit)
+
+
+def test_long_sequences_wait_for_each_other(monkeypatch):
+    monkeypatch.setattr(hmm, "LONG", 3)
+    batches = [[np.arange(n) for n in x] for x in ([1, 9, 2], [5], [4, 3], [])]
+    got = list(hmm.together(iter(batches), most=12))
+    assert [[len(s) for s in x] for x in got] == [[1, 2], [9, 5], [3], [4]]
+    assert list(hmm.together(iter([]))) == []
