@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hmm_scoring, lz_fingerprint, nbest_pieces, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets, url_filter
+from . import dual_tree_search, hmm_scoring, lz_fingerprint, nbest_pieces, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_nbest_pieces": nbest_pieces.op8_nbest_pieces,
         "op9_hmm_scores": hmm_scoring.op9_hmm_scores,
         "op10_learned_rules": quality_rules.op10_learned_rules,
+        "op11_dual_tree_search": dual_tree_search.op11_dual_tree_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet: each of these learns, tokenizes or hashes beyond plain SQL."""
-    return {}
+    """SQL for what does not learn, tokenize or hash beyond plain SQL."""
+    return {"op11_dual_tree_search": dual_tree_search.ORACLE_SQL}
