@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dual_tree_search, hmm_scoring, html_extraction, lz_fingerprint, nbest_pieces, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets, url_filter
+from . import dual_tree_search, hmm_scoring, html_extraction, lz_fingerprint, nbest_pieces, near_dedup, ordinal_quality, packing, pii, quality_rules, secrets, spelling_variants, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_learned_rules": quality_rules.op10_learned_rules,
         "op11_dual_tree_search": dual_tree_search.op11_dual_tree_search,
         "op12_scored_article_text": html_extraction.op12_scored_article_text,
+        "op13_permuterm_variants": spelling_variants.op13_permuterm_variants,
     }
 
 
