@@ -10,23 +10,15 @@ from .dedup import compact_ranks, newest_n
 
 
 def decayed_mean(df: DataFrame, key: str, score: str, ts: str, as_of: Column, *, least: float = scoring.MATERIAL, weight: Column | None = None) -> DataFrame:
-    """Weighted mean of material scores by key, and the newest of them."""
+    """Weighted mean of material scores by key, and the newest of them; rows without a time do not count."""
     w = scoring.decay_weight(ts, as_of)
     w = w * weight if weight is not None else w
-    kept = df.filter(scoring.material(score, least)).select(key, F.col(score).alias("_s"), w.alias("_w"), F.col(ts).alias("_t"))
+    kept = df.filter(scoring.material(score, least) & F.col(ts).isNotNull()).select(key, F.col(score).alias("_s"), w.alias("_w"), F.col(ts).alias("_t"))
     return kept.groupBy(key).agg(
         F.try_divide(F.sum(F.col("_s") * F.col("_w")), F.sum("_w")).alias("mean_score"), F.max("_t").alias("newest"), F.count("*").alias("n_material")
     )
 
 
-def signal_modifier(signals: DataFrame, key: str, ts: str, modifier: str, as_of: Column, *, days: int = 180, most: float = 0.2) -> DataFrame:
-    """Sum of the recent modifiers of each key, within bounds; inactive ones do not count."""
-    if "is_active" in signals.columns:
-        signals = signals.filter("is_active")
-    recent = signals.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-    return recent.groupBy(key).agg(F.round(scoring.clamp(F.sum(modifier), -most, most), 4).alias("sec_modifier"))
-
-
 def sec_modifier(signals: DataFrame, symbols: DataFrame, as_of: Column, *, days: int = 180, most: float = 0.2, late: float = 0.06) -> DataFrame:
     """``symbol_id, sec_modifier`` of every symbol: recent signals, less a penalty for a late annual report.
 
@@ -34,7 +26,7 @@ def sec_modifier(signals: DataFrame, symbols: DataFrame, as_of: Column, *, days:
     costs ``late``.
     """
     recent = signals.filter("is_active") if "is_active" in signals.columns else signals
-    recent = recent.filter(F.col("filed_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy("symbol_id").agg(F.sum(F.col("modifier").cast("decimal(18,6)")).alias("_sum"))
+    recent = recent.filter(F.col("filed_at") > as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy("symbol_id").agg(F.sum(F.col("modifier").cast("decimal(18,6)")).alias("_sum"))
     overdue = F.coalesce(scoring.age_days("last_10k_filed", as_of) > 18 * scoring.DAYS_PER_MONTH, F.lit(True))
     total = F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)) - F.when(overdue, late).otherwise(0.0)
     rows = symbols.select(F.col("id").alias("symbol_id"), "last_10k_filed").join(recent, "symbol_id", "left")
@@ -112,8 +104,8 @@ def newest_material(df: DataFrame, key: str, score: str, ts: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.when(scoring.material(score), F.col(ts))).alias("newest"))
 
 
-def tier1_coverage_guard(articles: DataFrame, key: str = "symbol_id", score: str = "score", forms: tuple[str, ...] = ("10-K", "10-Q")) -> DataFrame:
-    """Core filings of each key, scored ones, and whether none is: then no score is given."""
+def tier1_coverage_guard(articles: DataFrame, key: str = "symbol_id", score: str = "score", forms: tuple[str, ...] = ("10-K", "10-K/A", "10-Q", "10-Q/A")) -> DataFrame:
+    """Core filings of each key and their amendments, scored ones, and whether none is: then no score is given."""
     core = articles.filter(F.col("form_type").isin(*forms)).groupBy(key)
     return core.agg(F.count("*").alias("total"), F.count(score).alias("scored"), (F.count(score) == 0).alias("blocked"))
 

@@ -69,31 +69,45 @@ SIGNALS = """, signals AS (
   UNION ALL SELECT id, symbol_id, published_at, 'insider_sell', sold, -0.01 FROM filings WHERE form_type = '4' AND sold > 0)
 """
 
-_MEAN = """, means AS (SELECT symbol_id, sum(score * w) / sum(w) AS m, max(published_at) AS newest, count(*) AS n FROM weighted WHERE abs(score) >= 0.25 GROUP BY 1),
-rated AS (SELECT s.id, coalesce(max(m.multiplier), 1.0) AS k FROM symbols s LEFT JOIN macro m ON s.industry <> '' AND contains(lower(m.industry_name), lower(s.industry)) GROUP BY 1),
-raised AS (SELECT symbol_id, n, k, newest, CASE WHEN abs(m) <= 0.85 THEN greatest(-1.0, least(1.0, m * k))
-  ELSE sign(m) * greatest(abs(m), least(1.0, 1 - (1 - abs(m)) * (2 - greatest(0.5, least(2.0, k))))) END AS r FROM means JOIN rated ON id = symbol_id),
-pulled AS (SELECT *, date_diff('microsecond', newest, TIMESTAMP '2024-03-15') / 1e6 / 3600 - 336 AS over FROM raised),
-final AS (SELECT *, CASE WHEN r = 0 OR over <= 0 THEN r ELSE round(r * exp(-0.0005 * over), 6) END AS g FROM pulled)
+#: Means, multipliers, the asymptote and the pull; ``{weight}`` is an article's and ``{rows}`` are the articles.
+_FINAL = """, means AS (
+  SELECT symbol_id, sum(score * w * {weight}) / sum(w * {weight}) AS m, max(published_at) AS newest, count(*) AS n
+  FROM (SELECT *, exp(-0.0007 * greatest(0, date_diff('microsecond', published_at, TIMESTAMP '2024-03-15') / 3.6e9 - 24 * 30.44)) AS w FROM {rows})
+  WHERE abs(score) >= 0.25 GROUP BY 1),
+rated AS (
+  SELECT s.id, s.ai_multiplier, coalesce(max(m.multiplier), 1.0) AS macro_multiplier
+  FROM rated_symbols s LEFT JOIN macro m ON s.industry <> '' AND contains(lower(m.industry_name), lower(s.industry)) WHERE s.status GROUP BY 1, 2),
+raised AS (
+  SELECT symbol_id, n, macro_multiplier, coalesce(ai_multiplier, 1.0) AS ai_multiplier, newest, macro_multiplier * coalesce(ai_multiplier, 1.0) AS k,
+    CASE WHEN abs(m) <= 0.85 THEN greatest(-1.0, least(1.0, m * k)) ELSE sign(m) * greatest(abs(m), least(1.0, 1 - (1 - abs(m)) * (2 - greatest(0.5, least(2.0, k))))) END AS r
+  FROM means JOIN rated ON id = symbol_id),
+final AS (
+  SELECT *, date_diff('microsecond', newest, TIMESTAMP '2024-03-15') / 3.6e9 - 24 * 14 AS over,
+    CASE WHEN r = 0 OR over <= 0 THEN r ELSE round(r * exp(-0.0005 * over), 6) END AS g FROM raised)
 """
 
 
-@_query("q1_final_scores", SQL + _MEAN + "SELECT symbol_id, n AS n_material, k AS macro_multiplier, round(greatest(-1.0, least(1.0, g)), 6) AS final_score FROM final")
+@_query("q1_final_scores", SQL + _FINAL.format(weight="1.0", rows="articles") + "SELECT symbol_id, n AS n_material, macro_multiplier, ai_multiplier, round(greatest(-1.0, least(1.0, g)), 6) AS final_score FROM final")
 def _(s, d):
-    return C.final_scores(V.symbols(s, d), V.articles(s, d), V.macro(s, d), as_of())
+    return C.final_scores(V.rated_symbols(s, d), V.articles(s, d), V.macro(s, d), as_of())
+
+
+#: Weights of forms as the registry of the survey lists them.
+_WEIGHT = """CASE WHEN form_type IN ('10-K', '10-K/A') THEN 2.5 WHEN form_type IN ('10-Q', '10-Q/A') THEN 2.0 WHEN form_type IN ('8-K', '8-K/A', 'SC 13D', 'SC 13D/A') THEN 1.5
+  WHEN form_type IN ('S-3', 'S-3/A') OR form_type LIKE '424B%' THEN 1.8 WHEN form_type LIKE 'NT 10-%' THEN 1.6 WHEN form_type IN ('SC 13G', 'SC 13G/A') THEN 1.3 WHEN form_type = '4' THEN 1.2 ELSE 1.0 END"""
 
 
 @_query(
     "q2_final_scores_with_signals",
-    SQL + ", means AS (SELECT symbol_id, sum(score * w * u) / sum(w * u) AS m, max(published_at) AS newest, count(*) AS n FROM (SELECT *, CASE form_type WHEN '10-K' THEN 1.5 WHEN '8-K' THEN 1.2 ELSE 1.0 END AS u FROM weighted) WHERE abs(score) >= 0.25 GROUP BY 1)" + _MEAN[_MEAN.index("),\nrated") + 1 :]
-    + SIGNALS + """, extra AS (SELECT symbol_id, round(greatest(-0.2, least(0.2, sum(modifier))), 4) AS sec_modifier FROM signals WHERE filed_at >= TIMESTAMP '2024-03-15' - INTERVAL 180 DAYS GROUP BY 1),
-    guard AS (SELECT symbol_id, count(score) AS t FROM articles WHERE form_type IN ('10-K', '10-Q') GROUP BY 1)
-    SELECT symbol_id, sec_modifier, CASE WHEN coalesce(t, 1) > 0 THEN round(greatest(-1.0, least(1.0, g + coalesce(sec_modifier, 0))), 6) END AS final_score
-    FROM final LEFT JOIN extra USING (symbol_id) LEFT JOIN guard USING (symbol_id)""",
+    SQL + _FINAL.format(weight=f"({_WEIGHT})", rows="mixed") + SIGNALS + """, extra AS (
+      SELECT r.id, round(greatest(-0.2, least(0.2, coalesce(sum(modifier::DECIMAL(18,6)), 0)::DOUBLE - CASE WHEN last_10k_filed IS NULL OR last_10k_filed < TIMESTAMP '2024-03-15' - to_hours(13149) - to_minutes(7) - to_seconds(12) THEN 0.06 ELSE 0 END)), 4) AS sec_modifier
+      FROM rated_symbols r LEFT JOIN signals g ON g.symbol_id = r.id AND filed_at > TIMESTAMP '2024-03-15' - INTERVAL 180 DAYS GROUP BY r.id, last_10k_filed),
+    guard AS (SELECT symbol_id, count(score) AS t FROM mixed WHERE form_type IN ('10-K', '10-K/A', '10-Q', '10-Q/A') GROUP BY 1)
+    SELECT symbol_id, sec_modifier, CASE WHEN coalesce(t, 1) > 0 THEN round(greatest(-1.0, least(1.0, g + sec_modifier)), 6) END AS final_score
+    FROM final JOIN extra ON extra.id = symbol_id LEFT JOIN guard USING (symbol_id)""",
 )
 def _(s, d):
-    a = V.articles(s, d)
-    return C.final_scores_with_signals(V.symbols(s, d), a, V.macro(s, d), C.filing_signals(V.filings(s, d)), as_of())
+    return C.final_scores_with_signals(V.rated_symbols(s, d), V.mixed(s, d), V.macro(s, d), C.filing_signals(V.filings(s, d)), as_of())
 
 
 @_query("a1_leaderboard", SQL + ", c AS (SELECT symbol_id, count(score) AS n_scored, count(*) AS n_total, " + exact_mean_sql("score", 6) + " AS avg_score FROM articles GROUP BY 1) SELECT s.id, company_name, coalesce(n_scored, 0) AS n_scored, coalesce(n_total, 0) AS n_total, avg_score, CASE WHEN avg_score >= 0.75 THEN 'STRONG BUY' WHEN avg_score >= 0.6 THEN 'BUY' WHEN avg_score >= 0.4 THEN 'NEUTRAL' WHEN avg_score >= 0.25 THEN 'WEAK SELL' WHEN avg_score IS NOT NULL THEN 'SELL' END AS label FROM symbols s LEFT JOIN c ON c.symbol_id = s.id")
@@ -111,14 +125,14 @@ def _(s, d):
     return aggregates.decayed_mean(V.articles(s, d), "symbol_id", "score", "published_at", as_of()).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@_query("a7_signal_modifier", SQL + SIGNALS + ", late AS (SELECT symbol_id, max(published_at) AS filed FROM filings WHERE form_type = '10-K' AND id % 2 = 0 GROUP BY 1) SELECT id AS symbol_id, round(greatest(-0.2, least(0.2, coalesce(total, 0) - CASE WHEN date_diff('microsecond', filed, TIMESTAMP '2024-03-15') / 86400e6 <= 18 * 30.44 THEN 0 ELSE 0.06 END)), 4) AS sec_modifier FROM symbols LEFT JOIN (SELECT symbol_id, sum(modifier::DECIMAL(18,6))::DOUBLE AS total FROM signals WHERE filed_at >= TIMESTAMP '2024-03-15' - INTERVAL 60 DAYS GROUP BY 1) t ON t.symbol_id = id LEFT JOIN late ON late.symbol_id = id")
+@_query("a7_signal_modifier", SQL + SIGNALS + ", late AS (SELECT symbol_id, max(published_at) AS filed FROM filings WHERE form_type = '10-K' AND id % 2 = 0 GROUP BY 1) SELECT id AS symbol_id, round(greatest(-0.2, least(0.2, coalesce(total, 0) - CASE WHEN date_diff('microsecond', filed, TIMESTAMP '2024-03-15') / 86400e6 <= 18 * 30.44 THEN 0 ELSE 0.06 END)), 4) AS sec_modifier FROM symbols LEFT JOIN (SELECT symbol_id, sum(modifier::DECIMAL(18,6))::DOUBLE AS total FROM signals WHERE filed_at > TIMESTAMP '2024-03-15' - INTERVAL 60 DAYS GROUP BY 1) t ON t.symbol_id = id LEFT JOIN late ON late.symbol_id = id")
 def _(s, d):
     f = V.filings(s, d)
     annual = f.filter("form_type = '10-K' AND id % 2 = 0").groupBy(F.col("symbol_id").alias("id")).agg(F.max("published_at").alias("last_10k_filed"))
     return aggregates.sec_modifier(C.filing_signals(f), V.symbols(s, d).join(annual, "id", "left"), as_of(), days=60)
 
 
-@_query("a9_coverage_guard", SQL + "SELECT symbol_id, count(*) AS total, count(score) AS scored, count(score) = 0 AS blocked FROM filings WHERE form_type IN ('10-K', '10-Q') GROUP BY 1")
+@_query("a9_coverage_guard", SQL + "SELECT symbol_id, count(*) AS total, count(score) AS scored, count(score) = 0 AS blocked FROM filings WHERE form_type IN ('10-K', '10-K/A', '10-Q', '10-Q/A') GROUP BY 1")
 def _(s, d):
     return aggregates.tier1_coverage_guard(V.filings(s, d))
 

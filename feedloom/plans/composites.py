@@ -8,39 +8,52 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import article_hash, contains_ci
 from ..operators import aggregates, dedup, facts, joins, selections, upsert
-from ..operators.filings import filing_signals  # noqa: F401  part of this module's interface
+from ..operators.filings import REGISTRY, Form, filing_signals, of_form  # noqa: F401  part of this module's interface
 from ..sources import parse
 
 
+def _pulled(symbols: DataFrame, means: DataFrame, macro: DataFrame, as_of: Column) -> DataFrame:
+    """Means of active symbols after their multipliers and the pull of silence, as ``pulled``."""
+    if "status" in symbols.columns:
+        symbols = symbols.filter("status")
+    ai = F.coalesce(F.col("ai_multiplier").cast("double"), F.lit(1.0)) if "ai_multiplier" in symbols.columns else F.lit(1.0)
+    rated = joins.multiplier_by_containment(symbols, macro).select(F.col("id").alias("symbol_id"), "macro_multiplier", ai.alias("ai_multiplier"))
+    raised = scoring.asymptotic_multiply("mean_score", F.col("macro_multiplier") * F.col("ai_multiplier"))
+    found = means.filter("mean_score IS NOT NULL").join(rated, "symbol_id").withColumn("raised", raised)
+    return found.withColumn("pulled", scoring.gravity("raised", "newest", as_of))
+
+
 def final_scores(symbols: DataFrame, articles: DataFrame, macro: DataFrame, as_of: Column) -> DataFrame:
-    """One score per symbol: decayed mean, sector multiplier, pull when silent."""
+    """One score per active symbol: decayed mean, both multipliers, pull when silent.
+
+    ``symbols`` has ``id, industry`` and may have ``status`` and ``ai_multiplier``,
+    its stored sector multiplier (1 where missing or null); ``articles`` has
+    ``symbol_id, score, published_at``. Symbols without material articles get none.
+    """
     means = aggregates.decayed_mean(articles, "symbol_id", "score", "published_at", as_of)
-    rated = joins.multiplier_by_containment(symbols, macro).select("id", "macro_multiplier")
-    raised = scoring.asymptotic_multiply("mean_score", "macro_multiplier")
-    return (
-        means.join(rated, F.col("symbol_id") == F.col("id"))
-        .withColumn("raised", raised)
-        .withColumn("final_score", F.round(scoring.clamp(scoring.gravity("raised", "newest", as_of), -1.0, 1.0), 6))
-        .select("symbol_id", "n_material", "macro_multiplier", "final_score")
-    )
+    final = F.round(scoring.clamp(F.col("pulled"), -1.0, 1.0), 6)
+    return _pulled(symbols, means, macro, as_of).select("symbol_id", "n_material", "macro_multiplier", "ai_multiplier", final.alias("final_score"))
+
 
+def source_weight(articles: DataFrame, registry: tuple[Form, ...] = REGISTRY) -> Column:
+    """What an article weighs by its form: as stamped, else as the registry has it; news weighs one."""
+    stamped = [F.nullif(F.col("sec_source_weight").cast("double"), F.lit(0.0))] if "sec_source_weight" in articles.columns else []
+    return F.coalesce(*stamped, of_form(registry, "weight"), F.lit(1.0))
 
-def final_scores_with_signals(symbols: DataFrame, articles: DataFrame, macro: DataFrame, signals: DataFrame, as_of: Column) -> DataFrame:
-    """As above, articles weighted by source, filing signals added before the clamp.
 
-    A symbol with filings of the first tier of which none is scored has no score.
+def final_scores_with_signals(symbols: DataFrame, articles: DataFrame, macro: DataFrame, signals: DataFrame, as_of: Column, registry: tuple[Form, ...] = REGISTRY) -> DataFrame:
+    """As above, articles weighted by source, and the modifier of filings added before the clamp.
+
+    The modifier is the sum of active signals, less the penalty for a late annual
+    report by ``last_10k_filed`` of ``symbols``. A symbol with annual or quarterly
+    reports, or amendments of these, of which none is scored, has no score.
     """
-    weight = F.when(F.col("form_type") == "10-K", 1.5).when(F.col("form_type") == "8-K", 1.2).otherwise(1.0)
-    means = aggregates.decayed_mean(articles, "symbol_id", "score", "published_at", as_of, weight=weight)
-    extra = aggregates.signal_modifier(signals, "symbol_id", "filed_at", "modifier", as_of, days=180)
+    means = aggregates.decayed_mean(articles, "symbol_id", "score", "published_at", as_of, weight=source_weight(articles, registry))
+    extra = aggregates.sec_modifier(signals, symbols, as_of)
     guard = aggregates.tier1_coverage_guard(articles).select("symbol_id", "blocked")
-    rated = joins.multiplier_by_containment(symbols, macro).select(F.col("id").alias("symbol_id"), "macro_multiplier")
-    pulled = scoring.gravity(scoring.asymptotic_multiply("mean_score", "macro_multiplier"), "newest", as_of)
-    total = scoring.clamp(pulled + F.coalesce("sec_modifier", F.lit(0.0)), -1.0, 1.0)
-    return (
-        means.join(rated, "symbol_id").join(extra, "symbol_id", "left").join(guard, "symbol_id", "left")
-        .select("symbol_id", "sec_modifier", F.when(~F.coalesce("blocked", F.lit(False)), F.round(total, 6)).alias("final_score"))
-    )
+    total = scoring.clamp(F.col("pulled") + F.coalesce("sec_modifier", F.lit(0.0)), -1.0, 1.0)
+    found = _pulled(symbols, means, macro, as_of).join(extra, "symbol_id", "left").join(guard, "symbol_id", "left")
+    return found.select("symbol_id", "sec_modifier", F.when(~F.coalesce("blocked", F.lit(False)), F.round(total, 6)).alias("final_score"))
 
 
 def scoring_window(articles: DataFrame, as_of: Column, newest_news: int = 12) -> DataFrame:

@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored and unscored articles, from ``events``."""
+def _articles(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     kind = F.col("event_type")
     score = F.floor((F.col("value") - 245) / 246 * 10000 + 0.5) / 10000
     return table(spark, sf_dir, "events").select(
@@ -31,9 +30,15 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "purchase", "10-K").when(kind == "signup", "8-K").when(kind == "error", "NT 10-K").alias("form_type"),
         kind.alias("source_name"),
         "props",
+        *more,
     )
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored and unscored articles, from ``events``."""
+    return _articles(spark, sf_dir)
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols from ``customer``; the industry is a word of a part's name."""
     industry = table(spark, sf_dir, "part").select("p_partkey", F.get(F.split("p_name", " "), F.lit(1)).alias("industry"))
@@ -70,17 +75,28 @@ FORMS = ("10-K", "10-Q", "8-K", "8-K/A", "4", "SC 13D", "SC 13G/A", "S-3", "424B
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings from ``events``, of all forms in turn."""
-    key = F.col("event_id")
+    key, value = F.col("id"), F.col("value")
     form = F.get(F.array(*map(F.lit, FORMS)), (key % len(FORMS)).cast("int"))
-    whole = F.floor("value").cast("long")
-    own = articles(spark, sf_dir).select(F.col("id").alias("event_id"), "symbol_id", "published_at", "score", "source_name")
-    return own.join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").select(
-        key.alias("id"), "symbol_id", form.alias("form_type"), "published_at", "score", F.concat(form, F.lit(" of "), key).alias("title"), F.col("source_name").alias("article_summary"),
-        F.when(F.col("source_name") == "purchase", F.col("value") * 10_000).otherwise(0.0).alias("bought"), F.when(F.col("source_name") == "error", F.col("value") * 10_000).otherwise(0.0).alias("sold"),
-        F.concat(F.lit('{"Revenue":"$'), whole, F.lit('M","operating_cash_flow":"'), key % 500, F.lit('","capex":"2B","_note":"9"}')).alias("extracted_facts"),
+    return _articles(spark, sf_dir, "value").select(
+        "id", "symbol_id", form.alias("form_type"), "published_at", "score", F.concat(form, F.lit(" of "), key).alias("title"), F.col("source_name").alias("article_summary"),
+        F.when(F.col("source_name") == "purchase", value * 10_000).otherwise(0.0).alias("bought"), F.when(F.col("source_name") == "error", value * 10_000).otherwise(0.0).alias("sold"),
+        F.concat(F.lit('{"Revenue":"$'), F.floor(value).cast("long"), F.lit('M","operating_cash_flow":"'), key % 500, F.lit('","capex":"2B","_note":"9"}')).alias("extracted_facts"),
     )
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News and filings: of five articles, three are filings."""
+    form = F.when(F.col("id") % 5 < 3, F.col("form_type"))
+    return filings(spark, sf_dir).select("id", "symbol_id", form.alias("form_type"), "published_at", "score")
+
+
+def rated_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols with a stored multiplier of their own, for some, and the date of the last annual report."""
+    key = F.col("id")
+    ai = F.when(key % 7 > 0, 1 + (key % 9) * 0.05)
+    return symbols(spark, sf_dir).withColumns({"ai_multiplier": ai, "last_10k_filed": F.when(key % 3 > 0, as_of() - F.make_dt_interval((key % 1100).cast("int")))})
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with text, from ``documents``, one an hour."""
     key = F.col("doc_id")
@@ -130,6 +146,9 @@ filings AS (
   SELECT id, symbol_id, form_type, published_at, score, form_type || ' of ' || id AS title, source_name AS article_summary, CASE WHEN source_name = 'purchase' THEN value * 10000 ELSE 0 END AS bought,
     CASE WHEN source_name = 'error' THEN value * 10000 ELSE 0 END AS sold, floor(value)::BIGINT AS revenue, id % 500 AS cash_flow
   FROM (SELECT * REPLACE (({list(FORMS)!r})[id % {len(FORMS)} + 1] AS form_type), value FROM articles JOIN events ON event_id = id)),
+mixed AS (SELECT id, symbol_id, CASE WHEN id % 5 < 3 THEN form_type END AS form_type, published_at, score FROM filings),
+rated_symbols AS (
+  SELECT *, CASE WHEN id % 7 > 0 THEN 1 + (id % 9) * 0.05::DOUBLE END AS ai_multiplier, CASE WHEN id % 3 > 0 THEN TIMESTAMP '{AS_OF}' - to_days((id % 1100)::INT) END AS last_10k_filed FROM symbols),
 aged AS (SELECT *, date_diff('microsecond', published_at, TIMESTAMP '{AS_OF}') / 1e6 / 3600 AS hours FROM articles),
 weighted AS (SELECT *, CASE WHEN hours <= 730.56 THEN 1.0 ELSE exp(-0.0007 * (hours - 730.56)) END AS w FROM aged)
 """
