@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,18 +151,82 @@ def clean_text(text: Column | str) -> Column:
     return F.btrim(out, F.lit(" \t\r\n"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_section(text: Column | str, start: str, end: str, most: int, *, upper: bool = False) -> Column:
     """From the first line that matches ``start`` to the next that matches ``end``; null if none does.
 
     With ``upper`` the lines are compared trimmed and in upper case.
     """
-    lines = F.split(_c(text), "\n")
+    found = find_sections(text, *section_marks([("", start, end, most)]), upper=upper, clean=lambda x: x)
+    return F.get(found, F.lit(0))["body"]
+
+
+def section_marks(table: Iterable[tuple[str, str, str, int]]) -> tuple[Column, Callable[[Column], Column]]:
+    """Sections (name, starts, ends, budget) as a list of structs, and the test whether a line is a mark of any."""
+    rows = list(table)
+    structs = [F.struct(F.lit(n).alias("name"), F.lit(a).alias("starts"), F.lit(b).alias("ends"), F.lit(most).alias("most")) for n, a, b, most in rows]
+    patterns = list(dict.fromkeys(x for _, a, b, _ in rows for x in (a, b)))
+    either = F.lit("|".join(f"(?:{x})" for x in patterns))
+    words = first_words(patterns)
+    if not words:
+        return F.array(*structs), lambda line: F.rlike(line, either)
+    # Looking for a few words is much faster than trying every pattern at every sign.
+    return F.array(*structs), lambda line: reduce(lambda x, y: x | y, [F.contains(line, F.lit(w)) for w in words]) & F.rlike(line, either)
+
+
+def first_words(patterns: Iterable[str], least: int = 3) -> list[str]:
+    """Words of which a text that matches any of the patterns has one; none if that cannot be told.
+
+    A word is what every alternative of a pattern begins with, letter by letter.
+    """
+    words = []
+    for pattern in patterns:
+        depth, parts = 0, [""]
+        for c in pattern:
+            depth += (c in "([") - (c in ")]")
+            if c == "|" and not depth:
+                parts.append("")
+            else:
+                parts[-1] += c
+        for part in parts:
+            word = re.match(r"[A-Z0-9]*(?![?*{])", part)[0]
+            if len(word) < least or "\\Q" in part:
+                return []
+            words.append(word)
+    shortest = sorted(set(words), key=len)
+    return [w for i, w in enumerate(shortest) if not any(x in w for x in shortest[:i])]
+
+
+
+
+def find_sections(text: Column | str, sections: Column, is_mark: Callable[[Column], Column], *, upper: bool = True, clean: Callable[[Column], Column] = clean_text) -> Column:
+    """``[(name, body)]``: the sections of a text in the order of the table, without those that do not begin.
+
+    The lines are split and searched once, by ``is_mark``, whatever the number of
+    sections; each section then looks for its own start and end among the few
+    lines that were found. ``sections`` may differ from row to row.
+    """
     seen = (lambda x: F.upper(F.trim(x))) if upper else (lambda x: x)
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(seen(x).rlike(start), F.lit(False))), True).cast("int")
-    rest = F.slice(lines, at + 1, F.size(lines))
-    stop = F.array_position(F.transform(rest, lambda x: F.coalesce(seen(x).rlike(end), F.lit(False))), True).cast("int")
-    body = F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(rest)))
-    return F.when(at > 0, F.left(F.trim(F.array_join(F.concat(F.slice(lines, at, F.lit(1)), body), "\n")), F.lit(most)))
+
+    def of_lines(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), seen(x).alias("line")))
+        return once(F.filter(numbered, lambda m: F.coalesce(is_mark(m["line"]), F.lit(False))), lambda found: of_marks(lines, found))
+
+    def of_marks(lines: Column, found: Column) -> Column:
+        first = lambda ok: F.get(F.filter(found, ok), F.lit(0))["at"]
+        begun = F.transform(sections, lambda s: F.struct(s.alias("s"), first(lambda m: F.rlike(m["line"], s["starts"])).alias("at")))
+        begun = F.filter(begun, lambda x: x["at"].isNotNull())
+        ended = F.transform(
+            begun, lambda x: F.struct(x["s"].alias("s"), x["at"].alias("at"), first(lambda m: (m["at"] > x["at"]) & F.rlike(m["line"], x["s"]["ends"])).alias("stop"))
+        )
+        inside = lambda x: F.array_join(F.slice(lines, x["at"] + 1, F.coalesce(x["stop"], F.size(lines)) - x["at"]), "\n")
+        return F.transform(ended, lambda x: F.struct(x["s"]["name"].alias("name"), clean(F.left(F.trim(inside(x)), x["s"]["most"])).alias("body")))
+
+    return once(F.split(_c(text), "\n"), of_lines)
 
 
 def company_search_url(name: Column | str, prefix: str) -> Column:

@@ -50,33 +50,52 @@ def extract_figures(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
 
 
 def sections(df: DataFrame, text_col: str, table: list[tuple[str, str, str, int]]) -> DataFrame:
-    """Named sections of each text; ``table``: name, start, end, budget."""
-    keep = [c for c in df.columns if c != text_col]
-    found = F.array(*(F.struct(F.lit(n).alias("section"), T.find_section(text_col, a, b, most).alias("body")) for n, a, b, most in table))
-    return df.select(*keep, F.explode(found).alias("x")).select(*keep, "x.*").filter("body IS NOT NULL")
-
+    """Named sections of each text, from one pass over its lines; ``table``: name, start, end, budget.
 
-def eight_k_items(df: DataFrame, text_col: str, items: list[str], whole: int = 30_000, budget: int = 4_000) -> DataFrame:
-    """Short filings whole; of longer ones the numbered items."""
-    long = sections(df.filter(F.length(text_col) > whole), text_col, [(i, rf"(?i)^\s*item\s+{i.replace('.', '[.]')}\b", r"(?i)^\s*(item\s+\d|signature)", budget) for i in items])
+    Lines are compared trimmed and in upper case.
+    """
     keep = [c for c in df.columns if c != text_col]
-    return df.filter(F.length(text_col) <= whole).select(*keep, F.lit("whole").alias("section"), F.col(text_col).alias("body")).unionByName(long)
+    found = T.find_sections(text_col, *T.section_marks(table), clean=lambda x: x)
+    return df.select(*keep, F.explode(found).alias("x")).select(*keep, F.col("x.name").alias("section"), "x.body")
 
 
-def filing_title(text: Column | str, fallback: Column, boilerplate: str = r"(?i)securities and exchange|washington|form \d|united states|commission file") -> Column:
-    """The first telling line after five non-blank ones, else the fallback."""
+def filing_title(text: Column | str, fallback: Column, boilerplate: str = r"(?i)securities and exchange|washington|form \d|united states|commission file", form: Column | None = None) -> Column:
+    """The first telling line after five non-blank ones, else the fallback.
+
+    Where ``form`` says that the text is an insider's report, its title names the
+    company, the insider and whether the first deal bought or sold on the market.
+    """
     c = F.col(text) if isinstance(text, str) else text
+    if form is not None:
+        return F.when(form == "4", F.coalesce(_insider_title(c), fallback)).otherwise(filing_title(c, fallback, boilerplate))
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     good = F.filter(F.slice(lines, F.lit(6), F.greatest(F.size(lines), F.lit(1))), lambda x: (F.length(x) >= 20) & (F.length(x) <= 250) & ~x.rlike(boilerplate) & x.rlike("[a-z]"))
     return F.coalesce(F.left(F.get(good, F.lit(0)), F.lit(200)), fallback)
 
 
+def _insider_title(report: Column) -> Column:
+    """The title of what ``form4_text`` wrote; null where the first deal is neither a purchase nor a sale."""
+    part = lambda pattern: F.regexp_extract(report, pattern, 1)
+    deal = F.when(part(r"(?m)^(?:\d{4}-\d\d-\d\d)? ?(purchase|sale):") == "purchase", "Buy").when(part(r"(?m)^(?:\d{4}-\d\d-\d\d)? ?(purchase|sale):") == "sale", "Sale")
+    first = part(r"(?m)^(?:\d{4}-\d\d-\d\d)? ?([a-z]+):").isin("purchase", "sale")
+    company, insider = F.left(part(r"(?m)^Company: (.*)$"), F.lit(40)), F.left(part(r"(?m)^Insider: (.*)$"), F.lit(30))
+    return F.when(first & deal.isNotNull(), F.concat(company, F.lit(" — Insider "), deal, F.lit(" by "), insider))
+
+
 def form4_text(df: DataFrame, key: str) -> DataFrame:
-    """A report of each filing's transactions, and its totals bought and sold."""
-    line = F.format_string("%s %s: %s shares at %s", F.date_format("traded_at", "yyyy-MM-dd"), F.col("kind"), F.col("shares").cast("string"), F.col("price").cast("string"))
+    """A report of each filing's transactions, and its totals bought and sold on the market.
+
+    Derivatives are listed but do not count. Company and insider head the report
+    where ``df`` has them.
+    """
+    day = F.coalesce(F.date_format("traded_at", "yyyy-MM-dd"), F.lit(""))
+    held = [F.when(F.col("ownership").isNotNull(), F.concat(F.lit(" ("), "ownership", F.lit(")")))] if "ownership" in df.columns else []
+    line = F.concat_ws("", F.format_string("%s %s: %s shares at %s", day, F.col("kind"), F.col("shares").cast("string"), F.col("price").cast("string")), *held)
     lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    total = lambda code: F.coalesce(F.sum(F.when(F.col("code") == code, F.col("value"))), F.lit(0.0))
-    return df.groupBy(key).agg(lines.alias("report"), total("P").alias("bought"), total("S").alias("sold"), F.count("*").alias("n_transactions"))
+    heads = [F.when(F.max(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.max(c))) for c, name in (("company", "Company"), ("insider", "Insider")) if c in df.columns]
+    market = ~F.col("derivative") if "derivative" in df.columns else F.lit(True)
+    total = lambda code: F.coalesce(F.sum(F.when((F.col("code") == code) & market, F.col("value"))), F.lit(0.0))
+    return df.groupBy(key).agg(F.concat_ws("\n", *heads, lines).alias("report"), total("P").alias("bought"), total("S").alias("sold"), F.count("*").alias("n_transactions"))
 
 
 def longest_body(full: str, summary: str) -> Column:

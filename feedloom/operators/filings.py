@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources import parse
 from . import facts, joins, upsert
 from .aggregates import run_summary, sec_modifier
 from .dedup import keep_first
@@ -108,31 +109,53 @@ EVENT_ITEMS = (
 EVENT_WHOLE, EVENT_BUDGET, LATE_BUDGET = 30_000, 5_000, 8_000
 
 
-def filing_sections(body: Column | str, table: tuple) -> Column:
-    """The sections of a text, each under its name, joined; null if none is found."""
-    parts = [
-        F.when(found != "", F.concat(F.lit(f"=== {name} ===\n"), found))
-        for name, starts, ends, most in table
-        for found in [text.clean_text(text.find_section(body, "|".join(starts), "|".join(ends), most, upper=True))]
-    ]
-    return F.nullif(F.concat_ws("\n\n", *parts), F.lit(""))
+def event_items() -> list[tuple[str, str, str, str, int]]:
+    """Numbered items of a current report: number, name, start, end, budget."""
+    return [(n, name, rf"ITEM\s+{n.replace('.', '[.]')}", r"ITEM\s+\d+\.\d+|SIGNATURES|EXHIBIT", EVENT_BUDGET) for n, name in EVENT_ITEMS]
 
 
-def filing_text(form: Column | str, body: Column | str) -> Column:
+def section_table() -> list[tuple[str, int, int, list[tuple[str, str, str, int]]]]:
+    """By the beginning of the form: budget, length up to which a text stays whole, and its sections."""
+    out = [(prefix, budget, 0, [(name, "|".join(starts), "|".join(ends), most) for name, starts, ends, most in rows]) for prefix, (budget, rows) in SECTIONS.items()]
+    return [*out, ("8-K", EVENT_WHOLE, EVENT_WHOLE, [(f"Item {n}: {name}", *marks) for n, name, *marks in event_items()]), ("NT", LATE_BUDGET, LATE_BUDGET, [])]
+
+
+def filing_text(form: Column | str, body: Column | str, table: list | None = None) -> Column:
     """What is kept of a filing by its form: telling sections within the form's budget.
 
-    Short current reports and late notices come whole within their budgets, and
-    so do other forms.
+    Short current reports and late notices come whole within their budgets, and so
+    do other forms; where no section is found, the text's beginning stands in. The
+    ``table`` (of ``section_table``) is data: the text is read once for all sections.
     """
     f, b = (F.col(x) if isinstance(x, str) else x for x in (form, body))
-    items = tuple((f"Item {n}: {name}", (rf"ITEM\s+{n.replace('.', '[.]')}",), (r"ITEM\s+\d+\.\d+", r"SIGNATURES", r"EXHIBIT"), EVENT_BUDGET) for n, name in EVENT_ITEMS)
-    whole = lambda most: text.clean_text(F.left(b, F.lit(most)))
-    out = whole(EVENT_WHOLE)
-    event = F.when(F.length(b) <= EVENT_WHOLE, text.clean_text(b)).otherwise(F.left(F.coalesce(filing_sections(b, items), whole(EVENT_WHOLE)), F.lit(EVENT_WHOLE)))
-    out = F.when(f.startswith("8-K"), event).when(f.startswith("NT"), whole(LATE_BUDGET)).otherwise(out)
-    for prefix, (budget, table) in SECTIONS.items():
-        out = F.when(f.startswith(prefix), F.left(filing_sections(b, table), F.lit(budget))).otherwise(out)
-    return F.nullif(out, F.lit(""))
+    rows = section_table() if table is None else table
+    ordered = sorted(rows, key=lambda r: -len(r[0]))
+    pick = lambda value, default: F.coalesce(*(F.when(f.startswith(r[0]), F.lit(value(r))) for r in ordered), F.lit(default))
+    budget, whole = pick(lambda r: r[1], EVENT_WHOLE), pick(lambda r: r[2], EVENT_WHOLE)
+    marks = {r[0]: text.section_marks(r[3]) for r in ordered if r[3]}
+
+    def sections(family: Column) -> Column:
+        of = lambda value: F.coalesce(*(F.when(family == p, value(m)) for p, m in marks.items()))
+        return F.when(F.length(b) > whole, text.find_sections(b, of(lambda m: m[0]), lambda line: of(lambda m: m[1](line))))
+
+    known = pick(lambda r: r[0] if r[3] else "", "")
+    found = text.once(known, lambda family: F.when(family != "", sections(family)))
+    joined = F.array_join(F.transform(F.filter(found, lambda x: x["body"] != ""), lambda x: F.concat(F.lit("=== "), x["name"], F.lit(" ===\n"), x["body"])), "\n\n")
+    cut = text.once(joined, lambda j: F.when(j != "", F.left(j, budget)))
+    return text.once(F.coalesce(cut, text.clean_text(F.left(b, budget))), lambda t: F.when(t != "", t))
+
+
+def eight_k_items(df: DataFrame, text_col: str, items: list[str] | None = None, whole: int = EVENT_WHOLE) -> DataFrame:
+    """Short current reports whole; of longer ones the numbered items, ``items`` or all known ones."""
+    table = [(n, *marks) for n, _, *marks in event_items() if items is None or n in items]
+    long = facts.sections(df.filter(F.length(text_col) > whole), text_col, table)
+    keep = [c for c in df.columns if c != text_col]
+    return df.filter(F.length(text_col) <= whole).select(*keep, F.lit("whole").alias("section"), F.col(text_col).alias("body")).unionByName(long)
+
+
+def insider_reports(documents: DataFrame) -> DataFrame:
+    """``url, report, bought, sold`` of insiders' reports in XML, given as ``url, body``."""
+    return facts.form4_text(parse.parse_form4(documents.select("url", "body"), "body"), "url").select("url", "report", "bought", "sold")
 
 
 def recent_filings(listed: DataFrame, assigned: DataFrame, registry: list[Form], as_of: Column) -> DataFrame:
@@ -171,28 +194,38 @@ def filing_signals(filings: DataFrame) -> DataFrame:
     return filings.select("id", "symbol_id", F.col("published_at").alias("filed_at"), F.explode(F.array_compact(F.array(*fired))).alias("s")).select("id", "symbol_id", "filed_at", "s.*")
 
 
+SIGNAL_COLUMNS = ["id", "symbol_id", "filed_at", "signal_type", "signal_value", "modifier", "is_active"]
+
+
 def ingest_filings(
-    listed: DataFrame, documents: DataFrame, symbols: DataFrame, feeds: DataFrame, stored: DataFrame, as_of: Column, *, tiers: list[int] | None = None, forms: list[str] | None = None
-) -> dict[str, DataFrame]:
+    listed: DataFrame, documents: DataFrame, symbols: DataFrame, feeds: DataFrame, stored: DataFrame, as_of: Column, *,
+    tiers: list[int] | None = None, forms: list[str] | None = None, stored_signals: DataFrame | None = None, table: list | None = None,
+) -> dict[str, DataFrame]:
     """One run over landed listings and documents, as tables.
 
     ``listed``: ``ticker, form_type, filed_at, position, url`` (``parse_submissions``);
-    ``documents``: ``url, body``; ``symbols``: ``id, symbol, company_name, status,
-    last_10k_filed, last_10q_filed``; ``stored``: ``symbol_id, url, title,
-    full_text, article_hash, form_type, filing_tier, sec_source_weight,
-    published_at``. A document that is stored, or whose text is empty, uses up
-    the cap of its form. Gives ``filings`` (the stored ones after the run, the
-    longer text kept), ``new``, ``symbols`` with dates moved forward, ``signals``,
-    ``modifiers`` and the ``summary`` by form.
+    ``documents``: ``url, body``, the body of an insider's report as XML; ``symbols``:
+    ``id, symbol, company_name, status, last_10k_filed, last_10q_filed``; ``stored``:
+    ``symbol_id, url, title, full_text, article_hash, form_type, filing_tier,
+    sec_source_weight, published_at``; ``stored_signals``: ``SIGNAL_COLUMNS``. A
+    document that is stored, or whose text is empty, uses up the cap of its form.
+    Gives ``filings`` (the stored ones after the run, the longer text kept), ``new``,
+    ``symbols`` with dates moved forward, ``signals`` (the stored ones with the
+    run's), ``modifiers`` over all of them and the ``summary`` by form.
     """
     registry = active_registry(tiers, forms)
     assigned = joins.form_assignment(symbols, registry, feeds.filter("is_active"))
     own = listed.join(symbols.select(F.col("id").alias("symbol_id"), F.upper("symbol").alias("ticker")), "ticker")
     taken = recent_filings(own, assigned, registry, as_of).join(documents.select("url", "body"), "url")
-    filed = F.col("filed_at").cast("timestamp")
+    insiders = F.col("form_type") == "4"
+    none = F.lit(None).cast("double")
+    # A generated row is computed once; as a column it would be computed anew by each filter on it.
+    kept_text = F.explode(F.array_compact(F.array(filing_text("form_type", "body", table)))).alias("full_text")
+    texts = taken.filter(~insiders).select("symbol_id", "ticker", "url", "form_type", "filed_at", none.alias("bought"), none.alias("sold"), kept_text)
+    reports = insider_reports(taken.filter(insiders).select("url", "body").distinct())
+    told = taken.filter(insiders).join(reports, "url").select("symbol_id", "ticker", "url", "form_type", "filed_at", "bought", "sold", F.col("report").alias("full_text"))
     stub = F.concat_ws(" ", "ticker", "form_type", F.date_format("filed_at", "yyyy-MM-dd"))
-    read = taken.withColumns({"full_text": filing_text("form_type", "body"), "published_at": filed}).filter("full_text IS NOT NULL")
-    named = read.withColumn("title", facts.filing_title("full_text", stub)).withColumns(
+    named = texts.unionByName(told).withColumns({"published_at": F.col("filed_at").cast("timestamp"), "title": facts.filing_title("full_text", stub, form=F.col("form_type"))}).withColumns(
         {
             "article_hash": text.article_hash("url", "title", "published_at"),
             "filing_tier": of_form(registry, "tier"),
@@ -200,13 +233,17 @@ def ingest_filings(
         }
     )
     columns = ["symbol_id", "url", "title", "full_text", "article_hash", "form_type", "filing_tier", "sec_source_weight", "published_at"]
-    new = keep_first(named.select(*columns), ["article_hash"], [F.col("symbol_id"), F.col("url")]).join(stored.select("article_hash"), "article_hash", "left_anti").select(*columns)
-    kept = upsert.keep_longer(stored.select(*columns), new, ["symbol_id", "url"], "full_text", [c for c in columns if c not in ("symbol_id", "url", "full_text")]).select(*columns)
+    with_deals = [*columns, "bought", "sold"]
+    new = keep_first(named.select(*with_deals), ["article_hash"], [F.col("symbol_id"), F.col("url")]).join(stored.select("article_hash"), "article_hash", "left_anti").select(*with_deals)
+    kept = upsert.keep_longer(stored.select(*columns), new.select(*columns), ["symbol_id", "url"], "full_text", [c for c in columns if c not in ("symbol_id", "url", "full_text")]).select(*columns)
     annual = upsert.advance_date(symbols, _dates(new, "10-K", "last_10k_filed"), "id", "last_10k_filed")
     dated = upsert.advance_date(annual, _dates(new, "10-Q", "last_10q_filed"), "id", "last_10q_filed")
-    signals = filing_signals(new.select(F.col("article_hash").alias("id"), "symbol_id", "form_type", "published_at", F.lit(None).cast("double").alias("score")))
+    signals = filing_signals(new.withColumn("id", F.col("article_hash"))).withColumn("is_active", F.lit(True)).select(*SIGNAL_COLUMNS)
+    if stored_signals is not None:
+        known = stored_signals.select(*SIGNAL_COLUMNS)
+        signals = known.unionByName(signals.join(known.select("id", "signal_type"), ["id", "signal_type"], "left_anti"))
     return {
-        "filings": kept, "new": new, "symbols": dated, "signals": signals, "modifiers": sec_modifier(signals, dated, as_of), "summary": run_summary(new),
+        "filings": kept, "new": new.select(*columns), "symbols": dated, "signals": signals, "modifiers": sec_modifier(signals, dated, as_of), "summary": run_summary(new),
     }
 
 

@@ -10,7 +10,7 @@ from ..sources import parse
 from ..streaming import jobs
 from . import composites as C
 from . import testviews as V
-from .catalog import _query, strip_sql, title_sql
+from .catalog import SIGNALS, _query, strip_sql, title_sql
 from .testviews import SQL, as_of
 
 
@@ -82,7 +82,7 @@ def _(s, d):
 def _submissions(s, d):
     """One listing of filings for each customer, from its orders in parallel arrays."""
     o = V.table(s, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.left("o_orderpriority", F.lit(1)).alias("p"))
-    form = F.when(F.col("p") == "1", "10-K").when(F.col("p") == "2", "8-K").when(F.col("p") == "3", "NT 10-K").otherwise("X-1")
+    form = F.when(F.col("p") == "1", "10-K").when(F.col("p") == "2", "8-K").when(F.col("p") == "3", "NT 10-K").when(F.col("p") == "4", "4").otherwise("X-1")
     rows = o.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", form.alias("form"), "day"))).alias("r"))
     column = lambda f: F.transform("r", f)
     recent = F.struct(
@@ -92,7 +92,7 @@ def _submissions(s, d):
     return rows.select("id", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("json"))
 
 
-_LISTED = """, listed AS (SELECT o_custkey AS id, o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN '10-K' WHEN '2' THEN '8-K' WHEN '3' THEN 'NT 10-K' ELSE 'X-1' END AS form_type, o_orderdate::DATE AS filed_at,
+_LISTED = """, listed AS (SELECT o_custkey AS id, o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN '10-K' WHEN '2' THEN '8-K' WHEN '3' THEN 'NT 10-K' WHEN '4' THEN '4' ELSE 'X-1' END AS form_type, o_orderdate::DATE AS filed_at,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, 'https://a.example/00' || o_orderkey || '1/d' || o_orderkey || '.htm' AS url FROM orders)"""
 
 
@@ -108,30 +108,45 @@ def _(s, d):
     return parse.build_cik_map(own, c.select(_joined(" T", F.col("c_custkey").cast("string")).alias("ticker"), (F.col("c_custkey") + 7).alias("cik")))
 
 
-def _form4_xml(s, d):
-    """An insider's report for each order line."""
-    line = V.table(s, d, "lineitem")
+def _deal_xml():
+    """A transaction of an order line."""
     code = F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("Z")
-    deal = _joined(
+    return _joined(
         "<transactionDate><value>", F.date_format("l_shipdate", "yyyy-MM-dd"), "</value></transactionDate><transactionCoding><transactionCode>", code, "</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>",
         F.col("l_quantity").cast("long").cast("string"), "</value></transactionShares><transactionPricePerShare><value>", F.col("l_linenumber").cast("string"), "</value></transactionPricePerShare></transactionAmounts>",
     )
-    table = F.when(F.col("l_linestatus") == "O", _joined("<nonDerivativeTable><nonDerivativeTransaction>", deal, "</nonDerivativeTransaction></nonDerivativeTable>")).otherwise(
-        _joined("<derivativeTable><derivativeTransaction>", deal, "</derivativeTransaction></derivativeTable>")
-    )
-    owner = _joined("<reportingOwner><reportingOwnerId><rptOwnerName>O", F.col("l_suppkey").cast("string"), "</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>", (F.col("l_suppkey") % 2).cast("string"), "</isDirector></reportingOwnerRelationship></reportingOwner>")
-    return line.select("l_orderkey", "l_linenumber", "l_partkey", _joined("<ownershipDocument>", owner, table, "</ownershipDocument>").alias("xml"))
 
 
-_DEALS = "SELECT l_orderkey, l_linenumber, l_partkey, 'O' || l_suppkey AS owner, CASE WHEN l_suppkey % 2 = 1 THEN 'Director' ELSE 'Insider' END AS role, CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale' ELSE 'other' END AS kind, floor(l_quantity) AS shares, floor(l_quantity) * l_linenumber AS value, l_shipdate::DATE AS traded_at, l_returnflag FROM lineitem"
+def _deals_xml(market, other):
+    """Both tables of a report, of the transactions in two lists."""
+    rows = lambda name, deals: _joined(f"<{name}Table>", F.array_join(F.transform(deals, lambda x: _joined(f"<{name}Transaction>", x, f"</{name}Transaction>")), ""), f"</{name}Table>")
+    return _joined(rows("nonDerivative", market), rows("derivative", other))
+
+
+def _owner_xml(key: str):
+    return _joined("<reportingOwner><reportingOwnerId><rptOwnerName>O", F.col(key).cast("string"), "</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>", (F.col(key) % 2).cast("string"), "</isDirector></reportingOwnerRelationship></reportingOwner>")
+
+
+def _form4_xml(s, d):
+    """An insider's report for each order line."""
+    open_, none = F.col("l_linestatus") == "O", F.array().cast("array<string>")
+    deals = _deals_xml(F.when(open_, F.array(_deal_xml())).otherwise(none), F.when(open_, none).otherwise(F.array(_deal_xml())))
+    return V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _joined("<ownershipDocument>", _owner_xml("l_suppkey"), deals, "</ownershipDocument>").alias("xml"))
 
 
-@_query("s9_form4", f"SELECT * EXCLUDE (l_returnflag) FROM ({_DEALS})")
+_DEALS = "SELECT l_orderkey, l_linenumber, l_partkey, 'O' || l_suppkey AS owner, CASE WHEN l_suppkey % 2 = 1 THEN 'Director' ELSE 'Insider' END AS role, CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale' ELSE 'other' END AS kind, floor(l_quantity) AS shares, floor(l_quantity) * l_linenumber AS value, l_shipdate::DATE AS traded_at, 'Direct' AS ownership, l_returnflag, l_linestatus FROM lineitem"
+
+
+@_query("s9_form4", f"SELECT * EXCLUDE (l_returnflag, l_linestatus) FROM ({_DEALS})")
 def _(s, d):
-    return parse.parse_form4(_form4_xml(s, d), "xml").select("l_orderkey", "l_linenumber", "l_partkey", "owner", "role", "kind", "shares", "value", "traded_at")
+    return parse.parse_form4(_form4_xml(s, d), "xml").select("l_orderkey", "l_linenumber", "l_partkey", "owner", "role", "kind", "shares", "value", "traded_at", "ownership")
+
+
+#: A line of a report, and its head.
+_DEAL = "strftime(traded_at, '%Y-%m-%d') || ' ' || kind || ': ' || shares::VARCHAR || ' shares at ' || l_linenumber::DOUBLE::VARCHAR || ' (Direct)'"
 
 
-@_query("f30_form4_text", f"SELECT l_orderkey, string_agg(strftime(traded_at, '%Y-%m-%d') || ' ' || kind || ': ' || shares::VARCHAR || ' shares at ' || l_linenumber::DOUBLE::VARCHAR, chr(10) ORDER BY strftime(traded_at, '%Y-%m-%d') || ' ' || kind || ': ' || shares::VARCHAR || ' shares at ' || l_linenumber::DOUBLE::VARCHAR) AS report, sum(CASE WHEN l_returnflag = 'A' THEN value ELSE 0 END) AS bought, sum(CASE WHEN l_returnflag = 'R' THEN value ELSE 0 END) AS sold, count(*) AS n_transactions FROM ({_DEALS}) GROUP BY 1")
+@_query("f30_form4_text", f"SELECT l_orderkey, 'Insider: ' || max(owner || ' (' || role || ')') || chr(10) || string_agg({_DEAL}, chr(10) ORDER BY {_DEAL}) AS report, sum(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN value ELSE 0 END) AS bought, sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN value ELSE 0 END) AS sold, count(*) AS n_transactions FROM ({_DEALS}) GROUP BY 1")
 def _(s, d):
     return facts.form4_text(parse.parse_form4(_form4_xml(s, d), "xml"), "l_orderkey")
 
@@ -236,12 +251,12 @@ def _(s, d):
     return V.documents(s, d).select("doc_id", filings.filing_text(F.lit("10-K"), _sectioned()).alias("body"))
 
 
-@_query("f19_eight_k_items", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN '2.02' ELSE 'whole' END AS section, CASE WHEN length(text) > 5000 THEN trim('Item 2.02 Results' || chr(10) || left(text, 100)) ELSE 'Item 2.02 Results' || chr(10) || left(text, 100) || chr(10) || 'SIGNATURE' || chr(10) || text END AS body FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
+@_query("f19_eight_k_items", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN '2.02' ELSE 'whole' END AS section, CASE WHEN length(text) > 5000 THEN trim('Item 2.02 Results' || chr(10) || left(text, 100)) ELSE 'Item 2.02 Results' || chr(10) || left(text, 100) || chr(10) || 'SIGNATURES' || chr(10) || text END AS body FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
 def _(s, d):
     docs = V.documents(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    report = docs.select("doc_id", _joined("Item 2.02 Results\n", F.left("text", F.lit(100)), "\nSIGNATURE\n", F.col("text")).alias("report"), F.length("text").alias("n"))
-    long = facts.eight_k_items(report.filter("n > 5000").drop("n"), "report", ["1.01", "2.02"], whole=0)
-    return long.unionByName(facts.eight_k_items(report.filter("n <= 5000").drop("n"), "report", ["1.01", "2.02"]))
+    report = docs.select("doc_id", _joined("Item 2.02 Results\n", F.left("text", F.lit(100)), "\nSIGNATURES\n", F.col("text")).alias("report"), F.length("text").alias("n"))
+    long = filings.eight_k_items(report.filter("n > 5000").drop("n"), "report", ["1.01", "2.02"], whole=0)
+    return long.unionByName(filings.eight_k_items(report.filter("n <= 5000").drop("n"), "report", ["1.01", "2.02"]))
 
 
 @_query("f23_parse_model_json", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE (props->>'k')::BIGINT END AS k FROM events")
@@ -287,16 +302,30 @@ def _(s, d):
 # ---------------------------------------------------------------- composites
 
 
-@_query("q4_ingest_filings", SQL + _LISTED + """, own AS (SELECT l.* FROM listed l JOIN symbols s ON s.id = l.id AND s.status WHERE o_orderkey % 10 <> 0 AND (form_type IN ('10-K', 'NT 10-K') OR (form_type = '8-K' AND l.id NOT IN (SELECT symbol_id FROM feeds WHERE is_active AND feed_type = 'atom')))),
-    recent AS (SELECT * FROM own WHERE date_diff('day', filed_at, DATE '2001-01-01') <= 30.44 * CASE form_type WHEN '10-K' THEN 60 ELSE 24 END QUALIFY row_number() OVER (PARTITION BY id, form_type ORDER BY position, url) <= CASE form_type WHEN '10-K' THEN 5 WHEN '8-K' THEN 40 ELSE 6 END),
+#: Filings that a run takes up, their texts, and the deals that insiders report.
+_NEW = _LISTED + """, own AS (SELECT l.* FROM listed l JOIN symbols s ON s.id = l.id AND s.status WHERE o_orderkey % 10 <> 0 AND (form_type IN ('10-K', 'NT 10-K', '4') OR (form_type = '8-K' AND l.id NOT IN (SELECT symbol_id FROM feeds WHERE is_active AND feed_type = 'atom')))),
+    recent AS (SELECT * FROM own WHERE date_diff('day', filed_at, DATE '2001-01-01') <= 30.44 * CASE form_type WHEN '10-K' THEN 60 WHEN '4' THEN 12 ELSE 24 END QUALIFY row_number() OVER (PARTITION BY id, form_type ORDER BY position, url) <= CASE form_type WHEN '10-K' THEN 5 WHEN '8-K' THEN 40 WHEN '4' THEN 50 ELSE 6 END),
     doc AS (SELECT doc_id, 'Item 7. Results' || chr(10) || replace(text, '.', '.' || chr(10)) || chr(10) || 'ITEM 8. Tables' AS body FROM documents),
-    body AS (SELECT r.*, CASE form_type WHEN '10-K' THEN '=== MANAGEMENT DISCUSSION & ANALYSIS (Item 7) ===' || chr(10) || """ + clean_sql("left(trim(regexp_replace(body, '\\nITEM 8. Tables$', '')), 25000)") + " WHEN '8-K' THEN CASE WHEN length(body) <= 30000 THEN " + clean_sql("body") + " ELSE " + clean_sql("left(body, 30000)") + " END ELSE " + clean_sql("left(body, 8000)")
-    + " END AS full_text FROM recent r JOIN doc ON doc_id = o_orderkey) SELECT id AS symbol_id, url, form_type, " + title_sql("full_text", "'T' || id || ' ' || form_type || ' ' || strftime(filed_at, '%Y-%m-%d')") + " AS title, length(full_text) AS n_text, CASE form_type WHEN '10-K' THEN 2.5 WHEN '8-K' THEN 1.5 ELSE 1.6 END::DOUBLE AS weight FROM body")
+    texts AS (SELECT r.*, CASE form_type WHEN '10-K' THEN '=== MANAGEMENT DISCUSSION & ANALYSIS (Item 7) ===' || chr(10) || """ + clean_sql("left(trim(regexp_replace(body, '\\nITEM 8. Tables$', '')), 25000)") + " WHEN '8-K' THEN CASE WHEN length(body) <= 30000 THEN " + clean_sql("body") + " ELSE " + clean_sql("left(body, 30000)") + " END ELSE " + clean_sql("left(body, 8000)") + f""" END AS full_text
+      FROM recent r JOIN doc ON doc_id = o_orderkey WHERE form_type <> '4'),
+    deals AS (SELECT l_orderkey, string_agg({_DEAL}, chr(10) ORDER BY {_DEAL}) AS lines, split_part(substr(min({_DEAL}), 12), ':', 1) AS first, sum(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN value ELSE 0 END) AS bought, sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN value ELSE 0 END) AS sold FROM ({_DEALS}) GROUP BY 1),
+    told AS (SELECT *, 'Co' || id || ' (T' || id || ')' AS company, 'O' || id || CASE WHEN id % 2 = 1 THEN ' (Director)' ELSE ' (Insider)' END AS insider FROM recent JOIN deals ON l_orderkey = o_orderkey WHERE form_type = '4')"""
+
+
+@_query("q4_ingest_filings", SQL + _NEW + " SELECT id AS symbol_id, url, form_type, " + title_sql("full_text", "'T' || id || ' ' || form_type || ' ' || strftime(filed_at, '%Y-%m-%d')") + """ AS title, length(full_text) AS n_text, CASE form_type WHEN '10-K' THEN 2.5 WHEN '8-K' THEN 1.5 ELSE 1.6 END::DOUBLE AS weight FROM texts
+    UNION ALL SELECT id, url, '4', CASE first WHEN 'purchase' THEN left(company, 40) || ' — Insider Buy by ' || left(insider, 30) WHEN 'sale' THEN left(company, 40) || ' — Insider Sale by ' || left(insider, 30) ELSE 'T' || id || ' 4 ' || strftime(filed_at, '%Y-%m-%d') END,
+      length('Company: ' || company || chr(10) || 'Insider: ' || insider || chr(10) || lines), 1.2 FROM told""")
 def _(s, d):
     return _ingested(s, d)["new"].select("symbol_id", "url", "form_type", "title", F.length("full_text").cast("long").alias("n_text"), F.col("sec_source_weight").alias("weight"))
 
 
-@_query("q4_modifiers")
+@_query("q4_modifiers", SQL + SIGNALS + _NEW + """, fired AS (
+      SELECT id AS symbol_id, filed_at::TIMESTAMP AS filed_at, -0.05 AS modifier FROM texts WHERE form_type = 'NT 10-K'
+      UNION ALL SELECT id, filed_at, least(0.03, greatest(0.01, bought / 1e6 * 0.01)) FROM told WHERE bought > 0 UNION ALL SELECT id, filed_at, -0.01 FROM told WHERE sold > 0
+      UNION ALL SELECT symbol_id, filed_at - to_days(8600), modifier FROM signals WHERE id % 2 = 0),
+    annual AS (SELECT id, max(filed_at) AS filed FROM texts WHERE form_type = '10-K' GROUP BY 1)
+    SELECT s.id AS symbol_id, round(greatest(-0.2, least(0.2, coalesce(total, 0) - CASE WHEN date_diff('hour', filed::TIMESTAMP, TIMESTAMP '2001-01-01') <= 18 * 30.44 * 24 THEN 0 ELSE 0.06 END)), 4) AS sec_modifier
+    FROM symbols s LEFT JOIN (SELECT symbol_id, sum(modifier::DECIMAL(18,6))::DOUBLE AS total FROM fired WHERE filed_at > TIMESTAMP '2001-01-01' - INTERVAL 180 DAYS GROUP BY 1) t ON t.symbol_id = s.id LEFT JOIN annual a ON a.id = s.id""")
 def _(s, d):
     return _ingested(s, d)["modifiers"]
 
@@ -305,9 +334,17 @@ def _ingested(s, d):
     symbols = V.symbols(s, d).withColumns({"symbol": _joined("T", F.col("id").cast("string")), "last_10k_filed": F.lit(None).cast("timestamp"), "last_10q_filed": F.lit(None).cast("timestamp")})
     listed = parse.parse_submissions(_submissions(s, d), "json", "https://a.example/").withColumn("ticker", _joined("T", F.col("id").cast("string"))).drop("id")
     docs = V.documents(s, d).select("doc_id", _joined("Item 7. Results\n", F.replace("text", F.lit("."), F.lit(".\n")), "\nITEM 8. Tables").alias("body"))
-    named = listed.select("url", F.regexp_extract("url", r"d(\d+)\.htm$", 1).cast("long").alias("doc_id")).distinct().join(docs, "doc_id").select("url", "body")
+    named = listed.filter("form_type <> '4'").select("url", F.regexp_extract("url", r"d(\d+)\.htm$", 1).cast("long").alias("doc_id")).distinct().join(docs, "doc_id").select("url", "body")
+    listed_deals = lambda status: F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == status, _deal_xml())))
+    deals = V.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(listed_deals("O").alias("market"), listed_deals("F").alias("other"))
+    key = F.col("o_custkey").cast("string")
+    issuer = _joined("<issuer><issuerName>Co", key, "</issuerName><issuerTradingSymbol>T", key, "</issuerTradingSymbol></issuer>")
+    told = V.table(s, d, "orders").filter("left(o_orderpriority, 1) = '4'").join(deals, "o_orderkey").select(
+        _joined("https://a.example/00", F.col("o_orderkey").cast("string"), "1/d", F.col("o_orderkey").cast("string"), ".htm").alias("url"), _joined("<ownershipDocument>", issuer, _owner_xml("o_custkey"), _deals_xml(F.col("market"), F.col("other")), "</ownershipDocument>").alias("body")
+    )
     stored = s.createDataFrame([], "symbol_id long, url string, title string, full_text string, article_hash string, form_type string, filing_tier int, sec_source_weight double, published_at timestamp")
-    return filings.ingest_filings(listed, named, symbols, V.feeds(s, d).filter("feed_type = 'atom'"), stored, F.lit("2001-01-01").cast("timestamp"))
+    signals = C.filing_signals(V.filings(s, d)).withColumns({"id": F.col("id").cast("string"), "is_active": F.col("id") % 2 == 0, "filed_at": F.col("filed_at") - F.expr("INTERVAL 8600 DAYS")})
+    return filings.ingest_filings(listed, named.unionByName(told), symbols, V.feeds(s, d).filter("feed_type = 'atom'"), stored, F.lit("2001-01-01").cast("timestamp"), stored_signals=signals)
 
 
 def _refreshed(s, d):

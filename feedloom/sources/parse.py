@@ -104,7 +104,7 @@ def parse_submissions(df: DataFrame, json_col: str, base_url: str) -> DataFrame:
     rows = df.select(*keep, recent.alias("r")).select(*keep, F.posexplode(F.arrays_zip("r.form", "r.filingDate", "r.accessionNumber", "r.primaryDocument")).alias("position", "f"))
     bare = F.replace(F.col("f.accessionNumber"), F.lit("-"), F.lit(""))
     return rows.filter("f.accessionNumber <> '' AND f.primaryDocument <> ''").select(
-        *keep, "position", F.col("f.form").alias("form_type"), F.to_date("f.filingDate").alias("filed_at"), F.concat(F.lit(base_url), bare, F.lit("/"), F.col("f.primaryDocument")).alias("url")
+        *keep, "position", F.col("f.form").alias("form_type"), F.col("f.filingDate").try_cast("date").alias("filed_at"), F.concat(F.lit(base_url), bare, F.lit("/"), F.col("f.primaryDocument")).alias("url")
     )
 
 
@@ -118,24 +118,46 @@ def build_cik_map(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 FORM4_CODES = {"P": "purchase", "S": "sale", "A": "grant", "M": "exercise", "F": "tax", "G": "gift", "D": "disposition", "C": "conversion"}
 
 
+# How shares are held.
+OWNERSHIP = {"D": "Direct", "I": "Indirect"}
+
+
 def parse_form4(df: DataFrame, xml_col: str) -> DataFrame:
-    """Insider transactions with code, shares, price, value and date."""
+    """Insider transactions with company, insider, code, shares, price, value, ownership and date.
+
+    ``derivative`` tells options and the like, which are priced by their exercise,
+    from the rest. A deal without a date takes the period of the report; ownership
+    is direct unless it says otherwise.
+    """
     value = "struct<value:string>"
-    deal = f"struct<transactionDate:{value},transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:{value},transactionPricePerShare:{value}>,postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{value}>>"
-    schema = f"nonDerivativeTable struct<nonDerivativeTransaction:array<{deal}>>, derivativeTable struct<derivativeTransaction:array<{deal}>>, reportingOwner struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>"
+    deal = (
+        f"struct<transactionDate:{value},transactionCoding:struct<transactionCode:string>,conversionOrExercisePrice:{value},exercisePrice:{value},transactionAmounts:struct<transactionShares:{value},transactionPricePerShare:{value}>,"
+        f"postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{value}>,ownershipNature:struct<directOrIndirectOwnership:{value}>>"
+    )
+    schema = (
+        f"issuer struct<issuerName:string,issuerTradingSymbol:string>, periodOfReport string, nonDerivativeTable struct<nonDerivativeTransaction:array<{deal}>>, derivativeTable struct<derivativeTransaction:array<{deal}>>, "
+        "reportingOwner struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>"
+    )
     keep = [c for c in df.columns if c != xml_col]
     x = df.select(*keep, F.from_xml(xml_col, schema).alias("x"))
-    none = F.array().cast(f"array<{deal}>")
-    deals = F.concat(F.coalesce("x.nonDerivativeTable.nonDerivativeTransaction", none), F.coalesce("x.derivativeTable.derivativeTransaction", none))
-    number = lambda c: F.regexp_replace(F.col(c), ",", "").try_cast("double")
-    shares, price = number("t.transactionAmounts.transactionShares.value"), F.coalesce(number("t.transactionAmounts.transactionPricePerShare.value"), F.lit(0.0))
-    code = F.col("t.transactionCoding.transactionCode")
-    label = F.element_at(F.create_map(*(F.lit(v) for pair in FORM4_CODES.items() for v in pair)), code)
+    marked = lambda c, is_derivative: F.transform(F.coalesce(c, F.array().cast(f"array<{deal}>")), lambda t: F.struct(t.alias("t"), F.lit(is_derivative).alias("derivative")))
+    deals = F.concat(marked(F.col("x.nonDerivativeTable.nonDerivativeTransaction"), False), marked(F.col("x.derivativeTable.derivativeTransaction"), True))
+    number = lambda c: F.regexp_replace(F.col(f"d.t.{c}.value"), ",", "").try_cast("double")
+    exercise = F.when(F.col("d.derivative"), F.coalesce(number("exercisePrice"), number("conversionOrExercisePrice")))
+    shares, price = number("transactionAmounts.transactionShares"), F.coalesce(exercise, number("transactionAmounts.transactionPricePerShare"), F.lit(0.0))
+    code = F.col("d.t.transactionCoding.transactionCode")
+    labels = lambda table, c: F.element_at(F.create_map(*(F.lit(v) for pair in table.items() for v in pair)), c)
     flag = lambda c: F.lower(F.col(f"x.reportingOwner.reportingOwnerRelationship.{c}")).isin("1", "true")
     role = F.coalesce(F.col("x.reportingOwner.reportingOwnerRelationship.officerTitle"), F.when(flag("isDirector"), "Director"), F.when(flag("isTenPercentOwner"), "10% owner"), F.lit("Insider"))
-    return x.select(*keep, F.col("x.reportingOwner.reportingOwnerId.rptOwnerName").alias("owner"), role.alias("role"), F.explode(deals).alias("t")).select(
-        *keep, "owner", "role", code.alias("code"), F.coalesce(label, F.lit("other")).alias("kind"), shares.alias("shares"), price.alias("price"), (shares * price).alias("value"), F.to_date("t.transactionDate.value").alias("traded_at")
-    )
+    owner, period = F.col("x.reportingOwner.reportingOwnerId.rptOwnerName"), F.col("x.periodOfReport").try_cast("date")
+    company = F.concat("x.issuer.issuerName", F.lit(" ("), F.coalesce("x.issuer.issuerTradingSymbol", F.lit("")), F.lit(")"))
+    heads = x.select(*keep, company.alias("company"), owner.alias("owner"), role.alias("role"), period.alias("_period"), F.explode(deals).alias("d"))
+    held = F.coalesce(labels(OWNERSHIP, F.upper(F.trim("d.t.ownershipNature.directOrIndirectOwnership.value"))), F.lit("Direct"))
+    return heads.select(
+        *keep, "company", F.concat("owner", F.lit(" ("), "role", F.lit(")")).alias("insider"), "owner", "role", F.col("d.derivative").alias("derivative"), code.alias("code"),
+        F.coalesce(labels(FORM4_CODES, code), F.lit("other")).alias("kind"), shares.alias("shares"), price.alias("price"), (shares * price).alias("value"), held.alias("ownership"),
+        number("postTransactionAmounts.sharesOwnedFollowingTransaction").alias("owned_after"), F.coalesce(F.col("d.t.transactionDate.value").try_cast("date"), "_period").alias("traded_at"),
+    )
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import facts
+from feedloom.operators import facts, filings
 from feedloom.streaming import jobs
 
 
@@ -27,10 +27,10 @@ def test_model_json(spark):
 
 
 def test_sections_titles_and_reports(spark):
-    body = "\n".join(["UNITED STATES", "x", "y", "z", "w", "The Company Announces Very Good Results", "Item 2.02 Results", "grew", "SIGNATURE"])
+    body = "\n".join(["UNITED STATES", "x", "y", "z", "w", "The Company Announces Very Good Results", "Item 2.02 Results", "grew", "SIGNATURES"])
     df = spark.createDataFrame([(1, body), (2, "short")], "id int, t string")
     assert {r.id: r.x for r in df.select("id", facts.filing_title("t", F.lit("?")).alias("x")).collect()} == {1: "The Company Announces Very Good Results", 2: "?"}
-    assert [(r.id, r.section, r.body) for r in facts.eight_k_items(df, "t", ["2.02", "5.02"], whole=20).orderBy("id").collect()] == [(1, "2.02", "Item 2.02 Results\ngrew"), (2, "whole", "short")]
+    assert [(r.id, r.section, r.body) for r in filings.eight_k_items(df, "t", ["2.02", "5.02"], whole=20).orderBy("id").collect()] == [(1, "2.02", "Item 2.02 Results\ngrew"), (2, "whole", "short")]
     deals = spark.createDataFrame([(1, "P", "purchase", 10.0, 2.0, 20.0), (1, "S", "sale", 1.0, 3.0, 3.0)], "id int, code string, kind string, shares double, price double, value double").withColumn("traded_at", F.to_date(F.lit("2024-01-02")))
     (row,) = facts.form4_text(deals, "id").collect()
     assert (row.bought, row.sold, row.n_transactions) == (20.0, 3.0, 2) and row.report.startswith("2024-01-02 purchase")

@@ -94,7 +94,7 @@ def test_filing_texts_by_form(spark):
     rows = [("10-K", body), ("10-K/A", "nothing"), ("NT 10-K", "n" * 9_000), ("8-K", "short"), ("8-K", "x\n" * 20_000 + "Item 5.02 New head\nA. Person\nSignatures"), ("X", "whole"), ("4", None)]
     got = column(spark, rows, "f string, t string", filings.filing_text("f", "t"))
     assert got[0] == "=== RISK FACTORS (Item 1A) ===\nItem 1A. Risk Factors\nmuch risk\n\n=== MANAGEMENT DISCUSSION & ANALYSIS (Item 7) ===\nItem 7. Results\ngrew"
-    assert got[1] is None and len(got[2]) == 8_000 and got[3] == "short" and got[5] == "whole" and got[6] is None
+    assert got[1] == "nothing" and len(got[2]) == 8_000 and got[3] == "short" and got[5] == "whole" and got[6] is None
     assert got[4] == "=== Item 5.02: Director/Officer Changes ===\nItem 5.02 New head\nA. Person"
 
 
