@@ -4,27 +4,30 @@ Fixed patterns find assignments, access keys and long hexadecimal runs. Beyond
 them, values in a credential context are weighed by the number of guesses that a
 password attack needs: the cheapest segmentation of the value into words, dates,
 repeats, keyboard walks and brute-force spans, by dynamic programming. Words rank
-by their frequency in the whole corpus, so that prose after "password" is cheap.
+by their frequency in the whole corpus, rare ones too, so that prose after
+"password" is cheap.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, most_frequent, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 FOUND = "array<struct<start:long,kind:int,end:long>>"
-#: Words in the dictionary at most, and distinct words a task counts at a time. A
-#: rarer word than the dictionary holds would cost over 5 by its rank.
+#: Words in the dictionary that goes to every task, at most, and distinct words a
+#: task counts at a time. Rarer words get their ranks by a join with all counts.
 DICTIONARY, COUNTED = 200_000, 300_000
 #: log10 of the guesses from which a value in context counts as a secret; for a
 #: value that mixes letters of both cases, digits or signs, at least three of them.
@@ -41,10 +44,11 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key)["']?\x20{0,3}(?::|=>?|->|\bis\b)\x20{0,3}["']?([^\s"'`,;<>]{6,})""", re.I | re.A
+    r"""(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key|kennwort|mot\x20de\x20passe|contrase[ñn]a|clave)["']?\x20{0,3}(?::|=>?|->|\b(?:is|ist|est|es)\b)\x20{0,3}["']?([^\s"'`,;<>]{6,})""", re.I | re.A
 )
-_CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
-_WORD = re.compile(rb"[a-z]{3,}")
+_CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "kennwort", "contrase", "clave")
+#: Letters of any script.
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)[0-9]{2}|[0-9]{2})|(?:19|20)[0-9]{2})")
 _LOWER, _UPPER, _DIGITS, _OTHERS = (re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -80,7 +84,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     n, low, repeats = len(value), "".join([c.lower()[0] for c in value]), _repeats(value)
     run = [0] * (n + 1)  # letters from here on
     for i in range(n - 1, -1, -1):
-        run[i] = run[i + 1] + 1 if "a" <= low[i] <= "z" else 0
+        run[i] = run[i + 1] + 1 if low[i].isalpha() else 0
     pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
     for i in range(n):
         for j in range(i + WORD_LETTERS[0], i + min(run[i], WORD_LETTERS[1]) + 1):
@@ -138,33 +142,37 @@ def _kinds_of_signs(value: str) -> int:
     return sum(map(bool, (_LOWER.search(value), _UPPER.search(value), _DIGITS.search(value), _OTHERS.search(value))))
 
 
-def guessed_spans(text: str, taken: list[tuple[int, int, int]], ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
-    """Values in a credential context that reach beyond fixed spans and cost enough.
+def _values(text: str) -> Iterator[tuple[int, str]]:
+    """Values in a credential context with their starts."""
+    low = text.lower()
+    if any(w in low for w in _CONTEXT_WORDS):
+        for m in _CONTEXT.finditer(text):
+            yield m.start(1), m[1].rstrip(".!?:)]}")
 
-    Enough is ``least``, or for mixed values two thirds of it.
-    """
-    low, out = text.lower(), []
-    if not any(w in low for w in _CONTEXT_WORDS):
-        return out
+
+def costs_enough(value: str, ranks: dict[str, int], least: float) -> bool:
+    """Whether a value counts as a secret: from ``least``, or for mixed values two thirds of it."""
+    return guess_cost(value, ranks) >= (least * LEAST_MIXED / LEAST_COST if _kinds_of_signs(value) >= 3 else least)
+
+
+def guessed_spans(text: str, taken: list[tuple[int, int, int]], ranks: dict[str, int], least: float, spared: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+    """Values in a credential context that reach beyond fixed spans and cost enough; none of ``spared``."""
+    out = []
     starts, ends = _joined([(s, e) for s, _, e in taken])
-    for m in _CONTEXT.finditer(text):
-        start, value = m.start(1), m[1].rstrip(".!?:)]}")
+    for start, value in _values(text):
         end = start + len(value)
         at = bisect.bisect_right(starts, start) - 1
-        if len(value) >= 6 and not (at >= 0 and end <= ends[at]):
-            enough = least * LEAST_MIXED / LEAST_COST if _kinds_of_signs(value) >= 3 else least
-            if guess_cost(value, ranks) >= enough:
-                out.append((start, 3, end))
+        if len(value) >= 6 and not (at >= 0 and end <= ends[at]) and value not in spared and costs_enough(value, ranks, least):
+            out.append((start, 3, end))
     return out
 
 
-def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of common passwords and of the ``most`` most frequent words.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, c``: words of ``WORD_LETTERS`` of any script in all documents, from two occurrences on.
 
-    All documents are counted, each task pre-aggregating what it reads; the
-    words that reach the driver are ``most`` at most, of ``WORD_LETTERS`` and
-    found twice or more. Words of equal count come in all or not at all, and
-    rank by spelling.
+    Values in a credential context do not count, so that a secret in many copies
+    of a document is no word by that. Null and empty texts have no words; every
+    row counts, repeated ones too.
     """
     high = WORD_LETTERS[1]
 
@@ -173,38 +181,127 @@ def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
 
         def flush() -> pa.RecordBatch:
             words = [w for w in counts if len(w) <= high]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "c"])
             counts.clear()
             return out
 
         for batch in slices(batches, "text", 1 << 20):
             for text in batch["text"].to_pylist():
-                counts.update(_WORD.findall(text.encode().lower()))
+                done = 0
+                for start, value in _values(text):
+                    counts.update(_WORD.findall(text[done:start].lower()))
+                    done = max(done, start + len(value))
+                counts.update(_WORD.findall(text[done:].lower()))
             if len(counts) > COUNTED:
                 yield flush()
         if counts:
             yield flush()
 
-    counted = texts_of(docs).select("text").mapInArrow(partial, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
-    top = most_frequent(materialize(counted, "secret-words"), most).collect()
+    return texts_of(docs).select("text").mapInArrow(partial, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
+
+
+def top_ranks(counts: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of common passwords and of the ``most`` most frequent words.
+
+    The words that reach the driver are ``most`` at most. Words of equal count
+    come in all or not at all, and rank by spelling. An empty table leaves the
+    common passwords.
+    """
+    top = most_frequent(counts, most).collect()
     words = [r["word"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
 
 
-def find(docs: DataFrame, ranks: dict[str, int], *, least: float = LEAST_COST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spared_values(docs: DataFrame, counts: DataFrame, ranks: dict[str, int], least: float) -> DataFrame:
+    """``text_key, spared``: by text, values that ``ranks`` would make secrets, but the ranks of all words do not.
+
+    Only such values, few, meet the counts, by every run of letters inside of
+    them. A rarer word's rank is the number of words that are as frequent at
+    least; words beyond the dictionary are on no driver and in no task whole.
+    """
+    low, high = WORD_LETTERS
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = []
+            for text in batch["text"].to_pylist():
+                own = {v for _, v in _values(text) if len(v) >= 6 and costs_enough(v, ranks, least)}
+                if own:
+                    key = hashlib.md5(text.encode()).hexdigest()
+                    rows += [(key, v) for v in own]
+            yield _columns(rows, ("text_key", "value"), (pa.string(), pa.string()))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "value", 1 << 20):
+            for value in batch["value"].to_pylist():
+                rows = set()
+                for m in _WORD.finditer("".join([c.lower()[0] for c in value])):
+                    for i in range(m.start(), m.end() - low + 1):
+                        rows.update(m.string[i:j] for j in range(i + low, min(m.end(), i + high) + 1) if m.string[i:j] not in ranks)
+                        if len(rows) > COUNTED:
+                            yield _columns([(value, w) for w in rows], ("value", "word"), (pa.string(), pa.string()))
+                            rows.clear()
+                yield _columns([(value, w) for w in rows], ("value", "word"), (pa.string(), pa.string()))
+
+    def cheap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for value, found in zip(batch["value"].to_pylist(), batch["found"].to_pylist()):
+                if not costs_enough(value, ChainMap({x["word"]: x["rank"] for x in found}, ranks), least):
+                    values.append((value,))
+            yield _columns(values, ("value",), (pa.string(),))
+
+    found = materialize(texts_of(docs).select("text").mapInArrow(suspects, "text_key string, value string").distinct(), "secret-suspects")
+    words = found.select("value").distinct().mapInArrow(parts, "value string, word string").distinct().join(counts, "word")
+    # One row for each distinct count, of which there are few: their squares sum up to the words.
+    ladder = counts.groupBy("c").agg(F.count("*").alias("_n")).withColumn("rank", F.sum("_n").over(Window.orderBy(F.desc("c"))) + len(COMMON))
+    ranked = words.join(ladder.select("c", "rank"), "c").groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("found"))
+    spared = ranked.mapInArrow(cheap, "value string")
+    return materialize(found.join(spared, "value").groupBy("text_key").agg(F.collect_set("value").alias("spared")), "secret-spared")
+
+
+def _columns(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
+
+
+def _with_spared(rows: DataFrame, spared: DataFrame | None, ranks: dict[str, int], least: float) -> DataFrame:
+    """``rows`` with ``_spared``; only texts with a value in question take part in the join."""
+    none = F.lit(None).cast("array<string>").alias("_spared")
+    if spared is None:
+        return rows.select("*", none)
+
+    @F.pandas_udf("boolean")
+    def in_question(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and any(len(v) >= 6 and costs_enough(v, ranks, least) for _, v in _values(t))).astype(bool)
+
+    marked = rows.withColumn("_question", in_question(F.coalesce("text", F.lit(""))))
+    asked = marked.filter("_question").withColumn("_key", F.md5(F.col("text").cast("binary")))
+    held = asked.join(spared.select(F.col("text_key").alias("_key"), F.col("spared").alias("_spared")), "_key", "left")
+    return marked.filter("NOT _question").select(*rows.columns, none).unionByName(held.select(*rows.columns, "_spared"))
+
+
+def known_words(docs: DataFrame, most: int, least: float) -> tuple[dict[str, int], DataFrame]:
+    """The dictionary of ``docs`` and the values that its rarer words spare."""
+    counts = materialize(word_counts(docs), "secret-words")
+    ranks = top_ranks(counts, most)
+    return ranks, spared_values(docs, counts, ranks, least)
+
+
+def find(docs: DataFrame, ranks: dict[str, int], *, spared: DataFrame | None = None, least: float = LEAST_COST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, found`` for every row: spans by start, then kind."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
         for batch in slices(batches, "text"):
             rows = []
-            for text in batch["text"].to_pylist():
+            for text, known in zip(batch["text"].to_pylist(), batch["_spared"].to_pylist()):
                 spans = base_spans(text)
-                spans += guessed_spans(text, spans, ranks, least)
+                spans += guessed_spans(text, spans, ranks, least, frozenset(known or ()))
                 rows.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(item))], ["doc_id", "found"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(each, f"doc_id long, found {FOUND}")
+    return _with_spared(texts_of(docs, id_col, text_col), spared, ranks, least).mapInArrow(each, f"doc_id long, found {FOUND}")
 
 
 def span_text(spans: Column) -> Column:
@@ -213,13 +310,18 @@ def span_text(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
-def scan(docs: DataFrame, ranks: dict[str, int] | None = None, **options) -> DataFrame:
+def scan(docs: DataFrame, ranks: dict[str, int] | None = None, *, most: int = DICTIONARY, least: float = LEAST_COST, **options) -> DataFrame:
     """``doc_id``, counts by fixed kind, ``base_sha256``, ``spans``, ``n_guess``.
 
-    Null text counts as empty. Repeated rows and null ids each come back; other
-    columns are ignored; an empty table gives none.
+    Words rank by ``ranks``, or else by their counts in ``docs``: the ``most`` most
+    frequent in a dictionary, the rest by a join. Null text counts as empty.
+    Repeated rows and null ids each come back; other columns are ignored; an empty
+    table gives none.
     """
-    found = find(docs, word_ranks(docs) if ranks is None else ranks, **options)
+    spared = None
+    if ranks is None:
+        ranks, spared = known_words(texts_of(docs, **options), most, least)
+    found = find(docs, ranks, spared=spared, least=least, **options)
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
@@ -230,7 +332,7 @@ def scan(docs: DataFrame, ranks: dict[str, int] | None = None, **options) -> Dat
     )
 
 
-def redact(docs: DataFrame, ranks: dict[str, int] | None = None, *, mark: str = "[secret]", least: float = LEAST_COST) -> DataFrame:
+def redact(docs: DataFrame, ranks: dict[str, int] | None = None, *, mark: str = "[secret]", most: int = DICTIONARY, least: float = LEAST_COST) -> DataFrame:
     """The columns of ``docs`` with every found span of ``text`` replaced by ``mark``.
 
     Overlapping spans are replaced as one. ``n_chars``, where ``docs`` has it, is
@@ -238,29 +340,31 @@ def redact(docs: DataFrame, ranks: dict[str, int] | None = None, *, mark: str =
     comes back: repeated ones, null ids and all other columns as they are; an
     empty table gives none.
     """
-    words = word_ranks(docs) if ranks is None else ranks
+    spared = None
+    if ranks is None:
+        ranks, spared = known_words(docs, most, least)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = []
-            for text in batch["text"].to_pylist():
+            for text, known in zip(batch["text"].to_pylist(), batch["_spared"].to_pylist()):
                 if text is not None:
                     spans = base_spans(text)
                     parts, done = [], 0
-                    for s, _, e in sorted(spans + guessed_spans(text, spans, words, least)):
+                    for s, _, e in sorted(spans + guessed_spans(text, spans, ranks, least, frozenset(known or ()))):
                         if s >= done:
                             parts += [text[done:s], mark]
                         done = max(done, e)
                     text = "".join(parts) + text[done:]
                 texts.append(text)
             changed = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(i)) for i, n in enumerate(names)], names)
+            names = [n for n in batch.schema.names if n != "_spared"]
+            yield pa.RecordBatch.from_arrays([changed[n] if n in changed else batch[n] for n in names], names)
 
     own = docs.withColumns({"text": F.col("text").cast("string")} | ({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in docs.columns else {}))
-    return own.mapInArrow(each, own.schema)
+    return _with_spared(own, spared, ranks, least).mapInArrow(each, own.schema)
 
 
 def op6_guess_cost_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in all documents."""
+    """Secrets in all documents; edge cases as in ``scan``."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import pii, secrets
 
@@ -221,3 +222,21 @@ def test_repeats_are_those_of_the_pattern():
         value = "".join(rng.choice(list("ab"), n))
         want = [re.compile(r"(.{1,16}?)\1+", re.S).match(value, i) for i in range(n)]
         assert secrets._repeats(value) == [m and (len(m[1]), m.end()) for m in want]
+
+
+def test_rare_words_beyond_the_dictionary_are_no_secrets(spark):
+    words = ["straightforwardness", "incomprehensibility", "donaudampfschiffahrtsgesellschaft", "überwältigungsgefühlslage", "сверхчеловеческий"]
+    common = " ".join(f"filler{'abcdefghij'[i % 10] * 3} again" for i in range(100))
+    rows = [(i, f"{common} the {w} of it, {w}") for i, w in enumerate(words)] + [(10 + i, f"The password is {w} of it") for i, w in enumerate(words)] * 2
+    rows += [(20, "password is Xk9#Kq!7vZp2&Lm now"), (21, "the password is qzxkvjwpqyxkzjvw now")] * 3
+    df = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for most in (1, 4, 100):
+        got = {r.doc_id: r.spans for r in secrets.scan(df, most=most).collect()}
+        assert got[20] == "guess:12:27" and got[21] == "guess:16:32", "a secret of several copies is no word"
+        assert all(got[10 + i] == "" for i in range(len(words)))
+    texts = {r.doc_id: r.text for r in secrets.redact(df, most=4).collect()}
+    assert texts[20] == "password is [secret] now" and texts[12] == rows[7][1]
+    cut = {r.doc_id: r.spans for r in secrets.find(df, {}).select("doc_id", secrets.span_text(F.col("found")).alias("spans")).collect()}
+    assert all(cut[10 + i] for i in range(len(words))), "without any ranks they all are"
+    for text in ("Mein Kennwort ist Xk9#Kq!7vZp2&Lm", "la contraseña es Xk9#Kq!7vZp2&Lm", "mot de passe : Xk9#Kq!7vZp2&Lm", "Passwort: Xk9#Kq!7vZp2&Lm"):
+        assert len(secrets.guessed_spans(text, [], {}, secrets.LEAST_COST)) == 1, text
