@@ -384,13 +384,14 @@ def _(s, d):
     return jobs.run_live_articles(_arrivals(s, d), V.symbols(s, d), "article_hash").select("id", "symbol_id")
 
 
+def _scored(s, d):
+    rows = V.articles(s, d).select("id", "symbol_id", "published_at", "score", F.col("source_name").alias("summary"))
+    return jobs.landed_stream(rows.repartition(8), "scored-articles", 3)
+
+
 @_query("r2_incremental_scores", SQL + "SELECT symbol_id, round(sum(score * w) / sum(w), 6) AS mean_score FROM weighted WHERE abs(score) >= 0.25 GROUP BY 1")
 def _(s, d):
-    from ..operators import aggregates
-
-    articles = V.articles(s, d)
-    recompute = lambda keys: aggregates.decayed_mean(articles.join(keys, "symbol_id", "left_semi"), "symbol_id", "score", "published_at", as_of())
-    return jobs.run_incremental_scores(_arrivals(s, d), recompute).select("symbol_id", F.round("mean_score", 6).alias("mean_score"))
+    return jobs.run_incremental_scores(_scored(s, d), as_of()).filter("mean_score IS NOT NULL").select("symbol_id", F.round("mean_score", 6).alias("mean_score"))
 
 
 @_query("r3_bucket_dedup_stream", SQL + "SELECT symbol_id, source_name, time_bucket(INTERVAL 5 MINUTES, published_at) AS bucket, arg_max(id, coalesce(score, -99) * 1e12 - id) AS id FROM (SELECT * REPLACE (symbol_id % 10 AS symbol_id) FROM articles) GROUP BY 1, 2, 3")
@@ -406,11 +407,28 @@ def _(s, d):
     return counted.filter("kind <> ''").select("kind", F.col("w.start").alias("opened"), "n")
 
 
-@_query("r5_running_state", SQL + ", s AS (SELECT symbol_id, sum(score * exp(0.0007 * (date_diff('microsecond', TIMESTAMP '2024-01-01', published_at) / 3.6e9 + 730.56))) AS a, sum(exp(0.0007 * (date_diff('microsecond', TIMESTAMP '2024-01-01', published_at) / 3.6e9 + 730.56))) AS b, max(published_at) AS newest, arg_max(score, (published_at, id)) AS last_score, arg_max(source_name, (published_at, id)) AS last_summary FROM articles WHERE score IS NOT NULL GROUP BY 1) SELECT symbol_id, round(a / b, 6) AS mean_score, newest, last_score, last_summary FROM s")
+@_query("r5_running_state", SQL + """SELECT symbol_id, round(sum(score * w) FILTER (abs(score) >= 0.25) / sum(w) FILTER (abs(score) >= 0.25), 6) AS mean_score, max(published_at) FILTER (abs(score) >= 0.25) AS newest, count(*) FILTER (abs(score) >= 0.25) AS n_material,
+    arg_max(score, (published_at, id)) AS last_score, arg_max(source_name, (published_at, id)) AS last_summary FROM weighted WHERE score IS NOT NULL GROUP BY 1""")
 def _(s, d):
-    rows = V.articles(s, d).select("id", "symbol_id", "published_at", "score", F.col("source_name").alias("summary"))
-    state = jobs.run_running_state(jobs.landed_stream(rows, "scored-articles"))
-    return state.select("symbol_id", F.round(F.col("weighted") / F.col("weight"), 6).alias("mean_score"), "newest", "last_score", "last_summary")
+    means = jobs.read_means(jobs.run_running_state(_scored(s, d)).read(), as_of())
+    return means.withColumn("mean_score", F.round("mean_score", 6))
+
+
+def _late_first(df, ts):
+    """The rows as a stream, those of later times first."""
+    return jobs.landed_stream(df.repartitionByRange(6, F.desc(ts)).sortWithinPartitions(F.desc(ts)), "late-rows", 1)
+
+
+@_query("r3_revised_buckets", SQL + "SELECT symbol_id, source_name, time_bucket(INTERVAL 5 MINUTES, published_at) AS bucket, arg_max(id, coalesce(score, -99) * 1e12 - id) AS id FROM (SELECT * REPLACE (symbol_id % 10 AS symbol_id) FROM articles) GROUP BY 1, 2, 3")
+def _(s, d):
+    rows = V.articles(s, d).select("id", (F.col("symbol_id") % 10).alias("symbol_id"), "published_at", "score", "source_name")
+    return jobs.run_stored(_late_first(rows, "published_at"), "buckets", ("symbol_id", "source_name", "bucket"), jobs.best_of_buckets, jobs.revise_buckets).drop("score")
+
+
+@_query("r4_late_throughput", SQL + ", h AS (SELECT source_name AS kind, time_bucket(INTERVAL 1 HOUR, published_at) AS hour FROM articles) SELECT kind, hour - to_hours(k) AS opened, count(*) AS n FROM h, range(24) r(k) GROUP BY ALL")
+def _(s, d):
+    rows = V.articles(s, d).select(F.col("source_name").alias("kind"), F.col("published_at").alias("scored_at"))
+    return jobs.sliding_counts(jobs.run_stored(_late_first(rows, "scored_at"), "hours", ("kind", "hour"), jobs.hourly_counts, jobs.add_counts))
 
 
 @_query("r6_monotone_multiplier", SQL + ", g AS (SELECT p_type, p_name, max(1 + p_retailprice / 100000) AS m FROM part GROUP BY 1, 2) SELECT sector_name, industry_name, round(greatest(multiplier, m), 6) AS multiplier FROM macro LEFT JOIN g ON p_type = sector_name AND p_name = industry_name")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import scoring
 from ..operators import dedup, upsert
+from .store import KeyedStore
 
 #: Folders by key hash in a store that ``append_batches`` writes.
 BUCKETS = 64
@@ -52,23 +57,150 @@ def throughput(stream: DataFrame, *, ts: str = "scored_at", late: str = "1 hour"
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "24 hours", "1 hour").alias("w"), "kind").agg(F.count("*").alias("n"))
 
 
-def running_state(stream: DataFrame, *, rate: float = 0.0007, grace_hours: float = 30.44 * 24, reference: str = "2024-01-01") -> DataFrame:
-    """A running fold per symbol: sums that decay at read time, and the last values.
+#: Shares of a key's rows in the running state, so that no key is one task's work.
+SHARES = 8
+_STATE = "symbol_id long, share int, at long, total double, n long, folded_until long, weighted double, weight double, n_folded long, newest long, last_at long, last_id long, last_score double, last_summary string"
+_TIMES = ("at", "folded_until", "newest", "last_at")
 
-    ``stream`` has ``id, symbol_id, published_at, score, summary``. Each batch
-    gives, for each touched symbol, the sums of score and weight relative to
-    ``reference``, the newest time, and the score and summary of the newest
-    article. A weight after its grace is exp(rate * (t + grace - now)), so the
-    sums times exp(-rate * (now - reference)) are the decayed ones; rows still
-    in grace weigh one and are added by the reader from the last month. The
-    state is a grouped aggregation, whatever the order of arrival.
+
+class RunningState(StatefulProcessor):
+    """Per key and share: decayed sums of what is past its grace, and sums by time of what is in it.
+
+    A time stays open until the newest article seen is a whole grace later; then
+    it is folded into sums relative to a fixed time, which decay as a whole when
+    they are read. Folding on arrival, not by event-time timers, because these
+    need a watermark that would drop late articles; a silent key holds one grace
+    of open times at most. An article older than what is folded is folded at once.
+    """
+
+    def __init__(self, rate: float, grace_us: int, reference_us: int, least: float):
+        self.rate, self.grace, self.reference, self.least = rate, grace_us, reference_us, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "folded_until long, weighted double, weight double, n long, newest long, last_at long, last_id long, last_score double, last_summary string")
+        self.open = handle.getMapState("open", "at long", "total double, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.head.get()
+        until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary = known if known is not None else (None, 0.0, 0.0, 0, None, None, None, None, None)
+        changed: dict[int, tuple[float, int]] = {}
+        for frame in rows:
+            for at, row_id, score, summary in zip(frame["at"], frame["id"], frame["score"], frame["summary"]):
+                at = int(at)
+                if last_at is None or (at, row_id) > (last_at, last_id):
+                    last_at, last_id, last_score, last_summary = at, int(row_id), float(score), summary
+                if abs(score) < self.least:
+                    continue
+                newest = at if newest is None else max(newest, at)
+                if until is not None and at <= until:
+                    w = self._weight(at)
+                    weighted, weight, n = weighted + score * w, weight + w, n + 1
+                    continue
+                if at not in changed:
+                    changed[at] = tuple(self.open.getValue((at,))) if self.open.containsKey((at,)) else (0.0, 0)
+                changed[at] = (changed[at][0] + float(score), changed[at][1] + 1)
+        for at, sums in changed.items():
+            self.open.updateValue((at,), sums)
+        if newest is not None and (until is None or newest - self.grace > until):
+            until = newest - self.grace
+            for (at,), (total, count) in list(self.open.iterator()):
+                if at <= until:
+                    w = self._weight(at)
+                    weighted, weight, n = weighted + total * w, weight + count * w, n + count
+                    self.open.removeKey((at,))
+                    changed.pop(at, None)
+        self.head.update((until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary))
+        out = [(*key, None, None, None, until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary)]
+        out += [(*key, at, total, count, *[None] * 9) for at, (total, count) in changed.items()]
+        names = [c.split()[0] for c in _STATE.split(", ")]
+        # Objects, not floats with NaN: times in microseconds are beyond a double's whole numbers.
+        yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(names, zip(*out))})
+
+    def _weight(self, at: int) -> float:
+        return math.exp(self.rate * ((at - self.reference + self.grace) / 3.6e9))
+
+    def close(self) -> None:
+        pass
+
+
+def running_state(stream: DataFrame, *, rate: float = scoring.DECAY, grace_hours: float = scoring.DAYS_PER_MONTH * 24, reference: str = "2024-01-01", least: float = scoring.MATERIAL) -> DataFrame:
+    """A running fold per symbol whose mean can be read for any time from then on.
+
+    ``stream`` has ``id, symbol_id, published_at, score, summary``; rows without a
+    score or time do not count. Each batch gives, for each share it touched, a head
+    with the folded sums and the last values (``at`` is null) and the sums at the
+    open times it changed; ``keep_state`` stores them, ``read_means`` reads them. Needs the RocksDB state
+    store (``state_store``).
     """
-    hours = (F.unix_micros("published_at") - F.unix_micros(F.lit(reference).cast("timestamp"))) / 3.6e9 + grace_hours
-    w, order = F.exp(rate * hours), F.struct("published_at", "id")
-    scored = stream.filter("score IS NOT NULL AND published_at IS NOT NULL")
-    return scored.groupBy("symbol_id").agg(
-        F.sum(F.col("score") * w).alias("weighted"), F.sum(w).alias("weight"), F.max("published_at").alias("newest"), F.max_by("score", order).alias("last_score"), F.max_by("summary", order).alias("last_summary")
+    us = lambda ts: F.unix_micros(F.col(ts).cast("timestamp"))
+    start = int(pd.Timestamp(reference, tz="UTC").value // 1000)
+    rows = stream.filter("score IS NOT NULL AND published_at IS NOT NULL").select(
+        "symbol_id", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share"), F.col("id").cast("long").alias("id"), us("published_at").alias("at"), F.col("score").cast("double").alias("score"), F.col("summary").cast("string").alias("summary")
     )
+    fold = RunningState(rate, int(round(grace_hours * 3.6e9)), start, least)
+    state = rows.groupBy("symbol_id", "share").transformWithStateInPandas(fold, _STATE, "Update", "None")
+    return state.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
+
+
+def state_store(spark: SparkSession) -> None:
+    """Set the state store that map states need, for queries started from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def keep_state(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """For a ``KeyedStore`` by symbol: the newest head of each share, and its times that are still open."""
+    rows = batch.withColumn("_new", F.lit(1))
+    if stored is not None:
+        rows = stored.withColumn("_new", F.lit(0)).unionByName(rows)
+    latest = dedup.keep_first(rows, ["symbol_id", "share", "at"], [F.desc("_new")]).drop("_new")
+    heads = latest.filter("at IS NULL").select(F.col("symbol_id").alias("_s"), F.col("share").alias("_h"), F.col("folded_until").alias("_until"))
+    same = (F.col("symbol_id") == F.col("_s")) & (F.col("share") == F.col("_h"))
+    return latest.join(heads, same, "left").filter("at IS NULL OR _until IS NULL OR at > _until").drop("_s", "_h", "_until")
+
+
+def read_means(state: DataFrame, as_of: Column, *, rate: float = scoring.DECAY, reference: str = "2024-01-01") -> DataFrame:
+    """``symbol_id, mean_score, newest, n_material, last_score, last_summary`` as of a time not before the newest article."""
+    ago = F.exp(-rate * ((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.lit(reference).cast("timestamp"))) / 3.6e9))
+    w = F.when(F.col("at").isNull(), ago).otherwise(scoring.decay_weight("at", as_of, rate=rate))
+    value = lambda folded, open_: F.sum(F.when(F.col("at").isNull(), F.col(folded)).otherwise(F.col(open_)) * w)
+    last = F.struct("last_at", "last_id")
+    return state.groupBy("symbol_id").agg(
+        F.try_divide(value("weighted", "total"), value("weight", "n")).alias("mean_score"), F.max("newest").alias("newest"), F.sum(F.coalesce("n_folded", "n")).alias("n_material"),
+        F.max_by("last_score", last).alias("last_score"), F.max_by("last_summary", last).alias("last_summary"),
+    )
+
+
+def best_of_buckets(rows: DataFrame, *, ts: str = "published_at", minutes: int = 5) -> DataFrame:
+    """``symbol_id, source_name, bucket, id, score``: of each bucket the highest score, then the lowest id."""
+    width = minutes * 60
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(ts)) / width) * width)
+    named = rows.filter(F.col(ts).isNotNull()).select("symbol_id", "source_name", start.alias("bucket"), "id", "score")
+    return _best(named)
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    order = F.struct(F.coalesce("score", F.lit(-99.0)), -F.col("id"))
+    return rows.groupBy("symbol_id", "source_name", "bucket").agg(F.max_by("id", order).alias("id"), F.max_by("score", order).alias("score"))
+
+
+def revise_buckets(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """For a ``KeyedStore``: the best of each bucket after a batch, whenever its articles come."""
+    return fresh if stored is None else _best(stored.unionByName(fresh))
+
+
+def hourly_counts(rows: DataFrame, *, ts: str = "scored_at") -> DataFrame:
+    return rows.filter(F.col(ts).isNotNull()).groupBy("kind", F.date_trunc("hour", ts).alias("hour")).agg(F.count("*").alias("n"))
+
+
+def add_counts(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """For a ``KeyedStore``: events by kind and hour after a batch."""
+    return fresh if stored is None else stored.unionByName(fresh).groupBy("kind", "hour").agg(F.sum("n").alias("n"))
+
+
+def sliding_counts(hours: DataFrame, width: int = 24) -> DataFrame:
+    """``kind, opened, n``: windows of ``width`` hours, one every hour, from counts by the hour."""
+    opened = F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.col("hour") - F.make_dt_interval(F.lit(0), k)))
+    return hours.select("kind", opened.alias("opened"), "n").groupBy("kind", "opened").agg(F.sum("n").alias("n"))
 
 
 def append_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -94,31 +226,9 @@ def append_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps each batch's rows under its number."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part-of-batch={number}")
-
-    return write
-
-
-def raise_batches(target_of: Callable[[SparkSession], DataFrame], store: Callable[[DataFrame, int], None], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Monotone multipliers on arrivals: never lowered by a batch."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        store(upsert.raise_multiplier(target_of(batch.sparkSession), batch, keys), number)
-
-    return write
-
-
-def incremental_scores(recompute: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], None], key: str = "symbol_id") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that recomputes the keys a batch touches."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        store(recompute(batch.select(key).distinct()), number)
-
-    return write
+def raised(keys: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """For a ``KeyedStore`` of multipliers: those after a batch of signals, never lowered; without a target none."""
+    return lambda stored, batch: upsert.raise_multiplier(stored if stored is not None else batch.limit(0).drop("seq"), batch, keys)
 
 
 # ---------------------------------------------------------------- runs over what is there
@@ -140,12 +250,6 @@ def run_batches(df: DataFrame, name: str, write: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Of the rows that ``keep_updates`` kept, each key's last."""
-    rows = spark.read.parquet(path).drop("part-of-batch")
-    return dedup.keep_first(rows, keys, [F.desc("batch")]).drop("batch")
-
-
 def run_live_articles(stream: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     """The store after all arrivals: active symbols' articles, one for each key."""
     path = shared_path(stream.sparkSession, "live-articles")
@@ -153,32 +257,60 @@ def run_live_articles(stream: DataFrame, symbols: DataFrame, key: str) -> DataFr
     return stream.sparkSession.read.parquet(path).drop("key_bucket")
 
 
-def run_incremental_scores(stream: DataFrame, recompute: Callable[[DataFrame], DataFrame], key: str = "symbol_id") -> DataFrame:
-    """Scores after all arrivals, each key's as of the last batch that touched it."""
-    path = shared_path(stream.sparkSession, "incremental-scores")
-    run_batches(stream, "incremental-scores", incremental_scores(recompute, keep_updates(path), key))
-    return latest_updates(stream.sparkSession, path, [key])
+def run_running_state(stream: DataFrame) -> KeyedStore:
+    """The stored state after all arrivals, for ``read_means``."""
+    spark = stream.sparkSession
+    state_store(spark)
+    store = KeyedStore(spark, shared_path(spark, "running-state"), ("symbol_id",))
+    run_batches(running_state(stream), "running-state", store.batches(keep_state), "update")
+    return store
 
 
-def run_running_state(stream: DataFrame) -> DataFrame:
-    path = shared_path(stream.sparkSession, "running-state")
-    run_batches(running_state(stream), "running-state", keep_updates(path), "update")
-    return latest_updates(stream.sparkSession, path, ["symbol_id"])
+def incremental_scores(store: KeyedStore, scores: KeyedStore, as_of: Column) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the state after a batch, and the means of the symbols it touches.
 
+    The means come from the stored sums; no article is read again. A score is as
+    of the batch that touched its symbol.
+    """
 
-def run_monotone_multipliers(signals: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("sector_name", "industry_name")) -> DataFrame:
-    """The target after all signals; each batch starts from what the one before wrote."""
-    spark = signals.sparkSession
-    state = {"path": shared_path(spark, "multipliers")}
-    target.write.parquet(state["path"])
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            parts = store.merge(held, number, keep_state)
+            state = store.read(parts) if parts else None
+            if state is not None:
+                touched = state.join(held.select("symbol_id").distinct(), "symbol_id", "left_semi")
+                scores.merge(read_means(touched, as_of), number, lambda old, new: new if old is None else upsert.upsert(old, new, ["symbol_id"], [F.lit(1)]))
+        finally:
+            held.unpersist()
 
-    def store(raised: DataFrame, number: int) -> None:
-        following = shared_path(spark, f"multipliers-{number}")
-        raised.write.parquet(following)
-        state["path"] = following
+    return write
+
+
+def run_incremental_scores(stream: DataFrame, as_of: Column) -> DataFrame:
+    """Scores after all arrivals of ``id, symbol_id, published_at, score, summary``, each batch touching its symbols alone."""
+    spark = stream.sparkSession
+    state_store(spark)
+    store, scores = (KeyedStore(spark, shared_path(spark, name), ("symbol_id",)) for name in ("score-state", "scores"))
+    run_batches(running_state(stream), "incremental-scores", incremental_scores(store, scores, as_of), "update")
+    return scores.read()
 
-    run_batches(signals, "multipliers", raise_batches(lambda s: s.read.parquet(state["path"]), store, list(keys)))
-    return spark.read.parquet(state["path"])
+
+def run_monotone_multipliers(signals: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("sector_name", "industry_name")) -> DataFrame:
+    """The target after all signals; a batch rewrites the parts of the target that it touches."""
+    spark = signals.sparkSession
+    store = KeyedStore(spark, shared_path(spark, "multipliers"), tuple(keys))
+    store.merge(target, -1, lambda _, rows: rows)
+    run_batches(signals, "multipliers", store.batches(raised(list(keys))))
+    return store.read()
+
+
+def run_stored(stream: DataFrame, name: str, keys: tuple[str, ...], prepare: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """A table by ``keys`` after all arrivals: each batch prepared, and merged by ``combine``."""
+    store = KeyedStore(stream.sparkSession, shared_path(stream.sparkSession, name), keys)
+    write = store.batches(combine)
+    run_batches(stream, name, lambda batch, number: write(prepare(batch), number))
+    return store.read()
 
 
 def run_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

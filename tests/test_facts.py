@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import facts, filings
-from feedloom.streaming import jobs
 
 
 def test_figures_of_every_shape(spark):
@@ -45,14 +44,6 @@ def test_violations_and_hook(spark):
     assert sorted(r.score for r in hooked.collect()) == pytest.approx([0.1, 0.2, 0.3, 0.4])
 
 
-def test_running_state(spark, tmp_path):
-    rows = [(1, 1, "2024-01-02 00:00:00", 0.5, "old"), (2, 1, "2024-01-03 00:00:00", -0.5, "new"), (3, 2, "2024-01-01 00:00:00", None, "x")]
-    df = spark.createDataFrame(rows, "id long, symbol_id long, at string, score double, summary string").withColumn("published_at", F.to_timestamp("at")).drop("at")
-    got = {r.symbol_id: r for r in jobs.run_running_state(jobs.landed_stream(df.repartition(3), "state", 1)).collect()}
-    assert set(got) == {1} and got[1].newest.day == 3 and got[1].weighted < 0 < got[1].weight
-    assert (got[1].last_score, got[1].last_summary) == (-0.5, "new")
-
-
 def test_clean_numbers_at_any_depth(spark):
     df = spark.createDataFrame([(1, [1.0, float("nan")], {"a": float("inf"), "b": 2.0}, (float("nan"), "t"), 3)], "id int, l array<double>, m map<string,double>, s struct<x:double,y:string>, n int")
     (r,) = facts.clean_numbers(df, ["l", "m", "s", "n"]).collect()
