@@ -36,6 +36,8 @@ MIX = 0.1
 LONG = 4_096
 #: Symbols whose counts travel in one row.
 BLOCK = 1_024
+#: Rows of a block that are summed in one group.
+FAN_IN = 64
 _COUNTED = 400_000
 
 
@@ -259,15 +261,15 @@ def together(batches: Iterator[list[np.ndarray]], most: int = 1 << 20) -> Iterat
 
 def _sum_rows(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float64) for x in table["data"].to_pylist())
-    return pa.table({"block": table["block"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"block": table["block"][:1], "part": table["part"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
 
 def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
     """One round over all training rows of ``encoded``.
 
-    A task emits one row per block of symbols; rows of a block are summed in two
-    steps, so that no group grows with the number of tasks beyond its root. Tasks
-    are two for each core, so that what is shuffled does not grow with the input.
+    Tasks are those of the scan, so they grow in number with the input. A task
+    emits one row for each block of symbols that it saw, and the rows of a block
+    are summed ``FAN_IN`` at a time, level by level, so that no group grows.
     """
     states, n_symbols = len(model.start), len(model.emit)
 
@@ -279,20 +281,26 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
         for sequences in together(lists):
             for total, part in zip((start, step, emit), expected_counts(sequences, model), strict=True):
                 total += part
-        rows = [(-1, np.concatenate([start, step.ravel()]))] + [(b, emit[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-n_symbols // BLOCK))]
-        part = TaskContext.get().partitionId() % 64
+        cut = ((b, emit[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-n_symbols // BLOCK)))
+        rows = [(-1, np.concatenate([start, step.ravel()])), *((b, x) for b, x in cut if x.any())]
+        part = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_arrays(
             [pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())],
             ["block", "part", "data"],
         )
 
-    tasks = 2 * encoded.sparkSession.sparkContext.defaultParallelism
-    parts = encoded.filter("not held_out").select("symbols").coalesce(tasks).mapInArrow(partial, "block int, part int, data binary")
-    summed = parts.groupBy("block", "part").applyInArrow(_sum_rows, "block int, data binary").groupBy("block").applyInArrow(_sum_rows, "block int, data binary")
+    rows = encoded.filter("not held_out").select("symbols")
+    summed, groups = rows.mapInArrow(partial, "block int, part int, data binary"), -(-rows.rdd.getNumPartitions() // FAN_IN)
+    while groups > 1:
+        summed = summed.groupBy("block", "part").applyInArrow(_sum_rows, "block int, part int, data binary").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        groups = -(-groups // FAN_IN)
+    summed = summed.groupBy("block").applyInArrow(_sum_rows, "block int, part int, data binary")
     data = {r["block"]: np.frombuffer(r["data"], np.float64) for r in summed.collect()}
     if -1 not in data:
         return model
-    head, emit = data.pop(-1), np.concatenate([data[b] for b in sorted(data)]).reshape(n_symbols, states)
+    head, emit = data.pop(-1), np.zeros((n_symbols, states))
+    for block, counts in data.items():
+        emit[block * BLOCK : (block + 1) * BLOCK] = counts.reshape(-1, states)
     return Hmm.from_counts(head[:states], head[states:].reshape(states, states), emit, unigram)
 
 
