@@ -151,7 +151,7 @@ def _(s, d):
     return facts.form4_text(parse.parse_form4(_form4_xml(s, d), "xml"), "l_orderkey")
 
 
-@_query("s10_html_to_text", f"WITH h AS (SELECT page_id, {_NO_TEXT} AS h FROM pages), b AS (SELECT page_id, " + strip_sql("regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1)") + " AS a, " + strip_sql("regexp_extract(h, '(?is)<main\\b[^>]*>(.*?)</main>', 1)")
+@_query("s10_html_to_text", f"WITH h AS (SELECT page_id, regexp_replace({_NO_TEXT}, '&(amp|quot)([^;A-Za-z0-9])', '&\\1;\\2', 'g') AS h FROM pages), b AS (SELECT page_id, " + strip_sql("regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1)") + " AS a, " + strip_sql("regexp_extract(h, '(?is)<main\\b[^>]*>(.*?)</main>', 1)")
     + " AS m, array_to_string(list_filter(list_transform(regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), lambda p: " + strip_sql("p") + "), lambda p: length(p) > 40), ' ') AS p FROM h) SELECT page_id, left(CASE WHEN length(a) > 200 THEN a WHEN length(m) > 200 THEN m WHEN length(p) > 200 THEN p END, 100000) AS body FROM b")
 def _(s, d):
     return parse.html_to_text(V.table(s, d, "pages").select("page_id", "html"))
@@ -163,6 +163,23 @@ def _(s, d):
     return parse.discover_feed_links(V.table(s, d, "pages").withColumn("html", F.concat(link, "html")))
 
 
+_NESTED = '<div class="x article-body"><div>' + "inner words and more " * 12 + "</div>"
+
+
+@_query("s10_nested_body", "SELECT page_id, left(trim(repeat('inner words and more ', 12)) || ' tail of page ' || page_id, 100000) AS body FROM pages")
+def _(s, d):
+    page = V.table(s, d, "pages").select("page_id", F.concat(F.lit(_NESTED + "tail of page "), F.col("page_id").cast("string"), F.lit("<nav>menu</nav></div>"), F.regexp_replace("html", "</?article>", "")).alias("html"))
+    return parse.html_to_text(page)
+
+
+@_query("s12_organisation_feeds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN root || '/rssfeed/organization/a' || page_id WHEN 1 THEN root || '/atomfeed/organization/b' || page_id END AS feed_url, CASE page_id % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' END AS feed_type, CASE WHEN page_id % 2 = 0 THEN page_id END AS org_id FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS root FROM pages) WHERE page_id % 4 <> 3")
+def _(s, d):
+    key, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    told = F.when(k == 0, _joined('{\\"Key\\":\\"rss\\",\\"Url\\":\\"/rssfeed/organization/a', key, '\\"}<a href="/rssfeed/organization/z">')).when(k == 1, _joined('<a href="/atomfeed/organization/b', key, '">x</a>')).otherwise("")
+    number = F.when(F.col("page_id") % 2 == 0, _joined("ContextOrgId : ", key)).otherwise("")
+    return parse.organisation_feeds(V.table(s, d, "pages").select("page_id", "url", F.concat(told, number, "html").alias("html")))
+
+
 @_query("s13_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def _(s, d):
     return parse.links(V.table(s, d, "pages"))

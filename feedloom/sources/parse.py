@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +188,30 @@ def discover_feed_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     return rows.select(id_col, absolute(F.col(url_col), href).alias("feed_url"), F.when(F.col("tag").rlike("(?i)atom"), "atom").otherwise("rss").alias("feed_type")).distinct()
 
 
+# How a release host's pages name the feeds of an organisation.
+ORGANISATION_FEEDS = (("rss", "/rssfeed/organization/"), ("atom", "/atomfeed/organization/"))
+
+
+def organisation_feeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", feeds: tuple[tuple[str, str], ...] = ORGANISATION_FEEDS) -> DataFrame:
+    """``feed_url``, ``feed_type`` and ``org_id``: feeds of the organisation that a page belongs to.
+
+    The paths stand in escaped JSON beside their key, or in links; the escaped one
+    counts first. A page of which only the number is known gives one row without a
+    feed. Null pages give none.
+    """
+    html, number = F.col(html_col), F.regexp_extract(html_col, r"ContextOrgId\s*:\s*(\d+)", 1).try_cast("long")
+    found = []
+    for kind, path in feeds:
+        named = F.regexp_extract(html, rf'\\"Key\\":\\"{kind}\\"[^}}]*\\"Url\\":\\"({path}[^\\]+)\\"', 1)
+        linked = F.regexp_extract(html, rf'href="({path}[^"]+)"', 1)
+        own = F.coalesce(F.nullif(named, F.lit("")), F.nullif(linked, F.lit("")))
+        found.append(F.when(own.isNotNull(), F.struct(absolute(F.col(url_col), own).alias("feed_url"), F.lit(kind).alias("feed_type"))))
+    none = F.struct(F.lit(None).cast("string").alias("feed_url"), F.lit(None).cast("string").alias("feed_type"))
+    listed = F.array_compact(F.array(*found))
+    rows = F.when(F.size(listed) > 0, listed).when(number.isNotNull(), F.array(none))
+    return pages.select(id_col, number.alias("org_id"), F.explode(rows).alias("f")).select(id_col, "f.feed_url", "f.feed_type", "org_id")
+
+
 # A screener's field and the column it fills.
 SCREENER_FIELDS = {
     "close": "close_price", "change": "price_change", "price_earnings_ttm": "price_earnings_ttm", "price_book_fq": "price_book_ratio",
@@ -231,30 +258,86 @@ def normalize_screener(df: DataFrame, wanted: DataFrame, fields: dict[str, str]
     return rows.join(wanted.select(F.upper("ticker").alias("ticker")), "ticker", "left_semi")
 
 
-# Parts of a page that are no text, and what holds an article.
+# Parts of a page that are no text, and what may hold an article, in this order: element, or attribute and a part of its value.
 NO_TEXT = ("script", "style", "nav", "footer", "header", "aside")
 BODIES = (
-    r"<article\b[^>]*>(.*?)</article>",
-    r"<([a-z]+)[^>]*class=.[^\"'>]*(?:article-body|news-body|press-release|body__content)[^>]*>(.*?)</\1>",
-    r"<main\b[^>]*>(.*?)</main>",
-)
+    ("article", ""), ("class", "article-body"), ("class", "news-body"), ("class", "press-release"), ("class", "body__content"),
+    ("data-testid", "content"), ("main", ""), (".class", "content"), (".id", "content"),
+)
 LONGEST_BODY, LEAST_BODY, LEAST_PARAGRAPH = 100_000, 200, 40
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements before which an open paragraph ends.
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+
+
+class _PageText(HTMLParser):
+    """Text of the first element of each of ``BODIES``, and of all paragraphs, each up to its own end."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, list]] = []
+        self.open: dict[str, int] = {}
+        self.hidden = 0
+        self.bodies: dict[int, list[str]] = {}
+        self.paragraphs: list[list[str]] = []
+        self.taking: list[list[str]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _BLOCKS and self.open.get("p"):
+            self.handle_endtag("p")
+        if tag in _VOID:
+            return
+        taken = []
+        if not self.hidden and tag not in NO_TEXT:
+            given = {k: v or "" for k, v in attrs}
+            for i, (name, part) in enumerate(BODIES):
+                if i not in self.bodies and (part in given.get(name[1:], "").split() if name[0] == "." else part in given.get(name, "") if part else tag == name):
+                    self.bodies[i] = []
+                    taken.append(self.bodies[i])
+            if tag == "p":
+                self.paragraphs.append([])
+                taken.append(self.paragraphs[-1])
+        self.hidden += tag in NO_TEXT
+        self.taking += taken
+        self.stack.append((tag, taken))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def handle_endtag(self, tag: str) -> None:
+        while self.open.get(tag):
+            last, taken = self.stack.pop()
+            self.open[last] -= 1
+            self.hidden -= last in NO_TEXT
+            if taken:
+                self.taking = self.taking[: -len(taken)]
+            if last == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            for pieces in self.taking:
+                pieces.append(data)
+
+
+def page_text(html: str | None) -> str | None:
+    """An article's text: of the first of ``BODIES`` that is long enough, else its long paragraphs; None if there is none."""
+    page = _PageText()
+    page.feed(html or "")
+    page.close()
+    joined = lambda pieces: " ".join(" ".join(pieces).split())
+    bodies = (joined(page.bodies[i]) for i in sorted(page.bodies))
+    paragraphs = (p for p in map(joined, page.paragraphs) if len(p) > LEAST_PARAGRAPH)
+    found = next((b for b in bodies if len(b) > LEAST_BODY), None) or " ".join(paragraphs)
+    return found[:LONGEST_BODY] if len(found) > LEAST_BODY else None
 
 
 def body_text(html: Column | str) -> Column:
-    """An article's text: its body if that is long enough, else its long paragraphs; null if there is none.
+    """``page_text`` of a column, in Arrow batches: a block ends at its own closing tag, however deep others nest in it."""
 
-    By patterns, not by a tree: a block ends at the first closing tag of its
-    kind. Bodies need over 200 signs; so do all paragraphs of over 40 together.
-    """
-    h = F.col(html) if isinstance(html, str) else html
-    for tag in NO_TEXT:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    bodies = [T.strip_html(F.regexp_extract(h, "(?is)" + p, 1 if p.count("(.*?)") and "\\1" not in p else 2)) for p in BODIES]
-    paragraphs = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), T.strip_html)
-    joined = F.array_join(F.filter(paragraphs, lambda p: F.length(p) > LEAST_PARAGRAPH), " ")
-    found = F.coalesce(*(F.when(F.length(b) > LEAST_BODY, b) for b in [*bodies, joined]))
-    return F.left(found, F.lit(LONGEST_BODY))
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(page_text)
+
+    return read(F.col(html) if isinstance(html, str) else html)
 
 
 def html_to_text(df: DataFrame, html_col: str = "html") -> DataFrame:

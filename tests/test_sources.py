@@ -93,3 +93,15 @@ def test_late_articles_are_stored(spark, tmp_path):
         live = jobs.live_articles(spark.readStream.schema(df.schema).parquet(source), symbols)
         live.writeStream.foreachBatch(jobs.append_batches(target, "article_hash")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.article_hash for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "d", "f"]
+
+
+def test_page_text_ends_at_its_own_closing_tag():
+    words = "words of the story " * 12
+    body = " ".join(words.split())
+    assert parse.page_text(f'<div class="x article-body"><div>{words}</div>after<div><div>deep</div></div></div>outside') == f"{body} after deep"
+    assert parse.page_text(f"<article>short</article><main><p>{words}<p>{words}</main>") == f"{body} {body}"
+    assert parse.page_text(f'<div id="content"><section>{words}<aside>{words}</aside><script>"</div>"</script></section>end</div>no') == f"{body} end"
+    assert parse.page_text(f'<nav><article>{words}</article></nav><div data-testid="my-content">{words}&amp; more</div>') == f"{body} & more"
+    assert parse.page_text(f'<div class="contents">{words}</div><p>{words}</p><p>short</p><p>{words}') == f"{body} {body}"
+    assert parse.page_text("<p>" + "x " * 50 + "</p>") is None and parse.page_text(None) is None and parse.page_text("") is None
+    assert len(parse.page_text(f"<article>{'word ' * 100_000}</article>")) == parse.LONGEST_BODY
