@@ -16,8 +16,8 @@ import math
 import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex", "guess")
 FOUND = "array<struct<start:long,kind:int,end:long>>"
 #: Words in the dictionary that goes to every task, at most, and distinct words a
 #: task counts at a time. Rarer words get their ranks by a join with all counts.
-DICTIONARY, COUNTED = 200_000, 300_000
+DICTIONARY, COUNTED = 200_000, 200_000
 #: log10 of the guesses from which a value in context counts as a secret; for a
 #: value that mixes letters of both cases, digits or signs, at least three of them.
 LEAST_COST, LEAST_MIXED = 12.0, 8.0
@@ -46,6 +46,8 @@ _HEX = re.compile("[0-9a-f]{16,}")
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|api[\x20_-]?key|credentials?|private[\x20_-]?key|kennwort|mot\x20de\x20passe|contrase[ñn]a|clave)["']?\x20{0,3}(?::|=>?|->|\b(?:is|ist|est|es)\b)\x20{0,3}["']?([^\s"'`,;<>]{6,})""", re.I | re.A
 )
+#: As the pattern above begins, for Spark: every text that has a value has this.
+_MAY_HOLD = r"(?i)(?:pass|pwd|secret|token|key|credential|kennwort|contrase[ñn]a|clave)[a-z]{0,6}[\"']?\x20{0,3}(?::|=|->|is|est|es)"
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "kennwort", "contrase", "clave")
 #: Letters of any script.
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -266,16 +268,14 @@ def _columns(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
 
 
 def _with_spared(rows: DataFrame, spared: DataFrame | None, ranks: dict[str, int], least: float) -> DataFrame:
-    """``rows`` with ``_spared``; only texts with a value in question take part in the join."""
+    """``rows`` with ``_spared``; only texts that may hold a value in context take part in the join."""
     none = F.lit(None).cast("array<string>").alias("_spared")
     if spared is None:
         return rows.select("*", none)
 
-    @F.pandas_udf("boolean")
-    def in_question(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(t) and any(len(v) >= 6 and costs_enough(v, ranks, least) for _, v in _values(t))).astype(bool)
-
-    marked = rows.withColumn("_question", in_question(F.coalesce("text", F.lit(""))))
+    low = F.lower("text")
+    told = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in _CONTEXT_WORDS])
+    marked = rows.withColumn("_question", F.coalesce(told & F.rlike("text", F.lit(_MAY_HOLD)), F.lit(False)))
     asked = marked.filter("_question").withColumn("_key", F.md5(F.col("text").cast("binary")))
     held = asked.join(spared.select(F.col("text_key").alias("_key"), F.col("spared").alias("_spared")), "_key", "left")
     return marked.filter("NOT _question").select(*rows.columns, none).unionByName(held.select(*rows.columns, "_spared"))
