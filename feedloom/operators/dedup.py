@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
@@ -31,15 +32,53 @@ def duplicate_groups(df: DataFrame, keys: list[Column | str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def carry_forward(df: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
-    """Last value that is not null so far, by key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"last_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
+#: Widths of the slices in which a key's rows are scanned: a day of times, so many of numbers, signs of texts.
+SLICE_SECONDS, SLICE_NUMBERS, SLICE_SIGNS = 86_400, 256, 2
 
 
-def previous_state(df: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
+def slice_of(df: DataFrame, value: Column) -> Column:
+    """A coarser value in the same order, for the type of ``value``."""
+    kind = df.select(value).schema[0].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        return F.floor(F.unix_seconds(value.cast("timestamp")) / SLICE_SECONDS)
+    return F.left(value, F.lit(SLICE_SIGNS)) if isinstance(kind, StringType) else F.floor(value / SLICE_NUMBERS)
+
+
+def _by_slices(df: DataFrame, key: str, order: list[Column], slice_by: Column | None, inside: dict[str, Column], ends: dict[str, Column]) -> DataFrame:
+    """``inside`` over each key's slices, and as ``_before_<name>`` the last of ``ends`` over its earlier ones.
+
+    A key's rows go to as many tasks as it has slices; only one summary for each
+    slice is scanned by key, and joined back.
+    """
+    cut = df.withColumn("_slice", slice_of(df, order[0]) if slice_by is None else slice_by)
+    scanned = cut.withColumns(inside)
+    summaries = cut.groupBy(key, "_slice").agg(*(e.alias(name) for name, e in ends.items()))
+    w = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = summaries.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), *(F.last(name, ignorenulls=True).over(w).alias(f"_before_{name}") for name in ends))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at"))
+    return scanned.join(before, same, "left").drop("_slice", "_key", "_at")
+
+
+def carry_forward(df: DataFrame, key: str, order: list[Column], columns: list[str], slice_by: Column | None = None) -> DataFrame:
+    """Last value that is not null so far, by key, as ``last_<column>``.
+
+    ``order`` ascends, and is total; keys of any size are scanned slice by slice,
+    by ``slice_by`` (a value in the order of the first column) or by ``slice_of``.
+    """
+    w = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = {f"_in_{c}": F.last(c, ignorenulls=True).over(w) for c in columns}
+    ends = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))) for c in columns}
+    out = _by_slices(df, key, order, slice_by, inside, ends)
+    return out.withColumns({f"last_{c}": F.coalesce(f"_in_{c}", f"_before_{c}") for c in columns}).drop(*(f"{x}_{c}" for x in ("_in", "_before") for c in columns))
+
+
+def previous_state(df: DataFrame, key: str, order: list[Column], columns: list[str], slice_by: Column | None = None) -> DataFrame:
+    """Values of the row before, by key, as ``previous_<column>``; order and slices as for ``carry_forward``."""
+    own = F.struct(*columns)
+    inside = {"_in": F.lag(own).over(Window.partitionBy(key, "_slice").orderBy(*order))}
+    out = _by_slices(df, key, order, slice_by, inside, {"row": F.max_by(own, F.struct(*order))})
+    row = F.coalesce("_in", "_before_row")
+    return out.withColumns({f"previous_{c}": row[c] for c in columns}).drop("_in", "_before_row")
 
 
 def contribution_share(df: DataFrame, key: str, weight: str, least_total: float = 0.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import has_word
+from . import dedup
 from .dedup import newest_n
 
 # ---------------------------------------------------------------- by name
@@ -81,19 +82,24 @@ def lookup_misses(joined: DataFrame, column: str) -> DataFrame:
 # ---------------------------------------------------------------- as of
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: list[str], fallback: DataFrame | None = None) -> DataFrame:
     """Each left row with the columns of the latest right row not after it.
 
-    Union and running last value: one shuffle on the key, no range join. Both
-    times must be of one type; equal times match.
+    Union and running last value, slice of time by slice: no range join, and keys
+    of any size. Both times must be of one type; equal times match. A row without
+    a match takes the ``columns`` of its key in ``fallback``, one row for each
+    key, where that is given; its ``matched_at`` stays null.
     """
     names = [c for c in left.columns if c != key]
     both = left.select(key, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(_type(right, right_ts, columns)).alias("_new")).unionByName(
         right.select(key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(F.col(right_ts).alias("matched_at"), *columns).alias("_new"))
     )
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_new", ignorenulls=True).over(w)).filter("_side = 1")
-    return out.select(key, "_row.*", "_last.*")
+    out = dedup.carry_forward(both, key, [F.col("_t"), F.col("_side")], ["_new"]).filter("_side = 1")
+    if fallback is None:
+        return out.select(key, "_row.*", "last__new.*")
+    own = fallback.select(key, *(F.col(c).alias(f"_own_{c}") for c in columns), F.lit(True).alias("_own"))
+    filled = [F.when(F.col("last__new").isNotNull(), F.col(f"last__new.{c}")).otherwise(F.col(f"_own_{c}")).alias(c) for c in columns]
+    return out.join(own, key, "left").select(key, "_row.*", "last__new.matched_at", *filled)
 
 
 def _type(right: DataFrame, right_ts: str, columns: list[str]) -> str:
@@ -130,6 +136,24 @@ def multiplier_by_containment(symbols: DataFrame, catalog: DataFrame, default: f
     return symbols.join(found, "industry", "left").withColumn("macro_multiplier", F.coalesce("macro_multiplier", F.lit(default)))
 
 
+def macro_row_for(symbols: DataFrame, catalog: DataFrame, default: float = 1.0) -> DataFrame:
+    """As ``multiplier_by_containment``, with ``macro_rationale``, ``macro_sector`` and ``macro_industry`` of the highest row.
+
+    ``catalog`` has ``sector_name, industry_name, multiplier, rationale``; of equal
+    multipliers the first sector and industry by name count.
+    """
+    wanted = symbols.select("industry").filter("industry <> ''").distinct().withColumn("_needle", F.lower("industry"))
+    rationale = F.col("rationale") if "rationale" in catalog.columns else F.lit(None).cast("string")
+    # sorted by what counts, the first is the least
+    row = F.struct((-F.col("multiplier")).alias("low"), "sector_name", "industry_name", rationale.alias("rationale"))
+    entries = catalog.filter("multiplier IS NOT NULL").groupBy(F.lower("industry_name").alias("_text")).agg(F.min(row).alias("_row"))
+    found = containing(wanted, "_needle", entries, "_text").groupBy("industry").agg(F.min("_row").alias("_best"))
+    best = F.col("_best")
+    return symbols.join(found, "industry", "left").withColumns(
+        {"macro_multiplier": F.coalesce(-best["low"], F.lit(default)), "macro_rationale": best["rationale"], "macro_sector": best["sector_name"], "macro_industry": best["industry_name"]}
+    ).drop("_best")
+
+
 def cascading_multiplier(picks: DataFrame, catalog: DataFrame, default: float = 1.0) -> DataFrame:
     """By sector and industry; else the highest of sectors that contain the pick's; else the default."""
     exact = catalog.groupBy(F.lower("sector_name").alias("_s"), F.lower("industry_name").alias("_i")).agg(F.max("multiplier").alias("_m1"))
@@ -227,8 +251,8 @@ def related_research(symbols: DataFrame, catalog: DataFrame, research: DataFrame
     Keywords are the symbol's sector and the industries of all catalog sectors
     that contain it, of three letters and more. A symbol without a match gets
     what names its sector alone; one without keywords the newest ``newest``.
-    Each gets its newest ``n``. Articles meet distinct keywords, of which the
-    catalog bounds the number, by their words; symbols meet ``n`` a sector.
+    Each gets its newest ``n``. Ids of articles meet distinct keywords by their
+    first words; an article's text then meets, once, the keywords it may hold.
     """
     sectors = symbols.select("sector").filter("length(sector) > 2").distinct().withColumn("_needle", F.lower("sector"))
     entries = catalog.select(F.lower("sector_name").alias("_text"), "industry_name").distinct()
@@ -240,14 +264,16 @@ def related_research(symbols: DataFrame, catalog: DataFrame, research: DataFrame
     first = F.lower(F.regexp_extract("keyword", r"\w+", 0))
     words = F.array_distinct(F.filter(F.split(F.lower("_text"), r"\W+"), lambda w: w != ""))
     spoken = keywords.select("keyword").distinct().withColumn("_word", first)
-    found = articles.withColumn("_word", F.explode(words)).join(spoken, "_word").filter(has_word(F.col("_text"), F.col("keyword"))).select("id", "published_at", "keyword")
+    likely = articles.select("id", F.explode(words).alias("_word")).join(spoken, "_word").groupBy("id").agg(F.collect_set("keyword").alias("_likely"))
+    told = F.filter("_likely", lambda k: has_word(F.col("_text"), k))
+    found = articles.join(likely, "id").select("id", "published_at", F.explode(told).alias("keyword"))
     order = [F.desc("published_at"), F.desc("id")]
     by_sector = newest_n(found.join(keywords, "keyword").select("sector", "id", "published_at").distinct(), "sector", n, order)
     own = symbols.select(F.col("id").alias("symbol_id"), "sector")
     matched = own.join(by_sector, "sector").select("symbol_id", "id", "published_at")
-    latest = articles.orderBy(*order).limit(newest).select("id", "published_at")
-    unkeyed = own.filter("sector IS NULL OR length(sector) <= 2").select("symbol_id", F.lit(1).alias("_all"))
-    return matched.unionByName(unkeyed.join(latest.withColumn("_all", F.lit(1)), "_all").select("symbol_id", "id", "published_at"))
+    latest = articles.orderBy(*order).limit(newest).select(F.struct("id", "published_at").alias("a")).agg(F.collect_list("a")).scalar()
+    unkeyed = own.filter("sector IS NULL OR length(sector) <= 2").select("symbol_id", F.explode(latest).alias("a"))
+    return matched.unionByName(unkeyed.select("symbol_id", "a.id", "a.published_at"))
 
 
 # ---------------------------------------------------------------- reconciling

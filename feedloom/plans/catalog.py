@@ -296,6 +296,21 @@ def _(s, d):
     return joins.multiplier_by_containment(V.symbols(s, d), V.macro(s, d)).select("id", "macro_multiplier")
 
 
+@_query("j6_macro_row", SQL + "SELECT s.id, coalesce(m.multiplier, 1.0) AS macro_multiplier, m.sector_name AS macro_sector, m.industry_name AS macro_industry, CASE WHEN m.sector_name IS NOT NULL THEN 'why ' || m.sector_name END AS macro_rationale FROM symbols s LEFT JOIN macro m ON s.industry <> '' AND contains(lower(m.industry_name), lower(s.industry)) QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY m.multiplier DESC NULLS LAST, m.sector_name, m.industry_name) = 1")
+def _(s, d):
+    told = V.macro(s, d).withColumn("rationale", F.concat(F.lit("why "), "sector_name"))
+    return joins.macro_row_for(V.symbols(s, d), told).select("id", "macro_multiplier", "macro_sector", "macro_industry", "macro_rationale")
+
+
+@_query("j7_snapshot_or_own", SQL + "SELECT p.id, m.at AS matched_at, coalesce(m.last, -s.exchange) AS close FROM articles p JOIN symbols s ON s.id = p.symbol_id LEFT JOIN (SELECT p.id, max(g.published_at) AS at, arg_max(g.id, (g.published_at, g.id)) AS last FROM articles p JOIN articles g ON g.symbol_id = p.symbol_id AND g.source_name = 'signup' AND g.published_at <= p.published_at GROUP BY 1) m ON m.id = p.id")
+def _(s, d):
+    a = V.articles(s, d)
+    daily = a.filter("source_name = 'signup'").groupBy("symbol_id", "published_at").agg(F.max("id").alias("close"))
+    own = V.symbols(s, d).select(F.col("id").alias("symbol_id"), (-F.col("exchange")).cast("long").alias("close"))
+    rows = a.select("id", "symbol_id", "published_at").join(own.select("symbol_id"), "symbol_id", "left_semi")
+    return joins.asof_backward(rows, daily, "symbol_id", "published_at", "published_at", ["close"], fallback=own).select("id", "matched_at", "close")
+
+
 @_query("j7_asof_signup", SQL + "SELECT p.id, arg_max(g.published_at, g.published_at) AS matched_at, max(g.id) FILTER (g.published_at = m.at) AS signup_id FROM articles p LEFT JOIN (SELECT p.id, max(g.published_at) AS at FROM articles p JOIN articles g ON g.symbol_id = p.symbol_id AND g.source_name = 'signup' AND g.published_at <= p.published_at WHERE p.source_name = 'purchase' GROUP BY 1) m ON m.id = p.id LEFT JOIN articles g ON g.symbol_id = p.symbol_id AND g.source_name = 'signup' AND g.published_at = m.at WHERE p.source_name = 'purchase' GROUP BY 1")
 def _(s, d):
     a = V.articles(s, d)
@@ -444,9 +459,12 @@ for _name, _query_text, _mode, _sort in (
     ("p4_low", "", "low", "articles"), ("p4_ok", "", "ok", "most"), ("p4_nofeed", "", "nofeed", "alpha"), ("p4_priority", "", "priority", "most"),
 ):
 
-    @_query(_name, SQL + search_sql(_query_text, _mode, _sort))
+    # three documents to a symbol, and feeds of one kind: so there are symbols with few articles, and without feeds
+    @_query(_name, SQL + search_sql(_query_text, _mode, _sort).replace("FROM stories a WHERE a.symbol_id", "FROM stories a WHERE a.id // 3" if _mode == "low" else "FROM stories a WHERE a.symbol_id").replace("FROM feeds f WHERE", "FROM feeds f WHERE feed_type = 'atom' AND" if _mode == "nofeed" else "FROM feeds f WHERE"))
     def _(s, d, q=_query_text, mode=_mode, sort=_sort):
-        return C.symbol_search(V.symbols(s, d), V.feeds(s, d), V.stories(s, d), V.queue(s, d), q, mode, sort)
+        stories = V.stories(s, d).withColumn("symbol_id", F.floor(F.col("id") / 3)) if mode == "low" else V.stories(s, d)
+        feeds = V.feeds(s, d).filter("feed_type = 'atom'") if mode == "nofeed" else V.feeds(s, d)
+        return C.symbol_search(V.symbols(s, d), feeds, stories, V.queue(s, d), q, mode, sort)
 
 
 @_query("p3_search_articles", SQL + "SELECT id, title FROM stories WHERE contains(lower(title), 'token') OR contains(lower(full_text), 'token')")

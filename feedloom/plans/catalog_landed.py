@@ -43,6 +43,27 @@ def _feeds_xml(s, d):
     return e.select("id", F.when(F.col("source_name") == "view", atom).otherwise(rss).alias("xml"))
 
 
+@_query("s2_source_list", "SELECT DISTINCT 'https://o.example/' || o_custkey AS url, min(o_clerk) OVER (PARTITION BY o_custkey) AS organization FROM (SELECT o_custkey, o_orderpriority AS o_clerk FROM orders)")
+def _(s, d):
+    path = jobs.shared_path(s, "source-list")
+    V.table(s, d, "orders").select(F.col("o_orderpriority").alias("organization"), _joined("https://o.example/", F.col("o_custkey").cast("string")).alias("url")).write.option("header", True).csv(path)
+    return parse.read_source_list(s, path)
+
+
+@_query("s3_watchlist", "SELECT 'T' || c_custkey AS symbol, c_name AS company_name, c_mktsegment AS exchange, c_acctbal > 0 AS status, 'https://f.example/' || c_custkey || '/' || i AS feed_url FROM customer, (VALUES (1), (2)) v(i) WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'T' || c_custkey, c_name, c_mktsegment, c_acctbal > 0, NULL FROM customer WHERE c_custkey % 5 = 0")
+def _(s, d):
+    path, key = jobs.shared_path(s, "watchlist"), F.col("c_custkey").cast("string")
+    links = F.when(F.col("c_custkey") % 5 != 0, F.array(_joined("https://f.example/", key, "/1"), F.lit("#"), _joined("https://f.example/", key, "/2"))).otherwise(F.array(F.lit("#")))
+    V.table(s, d, "customer").select(_joined("t", key).alias("symbol"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("exchange"), (F.col("c_acctbal") > 0).cast("string").alias("status"), links.alias("rss_links")).write.json(path)
+    return parse.read_watchlist(s, path)
+
+
+@_query("r7_late_arrivals", SQL + "SELECT id, symbol_id FROM articles WHERE symbol_id IN (SELECT id FROM symbols WHERE status)")
+def _(s, d):
+    rows = V.articles(s, d).select("id", "symbol_id", "published_at", F.md5(F.col("id").cast("string").cast("binary")).alias("article_hash"))
+    return jobs.run_live_articles(_late_first(rows.unionByName(rows), "published_at"), V.symbols(s, d), "article_hash").select("id", "symbol_id")
+
+
 @_query("s4_feed_xml", SQL + "SELECT id, 'Event ' || id AS title, 'https://x.example/' || id AS url, date_trunc('second', published_at) AS published_at, source_name AS summary FROM articles")
 def _(s, d):
     return parse.parse_feed_xml(_feeds_xml(s, d), "xml").select("id", "title", "url", "published_at", "summary")

@@ -342,9 +342,27 @@ def _(s, d):
     o AS (SELECT o_custkey, max(o_orderdate) AS at FROM orders GROUP BY 1)
     SELECT r.id, company_name, round(abs(score) / greatest(1e-9, sum(abs(score)) OVER (PARTITION BY symbol_id)) * 100, 6) AS share, round(0.5 / (k * 1.0), 6) AS base_score, o.at AS snapshot_date FROM r JOIN symbols s ON s.id = r.symbol_id JOIN k ON k.id = s.id LEFT JOIN o ON o_custkey = s.id""")
 def _(s, d):
+    return _report(s, d)["articles"].select("id", "company_name", F.round("share", 6).alias("share"), "base_score", "snapshot_date")
+
+
+def _report(s, d):
     own = V.symbols(s, d).withColumns({"final_score": F.lit(0.5), "ai_multiplier": F.lit(1.0)})
     snapshots = V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("symbol_id"), F.col("o_orderdate").alias("snapshot_date")).agg(F.max("o_orderpriority").alias("data"))
-    return C.symbol_report(own, V.articles(s, d), V.macro(s, d), snapshots).select("id", "company_name", F.round("share", 6).alias("share"), "base_score", "snapshot_date")
+    told = V.stories(s, d).select("id", "published_at", F.concat(F.when(F.col("id") % 7 == 0, "About building, "), "title").alias("title"), "summary", (F.col("lang") != "fr").alias("llm_processed"))
+    names = V.table(s, d, "orders").select(F.col("o_custkey").alias("symbol_id"), F.col("o_orderstatus").alias("relation"), F.concat(F.lit(" "), F.left("o_orderpriority", F.lit(4))).alias("names"))
+    return C.symbol_report(own, V.articles(s, d), V.macro(s, d).withColumn("rationale", F.lit("r")), snapshots, research=told, connections=names)
+
+
+@_query("q9_connections", "SELECT DISTINCT o_custkey AS symbol_id, o_orderstatus AS relation, trim(left(o_orderpriority, 4)) AS name FROM orders")
+def _(s, d):
+    return _report(s, d)["connections"]
+
+
+@_query("q9_related", SQL + """, r AS (SELECT id, published_at, CASE WHEN id % 7 = 0 THEN 'About building, ' ELSE '' END || title || chr(10) || summary AS body FROM stories WHERE lang <> 'fr'),
+    hit AS (SELECT sector, r.id, published_at FROM (SELECT DISTINCT sector FROM symbols WHERE length(sector) > 2) JOIN r ON contains(lower(body), lower(sector)) AND regexp_matches(body, '(?i)\\b' || sector || '\\b') QUALIFY row_number() OVER (PARTITION BY sector ORDER BY published_at DESC, r.id DESC) <= 8)
+    SELECT s.id AS symbol_id, hit.id, published_at FROM symbols s JOIN hit USING (sector)""")
+def _(s, d):
+    return _report(s, d)["related"]
 
 
 @_query("q10_dedup_all", SQL + """, u AS (SELECT * FROM stories QUALIFY row_number() OVER (PARTITION BY symbol_id, url ORDER BY id) = 1), t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY symbol_id, lower(trim(coalesce(title, ''))) ORDER BY score IS NULL, published_at DESC, id) = 1),

@@ -191,18 +191,33 @@ def filing_dashboard(filings: DataFrame, signals: DataFrame, scored: DataFrame,
     }
 
 
-def symbol_report(symbols: DataFrame, articles: DataFrame, macro: DataFrame, snapshots: DataFrame, n: int = 50) -> DataFrame:
-    """The newest scored articles of each symbol, with their share of its score.
-
-    Each row carries the symbol's name, multipliers, decomposed score and latest
-    snapshot. ``symbols`` has ``final_score`` and ``ai_multiplier``.
+def symbol_report(
+    symbols: DataFrame, articles: DataFrame, macro: DataFrame, snapshots: DataFrame, n: int = 50, *, research: DataFrame | None = None, connections: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """What a symbol's page shows, of all symbols at once, as tables by ``symbol_id``.
+
+    ``articles``: the newest ``n`` scored ones with their share of the score,
+    beside the symbol's name, multipliers, decomposed score and latest snapshot;
+    ``symbols`` has ``sector, final_score, ai_multiplier``, ``macro`` a
+    ``rationale``. ``research`` (``id, published_at, title, summary,
+    llm_processed``) gives ``related``, and ``connections`` (``symbol_id,
+    relation, names``) the distinct names of each relation.
     """
     newest = dedup.newest_n(articles.filter("score IS NOT NULL"), "symbol_id", n, [F.desc("published_at"), F.desc("id")])
     shares = dedup.contribution_share(newest, "symbol_id", "score", least_total=1e-9)
-    rated = scoring.score_decomposition(joins.multiplier_by_containment(symbols, macro))
+    rated = scoring.score_decomposition(joins.macro_row_for(symbols, macro))
     latest = dedup.keep_first(snapshots, ["symbol_id"], [F.desc("snapshot_date")]).select("symbol_id", "snapshot_date", "data")
-    own = rated.select(F.col("id").alias("symbol_id"), "company_name", "macro_multiplier", "final_score", "base_score", "macro_boost", "ai_boost")
-    return shares.select("id", "symbol_id", "published_at", "score", "share").join(own, "symbol_id").join(latest, "symbol_id", "left")
+    own = rated.select(
+        F.col("id").alias("symbol_id"), "company_name", "macro_multiplier", "macro_sector", "macro_rationale", "final_score", "base_score", "macro_boost", "ai_boost"
+    )
+    told = shares.select("id", "symbol_id", "published_at", "score", "share").join(own, "symbol_id").join(latest, "symbol_id", "left")
+    out = {"articles": told}
+    if research is not None:
+        out["related"] = joins.related_research(symbols, macro, research)
+    if connections is not None:
+        by_relation = connections.select(F.struct("symbol_id", "relation").alias("_of"), "names")
+        out["connections"] = aggregates.connection_sets(by_relation, "_of", "names").select("_of.symbol_id", "_of.relation", "name")
+    return out
 
 
 def dedup_all(articles: DataFrame, *, key: str = "symbol_id", url: str = "url", title: str = "title", source: str = "source_name", score: str = "score", ts: str = "published_at", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
