@@ -364,5 +364,5 @@ def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, symbol
 
 
 def op9_hmm_scores(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
+    """Scores of all documents; edge cases as in ``score``."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

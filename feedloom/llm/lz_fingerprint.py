@@ -116,7 +116,8 @@ def with_next_document(docs: DataFrame, *, ranges: int | None = None) -> DataFra
     are cut into ``ranges`` of ids of about equal count; each range also gets
     the first row of the following range, marked ``borrowed``, so that no task
     holds more than its range and only one id per range reaches the driver.
-    Equal ids follow by the hash of their text; null ids come last.
+    Equal ids follow by the hash of their text; null ids come last. An empty table
+    gives none.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -185,5 +186,5 @@ def edited_likeness(docs: DataFrame, *, ranges: int | None = None, id_col: str =
 
 
 def op4_lz_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Phrase fingerprints of all documents and of their edited texts."""
+    """Phrase fingerprints of all documents and of their edited texts; edge cases as in ``edited_likeness``."""
     return edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -396,6 +396,8 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
 
     Ids outside the model and control ids decode to nothing; bytes that are no
     text become replacement characters. The space before the text is taken off.
+    Every row is decoded by itself, repeated ones too; no ids give an empty text,
+    and an empty table gives none.
     """
     without = encoded.drop("text")
 
@@ -421,7 +423,7 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
 
 
 def op8_nbest_pieces(spark, sf_dir: str) -> DataFrame:
-    """The best segmentations of all documents, and what they decode to."""
+    """The best segmentations of all documents, and what they decode to; edge cases as in ``encode_nbest`` and ``decode``."""
     decoded = decode(encode_nbest(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return decoded.select(
         "doc_id",

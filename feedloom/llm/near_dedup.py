@@ -235,7 +235,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large and small stars until nothing changes; each round is two
     grouped minima and joins, written to the shared folder. Nodes without a link
-    are absent. ``links`` has columns ``a`` and ``b``.
+    are absent. ``links`` has columns ``a`` and ``b``, without nulls; repeated
+    links and those of a node with itself change nothing; an empty table gives none.
     """
 
     def round_of(edges: DataFrame) -> DataFrame:
@@ -332,5 +333,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op7_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents at 85 per cent."""
+    """Near-duplicate components of all documents at 85 per cent; edge cases as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, rows=8)

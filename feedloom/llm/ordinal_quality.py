@@ -175,7 +175,9 @@ def fit(rows: list, *, penalty: float = 2e-4, rounds: int = 250, least_rows: int
 def train(docs: DataFrame, labels: DataFrame, *, most_train: int = MOST_TRAIN, **options) -> OrdinalModel:
     """Fit on ``most_train`` labelled documents at most, chosen by id hash.
 
-    The hashed features of that bounded sample reach the driver.
+    The hashed features of that bounded sample reach the driver. Null texts count
+    as empty; labels without a document, or without both grades, do not count;
+    without any label all documents score alike. Other columns are ignored.
     """
     sample = labelled_sample(docs.select("doc_id", "text"), labels, most_train, grade_of())
     return fit(training_features(sample).collect(), **options)
@@ -234,6 +236,6 @@ def select_documents(docs: DataFrame, model: OrdinalModel, *, least_tail: float
 
 
 def op1_ordinal_quality(spark, sf_dir: str) -> DataFrame:
-    """Expected grade and tail probability of all documents."""
+    """Expected grade and tail probability of all documents; edge cases as in ``train`` and ``score``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -181,7 +181,9 @@ def number_sequences(pieces: DataFrame) -> DataFrame:
 
     A sequence's id starts with its bucket, so sorting by it lists each bucket
     as one run. Ids are unique within a result, not the same from run to run;
-    write the result before joining on them. Up to 2^25 partitions fit.
+    write the result before joining on them. Up to 2^25 partitions fit. Every row
+    is a piece and a sequence of its own, repeated ones too; an empty table gives
+    none.
     """
     bucket = F.log2("length").cast("int")
     return (
@@ -192,12 +194,12 @@ def number_sequences(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:
-    """Sequences with their token ids; ``options`` as for ``split_documents``."""
+    """Sequences with their token ids; ``options`` and edge cases as for ``split_documents``."""
     return number_sequences(split_documents(docs, **options))
 
 
 def op2_power_of_two_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, one row per piece."""
+    """All documents in sequences of at most 2048 tokens, one row per piece; edge cases as in ``split_documents``."""
     packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return packed.select(
         "doc_id",

@@ -285,5 +285,5 @@ def detect(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def op3_weak_supervision_pii(spark, sf_dir: str) -> DataFrame:
-    """Personal data in all documents."""
+    """Personal data in all documents; edge cases as in ``detect``."""
     return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -253,7 +253,12 @@ def _best_literal(counted: list, cuts: dict[str, list[float]]) -> tuple[Literal,
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, *, most_train: int = 20_000, **options) -> DecisionList:
-    """The list learned from at most ``most_train`` documents with a quality label."""
+    """The list learned from at most ``most_train`` documents with a quality label.
+
+    Null and empty texts have statistics of zero; labels without a document or a
+    quality do not count, and without any the list is empty. Other columns are
+    ignored.
+    """
     sample = labelled_sample(docs.select("doc_id", "text"), labels, most_train, (F.lit(1) - F.col("quality")).cast("int"))
     return learn(materialize(statistics(sample, keep=("label",)), "quality-rules-train"), **options)
 
@@ -268,7 +273,7 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def op10_learned_rules(spark, sf_dir: str) -> DataFrame:
-    """Statistics and verdict for all documents, the list learned from labels."""
+    """Statistics and verdict for all documents, the list learned from labels; edge cases as in ``learn_rules`` and ``judge``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(docs, rules).select(

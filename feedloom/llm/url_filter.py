@@ -254,5 +254,5 @@ def judge(pages: DataFrame, model: BoostedTrees | None = None, *, rules=RULES, i
 
 
 def op5_boosted_url_filter(spark, sf_dir: str) -> DataFrame:
-    """A verdict for every page's url."""
+    """A verdict for every page's url; edge cases as in ``judge``."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
