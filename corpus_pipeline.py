@@ -3,6 +3,9 @@
 Quality rules, then the ordinal classifier, then one document of each group of
 near-duplicates, then redaction of secrets, then packing. Each stage is written
 as Parquet in the shared folder and read again.
+
+Rows with null ids, null or empty texts, repeated rows and further columns pass as
+the operator of a stage defines it; a stage over an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from feedloom.llm.common import materialize
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject; edge cases as in ``quality_rules.judge``."""
     return quality_rules.quality_rules_stage(spark, docs, sf_dir)
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tail probability of a clean grade is high enough."""
+    """Documents whose tail probability of a clean grade is high enough; edge cases as in ``ordinal_quality.score``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # junk is gone from docs by now: the labelled sample comes from all documents
     model = ordinal_quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
@@ -27,17 +30,17 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group of near-duplicates."""
+    """The document of the smallest id in each group of near-duplicates; edge cases as in ``near_dedup.one_of_each``."""
     return near_dedup.one_of_each(docs)
 
 
 def apply_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, found secrets replaced by a mark."""
+    """All documents, found secrets replaced by a mark; edge cases as in ``secrets.redact``."""
     return secrets.redact(docs)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences whose lengths are powers of two."""
+    """Token sequences whose lengths are powers of two; edge cases as in ``packing.pack``."""
     return packing.pack(docs)
 
 
@@ -54,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the packed sequences."""
+    """All stages over ``documents``; the packed sequences. Edge cases as in the stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
