@@ -16,15 +16,36 @@ def newest_n(df: DataFrame, key: str, n: int, order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def mark_first(df: DataFrame, name: str, keys: list[Column | str], order: list[Column], among: str | None = None) -> DataFrame:
+    """Add whether a row is the one that ``keep_first`` would keep, of all rows or of those marked ``among``."""
+    if among is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    return df.withColumn(name, F.col(among) & (F.row_number().over(Window.partitionBy(among, *keys).orderBy(*order)) == 1))
+
+
+def title_keys(key: str, title: str) -> list[Column | str]:
+    """A title, whatever its case and outer spaces."""
+    return [key, F.lower(F.trim(F.coalesce(title, F.lit(""))))]
+
+
 def dedup_titles(df: DataFrame, key: str, title: str, order: list[Column]) -> DataFrame:
     """One row per key and title, whatever its case and outer spaces."""
-    return keep_first(df, [key, F.lower(F.trim(F.coalesce(title, F.lit(""))))], order)
+    return keep_first(df, title_keys(key, title), order)
+
+
+def variant_keys(key: str, ts: str, source: str) -> list[Column | str]:
+    """Five minutes of a source; rows without a time are variants of each other."""
+    return [key, F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 300), source]
+
+
+def variant_order(score: str, english: Column | None = None, id_col: str = "id") -> list[Column]:
+    """Scored first, then English, then score."""
+    return [F.col(score).isNull(), *([~english] if english is not None else []), F.coalesce(score, F.lit(-99.0)).desc(), F.col(id_col)]
 
 
 def dedup_language_variants(df: DataFrame, key: str, ts: str, source: str, score: str, english: Column | None = None, id_col: str = "id") -> DataFrame:
     """One row per key, five minutes and source: scored first, then English, then score."""
-    order = [F.col(score).isNull(), *([~english] if english is not None else []), F.coalesce(score, F.lit(-99.0)).desc(), F.col(id_col)]
-    return keep_first(df, [key, F.window(ts, "5 minutes")["start"], source], order)
+    return keep_first(df, variant_keys(key, ts, source), variant_order(score, english, id_col))
 
 
 def duplicate_groups(df: DataFrame, keys: list[Column | str]) -> DataFrame:

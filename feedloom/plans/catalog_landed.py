@@ -54,7 +54,10 @@ def _(s, d):
 def _(s, d):
     path, key = jobs.shared_path(s, "watchlist"), F.col("c_custkey").cast("string")
     links = F.when(F.col("c_custkey") % 5 != 0, F.array(_joined("https://f.example/", key, "/1"), F.lit("#"), _joined("https://f.example/", key, "/2"))).otherwise(F.array(F.lit("#")))
-    V.table(s, d, "customer").select(_joined("t", key).alias("symbol"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("exchange"), (F.col("c_acctbal") > 0).cast("string").alias("status"), links.alias("rss_links")).write.json(path)
+    entry = F.struct(_joined("t", key).alias("symbol"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("exchange"), (F.col("c_acctbal") > 0).cast("string").alias("status"), links.alias("rss_links"))
+    # one list to a file, as watchlists are
+    lists = V.table(s, d, "customer").groupBy((F.col("c_custkey") % 16).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    lists.write.partitionBy("part").text(path)
     return parse.read_watchlist(s, path)
 
 

@@ -221,15 +221,20 @@ def symbol_report(
 
 
 def dedup_all(articles: DataFrame, *, key: str = "symbol_id", url: str = "url", title: str = "title", source: str = "source_name", score: str = "score", ts: str = "published_at", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Articles without repeated addresses, titles and language variants; and the rows after each step."""
-    by_url = dedup.keep_first(articles, [key, url], [F.col(id_col)])
-    by_title = dedup.dedup_titles(by_url, key, title, [F.col(score).isNull(), F.col(ts).desc_nulls_last(), F.col(id_col)])
-    single = dedup.dedup_language_variants(by_title, key, ts, source, score, english=F.col(url).contains("/0/en/"), id_col=id_col)
-    steps = [(df.select(F.lit(i).alias("place"), F.lit(name).alias("step"))) for i, (name, df) in enumerate((("before", articles), ("urls", by_url), ("titles", by_title), ("variants", single)))]
-    counts = steps[0]
-    for more in steps[1:]:
-        counts = counts.unionByName(more)
-    return single, counts.groupBy("place", "step").agg(F.count("*").alias("n"))
+    """Articles without repeated addresses, titles and language variants; and the rows after each step.
+
+    Each step marks what it keeps among the rows that the one before kept, so one
+    run over the articles counts all steps. Marks, not observed metrics: these
+    count a stage's rows twice when it runs again for a lost executor.
+    """
+    marked = dedup.mark_first(articles, "_urls", [key, url], [F.col(id_col)])
+    marked = dedup.mark_first(marked, "_titles", dedup.title_keys(key, title), [F.col(score).isNull(), F.col(ts).desc_nulls_last(), F.col(id_col)], among="_urls")
+    order = dedup.variant_order(score, F.col(url).contains("/0/en/"), id_col)
+    marked = dedup.mark_first(marked, "_variants", dedup.variant_keys(key, ts, source), order, among="_titles")
+    names = ("urls", "titles", "variants")
+    counted = marked.agg(F.count("*").alias("before"), *(F.count_if(f"_{x}").alias(x) for x in names))
+    steps = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(x).alias("step"), F.col(x).alias("n")) for i, x in enumerate(("before", *names))))
+    return marked.filter("_variants").drop(*(f"_{x}" for x in names)), counted.select(F.explode(steps).alias("s")).select("s.*")
 
 
 def data_health(symbols: DataFrame, feeds: DataFrame, articles: DataFrame) -> DataFrame:
