@@ -206,7 +206,9 @@ def variants(docs: DataFrame, *, times: int = TIMES, **options) -> DataFrame:
     words may have any length.
     """
     words = materialize(word_counts(docs, **options), "variant-words")
-    near = materialize(neighbours(rotations(words)), "variant-neighbours")
+    # A word has some twenty rotations: few bytes of words are much work, dealt evenly by number.
+    dealt = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = materialize(neighbours(rotations(dealt)), "variant-neighbours")
     long = words.filter(F.char_length("word") >= LONGEST).select(F.concat(F.lit("#"), F.sha2("word", 256)).alias("ref"), "word")
     hashed = F.col("ref").startswith("#") | F.col("other").startswith("#")
     named = near.filter(hashed)
