@@ -197,7 +197,7 @@ def first_words(patterns: Iterable[str], least: int = 3) -> list[str]:
             if len(word) < least or "\\Q" in part:
                 return []
             words.append(word)
-    shortest = sorted(set(words), key=len)
+    shortest = sorted(set(words), key=lambda w: (len(w), w))
     return [w for i, w in enumerate(shortest) if not any(x in w for x in shortest[:i])]
 
 
