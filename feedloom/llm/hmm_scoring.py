@@ -38,6 +38,8 @@ LONG = 4_096
 BLOCK = 1_024
 #: Rows of a block that are summed in one group.
 FAN_IN = 64
+#: Splits of the scan that a task of a round takes, once there are more than the cores need.
+TOGETHER = 4
 _COUNTED = 400_000
 
 
@@ -267,9 +269,10 @@ def _sum_rows(table: pa.Table) -> pa.Table:
 def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
     """One round over all training rows of ``encoded``.
 
-    Tasks are those of the scan, so they grow in number with the input. A task
-    emits one row for each block of symbols that it saw, and the rows of a block
-    are summed ``FAN_IN`` at a time, level by level, so that no group grows.
+    A task takes up to ``TOGETHER`` splits of the scan, so tasks grow in number
+    with the input, and long sequences find their like in a task. A task emits one
+    row for each block of symbols that it saw, and the rows of a block are summed
+    ``FAN_IN`` at a time, level by level, so that no group grows.
     """
     states, n_symbols = len(model.start), len(model.emit)
 
@@ -290,7 +293,8 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm
         )
 
     rows = encoded.filter("not held_out").select("symbols")
-    summed, groups = rows.mapInArrow(partial, "block int, part int, data binary"), -(-rows.rdd.getNumPartitions() // FAN_IN)
+    tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
+    summed, groups = rows.coalesce(tasks).mapInArrow(partial, "block int, part int, data binary"), -(-tasks // FAN_IN)
     while groups > 1:
         summed = summed.groupBy("block", "part").applyInArrow(_sum_rows, "block int, part int, data binary").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
         groups = -(-groups // FAN_IN)
