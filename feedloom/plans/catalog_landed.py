@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import facts, filings
+from ..operators import facts, filings, upsert
 from ..sources import parse
 from ..streaming import jobs
+from ..streaming.store import KeyedStore
 from . import composites as C
 from . import testviews as V
 from .catalog import SIGNALS, _query, strip_sql, title_sql
@@ -472,6 +473,33 @@ def _(s, d):
     return jobs.sliding_counts(jobs.run_stored(_late_first(rows, "scored_at"), "hours", ("kind", "hour"), jobs.hourly_counts, jobs.add_counts))
 
 
+def _stored(s, name, target, batches, combine):
+    """A store of ``target`` after batches, the first of which comes twice."""
+    store = KeyedStore(s, jobs.shared_path(s, name), ("id",))
+    store.merge(target, -1, lambda _, rows: rows)
+    for number, batch in [*enumerate(batches), (0, batches[0])]:
+        store.merge(batch, number, combine)
+    return store.read()
+
+
+@_query("k6_stored_dates", "SELECT c_custkey AS id, max(o_orderdate) AS filed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(s, d):
+    target = V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast(dict(V.table(s, d, "orders").dtypes)["o_orderdate"]).alias("filed"))
+    dated = V.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("filed"), "o_orderstatus")
+    known = dated.join(target.select("id"), "id", "left_semi")
+    batches = [known.filter(F.col("o_orderstatus") == x).drop("o_orderstatus") for x in "OFP"]
+    return _stored(s, "dates", target, batches, lambda old, new: upsert.advance_date(old, new, "id", "filed"))
+
+
+@_query("k3_stored_texts", "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS form, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN text || ' and more' ELSE text END AS body FROM documents")
+def _(s, d):
+    docs = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    longer = F.when(F.col("id") % 2 == 0, _joined(F.col("body"), " and more")).otherwise(F.left("body", F.lit(3)))
+    batch = docs.filter("id % 3 = 0").select("id", F.lit("new").alias("form"), longer.alias("body"))
+    batches = [batch.filter("id % 2 = 0"), batch.filter("id % 2 = 1")]
+    return _stored(s, "texts", docs.select("id", F.lit("old").alias("form"), "body"), batches, lambda old, new: upsert.keep_longer(old, new, ["id"], "body", ["form"]).select("id", "form", "body"))
+
+
 @_query("r6_monotone_multiplier", SQL + ", g AS (SELECT p_type, p_name, max(1 + p_retailprice / 100000) AS m FROM part GROUP BY 1, 2) SELECT sector_name, industry_name, round(greatest(multiplier, m), 6) AS multiplier FROM macro LEFT JOIN g ON p_type = sector_name AND p_name = industry_name")
 def _(s, d):
     signals = V.table(s, d, "part").select(F.col("p_type").alias("sector_name"), F.col("p_name").alias("industry_name"), (1 + F.col("p_retailprice") / 100000).alias("multiplier"), F.col("p_brand").alias("rationale"), F.col("p_partkey").alias("seq"))
