@@ -91,7 +91,7 @@ def ticker_from_url(url: Column | str, symbol: Column | str) -> Column:
     return F.lower(F.coalesce(named, _c(symbol)))
 
 
-#: Lengths to which texts are cut, by use.
+# Lengths to which texts are cut, by use.
 CLIPS = {"title": 200, "hint": 300, "reason": 500, "summary": 1_000, "forecast": 2_000, "facts": 4_000, "body": 100_000}
 
 

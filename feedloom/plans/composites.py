@@ -153,7 +153,7 @@ def research_multipliers(pending: DataFrame, catalog: DataFrame, articles: DataF
     return {"catalog": raised, "articles": upsert.mark_processed(articles, pending.select(F.col("article_id").alias("id")), "id", "llm_processed")}
 
 
-#: Figures of the annual and the quarterly charts.
+# Figures of the annual and the quarterly charts.
 ANNUAL_FIGURES = (
     "revenue", "gross_margin", "operating_margin", "net_margin", "operating_cash_flow", "free_cash_flow", "net_income", "cash_and_equivalents", "total_debt",
     "shares_outstanding", "rd_spend", "sga_spend",
