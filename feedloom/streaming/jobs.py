@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scoring
-from ..operators import dedup, upsert
+from ..operators import upsert
 from .store import KeyedStore
 
 #: Folders by key hash in a store that ``append_batches`` writes.
@@ -57,105 +54,50 @@ def throughput(stream: DataFrame, *, ts: str = "scored_at", late: str = "1 hour"
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "24 hours", "1 hour").alias("w"), "kind").agg(F.count("*").alias("n"))
 
 
-#: Shares of a key's rows in the running state, so that no key is one task's work.
-SHARES = 8
-_STATE = "symbol_id long, share int, at long, total double, n long, folded_until long, weighted double, weight double, n_folded long, newest long, last_at long, last_id long, last_score double, last_summary string"
-_TIMES = ("at", "folded_until", "newest", "last_at")
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """``symbol_id, id, at, score, summary`` of ``id, symbol_id, published_at, score, summary``; rows without a score or time do not count."""
+    return rows.filter("score IS NOT NULL AND published_at IS NOT NULL").select(
+        "symbol_id", F.col("id").cast("long").alias("id"), F.col("published_at").cast("timestamp").alias("at"), F.col("score").cast("double").alias("score"), F.col("summary").cast("string").alias("summary")
+    )
 
 
-class RunningState(StatefulProcessor):
-    """Per key and share: decayed sums of what is past its grace, and sums by time of what is in it.
+_LAST = ("last_at", "last_id", "last_score", "last_summary")
 
-    A time stays open until the newest article seen is a whole grace later; then
-    it is folded into sums relative to a fixed time, which decay as a whole when
-    they are read. Folding on arrival, not by event-time timers, because these
-    need a watermark that would drop late articles; a silent key holds one grace
-    of open times at most. An article older than what is folded is folded at once.
-    """
-
-    def __init__(self, rate: float, grace_us: int, reference_us: int, least: float):
-        self.rate, self.grace, self.reference, self.least = rate, grace_us, reference_us, least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "folded_until long, weighted double, weight double, n long, newest long, last_at long, last_id long, last_score double, last_summary string")
-        self.open = handle.getMapState("open", "at long", "total double, n long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.head.get()
-        until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary = known if known is not None else (None, 0.0, 0.0, 0, None, None, None, None, None)
-        changed: dict[int, tuple[float, int]] = {}
-        for frame in rows:
-            for at, row_id, score, summary in zip(frame["at"], frame["id"], frame["score"], frame["summary"]):
-                at = int(at)
-                if last_at is None or (at, row_id) > (last_at, last_id):
-                    last_at, last_id, last_score, last_summary = at, int(row_id), float(score), summary
-                if abs(score) < self.least:
-                    continue
-                newest = at if newest is None else max(newest, at)
-                if until is not None and at <= until:
-                    w = self._weight(at)
-                    weighted, weight, n = weighted + score * w, weight + w, n + 1
-                    continue
-                if at not in changed:
-                    changed[at] = tuple(self.open.getValue((at,))) if self.open.containsKey((at,)) else (0.0, 0)
-                changed[at] = (changed[at][0] + float(score), changed[at][1] + 1)
-        for at, sums in changed.items():
-            self.open.updateValue((at,), sums)
-        if newest is not None and (until is None or newest - self.grace > until):
-            until = newest - self.grace
-            for (at,), (total, count) in list(self.open.iterator()):
-                if at <= until:
-                    w = self._weight(at)
-                    weighted, weight, n = weighted + total * w, weight + count * w, n + count
-                    self.open.removeKey((at,))
-                    changed.pop(at, None)
-        self.head.update((until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary))
-        out = [(*key, None, None, None, until, weighted, weight, n, newest, last_at, last_id, last_score, last_summary)]
-        out += [(*key, at, total, count, *[None] * 9) for at, (total, count) in changed.items()]
-        names = [c.split()[0] for c in _STATE.split(", ")]
-        # Objects, not floats with NaN: times in microseconds are beyond a double's whole numbers.
-        yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(names, zip(*out))})
-
-    def _weight(self, at: int) -> float:
-        return math.exp(self.rate * ((at - self.reference + self.grace) / 3.6e9))
-
-    def close(self) -> None:
-        pass
-
-
-def running_state(stream: DataFrame, *, rate: float = scoring.DECAY, grace_hours: float = scoring.DAYS_PER_MONTH * 24, reference: str = "2024-01-01", least: float = scoring.MATERIAL) -> DataFrame:
-    """A running fold per symbol whose mean can be read for any time from then on.
-
-    ``stream`` has ``id, symbol_id, published_at, score, summary``; rows without a
-    score or time do not count. Each batch gives, for each share it touched, a head
-    with the folded sums and the last values (``at`` is null) and the sums at the
-    open times it changed; ``keep_state`` stores them, ``read_means`` reads them. Needs the RocksDB state
-    store (``state_store``).
-    """
-    us = lambda ts: F.unix_micros(F.col(ts).cast("timestamp"))
-    start = int(pd.Timestamp(reference, tz="UTC").value // 1000)
-    rows = stream.filter("score IS NOT NULL AND published_at IS NOT NULL").select(
-        "symbol_id", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share"), F.col("id").cast("long").alias("id"), us("published_at").alias("at"), F.col("score").cast("double").alias("score"), F.col("summary").cast("string").alias("summary")
-    )
-    fold = RunningState(rate, int(round(grace_hours * 3.6e9)), start, least)
-    state = rows.groupBy("symbol_id", "share").transformWithStateInPandas(fold, _STATE, "Update", "None")
-    return state.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
 
+def _head(rows: DataFrame, **sums: Column) -> DataFrame:
+    """One row per symbol: the last values, and ``sums``."""
+    last = F.struct("last_at", "last_id")
+    return rows.groupBy("symbol_id").agg(*(v.alias(k) for k, v in sums.items()), *(F.max_by(c, last).alias(c) for c in _LAST))
 
-def state_store(spark: SparkSession) -> None:
-    """Set the state store that map states need, for queries started from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+def keep_state(stored: DataFrame | None, batch: DataFrame, *, rate: float = scoring.DECAY, grace_hours: float = scoring.DAYS_PER_MONTH * 24, reference: str = "2024-01-01", least: float = scoring.MATERIAL) -> DataFrame:
+    """For a ``KeyedStore`` by symbol: a running fold whose mean can be read for any time from then on.
 
-def keep_state(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """For a ``KeyedStore`` by symbol: the newest head of each share, and its times that are still open."""
-    rows = batch.withColumn("_new", F.lit(1))
+    ``batch`` is of ``scored_rows``. The state has a head per symbol (``at`` is
+    null) with decayed sums of what is past its grace and the last values, and the
+    sums by time of what is in it. A time stays open until the newest article seen
+    is a whole grace later; then it is folded into the sums, which are relative to a
+    fixed time and decay as a whole when they are read. Folding on arrival, not by
+    event time, because a watermark would drop late articles; an article older than
+    what is folded is folded at once.
+    """
+    material = F.abs("score") >= least
+    named = batch.select("symbol_id", F.when(material, F.col("at")).alias("newest"), F.col("at").alias("last_at"), F.col("id").alias("last_id"), F.col("score").alias("last_score"), F.col("summary").alias("last_summary"))
+    heads = _head(named, newest=F.max("newest")).withColumns({"folded_until": F.lit(None).cast("timestamp"), "weighted": F.lit(0.0), "weight": F.lit(0.0), "n_folded": F.lit(0).cast("long")})
+    times = batch.filter(material).groupBy("symbol_id", "at").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
     if stored is not None:
-        rows = stored.withColumn("_new", F.lit(0)).unionByName(rows)
-    latest = dedup.keep_first(rows, ["symbol_id", "share", "at"], [F.desc("_new")]).drop("_new")
-    heads = latest.filter("at IS NULL").select(F.col("symbol_id").alias("_s"), F.col("share").alias("_h"), F.col("folded_until").alias("_until"))
-    same = (F.col("symbol_id") == F.col("_s")) & (F.col("share") == F.col("_h"))
-    return latest.join(heads, same, "left").filter("at IS NULL OR _until IS NULL OR at > _until").drop("_s", "_h", "_until")
+        known = stored.filter("at IS NULL").select(*heads.columns)
+        heads = _head(known.unionByName(heads), **{c: F.max(c) for c in ("newest", "folded_until")}, **{c: F.sum(c) for c in ("weighted", "weight", "n_folded")})
+        times = stored.filter("at IS NOT NULL").select(*times.columns).unionByName(times).groupBy("symbol_id", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    grace = int(round(grace_hours * 3.6e9))
+    heads = heads.withColumn("folded_until", F.greatest("folded_until", F.timestamp_micros(F.unix_micros("newest") - grace)))
+    limits = heads.select(F.col("symbol_id").alias("_symbol"), F.col("folded_until").alias("_until"))
+    placed = times.join(limits, F.col("symbol_id") == F.col("_symbol")).drop("_symbol")
+    w = F.exp(rate * ((F.unix_micros("at") - F.unix_micros(F.lit(reference).cast("timestamp")) + grace) / 3.6e9))
+    past = placed.filter("at <= _until").groupBy(F.col("symbol_id").alias("_symbol")).agg(F.sum(F.col("total") * w).alias("_weighted"), F.sum(F.col("n") * w).alias("_weight"), F.sum("n").alias("_n_folded"))
+    added = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("weighted", "weight", "n_folded")}
+    folded = heads.join(past, F.col("symbol_id") == F.col("_symbol"), "left").withColumns(added).select(*heads.columns)
+    return folded.unionByName(placed.filter("at > _until").drop("_until"), allowMissingColumns=True)
 
 
 def read_means(state: DataFrame, as_of: Column, *, rate: float = scoring.DECAY, reference: str = "2024-01-01") -> DataFrame:
@@ -258,16 +200,15 @@ def run_live_articles(stream: DataFrame, symbols: DataFrame, key: str) -> DataFr
 
 
 def run_running_state(stream: DataFrame) -> KeyedStore:
-    """The stored state after all arrivals, for ``read_means``."""
+    """The stored state after all arrivals of ``id, symbol_id, published_at, score, summary``, for ``read_means``."""
     spark = stream.sparkSession
-    state_store(spark)
     store = KeyedStore(spark, shared_path(spark, "running-state"), ("symbol_id",))
-    run_batches(running_state(stream), "running-state", store.batches(keep_state), "update")
+    run_batches(scored_rows(stream), "running-state", store.batches(keep_state))
     return store
 
 
 def incremental_scores(store: KeyedStore, scores: KeyedStore, as_of: Column) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: the state after a batch, and the means of the symbols it touches.
+    """A ``foreachBatch`` function for ``scored_rows``: the state after a batch, and the means of the symbols it touches.
 
     The means come from the stored sums; no article is read again. A score is as
     of the batch that touched its symbol.
@@ -280,7 +221,11 @@ def incremental_scores(store: KeyedStore, scores: KeyedStore, as_of: Column) ->
             state = store.read(parts) if parts else None
             if state is not None:
                 touched = state.join(held.select("symbol_id").distinct(), "symbol_id", "left_semi")
-                scores.merge(read_means(touched, as_of), number, lambda old, new: new if old is None else upsert.upsert(old, new, ["symbol_id"], [F.lit(1)]))
+                means = read_means(touched, as_of).persist()
+                try:
+                    scores.merge(means, number, lambda old, new: new if old is None else upsert.upsert(old, new, ["symbol_id"], [F.lit(1)]))
+                finally:
+                    means.unpersist()
         finally:
             held.unpersist()
 
@@ -290,9 +235,8 @@ def incremental_scores(store: KeyedStore, scores: KeyedStore, as_of: Column) ->
 def run_incremental_scores(stream: DataFrame, as_of: Column) -> DataFrame:
     """Scores after all arrivals of ``id, symbol_id, published_at, score, summary``, each batch touching its symbols alone."""
     spark = stream.sparkSession
-    state_store(spark)
     store, scores = (KeyedStore(spark, shared_path(spark, name), ("symbol_id",)) for name in ("score-state", "scores"))
-    run_batches(running_state(stream), "incremental-scores", incremental_scores(store, scores, as_of), "update")
+    run_batches(scored_rows(stream), "incremental-scores", incremental_scores(store, scores, as_of))
     return scores.read()
 
 
