@@ -35,8 +35,13 @@ def read_source_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """Tickers and their feed links from a JSON array; links may be text or a list."""
-    raw = spark.read.schema("symbol string, company_name string, exchange string, status string, rss_links string").option("multiLine", True).json(path)
+    """Tickers and their feed links from a JSON array; links may be text or a list.
+
+    Links are read as a variant: a list read as a string makes Spark go back into
+    the file for each entry.
+    """
+    raw = spark.read.schema("symbol string, company_name string, exchange string, status string, rss_links variant").option("multiLine", True).json(path)
+    raw = raw.withColumn("rss_links", F.try_variant_get("rss_links", "$", "string"))
     listed = F.from_json("rss_links", "array<string>")
     links = F.filter(F.coalesce(listed, F.array("rss_links")), lambda x: x.isNotNull() & (F.trim(x) != "") & (x != "#"))
     good = raw.filter("symbol IS NOT NULL AND NOT contains(symbol, ' ') AND length(symbol) <= 20")
