@@ -57,13 +57,16 @@ class KeyedStore:
         done = [r["part"] for r in self._log().filter(F.col("batch") == number).collect()]
         if done:
             return done
-        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        # Spark's own hash of the keys: rows that meet by key in as many tasks as there are parts are of one part in each.
+        part = F.pmod(F.hash(*self.keys), F.lit(self.parts)).cast("int")
         touched = sorted(r[0] for r in batch.select(part.alias("part")).distinct().collect())
         if not touched:
             return []
-        after = combine(self.read(touched), batch).withColumn("part", part)
-        # Rows of a part meet in one task, so that it is one file for each.
-        after.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/batch={number}")
+        near = lambda rows: rows.repartition(self.parts, *self.keys)
+        held = self.read(touched)
+        # Both sides move once, for the join or the groups of ``combine`` by key and for the files of parts alike.
+        after = combine(None if held is None else near(held), near(batch)).withColumn("part", part)
+        after.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/batch={number}")
         written = [(number, p) for p in touched]
         self.spark.createDataFrame(written, "batch long, part int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return touched

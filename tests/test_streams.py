@@ -109,3 +109,19 @@ def test_store_survives_a_crash_before_the_commit(spark, tmp_path):
     assert sorted(r.multiplier for r in store.read().collect()) == [1.0, 1.0]
     store.merge(rows((1, 1.2, "up", 1), (2, 0.5, "down", 1)), 1, raised)
     assert sorted(map(tuple, store.read().select("k", "multiplier", "rationale").collect())) == [(1, 1.2, "up"), (2, 1.0, "b")]
+
+
+def test_a_merge_moves_each_side_once(spark, tmp_path):
+    store, plans = KeyedStore(spark, str(tmp_path / "t"), ("k",), parts=4), []
+
+    def longer(old, new):
+        both = upsert.keep_longer(old, new, ["k"], "v", ["s"])
+        plans.append(both._jdf.queryExecution().executedPlan().toString())
+        return both
+
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(0).alias("s"))
+    store.merge(rows, 0, lambda _, new: new)
+    store.merge(rows.filter("k % 2 = 0").withColumns({"v": F.lit("longer"), "s": F.lit(1)}), 1, longer)
+    assert plans[0].count("Exchange") == plans[0].count("REPARTITION_BY_NUM") == 2
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "t/data/batch=1").glob("part=*"))
+    assert sorted((r.k, r.v, r.s) for r in store.read().collect()) == [(i, "old" if i % 2 else "longer", 1 - i % 2) for i in range(100)]
