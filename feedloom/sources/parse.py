@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache, reduce
 from html.parser import HTMLParser
+from itertools import accumulate
+from operator import itemgetter
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +77,6 @@ def parse_feed_xml(df: DataFrame, xml_col: str, fallback: Column | None = None)
 
 
 def _struct(fields: str) -> str:
-    import re
-
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", fields)
 
 
@@ -130,13 +134,130 @@ FORM4_CODES = {"P": "purchase", "S": "sale", "A": "grant", "M": "exercise", "F":
 OWNERSHIP = {"D": "Direct", "I": "Indirect"}
 
 
-def parse_form4(df: DataFrame, xml_col: str) -> DataFrame:
-    """Insider transactions with company, insider, code, shares, price, value, ownership and date.
-
-    ``derivative`` tells options and the like, which are priced by their exercise,
-    from the rest. A deal without a date takes the period of the report; ownership
-    is direct unless it says otherwise.
+# Elements of an insider's report that are read; ``_insider_report`` knows their places.
+FORM4_NAMES = (
+    "issuer issuerName issuerTradingSymbol periodOfReport reportingOwner reportingOwnerId rptOwnerName reportingOwnerRelationship isDirector isTenPercentOwner officerTitle "
+    "nonDerivativeTable nonDerivativeTransaction derivativeTable derivativeTransaction transactionDate transactionCoding transactionCode conversionOrExercisePrice exercisePrice "
+    "transactionAmounts transactionShares transactionPricePerShare postTransactionAmounts sharesOwnedFollowingTransaction ownershipNature directOrIndirectOwnership value"
+).split()
+FORM4_KNOWN, FORM4_FOLDED = frozenset(FORM4_NAMES), frozenset(n.lower() for n in FORM4_NAMES)
+FORM4_HEADS = ("company", "ticker", "period", "owner", "director", "holder", "title")
+FORM4_DEAL = ("traded", "code", "conversion", "exercise", "shares", "price", "owned", "held")
+#: Tags up to which a report is plain: Spark's reader ends at elements 1,000 deep.
+FORM4_TAGS = 2_000
+BLANK = " \t\n"
+PROLOG = re.compile(rb"<\?xml version=[\"']1\.0[\"'](?: encoding=[\"'](?:UTF-8|utf-8)[\"'])? ?\?>")
+#: All bytes but marks of tags and references, and those that text cannot hold as they are.
+HARMLESS = bytes(b for b in range(256) if b not in b"<>&" and (b >= 32 or b in b"\t\n"))
+
+
+class OddReport(Exception):
+    """A report that is left to Spark's reader."""
+
+
+def _inner(parent: dict, name: str) -> dict:
+    """Children of an element by name; of equal names the last counts."""
+    found = parent.get(name)
+    return {} if found is None else {e.tag: e for e in found}
+
+
+def _leaf(parent: dict, name: str) -> str | None:
+    found = parent.get(name)
+    if found is None:
+        return None
+    if len(found):
+        raise OddReport
+    return (found.text or "").strip(BLANK)
+
+
+def _insider_report(report: ElementTree.Element) -> tuple[tuple, list[tuple]]:
+    """Heads and deals of a report, as ``FORM4_HEADS`` and ``FORM4_DEAL`` name them, and whether the deal is in derivatives."""
+    top = {e.tag: e for e in report}
+    issuer, owner, deals = _inner(top, "issuer"), _inner(top, "reportingOwner"), []
+    role = _inner(owner, "reportingOwnerRelationship")
+    heads = (
+        _leaf(issuer, "issuerName"), _leaf(issuer, "issuerTradingSymbol"), _leaf(top, "periodOfReport"), _leaf(_inner(owner, "reportingOwnerId"), "rptOwnerName"),
+        _leaf(role, "isDirector"), _leaf(role, "isTenPercentOwner"), _leaf(role, "officerTitle"),
+    )
+    for kind, derivative in (("nonDerivative", False), ("derivative", True)):
+        table = top.get(f"{kind}Table")
+        for deal in () if table is None else table.findall(f"{kind}Transaction"):
+            d = {e.tag: e for e in deal}
+            amounts = _inner(d, "transactionAmounts")
+            deals.append((
+                _leaf(_inner(d, "transactionDate"), "value"), _leaf(_inner(d, "transactionCoding"), "transactionCode"), _leaf(_inner(d, "conversionOrExercisePrice"), "value"), _leaf(_inner(d, "exercisePrice"), "value"),
+                _leaf(_inner(amounts, "transactionShares"), "value"), _leaf(_inner(amounts, "transactionPricePerShare"), "value"),
+                _leaf(_inner(_inner(d, "postTransactionAmounts"), "sharesOwnedFollowingTransaction"), "value"), _leaf(_inner(_inner(d, "ownershipNature"), "directOrIndirectOwnership"), "value"), derivative,
+            ))
+    return heads, deals
+
+
+@lru_cache(maxsize=256)
+def _insider_places(tags: tuple[str, ...]) -> tuple | None:
+    """For reports of these tags: which of their pieces are heads and deals; None for those left to Spark's reader.
+
+    The tags are parsed with the numbers of the texts in the texts' places; texts and
+    tags take turns. Of the pieces, the last but one stands for an empty element, the
+    last for none.
+    """
+    try:
+        report = ElementTree.fromstring("".join(f"<{tag}>{i}" for i, tag in enumerate(tags, 1)).removesuffix(str(len(tags))))
+        odd = any("{" in n or n.lower() in FORM4_FOLDED for n in {e.tag for e in report.iter()} - FORM4_KNOWN)
+        if odd or any(tag[:1] in ("!", "?") for tag in tags):
+            return None
+        heads, deals = _insider_report(report)
+    except (ElementTree.ParseError, OddReport):
+        return None
+    places = lambda values: itemgetter(*(-1 if v is None else -2 if v == "" else 2 * int(v) for v in values))
+    return places(heads), [(places(d[:-1]), d[-1]) for d in deals]
+
+
+def _plain_report(report: bytes | None) -> tuple[list, list[list]] | None:
+    """``_insider_report`` of a report's bytes; None for those left to Spark's reader."""
+    if report is None:
+        return None
+    if report.startswith(b"<?xml"):
+        report = PROLOG.sub(b"", report, count=1)
+    marks = report.translate(None, HARMLESS)
+    n = len(marks) // 2
+    if n > FORM4_TAGS or marks != b"<>" * n or b"\xef\xbf\xbe" in report or b"\xef\xbf\xbf" in report:
+        return None
+    try:
+        pieces = report.decode().replace(">", "<").split("<")
+    except UnicodeDecodeError:
+        return None
+    found = _insider_places(tuple(pieces[1::2]))
+    if found is None or pieces[0].strip(BLANK) or pieces[-1].strip(BLANK):
+        return None
+    heads, deals = found
+    pieces += ("", None)
+    return [x and x.strip(BLANK) for x in heads(pieces)], [[*(x and x.strip(BLANK) for x in at(pieces)), derivative] for at, derivative in deals]
+
+
+def _read_reports(reports: pa.Array) -> pa.Array:
+    found = [_plain_report(r) for r in reports.to_pylist()]
+    none = ((None,) * len(FORM4_HEADS), ())
+    heads = list(zip(*(h for h, _ in (f or none for f in found)))) or [()] * len(FORM4_HEADS)
+    counts = [len(f[1]) if f else 0 for f in found]
+    deals = list(zip(*(d for f in found if f for d in f[1]))) or [()] * (len(FORM4_DEAL) + 1)
+    kinds = [pa.string()] * len(FORM4_DEAL) + [pa.bool_()]
+    struct = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(deals, kinds)], [*FORM4_DEAL, "derivative"])
+    listed = pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), struct)
+    return pa.StructArray.from_arrays([*(pa.array(v, pa.string()) for v in heads), listed], [*FORM4_HEADS, "deals"], mask=pa.array([f is None for f in found], pa.bool_()))
+
+
+def _plain_report_of(xml: Column) -> Column:
+    """What a plain report says, as text; null for those left to Spark's reader.
+
+    Marked as not deterministic, so that filters on the deals do not run it anew.
     """
+    texts = lambda names: ",".join(f"{n}:string" for n in names)
+    read = F.arrow_udf(_read_reports, f"struct<{texts(FORM4_HEADS)},deals:array<struct<{texts(FORM4_DEAL)},derivative:boolean>>>")
+    return read.asNondeterministic()(xml.cast("binary"))
+
+
+def _insider_report_of(xml: Column) -> Column:
+    """The same by Spark's reader, of any report."""
     value = "struct<value:string>"
     deal = (
         f"struct<transactionDate:{value},transactionCoding:struct<transactionCode:string>,conversionOrExercisePrice:{value},exercisePrice:{value},transactionAmounts:struct<transactionShares:{value},transactionPricePerShare:{value}>,"
@@ -146,25 +267,44 @@ def parse_form4(df: DataFrame, xml_col: str) -> DataFrame:
         f"issuer struct<issuerName:string,issuerTradingSymbol:string>, periodOfReport string, nonDerivativeTable struct<nonDerivativeTransaction:array<{deal}>>, derivativeTable struct<derivativeTransaction:array<{deal}>>, "
         "reportingOwner struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>"
     )
+
+    def told(x: Column) -> Column:
+        inside = ("transactionDate.value", "transactionCoding.transactionCode", "conversionOrExercisePrice.value", "exercisePrice.value", "transactionAmounts.transactionShares.value", "transactionAmounts.transactionPricePerShare.value",
+                  "postTransactionAmounts.sharesOwnedFollowingTransaction.value", "ownershipNature.directOrIndirectOwnership.value")
+        at = lambda c, path: reduce(lambda y, name: y[name], path.split("."), c)
+        flat = lambda c, derivative: F.transform(F.coalesce(c, F.array().cast(f"array<{deal}>")), lambda t: F.struct(*(at(t, p).alias(n) for p, n in zip(inside, FORM4_DEAL)), F.lit(derivative).alias("derivative")))
+        deals = F.concat(flat(at(x, "nonDerivativeTable.nonDerivativeTransaction"), False), flat(at(x, "derivativeTable.derivativeTransaction"), True))
+        owner = "reportingOwner.reportingOwnerRelationship"
+        heads = ("issuer.issuerName", "issuer.issuerTradingSymbol", "periodOfReport", "reportingOwner.reportingOwnerId.rptOwnerName", f"{owner}.isDirector", f"{owner}.isTenPercentOwner", f"{owner}.officerTitle")
+        return F.struct(*(at(x, p).alias(n) for p, n in zip(heads, FORM4_HEADS)), deals.alias("deals"))
+
+    return T.once(F.from_xml(xml, schema), told)
+
+
+def parse_form4(df: DataFrame, xml_col: str) -> DataFrame:
+    """Insider transactions with company, insider, code, shares, price, value, ownership and date.
+
+    ``derivative`` tells options and the like, which are priced by their exercise,
+    from the rest. A deal without a date takes the period of the report; ownership
+    is direct unless it says otherwise. Plain reports share the parse of their tags with
+    others of the same tags; the rest go to Spark's reader, which takes longer for each.
+    """
     keep = [c for c in df.columns if c != xml_col]
-    x = df.select(*keep, F.from_xml(xml_col, schema).alias("x"))
-    marked = lambda c, is_derivative: F.transform(F.coalesce(c, F.array().cast(f"array<{deal}>")), lambda t: F.struct(t.alias("t"), F.lit(is_derivative).alias("derivative")))
-    deals = F.concat(marked(F.col("x.nonDerivativeTable.nonDerivativeTransaction"), False), marked(F.col("x.derivativeTable.derivativeTransaction"), True))
-    number = lambda c: F.regexp_replace(F.col(f"d.t.{c}.value"), ",", "").try_cast("double")
-    exercise = F.when(F.col("d.derivative"), F.coalesce(number("exercisePrice"), number("conversionOrExercisePrice")))
-    shares, price = number("transactionAmounts.transactionShares"), F.coalesce(exercise, number("transactionAmounts.transactionPricePerShare"), F.lit(0.0))
-    code = F.col("d.t.transactionCoding.transactionCode")
+    plain = df.select(*keep, F.col(xml_col).alias("_xml"), _plain_report_of(F.col(xml_col)).alias("_plain"))
+    x = plain.select(*keep, F.when(F.col("_plain").isNotNull(), F.col("_plain")).otherwise(_insider_report_of(F.col("_xml"))).alias("x"))
+    number = lambda c: F.regexp_replace(F.col(f"d.{c}"), ",", "").try_cast("double")
+    exercise = F.when(F.col("d.derivative"), F.coalesce(number("exercise"), number("conversion")))
+    shares, price = number("shares"), F.coalesce(exercise, number("price"), F.lit(0.0))
     labels = lambda table, c: F.element_at(F.create_map(*(F.lit(v) for pair in table.items() for v in pair)), c)
-    flag = lambda c: F.lower(F.col(f"x.reportingOwner.reportingOwnerRelationship.{c}")).isin("1", "true")
-    role = F.coalesce(F.col("x.reportingOwner.reportingOwnerRelationship.officerTitle"), F.when(flag("isDirector"), "Director"), F.when(flag("isTenPercentOwner"), "10% owner"), F.lit("Insider"))
-    owner, period = F.col("x.reportingOwner.reportingOwnerId.rptOwnerName"), F.col("x.periodOfReport").try_cast("date")
-    company = F.concat("x.issuer.issuerName", F.lit(" ("), F.coalesce("x.issuer.issuerTradingSymbol", F.lit("")), F.lit(")"))
-    heads = x.select(*keep, company.alias("company"), owner.alias("owner"), role.alias("role"), period.alias("_period"), F.explode(deals).alias("d"))
-    held = F.coalesce(labels(OWNERSHIP, F.upper(F.trim("d.t.ownershipNature.directOrIndirectOwnership.value"))), F.lit("Direct"))
+    flag = lambda c: F.lower(F.col(f"x.{c}")).isin("1", "true")
+    role = F.coalesce(F.col("x.title"), F.when(flag("director"), "Director"), F.when(flag("holder"), "10% owner"), F.lit("Insider"))
+    company = F.concat("x.company", F.lit(" ("), F.coalesce("x.ticker", F.lit("")), F.lit(")"))
+    heads = x.select(*keep, company.alias("company"), F.col("x.owner").alias("owner"), role.alias("role"), F.col("x.period").try_cast("date").alias("_period"), F.explode("x.deals").alias("d"))
+    held = F.coalesce(labels(OWNERSHIP, F.upper(F.trim("d.held"))), F.lit("Direct"))
     return heads.select(
-        *keep, "company", F.concat("owner", F.lit(" ("), "role", F.lit(")")).alias("insider"), "owner", "role", F.col("d.derivative").alias("derivative"), code.alias("code"),
-        F.coalesce(labels(FORM4_CODES, code), F.lit("other")).alias("kind"), shares.alias("shares"), price.alias("price"), (shares * price).alias("value"), held.alias("ownership"),
-        number("postTransactionAmounts.sharesOwnedFollowingTransaction").alias("owned_after"), F.coalesce(F.col("d.t.transactionDate.value").try_cast("date"), "_period").alias("traded_at"),
+        *keep, "company", F.concat("owner", F.lit(" ("), "role", F.lit(")")).alias("insider"), "owner", "role", F.col("d.derivative").alias("derivative"), F.col("d.code").alias("code"),
+        F.coalesce(labels(FORM4_CODES, F.col("d.code")), F.lit("other")).alias("kind"), shares.alias("shares"), price.alias("price"), (shares * price).alias("value"), held.alias("ownership"),
+        number("owned").alias("owned_after"), F.coalesce(F.col("d.traded").try_cast("date"), "_period").alias("traded_at"),
     )
 
 
