@@ -82,7 +82,7 @@ def _insider_title(report: Column) -> Column:
     return F.when(first & deal.isNotNull(), F.concat(company, F.lit(" — Insider "), deal, F.lit(" by "), insider))
 
 
-def form4_text(df: DataFrame, key: str) -> DataFrame:
+def form4_text(df: DataFrame, key: str | list[str]) -> DataFrame:
     """A report of each filing's transactions, and its totals bought and sold on the market.
 
     Derivatives are listed but do not count. Company and insider head the report

@@ -153,21 +153,23 @@ def eight_k_items(df: DataFrame, text_col: str, items: list[str] | None = None,
     return df.filter(F.length(text_col) <= whole).select(*keep, F.lit("whole").alias("section"), F.col(text_col).alias("body")).unionByName(long)
 
 
-def insider_reports(documents: DataFrame) -> DataFrame:
-    """``url, report, bought, sold`` of insiders' reports in XML, given as ``url, body``."""
-    return facts.form4_text(parse.parse_form4(documents.select("url", "body"), "body"), "url").select("url", "report", "bought", "sold")
+def insider_reports(documents: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``keys``, ``report, bought, sold`` of insiders' reports in XML, given as ``keys`` and ``body``."""
+    return facts.form4_text(parse.parse_form4(documents.select(*keys, "body"), "body"), list(keys)).select(*keys, "report", "bought", "sold")
 
 
-def recent_filings(listed: DataFrame, assigned: DataFrame, registry: list[Form], as_of: Column) -> DataFrame:
+def recent_filings(listed: DataFrame, registry: list[Form], as_of: Column) -> DataFrame:
     """Listed filings that a run takes up: of assigned forms, within their lookback, up to the cap of each form.
 
-    ``listed`` has ``symbol_id, form_type, filed_at, position, url`` and
-    ``assigned`` has ``id, form``. The cap counts in the order of the listing.
+    ``listed`` has ``ticker, symbol_id, lonely, form_type, filed_at, position, url``,
+    as ``joins.lonely_symbols`` tells active symbols; of those that are not lonely,
+    the forms for all symbols are assigned. The cap counts in the order of the
+    listing. A symbol has one ticker, so rows that met by it are not moved again.
     """
-    wanted = listed.join(assigned.select(F.col("id").alias("symbol_id"), F.col("form").alias("form_type")), ["symbol_id", "form_type"], "left_semi")
+    wanted = listed.filter(of_form(registry, "all_symbols") | F.col("lonely"))
     recent = wanted.filter(scoring.age_days("filed_at", as_of) <= of_form(registry, "lookback_months") * scoring.DAYS_PER_MONTH)
-    place = F.row_number().over(Window.partitionBy("symbol_id", "form_type").orderBy("position", "url"))
-    return recent.withColumn("_place", place).filter(F.col("_place") <= of_form(registry, "max_per_run")).drop("_place")
+    place = F.row_number().over(Window.partitionBy("ticker", "symbol_id", "form_type").orderBy("position", "url"))
+    return recent.withColumn("_place", place).filter(F.col("_place") <= of_form(registry, "max_per_run")).select("symbol_id", "ticker", "url", "form_type", "filed_at")
 
 
 # Form, signal and what it adds.
@@ -199,12 +201,13 @@ SIGNAL_COLUMNS = ["id", "symbol_id", "filed_at", "signal_type", "signal_value",
 
 def ingest_filings(
     listed: DataFrame, documents: DataFrame, symbols: DataFrame, feeds: DataFrame, stored: DataFrame, as_of: Column, *,
-    tiers: list[int] | None = None, forms: list[str] | None = None, stored_signals: DataFrame | None = None, table: list | None = None,
+    tiers: list[int] | None = None, forms: list[str] | None = None, stored_signals: DataFrame | None = None, table: list | None = None, reports: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One run over landed listings and documents, as tables.
 
     ``listed``: ``ticker, form_type, filed_at, position, url`` (``parse_submissions``);
-    ``documents``: ``url, body``, the body of an insider's report as XML; ``symbols``:
+    ``documents``: ``url, body``, the body of an insider's report as XML; ``reports``:
+    the same for insiders' reports alone, where these are landed apart; ``symbols``:
     ``id, symbol, company_name, status, last_10k_filed, last_10q_filed``; ``stored``:
     ``symbol_id, url, title, full_text, article_hash, form_type, filing_tier,
     sec_source_weight, published_at``; ``stored_signals``: ``SIGNAL_COLUMNS``. A
@@ -214,16 +217,17 @@ def ingest_filings(
     run's), ``modifiers`` over all of them and the ``summary`` by form.
     """
     registry = active_registry(tiers, forms)
-    assigned = joins.form_assignment(symbols, registry, feeds.filter("is_active"))
-    own = listed.join(symbols.select(F.col("id").alias("symbol_id"), F.upper("symbol").alias("ticker")), "ticker")
-    taken = recent_filings(own, assigned, registry, as_of).join(documents.select("url", "body"), "url")
+    active = joins.lonely_symbols(symbols, feeds.filter("is_active"))
+    own = listed.join(active.select(F.col("id").alias("symbol_id"), F.upper("symbol").alias("ticker"), "lonely"), "ticker")
+    taken = recent_filings(own, registry, as_of)
     insiders = F.col("form_type") == "4"
     none = F.lit(None).cast("double")
     # A generated row is computed once; as a column it would be computed anew by each filter on it.
     kept_text = F.explode(F.array_compact(F.array(filing_text("form_type", "body", table)))).alias("full_text")
-    texts = taken.filter(~insiders).select("symbol_id", "ticker", "url", "form_type", "filed_at", none.alias("bought"), none.alias("sold"), kept_text)
-    reports = insider_reports(taken.filter(insiders).select("url", "body").distinct())
-    told = taken.filter(insiders).join(reports, "url").select("symbol_id", "ticker", "url", "form_type", "filed_at", "bought", "sold", F.col("report").alias("full_text"))
+    texts = taken.filter(~insiders).join(documents.select("url", "body"), "url").select(*taken.columns, none.alias("bought"), none.alias("sold"), kept_text)
+    # a report keeps its filing's columns, so that neither bodies nor filings are read a second time
+    landed = taken.filter(insiders).join((documents if reports is None else reports).select("url", "body"), "url").distinct()
+    told = insider_reports(landed, tuple(taken.columns)).select(*taken.columns, "bought", "sold", F.col("report").alias("full_text"))
     stub = F.concat_ws(" ", "ticker", "form_type", F.date_format("filed_at", "yyyy-MM-dd"))
     named = texts.unionByName(told).withColumns({"published_at": F.col("filed_at").cast("timestamp"), "title": facts.filing_title("full_text", stub, form=F.col("form_type"))}).withColumns(
         {

@@ -337,6 +337,12 @@ def form_assignment(symbols: DataFrame, registry: list, with_feed: DataFrame) ->
     return active.select("id", forms(True)).unionByName(lonely.select("id", forms(False)))
 
 
+def lonely_symbols(symbols: DataFrame, with_feed: DataFrame) -> DataFrame:
+    """Active symbols, and as ``lonely`` whether no feed is there; one row each, where ``form_assignment`` gives one a form."""
+    fed = with_feed.select(F.col("symbol_id").alias("id")).distinct().withColumn("_fed", F.lit(True))
+    return symbols.filter("status").join(fed, "id", "left").withColumn("lonely", F.col("_fed").isNull()).drop("_fed")
+
+
 def resolve(exploded: DataFrame, symbols: DataFrame, ticker: str, name: str) -> DataFrame:
     """Tickers to active symbols; unmatched ones go, one id for each ticker."""
     known = symbols.filter("status").groupBy(F.upper(name).alias("_ticker")).agg(F.min("id").alias("symbol_id"))

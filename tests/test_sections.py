@@ -112,3 +112,25 @@ def test_markup_is_written_after_the_lines_have_met(spark):
     plan = catalog_landed._ingested(spark, "/root/testdata/sf0.001")["new"]._jdf.queryExecution().optimizedPlan().toString()
     gathered = [line for line in plan.splitlines() if "collect_list(" in line and "l_linenumber" in line]
     assert gathered and not any("<transactionCode>" in line for line in gathered)
+
+
+def test_bodies_and_lines_are_read_once(spark):
+    plan = catalog_landed._ingested(spark, "/root/testdata/sf0.001")["new"]._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"Relation [{key}#") for key in ("l_orderkey", "doc_id")] == [1, 1]
+
+
+def test_reports_landed_apart(spark):
+    rows = [("BIG", "4", "u", 0), ("BIG", "8-K", "e", 1), ("BIG", "X", "x", 2), ("FED", "8-K", "f", 0), ("FED", "NT 10-K", "n", 1), ("OFF", "4", "o", 0)]
+    listed = spark.createDataFrame([*rows, rows[0]], "ticker string, form_type string, url string, position int").withColumn("filed_at", F.lit("2024-03-01").cast("date"))
+    told = spark.createDataFrame([("u", report()), ("u", report()), ("u", report("S")), ("o", report())], "url string, body string")
+    plain = spark.createDataFrame([(u, f"words of {u}") for u in "efnx"], "url string, body string")
+    none = F.lit(None).cast("timestamp")
+    symbols = spark.createDataFrame([(1, "big", "Big Co", True), (2, "fed", "Fed", True), (3, "off", "Off", False), (4, "odd", "Odd", None)], "id long, symbol string, company_name string, status boolean").withColumns({"last_10k_filed": none, "last_10q_filed": none})
+    feeds = spark.createDataFrame([(2, True), (2, True), (1, False)], "symbol_id long, is_active boolean")
+    stored = spark.createDataFrame([], "symbol_id long, url string, title string, full_text string, article_hash string, form_type string, filing_tier int, sec_source_weight double, published_at timestamp")
+    run = lambda docs, **more: sorted(filings.ingest_filings(listed, docs, symbols, feeds, stored, F.lit("2024-03-15").cast("timestamp"), **more)["new"].collect())
+    together = run(plain.unionByName(told))
+    assert [(r.symbol_id, r.url, r.form_type) for r in together] == [(1, "e", "8-K"), (1, "u", "4"), (2, "n", "NT 10-K")]
+    assert together[1].full_text.count("1000.0 shares") == 2
+    # what else lies at a report's address is no report
+    assert run(plain.unionByName(spark.createDataFrame([("u", "words")], plain.schema)), reports=told) == together
